@@ -2,90 +2,82 @@
 
 Samples are taken relative to the epoch's first one, which keeps the sums of
 squares small where the signal rides on a large offset. All deviations are
-population ones.
+population ones. Everything here is SQL text: the terms over exploded samples
+(``signal``, ``_j``, ``_x``), the features over their sums.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # A residual variance below this share of the raw variance is rounding noise: the signal is flat.
 FLAT = 1e-13
 
-
-def sample_terms() -> dict[str, Column]:
-    """Per exploded sample (``signal``, ``_j``, ``_x``): the terms that get summed."""
-    d = F.col("_x") - F.get("signal", F.lit(0))
-    after = F.get("signal", F.col("_j") + 1)
-    after2 = F.get("signal", F.col("_j") + 2)
-    centred = F.col("_j") - (F.size("signal") - 1) / 2
-    dx = after - F.col("_x")
-    ddx = after2 - 2 * after + F.col("_x")
-    return {
-        "n": F.when(F.col("_x").isNotNull(), F.lit(1)),
-        "x0": F.when(F.col("_j") == 0, F.col("_x")),
-        "s1": d,
-        "s2": d * d,
-        "sj": centred * d,
-        "dx1": dx,
-        "dx2": dx * dx,
-        "ddx1": ddx,
-        "ddx2": ddx * ddx,
+OFFSET_FREE = "(_x - get(signal, 0))"
+DIFF = "(get(signal, _j + 1) - _x)"
+DIFF2 = "(get(signal, _j + 2) - 2 * get(signal, _j + 1) + _x)"
+
+SAMPLE_TERMS = {
+    "n": "if(_x IS NULL, NULL, 1)",
+    "x0": "if(_j = 0, _x, NULL)",
+    "s1": OFFSET_FREE,
+    "s2": f"{OFFSET_FREE} * {OFFSET_FREE}",
+    "sj": f"(_j - (size(signal) - 1) / 2D) * {OFFSET_FREE}",
+    "dx1": DIFF,
+    "dx2": f"{DIFF} * {DIFF}",
+    "ddx1": DIFF2,
+    "ddx2": f"{DIFF2} * {DIFF2}",
+}
+
+SHAPE_TERMS = {
+    "s3": f"{OFFSET_FREE} * {OFFSET_FREE} * {OFFSET_FREE}",
+    "s4": f"{OFFSET_FREE} * {OFFSET_FREE} * {OFFSET_FREE} * {OFFSET_FREE}",
+}
+
+SLOPE = "coalesce(try_divide(sj, n * (n * cast(n AS double) - 1) / 12D), 0D)"
+
+
+def _variance(s2: str, s1: str, n: str) -> str:
+    """Population variance from sums; null without samples, 0 where only rounding is left."""
+    mean_square = f"try_divide({s2}, cast({n} AS double))"
+    mean = f"try_divide({s1}, cast({n} AS double))"
+    var = f"({mean_square} - {mean} * {mean})"
+    return f"if({var} <= {mean_square} * {FLAT}D, 0D, {var})"
+
+
+def feature_stages(detrended: bool, shape: bool = False) -> list[dict[str, str]]:
+    """Features in stages; a stage may use the columns of the stages before it."""
+    first = {
+        "_raw": _variance("s2", "s1", "n"),
+        "_dvar": _variance("dx2", "dx1", "(n - 1)"),
+        "_ddvar": _variance("ddx2", "ddx1", "(n - 2)"),
     }
-
-
-def shape_terms() -> dict[str, Column]:
-    d = F.col("_x") - F.get("signal", F.lit(0))
-    return {"s3": d * d * d, "s4": d * d * d * d}
-
-
-def _variance(s2: Column, s1: Column, n: Column) -> Column:
-    mean = s1 / n
-    var = s2 / n - mean * mean
-    return F.when(var <= (s2 / n) * FLAT, F.lit(0.0)).otherwise(var)
-
-
-def slope() -> Column:
-    n = F.col("n").cast("double")
-    return F.coalesce(F.try_divide(F.col("sj"), n * (n * n - 1) / 12), F.lit(0.0))
-
-
-def features(detrended: bool) -> dict[str, Column]:
-    """Mean, deviation, variance, RMS and Hjorth features from the summed terms."""
-    n = F.col("n").cast("double")
-    raw = _variance(F.col("s2"), F.col("s1"), n)
     if detrended:
-        left = raw - slope() * F.col("sj") / n
-        var = F.when(left <= raw * FLAT, F.lit(0.0)).otherwise(left)
-        mean = F.lit(0.0)
+        # Differences do not depend on the line: it only shifts their mean.
+        left = f"(_raw - {SLOPE} * sj / n)"
+        second = {"Variance": f"if({left} <= _raw * {FLAT}D, 0D, {left})", "Mean": "0D"}
     else:
-        var = raw
-        mean = F.col("x0") + F.col("s1") / n
-    # Differences do not depend on the offset, and a line only shifts their mean.
-    n1, n2 = F.nullif(n - 1, F.lit(0.0)), F.nullif(n - 2, F.lit(0.0))
-    dvar = _variance(F.col("dx2"), F.col("dx1"), n1)
-    ddvar = _variance(F.col("ddx2"), F.col("ddx1"), n2)
-    mobility = F.sqrt(F.try_divide(dvar, var))
-    return {
-        "Mean": mean,
-        "Std": F.sqrt(var),
-        "Variance": var,
-        "RMS": F.sqrt(var + mean * mean),
-        "HjorthMobility": mobility,
-        "HjorthComplexity": F.try_divide(F.sqrt(F.try_divide(ddvar, dvar)), mobility),
+        second = {"Variance": "_raw", "Mean": "x0 + s1 / n"}
+    third = {
+        "Std": "sqrt(Variance)",
+        "RMS": "sqrt(Variance + Mean * Mean)",
+        "HjorthMobility": "sqrt(try_divide(_dvar, Variance))",
     }
+    if shape:
+        third |= {
+            # Biased skewness and excess kurtosis; null for a flat signal.
+            "Skewness": (
+                "try_divide(s3 / n - 3 * (s1 / n) * (s2 / n) + 2 * power(s1 / n, 3),"
+                " Variance * sqrt(Variance))"
+            ),
+            "Kurtosis": (
+                "try_divide(s4 / n - 4 * (s1 / n) * (s3 / n)"
+                " + 6 * (s1 / n) * (s1 / n) * (s2 / n) - 3 * power(s1 / n, 4),"
+                " Variance * Variance) - 3"
+            ),
+        }
+    fourth = {
+        "HjorthComplexity": "try_divide(sqrt(try_divide(_ddvar, _dvar)), HjorthMobility)",
+    }
+    return [first, second, third, fourth]
 
 
-def shape_features() -> dict[str, Column]:
-    """Biased skewness and excess kurtosis; null for a flat signal."""
-    n = F.col("n").cast("double")
-    m1, r2, r3, r4 = (F.col(c) / n for c in ("s1", "s2", "s3", "s4"))
-    var = F.nullif(_variance(F.col("s2"), F.col("s1"), n), F.lit(0.0))
-    m3 = r3 - 3 * m1 * r2 + 2 * m1 * m1 * m1
-    m4 = r4 - 4 * m1 * r3 + 6 * m1 * m1 * r2 - 3 * m1 * m1 * m1 * m1
-    return {"Skewness": m3 / (var * F.sqrt(var)), "Kurtosis": m4 / (var * var) - 3}
-
-
-def hjorth_index(mobility: Column, complexity: Column) -> Column:
-    return 2 * complexity + F.try_divide(F.lit(100.0), 2 * mobility)
+HJORTH_INDEX = "2 * HjorthComplexity + try_divide(100D, 2 * HjorthMobility)"

@@ -109,9 +109,8 @@ def wave_table(spark: SparkSession, bins: Bins) -> DataFrame:
     """``(_chunk, _jj, c0 …, s0 …)``: sized by the parameters alone, checked in ``welch_bins``."""
     a0, a1 = TAPERS[bins.taper]
     cos_mean, sin_mean = _wave_means(bins)
-    jj = F.col("id").cast("double")
-    turn = F.lit(2 * math.pi / bins.n) * jj
-    taper = F.lit(a0) - F.lit(a1) * F.cos(turn)
+    turn = 2 * math.pi / bins.n
+    taper = f"({a0}D - {a1}D * cos({turn!r}D * id))"
     width = len(bins.chunks[0])
     tables = []
     for c, ks in enumerate(bins.chunks):
@@ -120,17 +119,15 @@ def wave_table(spark: SparkSession, bins: Bins) -> DataFrame:
             if p < len(ks):
                 at = c * BINS_PER_CHUNK + p
                 # Reduce k*j modulo n first, so that the angle stays small and exact.
-                angle = F.lit(2 * math.pi / bins.n) * F.pmod(jj * ks[p], F.lit(float(bins.n)))
+                angle = f"{turn!r}D * pmod(id * {ks[p]}L, {bins.n}L)"
                 cols += [
-                    (taper * F.cos(angle) - F.lit(cos_mean[at])).alias(f"c{p}"),
-                    (taper * F.sin(angle) - F.lit(sin_mean[at])).alias(f"s{p}"),
+                    f"{taper} * cos({angle}) - {cos_mean[at]!r}D AS c{p}",
+                    f"{taper} * sin({angle}) - {sin_mean[at]!r}D AS s{p}",
                 ]
             else:
-                cols += [F.lit(0.0).alias(f"c{p}"), F.lit(0.0).alias(f"s{p}")]
+                cols += [f"0D AS c{p}", f"0D AS s{p}"]
         tables.append(
-            spark.range(0, bins.n, 1, 1).select(
-                F.lit(c).alias("_chunk"), F.col("id").alias("_jj"), *cols
-            )
+            spark.range(0, bins.n, 1, 1).selectExpr(f"{c} AS _chunk", "id AS _jj", *cols)
         )
     table = tables[0]
     for more in tables[1:]:
@@ -167,20 +164,15 @@ def normalised(psd: Column) -> Column:
     return F.transform(psd, lambda p: p / total)
 
 
-def bin_mean(psd: Column, positions: list[int]) -> Column:
-    """Mean over the listed bins; null for a band without bins."""
+def bin_sum(positions: list[int]) -> str:
+    """SQL over ``psd``: the sum of the listed bins; null for a band without bins."""
     if not positions:
-        return F.lit(None).cast("double")
-    return bin_sum(psd, positions) / len(positions)
+        return "cast(NULL AS double)"
+    return "(" + " + ".join(f"get(psd, {p})" for p in positions) + ")"
 
 
-def bin_sum(psd: Column, positions: list[int]) -> Column:
-    if not positions:
-        return F.lit(None).cast("double")
-    out = F.get(psd, F.lit(positions[0]))
-    for p in positions[1:]:
-        out = out + F.get(psd, F.lit(p))
-    return out
+def bin_mean(positions: list[int]) -> str:
+    return f"({bin_sum(positions)} / {max(len(positions), 1)})"
 
 
 def total_power(normal: Column) -> Column:

@@ -35,117 +35,109 @@ def channel_stats(
     if shape and detrended:
         raise ValueError("shape features need a signal that is already detrended")
     keys = [*keys, "Electrode"]
-    terms = moments.sample_terms() | (moments.shape_terms() if shape else {})
-    rows = epochs.select(*keys, "signal", F.posexplode("signal").alias("_j", "_x"))
+    terms = moments.SAMPLE_TERMS | (moments.SHAPE_TERMS if shape else {})
+    rows = epochs.selectExpr(*keys, "signal", "posexplode(signal) AS (_j, _x)")
     if bins is None:
-        sums = rows.groupBy(*keys).agg(*[F.sum(t).alias(c) for c, t in terms.items()])
+        sums = rows.groupBy(*keys).agg(*_sums(terms))
     else:
         sums = _spectral_sums(rows, keys, bins, terms, detrended)
-    out = moments.features(detrended) | (moments.shape_features() if shape else {})
-    psd = ["psd"] if bins is not None else []
-    return sums.select(*keys, "n", *[c.alias(name) for name, c in out.items()], *psd)
+    stages = moments.feature_stages(detrended, shape)
+    for stage in stages:
+        sums = sums.selectExpr("*", *[f"{sql} AS {name}" for name, sql in stage.items()])
+    names = [name for stage in stages for name in stage if not name.startswith("_")]
+    return sums.select(*keys, "n", *names, *(["psd"] if bins is not None else []))
 
 
-def _spectral_sums(rows, keys, bins, terms, detrended):
-    n_chunks = len(bins.chunks)
-    hop, n, last = bins.hop, bins.n, bins.segments - 1
-    j = F.col("_j")
-    latest = F.least(F.floor(j / hop), F.lit(last))
-    covered = j < last * hop + n
+def _sums(terms: dict[str, str], when: str | None = None) -> list:
+    return [
+        F.expr(f"sum({sql if when is None else f'if({when}, {sql}, NULL)'})").alias(name)
+        for name, sql in terms.items()
+    ]
+
+
+def _split_segments(rows: DataFrame, bins: Bins) -> tuple[DataFrame, str | None]:
+    """Add the segment ``_seg`` of each sample and its place ``_jj`` there (-1 outside all).
+
+    Overlapping segments repeat a sample; the second result is then the condition
+    that holds for exactly one of the copies.
+    """
+    n, hop, last = bins.n, bins.hop, bins.segments - 1
+    latest = f"least(_j div {hop}, {last})"
     if hop >= n:
-        # A sample belongs to one segment, or to none in the tail (or between segments).
-        segment = F.when(covered & (j - latest * hop < n), latest).otherwise(F.lit(last + 1))
-        rows = rows.withColumn("_seg", segment).withColumn("_own", F.lit(True))
-    else:
-        earliest = F.greatest(F.ceil((j - (n - 1)) / hop), F.lit(0))
-        rows = rows.withColumn(
-            "_seg",
-            F.explode(
-                F.when(covered, F.sequence(earliest, latest)).otherwise(
-                    F.array(F.lit(last + 1).cast("long"))
-                )
-            ),
-        ).withColumn("_own", (F.col("_seg") == latest) | ~covered)
-    if n_chunks > 1:
-        rows = rows.withColumn(
-            "_chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)))
-        ).withColumn("_own", F.col("_own") & (F.col("_chunk") == 0))
-    else:
-        rows = rows.withColumn("_chunk", F.lit(0))
-    rows = rows.withColumn("_jj", j - F.col("_seg") * hop)
+        rows = rows.selectExpr("*", f"{latest} AS _seg")
+        return rows.selectExpr(
+            "*", f"if(_j - _seg * {hop} < {n}, _j - _seg * {hop}, -1L) AS _jj"
+        ), None
+    earliest = f"greatest(ceil((_j - {n - 1}) / {hop}), 0)"
+    covered = f"_j < {last * hop + n}"
+    rows = rows.selectExpr(
+        "*", f"explode(if({covered}, sequence({earliest}, {latest}), array({last}L))) AS _seg"
+    )
+    return rows.selectExpr(
+        "*", f"if({covered}, _j - _seg * {hop}, -1L) AS _jj"
+    ), f"_seg = {latest}"
 
-    waves = F.broadcast(spectral.wave_table(rows.sparkSession, bins))
-    on = ["_chunk", "_jj"] if n_chunks > 1 else ["_jj"]
-    if n_chunks == 1:
-        waves = waves.drop("_chunk")
-    in_segment = F.col("_seg") <= last
-    joined = rows.withColumn(
-        "_jj", F.when(in_segment, F.col("_jj")).otherwise(F.lit(-1)).cast("long")
-    ).join(waves, on, "left")
 
-    d = F.col("_x") - F.get("signal", F.lit(0))
+def _spectral_sums(rows, keys, bins, terms, detrended):
+    rows, own = _split_segments(rows, bins)
+    n_chunks = len(bins.chunks)
     width = len(bins.chunks[0])
-    own = F.col("_own")
-    groups = [*keys, "_chunk", "_seg"] if n_chunks > 1 else [*keys, "_seg"]
-    per_segment = joined.groupBy(*groups).agg(
-        *[F.sum(F.when(own, t)).alias(c) for c, t in terms.items()],
-        *[F.sum(d * F.col(f"c{p}")).alias(f"re{p}") for p in range(width)],
-        *[F.sum(d * F.col(f"s{p}")).alias(f"im{p}") for p in range(width)],
+    waves = spectral.wave_table(rows.sparkSession, bins)
+    if n_chunks == 1:
+        waves, on, chunk = waves.drop("_chunk"), ["_jj"], []
+    else:
+        rows = rows.selectExpr("*", f"explode(sequence(0, {n_chunks - 1})) AS _chunk")
+        own = "_chunk = 0" + (f" AND {own}" if own else "")
+        on, chunk = ["_chunk", "_jj"], ["_chunk"]
+    products = {}
+    for p in range(width):
+        products[f"re{p}"] = f"{moments.OFFSET_FREE} * c{p}"
+        products[f"im{p}"] = f"{moments.OFFSET_FREE} * s{p}"
+    per_segment = (
+        rows.join(F.broadcast(waves), on, "left")
+        .groupBy(*keys, *chunk, "_seg")
+        .agg(*_sums(terms, own), *_sums(products))
     )
 
     ramp_cos, ramp_sin = spectral.ramp_products(bins)
-    scales = bins.scales()
-    re = lambda p: F.col(f"re{p}")
-    im = lambda p: F.col(f"im{p}")
 
-    def by_chunk(values, p):
-        """The constant of side-by-side position ``p``: one literal, or one per chunk."""
+    def constant(values: list[float], p: int) -> str:
+        """The constant of side-by-side position ``p``: a literal, or one per chunk."""
         at = [c * spectral.BINS_PER_CHUNK + p for c in range(n_chunks)]
-        picked = [F.lit(values[a] if a < len(values) else 0.0) for a in at]
-        return picked[0] if n_chunks == 1 else F.get(F.array(*picked), F.col("_chunk"))
-
-    cross = {}
-    if detrended:
-        cross = {
-            f"cross{p}": re(p) * by_chunk(ramp_cos, p) + im(p) * by_chunk(ramp_sin, p)
-            for p in range(width)
-        }
-    per_channel = per_segment.groupBy(*[g for g in groups if g != "_seg"]).agg(
-        *[F.sum(c).alias(c) for c in terms],
-        *[F.sum(re(p) * re(p) + im(p) * im(p)).alias(f"pow{p}") for p in range(width)],
-        *[F.sum(c).alias(name) for name, c in cross.items()],
+        picked = [f"{values[a]!r}D" if a < len(values) else "0D" for a in at]
+        return picked[0] if n_chunks == 1 else f"get(array({', '.join(picked)}), _chunk)"
+
+    squares = {f"pow{p}": f"re{p} * re{p} + im{p} * im{p}" for p in range(width)}
+    cross = {
+        f"cross{p}": f"re{p} * {constant(ramp_cos, p)} + im{p} * {constant(ramp_sin, p)}"
+        for p in range(width if detrended else 0)
+    }
+    moment_sums = {c: c for c in terms}
+    sums = per_segment.groupBy(*keys, *chunk).agg(
+        *_sums(moment_sums), *_sums(squares), *_sums(cross)
     )
+    power = [f"pow{p}" for p in range(width)]
+    crossed = list(cross)
     if n_chunks > 1:
-        # The moments sit in chunk 0; spread its slope before the chunks are put together.
-        sums = per_channel.groupBy(*keys).agg(
-            *[F.sum(c).alias(c) for c in terms],
-            F.sort_array(
-                F.collect_list(
-                    F.struct(
-                        "_chunk",
-                        F.array(*[F.col(f"pow{p}") for p in range(width)]).alias("pow"),
-                        F.array(*[F.col(c) for c in cross]).alias("cross")
-                        if cross
-                        else F.array().cast("array<double>").alias("cross"),
-                    )
-                )
+        # One row per chunk so far; a channel-epoch has a handful of them.
+        sums = sums.groupBy(*keys).agg(
+            *_sums(moment_sums),
+            F.expr(
+                f"sort_array(collect_list(struct(_chunk, array({', '.join(power)}) AS pow,"
+                f" cast(array({', '.join(crossed)}) AS array<double>) AS cross)))"
             ).alias("_chunks"),
+        ).selectExpr(
+            *keys, *terms, "flatten(_chunks.pow) AS _pow", "flatten(_chunks.cross) AS _cross"
         )
-        power = F.flatten("_chunks.pow")
-        crossed = F.flatten("_chunks.cross")
-    else:
-        sums = per_channel
-        power = F.array(*[F.col(f"pow{p}") for p in range(width)])
-        crossed = F.array(*[F.col(c) for c in cross]) if cross else None
-
-    bins_out = []
-    m = moments.slope()
-    for p, scale in enumerate(scales):
-        value = F.get(power, F.lit(p))
+        power = [f"get(_pow, {p})" for p in range(len(bins.ks))]
+        crossed = [f"get(_cross, {p})" for p in range(len(bins.ks))]
+
+    sums = sums.selectExpr("*", f"{moments.SLOPE} AS _m")
+    psd = []
+    for p, scale in enumerate(bins.scales()):
+        value = power[p]
         if detrended:
-            ramp_energy = (ramp_cos[p] ** 2 + ramp_sin[p] ** 2) * bins.segments
-            value = F.greatest(
-                value - 2 * m * F.get(crossed, F.lit(p)) + m * m * F.lit(ramp_energy), F.lit(0.0)
-            )
-        bins_out.append(value * F.lit(scale))
-    return sums.select(*keys, *terms, F.array(*bins_out).alias("psd"))
+            ramp = (ramp_cos[p] ** 2 + ramp_sin[p] ** 2) * bins.segments
+            value = f"greatest({value} - 2 * _m * {crossed[p]} + _m * _m * {ramp!r}D, 0D)"
+        psd.append(f"{value} * {scale!r}D")
+    return sums.selectExpr(*keys, *terms, f"array({', '.join(psd)}) AS psd")

@@ -177,24 +177,38 @@ def slice_epochs(samples: DataFrame, kept: DataFrame, params: JobParams) -> Data
     )
 
 
-def linear_fit(signal: Column) -> tuple[Column, Column]:
-    """Intercept and slope of the least-squares line through ``signal`` against 0, 1, 2 …"""
-    n = F.size(signal).cast("double")
-    centre = (n - 1) / 2
-    weighted = F.transform(signal, lambda x, k: x * (k - centre))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
-    slope = F.coalesce(F.try_divide(total(weighted), n * (n * n - 1) / 12), F.lit(0.0))
-    return F.try_divide(total(signal), n) - slope * centre, slope
+def detrend(epochs: DataFrame) -> DataFrame:
+    """Subtract each channel's least-squares line from its ``signal``, row by row.
 
+    One fold collects count, sum and index-weighted sum; the line is worked out
+    once, when the fold finishes.
+    """
+    zero = F.struct(
+        F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("t")
+    )
 
-def detrend(epochs: DataFrame) -> DataFrame:
-    """Subtract each channel's least-squares line from its ``signal``, row by row."""
-    intercept, slope = linear_fit(F.col("signal"))
-    return (
-        epochs.withColumns({"_b": intercept, "_m": slope})
-        .withColumn("signal", F.transform("signal", lambda x, k: x - (F.col("_b") + F.col("_m") * k)))
-        .drop("_b", "_m")
+    def add(acc, x):
+        return F.struct(
+            (acc["n"] + 1).alias("n"),
+            (acc["s"] + x).alias("s"),
+            (acc["t"] + acc["n"] * x).alias("t"),
+        )
+
+    def line(acc):
+        """Intercept and slope against 0, 1, 2 …"""
+        n, centre = acc["n"], (acc["n"] - 1) / 2
+        slope = F.coalesce(
+            F.try_divide(acc["t"] - centre * acc["s"], n * (n * n - 1) / 12), F.lit(0.0)
+        )
+        return F.struct(
+            (F.try_divide(acc["s"], n) - slope * centre).alias("b"), slope.alias("m")
+        )
+
+    fitted = epochs.withColumn("_line", F.array(F.aggregate("signal", zero, add, line)))
+    residual = F.transform(
+        "_line", lambda f: F.transform("signal", lambda x, k: x - (f["b"] + f["m"] * k))
     )
+    return fitted.withColumn("signal", F.get(residual, F.lit(0))).drop("_line")
 
 
 def detrend_long(epoch_rows: DataFrame) -> DataFrame:

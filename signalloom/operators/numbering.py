@@ -1,9 +1,10 @@
 """Prefix sums and dense numbering inside groups that may be too big for one task.
 
 A plain ``row_number() OVER (PARTITION BY key ORDER BY …)`` sends every row of a
-key to one task. Here the order axis is cut into buckets: rows are numbered
-within ``(key, bucket)`` and shifted by the row counts of the earlier buckets.
-Only one summary row per ``(key, bucket)`` is ever ordered per key.
+key to one task. ``dense_number`` cuts the order axis into buckets instead: rows
+are numbered within ``(key, bucket)`` and shifted by the row counts of the
+earlier buckets, so only one summary row per ``(key, bucket)`` is ever ordered
+per key. ``number_rows`` does that for the keys that need it.
 """
 
 from __future__ import annotations
@@ -13,6 +14,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# A key is dominant if it holds more than one in DOMINANT_SHARE rows (and more than
+# DOMINANT_ROWS). Fewer than DOMINANT_SHARE keys can be that big, whatever the
+# table's size: the list of them is always small.
+DOMINANT_SHARE = 50_000
+DOMINANT_ROWS = 1_000_000
+
 
 def bucket_offsets(
     df: DataFrame, keys: Sequence[str], bucket: str, amount: Column, name: str
@@ -34,15 +41,53 @@ def dense_number(
 ) -> DataFrame:
     """Number the rows of each key 0, 1, 2 … along ``order``.
 
-    ``bucket`` must be a non-null, non-decreasing function of ``order``; it sets
-    how finely one key is spread over tasks and does not change the result.
+    ``bucket`` must be a non-decreasing function of ``order``, or null for keys
+    that are to be numbered in one go; it does not change the result.
     """
+    keys = list(keys)
     cut = df.withColumn("_bucket", bucket)
-    offsets = bucket_offsets(cut, keys, "_bucket", F.count(F.lit(1)), "_offset")
+    offsets = bucket_offsets(
+        cut.where("_bucket IS NOT NULL"), keys, "_bucket", F.count(F.lit(1)), "_offset"
+    )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     return (
         cut.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, [*keys, "_bucket"])
-        .withColumn(name, F.col("_offset") + F.col("_rn") - 1)
+        .join(offsets, [*keys, "_bucket"], "left")
+        .withColumn(name, F.expr("coalesce(_offset, 0L) + _rn - 1"))
         .drop("_bucket", "_offset", "_rn")
     )
+
+
+def dominant_keys(df: DataFrame, keys: Sequence[str], rows: int = DOMINANT_ROWS) -> list:
+    """The keys that hold too many rows for one task, fewer than ``DOMINANT_SHARE`` of them.
+
+    Runs a row count, which reads no column, and only if a key can be dominant
+    at all a second job that reads the key columns.
+    """
+    total = df.count()
+    limit = max(total / DOMINANT_SHARE, rows)
+    if total <= limit:
+        return []
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    return sizes.where(F.col("_rows") > limit).select(*keys).collect()
+
+
+def number_rows(
+    df: DataFrame,
+    keys: Sequence[str],
+    bucket: str,
+    order: Sequence[str],
+    name: str,
+    dominant_rows: int = DOMINANT_ROWS,
+) -> DataFrame:
+    """``dense_number`` with buckets for dominant keys only."""
+    dominant = dominant_keys(df, keys, dominant_rows)
+    if not dominant:
+        plain = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(name, F.row_number().over(plain).cast("long") - 1)
+    listed = df.sparkSession.createDataFrame(dominant, df.select(*keys).schema).withColumn(
+        "_dominant", F.lit(True)
+    )
+    marked = df.join(F.broadcast(listed), list(keys), "left")
+    split = F.when(F.col("_dominant"), F.col(bucket))
+    return dense_number(marked, keys, split, order, name).drop("_dominant")

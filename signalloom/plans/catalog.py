@@ -39,7 +39,12 @@ def r(c: Column | str, digits: int = FINE) -> Column:
 
 
 def rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
-    return df.select(*[r(c, digits[c]).alias(c) if c in digits else c for c in df.columns])
+    return df.selectExpr(
+        *[
+            f"round(`{c}`, {digits[c]}) + 0D AS `{c}`" if c in digits else f"`{c}`"
+            for c in df.columns
+        ]
+    )
 
 
 def _line(spark: SparkSession, sf: str):
@@ -280,9 +285,12 @@ def psd_normalised(spark, sf):
 
 def _band_rows(spark, sf, relative, digits):
     stats, bins = _line_spectra(spark, sf)
-    power = ft.band_power(F.col("psd"), bins, ds.LINE_PARAMS, relative=relative)
+    power = ft.band_power(bins, ds.LINE_PARAMS, relative=relative)
     wide = stats.select(
-        "SubjectID", "EpochID", "Electrode", *[r(c, digits).alias(b) for b, c in power.items()]
+        "SubjectID",
+        "EpochID",
+        "Electrode",
+        *[r(F.expr(sql), digits).alias(b) for b, sql in power.items()],
     )
     return wide.unpivot(["SubjectID", "EpochID", "Electrode"], list(power), "WaveBand", "Power")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.operators.numbering import dense_number
+from signalloom.operators.numbering import number_rows
 from signalloom.params import EXTENDED_BANDS, JobParams
 from signalloom.sources.participants import select_subjects
 
@@ -37,29 +37,29 @@ def vector_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").withColumns(
-        {"SubjectID": _subject("l_suppkey"), "Electrode": F.concat("l_returnflag", "l_linestatus")}
-    )
+LINE_KEYS = ["l_suppkey", "l_returnflag", "l_linestatus"]
+LINE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"]
+
+
+def _electrode() -> Column:
+    return F.concat("l_returnflag", "l_linestatus")
 
 
 def line_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Continuous recordings: the prices of a supplier's lines in shipping order."""
-    rows = _line_rows(spark, sf_dir).select(
-        "SubjectID", "Electrode", F.col("l_extendedprice").alias("value"),
-        "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey",
-    )
-    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"]
-    return dense_number(rows, ["SubjectID", "Electrode"], F.col("l_shipdate"), order, "j").select(
-        "SubjectID", "Electrode", "j", "value"
+    lines = table(spark, sf_dir, "lineitem").select(*LINE_KEYS, *LINE_ORDER, "l_extendedprice")
+    return number_rows(lines, LINE_KEYS, "l_shipdate", LINE_ORDER, "j").select(
+        _subject("l_suppkey").alias("SubjectID"),
+        _electrode().alias("Electrode"),
+        "j",
+        F.col("l_extendedprice").alias("value"),
     )
 
 
 def line_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        _line_rows(spark, sf_dir)
-        .groupBy("SubjectID", "Electrode")
-        .agg(F.count(F.lit(1)).alias("n"))
+    counts = table(spark, sf_dir, "lineitem").groupBy(*LINE_KEYS).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(
+        _subject("l_suppkey").alias("SubjectID"), _electrode().alias("Electrode"), "n"
     )
 
 

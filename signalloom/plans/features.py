@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalloom.functions import moments, spectral
@@ -61,17 +61,29 @@ def recording_stats(
     return stats.where(F.col("n") == params.n_times)
 
 
-def band_power(psd: Column, bins: Bins, params: JobParams, relative: bool = True,
-               agg: str = "mean") -> dict[str, Column]:
-    """Per band: mean (or sum) of its bins, as a share of all retained bins if ``relative``."""
+def band_power(
+    bins: Bins, params: JobParams, relative: bool = True, agg: str = "mean"
+) -> dict[str, str]:
+    """Per band, as SQL over ``psd``: mean (or sum) of its bins.
+
+    ``relative`` divides by the sum over all retained bins, which includes the
+    bin at the highest band edge although no band owns it.
+    """
     reduce = {"mean": spectral.bin_mean, "sum": spectral.bin_sum}[agg]
-    total = spectral.bin_sum(psd, list(range(len(bins.ks))))
-    return {
-        b.name: F.try_divide(reduce(psd, bins.within(b)), total)
-        if relative
-        else reduce(psd, bins.within(b))
-        for b in params.bands
-    }
+    total = spectral.bin_sum(list(range(len(bins.ks))))
+    out = {}
+    for b in params.bands:
+        value = reduce(bins.within(b))
+        out[b.name] = f"try_divide({value}, {total})" if relative else value
+    return out
+
+
+def _feature_row(band: str | None, name: str, value: str, kind: str) -> str:
+    band_sql = "cast(NULL AS string)" if band is None else f"'{band}'"
+    return (
+        f"named_struct('WaveBand', {band_sql}, 'FeatureName', '{name}',"
+        f" 'FeatureValue', cast({value} AS double), 'table_type', '{kind}')"
+    )
 
 
 def assemble_long(
@@ -82,23 +94,14 @@ def assemble_long(
     Band rows repeat the broadband Hjorth features. ``table_type`` is what the
     electrode-level rows are marked with; band rows are always ``band``.
     """
-
-    def row(band, name, value, kind):
-        return F.struct(
-            F.lit(band).cast("string").alias("WaveBand"),
-            F.lit(name).alias("FeatureName"),
-            value.cast("double").alias("FeatureValue"),
-            F.lit(kind).alias("table_type"),
-        )
-
-    power = band_power(F.col("psd"), bins, params)
-    rows = [row(None, f, F.col(f), table_type) for f in ELECTRODE_FEATURES]
+    power = band_power(bins, params)
+    rows = [_feature_row(None, f, f, table_type) for f in ELECTRODE_FEATURES]
     for b in params.bands:
         rows += [
-            row(b.name, f, power[b.name] if f == "Power" else F.col(f), "band")
+            _feature_row(b.name, f, power[b.name] if f == "Power" else f, "band")
             for f in BAND_FEATURES
         ]
-    return stats.select("SubjectID", "EpochID", "Electrode", F.inline(F.array(*rows)))
+    return stats.selectExpr(*EPOCH_KEYS, "Electrode", f"inline(array({', '.join(rows)}))")
 
 
 def features_long(
@@ -139,20 +142,18 @@ def features_wide(
     if none is given it is looked up first, and refused if it is not small.
     """
     channels = list(channels) if channels is not None else distinct_keys(stats, "Electrode")
-    power = band_power(F.col("psd"), bins, params, relative=False, agg=agg)
-    values = F.struct(
-        *[F.col(f).alias(f) for f in features],
-        *[c.alias(f"Power_{name}") for name, c in power.items()],
-    )
+    power = band_power(bins, params, relative=False, agg=agg)
+    values = [*features, *[f"{sql} AS Power_{name}" for name, sql in power.items()]]
     by_channel = stats.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("Electrode"), values))).alias("_m")
+        F.expr(
+            f"map_from_entries(collect_list(struct(Electrode, struct({', '.join(values)}))))"
+        ).alias("_m")
     )
-    cell = lambda ch, f: F.col("_m").getItem(ch).getField(f)
-    return by_channel.select(
+    return by_channel.selectExpr(
         *EPOCH_KEYS,
-        *[cell(ch, f).alias(f"{f}_{ch}") for f in features for ch in channels],
+        *[f"_m['{ch}'].{f} AS `{f}_{ch}`" for f in features for ch in channels],
         *[
-            cell(ch, f"Power_{name}").alias(f"Power_{ch}_{name}")
+            f"_m['{ch}'].Power_{name} AS `Power_{ch}_{name}`"
             for ch in channels
             for name in power
         ],
@@ -197,9 +198,7 @@ def spectral_summary(stats: DataFrame) -> DataFrame:
 
 
 def with_hjorth_index(stats: DataFrame) -> DataFrame:
-    return stats.withColumn(
-        "HjorthIndex", moments.hjorth_index(F.col("HjorthMobility"), F.col("HjorthComplexity"))
-    )
+    return stats.selectExpr("*", f"{moments.HJORTH_INDEX} AS HjorthIndex")
 
 
 def labelled_power(long: DataFrame, subjects: DataFrame) -> DataFrame:
