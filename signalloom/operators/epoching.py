@@ -122,58 +122,86 @@ def assign_blocks(samples: DataFrame, params: JobParams) -> DataFrame:
     return spread.where((j >= start_sample(b * size, params)) & (j < end))
 
 
-def slice_epochs(samples: DataFrame, kept: DataFrame, params: JobParams) -> DataFrame:
-    """One row per (epoch, channel) with its ``signal`` array.
-
-    ``kept`` is the numbered grid ``(SubjectID, i, start, EpochID)``. Output is
-    hash-partitioned by ``(SubjectID, EpochBlock)``: grouping by those columns
-    plus any others needs no further shuffle. Epochs lacking samples come out
-    with a shorter ``signal`` (see ``operators.quality``).
-    """
-    n = params.n_times
+def block_grid(recordings: DataFrame, params: JobParams) -> DataFrame:
+    """``(SubjectID, EpochBlock, first, last)``: the epoch indices of every block."""
     size = params.epochs_per_block
-    blocks = (
-        assign_blocks(samples.select("SubjectID", "Electrode", "j", "value"), params)
-        .repartition("SubjectID", "EpochBlock")
-        .groupBy("SubjectID", "EpochBlock", "Electrode")
-        .agg(F.sort_array(F.collect_list(F.struct("j", "value"))).alias("buf"))
-        .select(
+    return (
+        recordings.select("SubjectID", epoch_count(F.col("n_samples"), params).alias("n"))
+        .where("n > 0")
+        .selectExpr("SubjectID", "n", f"explode(sequence(0L, (n - 1) div {size})) AS EpochBlock")
+        .selectExpr(
             "SubjectID",
             "EpochBlock",
-            "Electrode",
-            "buf",
-            F.col("buf.value").alias("run"),
-            F.get("buf", F.lit(0)).getField("j").alias("j0"),
+            f"EpochBlock * {size} AS first",
+            f"least((EpochBlock + 1) * {size}, n) - 1 AS last",
         )
     )
-    # At most epochs_per_block entries per group.
-    wanted = (
-        kept.withColumn("EpochBlock", F.floor(F.col("i") / size))
+
+
+def block_epochs(kept: DataFrame, params: JobParams) -> DataFrame:
+    """``(SubjectID, EpochBlock, epochs)`` of a numbered grid; a group is one block's epochs."""
+    return (
+        kept.withColumn("EpochBlock", F.floor(F.col("i") / params.epochs_per_block))
         .groupBy("SubjectID", "EpochBlock")
         .agg(F.collect_list(F.struct("EpochID", "start")).alias("epochs"))
     )
-    last = F.element_at("buf", -1).getField("j")
-    gapless = F.size("buf") == last - F.col("j0") + 1
-    start = F.col("start")
-    position = start - F.col("j0") + 1
-    by_position = F.slice("run", F.greatest(position, F.lit(1)).cast("int"), F.lit(n))
-    by_index = F.transform(
-        F.filter("buf", lambda s: (s["j"] >= start) & (s["j"] < start + n)), lambda s: s["value"]
-    )
+
+
+def collect_blocks(samples: DataFrame, params: JobParams) -> DataFrame:
+    """Samples of each (block, channel) as arrays, in order; the one shuffle of the samples."""
     return (
-        blocks.withColumn("gapless", gapless)
-        .join(wanted, ["SubjectID", "EpochBlock"])
-        .select("SubjectID", "EpochBlock", "Electrode", "buf", "run", "j0", "gapless",
-                F.inline("epochs"))
-        .select(
+        assign_blocks(samples.select("SubjectID", "Electrode", "j", "value"), params)
+        .repartition("SubjectID", "EpochBlock")
+        .groupBy("SubjectID", "EpochBlock", "Electrode")
+        .agg(F.sort_array(F.collect_list(F.struct("j", "value"))).alias("buf"))
+        .selectExpr(
             "SubjectID",
             "EpochBlock",
-            "EpochID",
             "Electrode",
-            F.when(F.col("gapless") & (position >= 1), by_position)
-            .otherwise(by_index)
-            .alias("signal"),
+            "buf",
+            # Taken out here, once per block, and not again for every epoch.
+            "buf.value AS run",
+            "buf[0].j AS j0",
+            "element_at(buf, -1).j AS j1",
+        )
+    )
+
+
+def slice_epochs(
+    samples: DataFrame,
+    recordings: DataFrame,
+    params: JobParams,
+    kept: DataFrame | None = None,
+) -> DataFrame:
+    """One row per (epoch, channel) with its ``signal`` array.
+
+    All epochs of the recordings, or only those of the numbered grid ``kept``.
+    Output is hash-partitioned by ``(SubjectID, EpochBlock)``: grouping by those
+    columns plus any others needs no further shuffle. Epochs lacking samples
+    come out with a shorter ``signal`` (see ``operators.quality``).
+    """
+    n = params.n_times
+    blocks = collect_blocks(samples, params)
+    keys = ["SubjectID", "EpochBlock"]
+    carried = [*keys, "Electrode", "buf", "run", "j0", "j1"]
+    if kept is None:
+        placed = blocks.join(block_grid(recordings, params), keys).selectExpr(
+            *carried, "explode(sequence(first, last)) AS i"
+        ).select(
+            *carried,
+            epoch_id(F.col("i")).alias("EpochID"),
+            start_sample(F.col("i"), params).alias("start"),
+        )
+    else:
+        placed = blocks.join(block_epochs(kept, params), keys).selectExpr(
+            *carried, "inline(epochs)"
         )
+    # Without gaps a sample's place follows from its index; otherwise look it up.
+    by_place = f"slice(run, cast(start - j0 + 1 AS int), {n})"
+    by_index = f"filter(buf, s -> s.j >= start AND s.j < start + {n}).value"
+    whole = f"size(buf) = j1 - j0 + 1 AND start >= j0 AND start + {n - 1} <= j1"
+    return placed.selectExpr(
+        *keys, "EpochID", "Electrode", f"if({whole}, {by_place}, {by_index}) AS signal"
     )
 
 

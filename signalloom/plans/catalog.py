@@ -23,9 +23,9 @@ from signalloom.sources.scratch import scratch_path
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, Query] = {}
 
-# Decimal places kept for results: fine for shares and ratios, coarser for prices,
-# and a share of its size for absolute power.
-FINE, COARSE = 6, 3
+# Decimal places kept for results: fine for shares and ratios, coarser for what is
+# measured in prices, coarser still for single residuals, which can end in an exact 5.
+FINE, COARSE, RESIDUAL = 6, 3, 1
 
 
 def query(fn: Query) -> Query:
@@ -125,7 +125,7 @@ def epoch_detrend(spark, sf):
         "EpochID",
         "Electrode",
         F.col("_k").cast("long").alias("k"),
-        r("_x", COARSE).alias("detrended"),
+        r("_x", RESIDUAL).alias("detrended"),
     )
 
 
@@ -133,7 +133,7 @@ def epoch_detrend(spark, sf):
 def epoch_detrend_long(spark, sf):
     long = epoching.detrend_long(epoching.epoch_samples(*_line(spark, sf), ds.LINE_PARAMS))
     return long.select(
-        "SubjectID", "EpochID", "Electrode", "k", r("detrended", COARSE).alias("detrended")
+        "SubjectID", "EpochID", "Electrode", "k", r("detrended", RESIDUAL).alias("detrended")
     )
 
 
@@ -243,7 +243,7 @@ def epoch_errors(spark, sf):
     """Epochs laid out on the longest channel: what the shorter channels cannot fill."""
     longest = ds.line_recordings(spark, sf, usable=F.max)
     kept = ft.kept_epochs(longest, ds.LINE_PARAMS)
-    epochs = epoching.slice_epochs(ds.line_samples(spark, sf), kept, ds.LINE_PARAMS)
+    epochs = epoching.slice_epochs(ds.line_samples(spark, sf), longest, ds.LINE_PARAMS)
     return quality.rejected_epochs(
         epochs, kept, ds.line_channels(spark, sf), ds.LINE_PARAMS.n_times
     )

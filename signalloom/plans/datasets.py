@@ -143,14 +143,21 @@ def wide_split(
 
 
 def power_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long power rows: mean price per supplier, shipping year, return flag and line status."""
+    """Long power rows: mean price per supplier, shipping year, return flag and line status.
+
+    Prices are added up in whole cents, so the mean does not depend on their order.
+    """
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     means = (
         table(spark, sf_dir, "lineitem")
         .groupBy(
             "l_suppkey", F.year("l_shipdate").alias("y"), "l_returnflag", "l_linestatus"
         )
-        .agg(F.avg("l_extendedprice").alias("Power"))
+        .agg(
+            F.expr("sum(cast(round(l_extendedprice * 100) AS bigint)) / (count(1) * 100D)").alias(
+                "Power"
+            )
+        )
     )
     return means.join(suppliers, means.l_suppkey == suppliers.s_suppkey).select(
         _subject("l_suppkey").alias("SubjectID"),

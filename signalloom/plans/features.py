@@ -44,8 +44,9 @@ def sliced_epochs(
     params: JobParams,
     annotations: DataFrame | None = None,
 ) -> DataFrame:
-    kept = kept_epochs(recordings, params, annotations)
-    return epoching.slice_epochs(samples, kept, params)
+    """Epochs of recordings; without annotations the grid itself is never spelled out."""
+    kept = None if annotations is None else kept_epochs(recordings, params, annotations)
+    return epoching.slice_epochs(samples, recordings, params, kept)
 
 
 def recording_stats(
