@@ -8,7 +8,7 @@ population ones. Everything here is SQL text: the terms over exploded samples
 
 from __future__ import annotations
 
-# A residual variance below this share of the raw variance is rounding noise: the signal is flat.
+# A variance below this share of the mean square is rounding noise: the signal is flat.
 FLAT = 1e-13
 
 OFFSET_FREE = "(_x - get(signal, 0))"
@@ -35,12 +35,17 @@ SHAPE_TERMS = {
 SLOPE = "coalesce(try_divide(sj, n * (n * cast(n AS double) - 1) / 12D), 0D)"
 
 
+def _flattened(var: str, mean_square: str) -> str:
+    # NaN compares as equal to itself and must come through.
+    return f"if({var} <= {mean_square} * {FLAT}D AND NOT isnan({var}), 0D, {var})"
+
+
 def _variance(s2: str, s1: str, n: str) -> str:
     """Population variance from sums; null without samples, 0 where only rounding is left."""
     mean_square = f"try_divide({s2}, cast({n} AS double))"
     mean = f"try_divide({s1}, cast({n} AS double))"
     var = f"({mean_square} - {mean} * {mean})"
-    return f"if({var} <= {mean_square} * {FLAT}D, 0D, {var})"
+    return _flattened(var, mean_square)
 
 
 def feature_stages(detrended: bool, shape: bool = False) -> list[dict[str, str]]:
@@ -53,7 +58,7 @@ def feature_stages(detrended: bool, shape: bool = False) -> list[dict[str, str]]
     if detrended:
         # Differences do not depend on the line: it only shifts their mean.
         left = f"(_raw - {SLOPE} * sj / n)"
-        second = {"Variance": f"if({left} <= _raw * {FLAT}D, 0D, {left})", "Mean": "0D"}
+        second = {"Variance": _flattened(left, "s2 / n"), "Mean": "0D"}
     else:
         second = {"Variance": "_raw", "Mean": "x0 + s1 / n"}
     third = {

@@ -154,6 +154,23 @@ def ramp_products(bins: Bins) -> tuple[list[float], list[float]]:
     return [float(v) for v in cos_wave @ j], [float(v) for v in sin_wave @ j]
 
 
+def detrended_density(bins: Bins, power: list[str], cross: list[str] | None) -> str:
+    """SQL for the ``psd`` array from power summed over segments.
+
+    ``cross`` holds the sums of products with the waves' ramp responses; with it
+    the line of slope ``_m`` is taken out of the spectrum after the fact.
+    """
+    ramp_cos, ramp_sin = ramp_products(bins)
+    out = []
+    for p, scale in enumerate(bins.scales()):
+        value = power[p]
+        if cross is not None:
+            ramp = (ramp_cos[p] ** 2 + ramp_sin[p] ** 2) * bins.segments
+            value = f"greatest({value} - 2 * _m * {cross[p]} + _m * _m * {ramp!r}D, 0D)"
+        out.append(f"{value} * {scale!r}D")
+    return f"array({', '.join(out)})"
+
+
 def array_total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
 

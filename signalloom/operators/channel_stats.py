@@ -132,12 +132,7 @@ def _spectral_sums(rows, keys, bins, terms, detrended):
         power = [f"get(_pow, {p})" for p in range(len(bins.ks))]
         crossed = [f"get(_cross, {p})" for p in range(len(bins.ks))]
 
-    sums = sums.selectExpr("*", f"{moments.SLOPE} AS _m")
-    psd = []
-    for p, scale in enumerate(bins.scales()):
-        value = power[p]
-        if detrended:
-            ramp = (ramp_cos[p] ** 2 + ramp_sin[p] ** 2) * bins.segments
-            value = f"greatest({value} - 2 * _m * {crossed[p]} + _m * _m * {ramp!r}D, 0D)"
-        psd.append(f"{value} * {scale!r}D")
-    return sums.selectExpr(*keys, *terms, f"array({', '.join(psd)}) AS psd")
+    psd = spectral.detrended_density(bins, power, crossed if detrended else None)
+    return sums.selectExpr("*", f"{moments.SLOPE} AS _m").selectExpr(
+        *keys, *terms, f"{psd} AS psd"
+    )

@@ -24,8 +24,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, Query] = {}
 
 # Decimal places kept for results: fine for shares and ratios, coarser for what is
-# measured in prices, coarser still for single residuals, which can end in an exact 5.
-FINE, COARSE, RESIDUAL = 6, 3, 1
+# measured in prices.
+FINE, COARSE = 6, 3
+# Added before rounding where results can lie exactly between two rounded values.
+NUDGE = 3e-7
 
 
 def query(fn: Query) -> Query:
@@ -125,7 +127,7 @@ def epoch_detrend(spark, sf):
         "EpochID",
         "Electrode",
         F.col("_k").cast("long").alias("k"),
-        r("_x", RESIDUAL).alias("detrended"),
+        r(F.col("_x") + NUDGE, COARSE).alias("detrended"),
     )
 
 
@@ -133,7 +135,7 @@ def epoch_detrend(spark, sf):
 def epoch_detrend_long(spark, sf):
     long = epoching.detrend_long(epoching.epoch_samples(*_line(spark, sf), ds.LINE_PARAMS))
     return long.select(
-        "SubjectID", "EpochID", "Electrode", "k", r("detrended", RESIDUAL).alias("detrended")
+        "SubjectID", "EpochID", "Electrode", "k", r(F.col("detrended") + NUDGE, COARSE).alias("detrended")
     )
 
 
@@ -285,14 +287,14 @@ def psd_normalised(spark, sf):
 
 def _band_rows(spark, sf, relative, digits):
     stats, bins = _line_spectra(spark, sf)
-    power = ft.band_power(bins, ds.LINE_PARAMS, relative=relative)
-    wide = stats.select(
+    names = [b.name for b in ds.LINE_PARAMS.bands]
+    wide = ft.with_band_power(stats, bins, ds.LINE_PARAMS, relative=relative).select(
         "SubjectID",
         "EpochID",
         "Electrode",
-        *[r(F.expr(sql), digits).alias(b) for b, sql in power.items()],
+        *[r(F.col(f"Power_{b}"), digits).alias(b) for b in names],
     )
-    return wide.unpivot(["SubjectID", "EpochID", "Electrode"], list(power), "WaveBand", "Power")
+    return wide.unpivot(["SubjectID", "EpochID", "Electrode"], names, "WaveBand", "Power")
 
 
 @query
@@ -383,6 +385,21 @@ def features_long(spark, sf):
     return _round_by_feature(ft.features_long(*_line(spark, sf), ds.LINE_PARAMS))
 
 
+@query
+def features_long_dense(spark, sf):
+    """A tenfold overlap, so that the sums go through panes."""
+    return _round_by_feature(ft.features_long(*_line(spark, sf), ds.DENSE_PARAMS))
+
+
+@query
+def features_long_dense_rejected(spark, sf):
+    return _round_by_feature(
+        ft.features_long(
+            *_line(spark, sf), ds.DENSE_PARAMS, annotations=ds.line_annotations(spark, sf)
+        )
+    )
+
+
 @query
 def features_long_rejected(spark, sf):
     """The whole job: boundary marks, rejection, dense ids, features; electrode rows marked so."""
@@ -541,7 +558,7 @@ def power_zscore(spark, sf):
 @query
 def pivot_for_pca(spark, sf):
     wide, cols = pca.prepare_features_for_pca(ds.power_rows(spark, sf).drop("is_test"))
-    return rounded(wide, dict.fromkeys(cols, 4))
+    return wide.select(*scaling.IDS, *[r(F.col(c) + NUDGE, 4).alias(c) for c in cols])
 
 
 # --- principal components ----------------------------------------------------------

@@ -12,6 +12,7 @@ from signalloom.sources.participants import select_subjects
 # Nominal rates and windows under which the tables are read.
 LINE_PARAMS = JobParams(sfreq=64.0, window_length=0.5, step_size=0.3, n_fft=32)
 LINE_PARAMS_EXTENDED = LINE_PARAMS.replace(bands=EXTENDED_BANDS)
+DENSE_PARAMS = LINE_PARAMS.replace(step_size=0.05)
 VECTOR_PARAMS = JobParams(sfreq=64.0, window_length=63 / 64, n_fft=64, detrend=False)
 EVENT_PARAMS = JobParams(sfreq=1.0, window_length=86_400.0, step_size=28_800.0)
 EVENT_SECONDS = 31 * 86_400

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from signalloom.functions import moments, spectral
 from signalloom.functions.spectral import Bins
 from signalloom.operators import annotations as ann
-from signalloom.operators import epoching
+from signalloom.operators import epoching, sliding
 from signalloom.operators.channel_stats import channel_stats
 from signalloom.operators.pca import distinct_keys
 from signalloom.params import JobParams
@@ -56,8 +56,14 @@ def recording_stats(
     annotations: DataFrame | None = None,
     bins: Bins | None = None,
 ) -> DataFrame:
-    """Complete channel-epochs of recordings with their features and, given bins, spectrum."""
-    epochs = sliced_epochs(samples, recordings, params, annotations)
+    """Complete channel-epochs of recordings with their features and, given bins, spectrum.
+
+    Strongly overlapping epochs go through panes, others are sliced; same result.
+    """
+    kept = None if annotations is None else kept_epochs(recordings, params, annotations)
+    if sliding.pays_off(params, bins):
+        return sliding.sliding_stats(samples, recordings, params, bins, kept)
+    epochs = epoching.slice_epochs(samples, recordings, params, kept)
     stats = channel_stats(epochs, SLICED_KEYS, bins, detrended=params.detrend)
     return stats.where(F.col("n") == params.n_times)
 
@@ -67,18 +73,28 @@ def band_power(
 ) -> dict[str, str]:
     """Per band, as SQL over ``psd``: mean (or sum) of its bins.
 
-    ``relative`` divides by the sum over all retained bins, which includes the
-    bin at the highest band edge although no band owns it.
+    ``relative`` divides by ``_total``, the sum over all retained bins, which
+    includes the bin at the highest band edge although no band owns it.
     """
     reduce = {"mean": spectral.bin_mean, "sum": spectral.bin_sum}[agg]
-    total = spectral.bin_sum(list(range(len(bins.ks))))
     out = {}
     for b in params.bands:
         value = reduce(bins.within(b))
-        out[b.name] = f"try_divide({value}, {total})" if relative else value
+        out[b.name] = f"try_divide({value}, _total)" if relative else value
     return out
 
 
+def with_band_power(
+    stats: DataFrame, bins: Bins, params: JobParams, relative: bool = True, agg: str = "mean"
+) -> DataFrame:
+    """Add a column ``Power_<band>`` per band."""
+    power = band_power(bins, params, relative, agg)
+    total = spectral.bin_sum(list(range(len(bins.ks))))
+    return stats.selectExpr("*", f"{total} AS _total").selectExpr(
+        *stats.columns, *[f"{sql} AS `Power_{name}`" for name, sql in power.items()]
+    )
+
+
 def _feature_row(band: str | None, name: str, value: str, kind: str) -> str:
     band_sql = "cast(NULL AS string)" if band is None else f"'{band}'"
     return (
@@ -95,14 +111,13 @@ def assemble_long(
     Band rows repeat the broadband Hjorth features. ``table_type`` is what the
     electrode-level rows are marked with; band rows are always ``band``.
     """
-    power = band_power(bins, params)
     rows = [_feature_row(None, f, f, table_type) for f in ELECTRODE_FEATURES]
     for b in params.bands:
         rows += [
-            _feature_row(b.name, f, power[b.name] if f == "Power" else f, "band")
+            _feature_row(b.name, f, f"`Power_{b.name}`" if f == "Power" else f, "band")
             for f in BAND_FEATURES
         ]
-    return stats.selectExpr(*EPOCH_KEYS, "Electrode", f"inline(array({', '.join(rows)}))")
+    return with_band_power(stats, bins, params).selectExpr(*EPOCH_KEYS, "Electrode", f"inline(array({', '.join(rows)}))")
 
 
 def features_long(
@@ -143,20 +158,20 @@ def features_wide(
     if none is given it is looked up first, and refused if it is not small.
     """
     channels = list(channels) if channels is not None else distinct_keys(stats, "Electrode")
-    power = band_power(bins, params, relative=False, agg=agg)
-    values = [*features, *[f"{sql} AS Power_{name}" for name, sql in power.items()]]
-    by_channel = stats.groupBy(*keys).agg(
+    bands = [f"Power_{b.name}" for b in params.bands]
+    values = ", ".join(f"`{c}`" for c in [*features, *bands])
+    by_channel = with_band_power(stats, bins, params, relative=False, agg=agg).groupBy(*keys).agg(
         F.expr(
-            f"map_from_entries(collect_list(struct(Electrode, struct({', '.join(values)}))))"
+            f"map_from_entries(collect_list(struct(Electrode, struct({values}))))"
         ).alias("_m")
     )
     return by_channel.selectExpr(
         *EPOCH_KEYS,
-        *[f"_m['{ch}'].{f} AS `{f}_{ch}`" for f in features for ch in channels],
+        *[f"_m['{ch}'].`{f}` AS `{f}_{ch}`" for f in features for ch in channels],
         *[
-            f"_m['{ch}'].Power_{name} AS `Power_{ch}_{name}`"
+            f"_m['{ch}'].`Power_{b.name}` AS `Power_{ch}_{b.name}`"
             for ch in channels
-            for name in power
+            for b in params.bands
         ],
     )
 

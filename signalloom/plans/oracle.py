@@ -29,10 +29,10 @@ channels AS (SELECT SubjectID, Electrode, count(*) AS n FROM samples GROUP BY AL
 recordings AS (SELECT SubjectID, {usable}(n) AS n_samples FROM channels GROUP BY ALL),
 counts AS (
   SELECT SubjectID, CAST(greatest(ceil(
-    ((n_samples - 1) / 64::DOUBLE - 0.5::DOUBLE) / 0.3::DOUBLE), 0) AS BIGINT) AS n
+    ((n_samples - 1) / 64::DOUBLE - 0.5::DOUBLE) / {step}::DOUBLE), 0) AS BIGINT) AS n
   FROM recordings),
 grid AS (
-  SELECT SubjectID, i, CAST(trunc((CAST(i AS DOUBLE) * 0.3::DOUBLE) * 64::DOUBLE) AS BIGINT)
+  SELECT SubjectID, i, CAST(trunc((CAST(i AS DOUBLE) * {step}::DOUBLE) * 64::DOUBLE) AS BIGINT)
     AS start
   FROM (SELECT SubjectID, unnest(range(0, n)) AS i FROM counts))"""
 
@@ -108,7 +108,7 @@ power AS (
   SELECT SubjectID, EpochID, Electrode, WaveBand, avg(q) AS rel, avg(p) AS mean_p, sum(p) AS sum_p
   FROM share JOIN bands ON freq >= fmin AND freq < fmax GROUP BY ALL)"""
 
-MIN = LINES.format(usable="min")
+MIN = LINES.format(usable="min", step=0.3)
 LINE_SPECTRUM = _spectrum(32, 32, 1, 0.5, 30)
 LINE_FEATURES = [MIN, LONG, DETRENDED, MOMENTS, LINE_SPECTRUM, BANDS, POWER]
 
@@ -154,7 +154,7 @@ ORACLE["partitioned_roundtrip"] = _with(
 ORACLE["epoch_grid"] = _with([MIN], "SELECT SubjectID, i, start FROM grid")
 ORACLE["epoch_samples"] = ORACLE["epoch_slices"] = _with([MIN, LONG], "SELECT * FROM ep")
 ORACLE["epoch_detrend"] = ORACLE["epoch_detrend_long"] = _with(
-    [MIN, LONG, DETRENDED], f"SELECT {KEYS}, k, {r('x', 1)} AS detrended FROM vec"
+    [MIN, LONG, DETRENDED], f"SELECT {KEYS}, k, {r('x + 3e-7', 3)} AS detrended FROM vec"
 )
 
 EVENTS = """
@@ -212,7 +212,7 @@ ORACLE["epochs_union"] = _with(
           UNION ALL SELECT SubjectID, EpochID, Electrode FROM vec) GROUP BY ALL""",
 )
 ORACLE["epoch_errors"] = _with(
-    [LINES.format(usable="max"), LONG],
+    [LINES.format(usable="max", step=0.3), LONG],
     """SELECT SubjectID, EpochID, Electrode, 'incomplete' AS reason FROM (
       SELECT g.SubjectID, 'ep-' || g.i AS EpochID, c.Electrode
       FROM grid g JOIN channels c USING (SubjectID))
@@ -323,6 +323,11 @@ ORACLE["features_long_rejected"] = _with(
     [MIN, LINE_NOTES, DETRENDED, MOMENTS, LINE_SPECTRUM, BANDS, POWER],
     _long_rows("electrode", ELECTRODE),
 )
+DENSE = LINES.format(usable="min", step=0.05)
+ORACLE["features_long_dense"] = _with([DENSE, *LINE_FEATURES[1:]], LONG_ROWS)
+ORACLE["features_long_dense_rejected"] = _with(
+    [DENSE, LINE_NOTES, DETRENDED, MOMENTS, LINE_SPECTRUM, BANDS, POWER], LONG_ROWS
+)
 ORACLE["features_long_vectors"] = _with(
     [VECTORS, MOMENTS, VECTOR_SPECTRUM, BANDS, POWER],
     _long_rows("band", dict.fromkeys(ELECTRODE, 6)),
@@ -481,7 +486,7 @@ ORACLE["pivot_for_pca"] = _with(
     [POWER_ROWS],
     "SELECT SubjectID, EpochID, label, "
     + ", ".join(
-        f"""{r(f"coalesce(max(CASE WHEN Electrode = '{e}' AND WaveBand = '{b}' THEN Power END), 0)", 4)}
+        f"""{r(f"coalesce(max(CASE WHEN Electrode = '{e}' AND WaveBand = '{b}' THEN Power END), 0) + 3e-7", 4)}
         AS {e}_{b}"""
         for e in "ANR"
         for b in "FO"

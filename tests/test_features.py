@@ -50,6 +50,7 @@ def expected(params, detrend=True):
         {"n_fft": 101},
         {"detrend": False},
         {"step_size": 1.31},
+        {"step_size": 0.5},
         {"taper": "hamming", "n_fft": 25, "bands": EXTENDED_BANDS[:3]},
     ],
 )
