@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.operators.scaling import IDS, safe_range
+from signalloom.operators.scaling import IDS, fill_cells, safe_range
 
 # More distinct pivot keys than this cannot become columns of a PCA input.
 MAX_PIVOT_KEYS = 10_000
@@ -35,7 +35,7 @@ def prepare_features_for_pca(
     keyed = power.withColumn("Electrode_WaveBand", F.concat_ws("_", "Electrode", "WaveBand"))
     keys = list(keys) if keys is not None else distinct_keys(keyed, "Electrode_WaveBand")
     wide = keyed.groupBy(*IDS).pivot("Electrode_WaveBand", keys).agg(F.first("Power"))
-    return wide.fillna(0.0, subset=keys), keys
+    return fill_cells(wide, keys), keys
 
 
 @dataclasses.dataclass(frozen=True)

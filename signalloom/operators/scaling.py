@@ -115,7 +115,12 @@ def unmelt(
 ) -> DataFrame:
     """Long to wide over the listed columns; missing cells become 0 (ids are left alone)."""
     wide = long.groupBy(*ids).pivot("pivot", list(cols)).agg(F.first(value))
-    return wide.fillna(0.0, subset=list(cols))
+    return fill_cells(wide, cols)
+
+
+def fill_cells(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Missing values of the listed columns become 0; nothing else is touched."""
+    return _replace(df, {c: F.coalesce(quoted(c), F.lit(0.0)) for c in cols})
 
 
 def normalize_melted(train_long: DataFrame, long: DataFrame) -> DataFrame:
