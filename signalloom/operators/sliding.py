@@ -33,12 +33,18 @@ BLOCK = ["SubjectID", "EpochBlock"]
 # With fewer epochs than this over one sample, slicing costs no more than panes do.
 MIN_OVERLAP = 3.0
 
+# More bins or cuts than these make the code generated per row too long for the
+# JVM to compile, and slicing is the faster way then.
+MAX_BINS = 16
+MAX_CUTS = 10
+
 
 def pays_off(params: JobParams, bins: Bins | None) -> bool:
-    """Panes need whole segments side by side and few enough bins for one row."""
+    """Panes need segments that do not overlap, and few enough columns for one row."""
     if params.n_times / params.stride < MIN_OVERLAP:
         return False
-    return bins is None or (bins.hop == bins.n and len(bins.chunks) == 1)
+    few = bins is None or (bins.hop == bins.n and len(bins.ks) <= MAX_BINS)
+    return few and len(_cuts(params, bins)) <= MAX_CUTS
 
 
 def _start(i: str, params: JobParams) -> str:
@@ -46,7 +52,7 @@ def _start(i: str, params: JobParams) -> str:
 
 
 def _guess(j: str, params: JobParams) -> str:
-    return f"cast(floor(({j} + 1) / {params.stride!r}D) AS bigint)"
+    return f"floor(({j} + 1) * {1 / params.stride!r}D)"
 
 
 def _settle(j: str, guess: str, params: JobParams) -> str:
@@ -80,7 +86,8 @@ def _waves(spark: SparkSession, bins: Bins) -> tuple[DataFrame, list[int]]:
     cols = []
     for p, k in enumerate(ks):
         angle = f"{turn!r}D * pmod(id * {k}L, {bins.n}L)"
-        cols += [f"cos({angle}) AS cos{p}", f"sin({angle}) AS sin{p}"]
+        # Never null, which Spark cannot see by itself; it keeps the generated code short.
+        cols += [f"coalesce(cos({angle}), 0D) AS cos{p}", f"coalesce(sin({angle}), 0D) AS sin{p}"]
     return F.broadcast(spark.range(0, bins.n, 1, 1).selectExpr("id AS _place", *cols)), ks
 
 
@@ -93,7 +100,9 @@ def _with_pane(rows: DataFrame, params: JobParams, bins: Bins | None) -> DataFra
     cuts = _cuts(params, bins)
     guesses = [_guess(f"(j - {c})", params) + f" AS _g{c}" for c in cuts]
     label = " + ".join(_settle(f"(j - {c})", f"_g{c}", params) for c in cuts)
-    return rows.selectExpr("*", *guesses).selectExpr(*rows.columns, f"{label} AS _pane")
+    # ``j`` is never null here; saying so keeps the code short.
+    known = rows.withColumn("j", F.expr("coalesce(j, -1L)"))
+    return known.selectExpr("*", *guesses).selectExpr(*rows.columns, f"{label} AS _pane")
 
 
 def pane_sums(samples: DataFrame, params: JobParams, bins: Bins | None) -> DataFrame:
@@ -189,7 +198,7 @@ def sliding_stats(
             "*", f"least(_at div {bins.n}, {bins.segments}) AS _seg"
         ).groupBy(*epoch, "_seg").agg(
             *[F.expr(q).alias(c) for c, q in terms.items()],
-            *[F.sum(c).alias(c) for c in waves],
+            *[F.expr(f"coalesce(sum({c}), 0D)").alias(c) for c in waves],
         )
         sums = _combine_segments(per_segment, epoch, params, bins)
     complete = sums.where(F.col("n") == n)
@@ -201,10 +210,13 @@ def sliding_stats(
             "EpochID", epoching.epoch_id(F.col("i"))
         )
     else:
-        listed = epoching.block_epochs(kept, params).selectExpr(*BLOCK, "inline(epochs)")
-        named = complete.withColumn("start", F.expr(_start("i", params))).join(
-            listed, [*BLOCK, "start"]
+        # Joined by block, which the rows are already partitioned by, and looked up there.
+        listed = epoching.block_epochs(kept, params).selectExpr(
+            *BLOCK, "map_from_entries(transform(epochs, e -> (e.start, e.EpochID))) AS _ids"
         )
+        named = complete.join(listed, BLOCK).withColumn(
+            "EpochID", F.expr(f"_ids[{_start('i', params)}]")
+        ).where("EpochID IS NOT NULL")
     names = [c for stage in moments.feature_stages(params.detrend) for c in stage]
     return named.select(
         *BLOCK,

@@ -139,6 +139,17 @@ def test_samples_are_shuffled_once(spark, step):
     # The other exchange is that of the block grid, a few rows per recording.
     assert plan.count("Exchange hashpartitioning") == 2
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan
+    notes = spark.createDataFrame(
+        [("s", 1.0, 0.5, "BAD")],
+        "SubjectID string, onset double, duration double, description string",
+    )
+    plan = plan_of(ft.features_long(samples, table, params, notes))
+    assert plan.count("REPARTITION_BY_COL") == 2  # samples and epoch grid
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    # Features are joined with the kept epochs of their block without moving again.
+    by_block = "Exchange hashpartitioning(SubjectID#"
+    on_features = [line for line in plan.splitlines() if by_block in line and "start" in line]
+    assert not on_features
 
 
 # --- scaling -----------------------------------------------------------------------
