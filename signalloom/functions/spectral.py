@@ -28,6 +28,9 @@ DEFAULT_N_FFT = 256
 # Bins summed side by side in one aggregate; more bins go in further passes over the row.
 BINS_PER_CHUNK = 32
 
+# Up to this many bins of a spectrum are computed by one expression each.
+MAX_WRITTEN_OUT = 16
+
 # The wave table is broadcast; parameters that would make it larger than this are refused.
 MAX_WAVE_TABLE_BYTES = 64 << 20
 
@@ -154,21 +157,39 @@ def ramp_products(bins: Bins) -> tuple[list[float], list[float]]:
     return [float(v) for v in cos_wave @ j], [float(v) for v in sin_wave @ j]
 
 
-def detrended_density(bins: Bins, power: list[str], cross: list[str] | None) -> str:
+def detrended_density(bins: Bins, power: list[str] | str, cross: list[str] | str | None) -> str:
     """SQL for the ``psd`` array from power summed over segments.
 
     ``cross`` holds the sums of products with the waves' ramp responses; with it
-    the line of slope ``_m`` is taken out of the spectrum after the fact.
+    the line of slope ``_m`` is taken out of the spectrum after the fact. Both are
+    lists of columns or the name of an array. A few bins are written out; many
+    are mapped, since their written-out code would be too long to be compiled.
     """
     ramp_cos, ramp_sin = ramp_products(bins)
-    out = []
-    for p, scale in enumerate(bins.scales()):
-        value = power[p]
-        if cross is not None:
-            ramp = (ramp_cos[p] ** 2 + ramp_sin[p] ** 2) * bins.segments
-            value = f"greatest({value} - 2 * _m * {cross[p]} + _m * _m * {ramp!r}D, 0D)"
-        out.append(f"{value} * {scale!r}D")
-    return f"array({', '.join(out)})"
+    ramps = [(c * c + s * s) * bins.segments for c, s in zip(ramp_cos, ramp_sin, strict=True)]
+    scales = bins.scales()
+
+    def value(power: str, cross: str, ramp: str, scale: str) -> str:
+        if not cross:
+            return f"{power} * {scale}"
+        return f"greatest({power} - 2 * _m * {cross} + _m * _m * {ramp}, 0D) * {scale}"
+
+    if isinstance(power, list) and len(bins.ks) <= MAX_WRITTEN_OUT:
+        out = [
+            value(power[p], cross[p] if cross else "", f"{ramps[p]!r}D", f"{scales[p]!r}D")
+            for p in range(len(bins.ks))
+        ]
+        return f"array({', '.join(out)})"
+
+    def as_array(columns: list[str] | str) -> str:
+        return columns if isinstance(columns, str) else f"array({', '.join(columns)})"
+
+    def literal(values: list[float]) -> str:
+        return f"array({', '.join(f'{v!r}D' for v in values)})"
+
+    crossed = f"get({as_array(cross)}, p)" if cross else ""
+    body = value("v", crossed, f"get({literal(ramps)}, p)", f"get({literal(scales)}, p)")
+    return f"transform(slice({as_array(power)}, 1, {len(bins.ks)}), (v, p) -> {body})"
 
 
 def array_total(a: Column) -> Column:
@@ -182,9 +203,12 @@ def normalised(psd: Column) -> Column:
 
 
 def bin_sum(positions: list[int]) -> str:
-    """SQL over ``psd``: the sum of the listed bins; null for a band without bins."""
+    """SQL over ``psd``: the sum of adjacent bins; null for a band without bins."""
     if not positions:
         return "cast(NULL AS double)"
+    if len(positions) > MAX_WRITTEN_OUT:
+        part = f"slice(psd, {positions[0] + 1}, {len(positions)})"
+        return f"aggregate({part}, 0D, (total, p) -> total + p)"
     return "(" + " + ".join(f"get(psd, {p})" for p in positions) + ")"
 
 

@@ -129,8 +129,7 @@ def _spectral_sums(rows, keys, bins, terms, detrended):
         ).selectExpr(
             *keys, *terms, "flatten(_chunks.pow) AS _pow", "flatten(_chunks.cross) AS _cross"
         )
-        power = [f"get(_pow, {p})" for p in range(len(bins.ks))]
-        crossed = [f"get(_cross, {p})" for p in range(len(bins.ks))]
+        power, crossed = "_pow", "_cross"
 
     psd = spectral.detrended_density(bins, power, crossed if detrended else None)
     return sums.selectExpr("*", f"{moments.SLOPE} AS _m").selectExpr(

@@ -35,7 +35,7 @@ MIN_OVERLAP = 3.0
 
 # More bins or cuts than these make the code generated per row too long for the
 # JVM to compile, and slicing is the faster way then.
-MAX_BINS = 16
+MAX_BINS = spectral.MAX_WRITTEN_OUT
 MAX_CUTS = 10
 
 

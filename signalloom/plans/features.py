@@ -117,7 +117,9 @@ def assemble_long(
             _feature_row(b.name, f, f"`Power_{b.name}`" if f == "Power" else f, "band")
             for f in BAND_FEATURES
         ]
-    return with_band_power(stats, bins, params).selectExpr(*EPOCH_KEYS, "Electrode", f"inline(array({', '.join(rows)}))")
+    return with_band_power(stats, bins, params).selectExpr(
+        *EPOCH_KEYS, "Electrode", f"inline(array({', '.join(rows)}))"
+    )
 
 
 def features_long(

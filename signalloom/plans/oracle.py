@@ -486,8 +486,12 @@ ORACLE["pivot_for_pca"] = _with(
     [POWER_ROWS],
     "SELECT SubjectID, EpochID, label, "
     + ", ".join(
-        f"""{r(f"coalesce(max(CASE WHEN Electrode = '{e}' AND WaveBand = '{b}' THEN Power END), 0) + 3e-7", 4)}
-        AS {e}_{b}"""
+        r(
+            f"coalesce(max(CASE WHEN Electrode = '{e}' AND WaveBand = '{b}' THEN Power END), 0)"
+            " + 3e-7",
+            4,
+        )
+        + f" AS {e}_{b}"
         for e in "ANR"
         for b in "FO"
     )

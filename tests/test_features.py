@@ -216,3 +216,17 @@ def test_start_samples_are_truncated_products(spark):
     row = spark.range(1).select(epoching.start_sample(F.lit(3), params).alias("s")).first()
     assert row.s == 449
     assert params.n_times == 1501
+
+
+def test_band_power_over_many_bins(spark):
+    x = recording(300, 8)
+    params = JobParams(
+        sfreq=100.0, window_length=2.99, n_fft=200, bands=(Band("low", 1.0, 3.0), Band("wide", 3.0, 30.0)),
+        detrend=False,
+    )
+    long = ft.epochs_features_long(sg.epochs_df(spark, {("s", "e", "A"): x}), params)
+    power = {r.WaveBand: r.FeatureValue for r in long.where("FeatureName = 'Power'").collect()}
+    freqs, psd = sg.welch(x, 100.0, 200, 200, 1.0, 30.0)
+    for name, lo, hi in (("low", 1, 3), ("wide", 3, 30)):
+        want = psd[(freqs >= lo) & (freqs < hi)].mean() / psd.sum()
+        assert power[name] == pytest.approx(want, rel=1e-9)

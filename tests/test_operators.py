@@ -15,6 +15,7 @@ from signalloom.operators import epoching, numbering, pca, quality, scaling, udf
 from signalloom.params import JobParams, load_params
 from signalloom.plans import features as ft
 from signalloom.sources import participants, recordings
+from signalloom.sources.scratch import scratch_path
 from signalloom.streaming.arrivals import read_arriving_epochs, write_arriving_features
 
 PARAMS = JobParams(sfreq=10.0, window_length=1.0, step_size=0.33, n_fft=8)
@@ -342,3 +343,20 @@ def test_arriving_epochs(spark, tmp_path):
     a = got.orderBy(*key).toPandas().FeatureValue.to_numpy()
     b = want.orderBy(*key).toPandas().FeatureValue.to_numpy()
     assert a == pytest.approx(b)
+
+
+def test_scratch_lies_in_the_shared_folder(spark):
+    shared = spark.conf.get("spark.checkpoint.dir")
+    first, second = (scratch_path(spark, "epochs") for _ in range(2))
+    assert first.startswith(f"{shared}/epochs-") and first != second
+
+
+def test_one_recording_spreads_over_blocks(spark):
+    """A recording that outweighs all others is many groups, none above the block size."""
+    params = PARAMS.replace(block_samples=100)
+    samples = sg.samples_df(spark, {("big", "A"): range(5000), ("small", "A"): range(40)})
+    groups = epoching.assign_blocks(samples, params).groupBy("SubjectID", "EpochBlock").count()
+    sizes = {(r.SubjectID, r.EpochBlock): r["count"] for r in groups.collect()}
+    assert max(sizes.values()) <= params.block_samples
+    assert sum(s == "big" for s, _ in sizes) > 50
+    assert sum(sizes.values()) < 1.2 * 5040
