@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import line_dedup, sharding
-from signalloom.llm.tables import read
+from signalloom.llm import line_dedup, packing, quality_rules, sharding
+from signalloom.llm.tables import read, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 LLM_CATALOG: dict[str, Query] = {}
@@ -19,6 +20,17 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op2_risk_controlled_rules(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "lang", "text")
+    counts = written(quality_rules.document_counts(docs), "counts")
+    judged = quality_rules.judge(counts, read(spark, sf, "labels"), "lang")
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "reject_step", "step",
+    )
+
+
 @query
 def op4_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents").select("doc_id", "text")
@@ -39,3 +51,12 @@ def op6_feistel_sharding(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    packed = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
