@@ -23,3 +23,26 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
     sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+LLM_ORACLE["op8_ngram_jaccard_join"] = f"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all({LOWER_SQL.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w
+    FROM documents),
+sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct([array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)]) END AS s
+    FROM words),
+classes AS (
+    SELECT list_sort(s) AS k, min(doc_id) AS rep, len(any_value(s)) AS n FROM sets WHERE len(s) > 0 GROUP BY k),
+grams AS (SELECT rep, n, unnest(k) AS g FROM classes),
+common AS (
+    SELECT x.rep AS a, y.rep AS b, x.n AS n, y.n AS m, count(*) AS c
+    FROM grams x JOIN grams y ON x.g = y.g AND x.rep <> y.rep GROUP BY ALL),
+links AS (SELECT a, b FROM common WHERE 100 * c >= 85 * (n + m - c)),
+reached AS (
+    SELECT rep, rep AS other FROM classes UNION
+    SELECT r.rep, l.b FROM reached r JOIN links l ON r.other = l.a),
+least AS (SELECT rep, min(other) AS component_id FROM reached GROUP BY rep)
+SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(t.component_id, s.doc_id) AS component_id
+FROM sets s LEFT JOIN classes c ON c.k = list_sort(s.s) AND len(s.s) > 0 LEFT JOIN least t USING (rep)
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import line_dedup, packing, quality_rules, sharding
+from signalloom.llm import jaccard_join, line_dedup, packing, quality_rules, sharding
 from signalloom.llm.tables import read, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,3 +60,9 @@ def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packed.select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
+
+
+@query
+def op8_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    joined = jaccard_join.join_documents(read(spark, sf, "documents"))
+    return joined.withColumnRenamed("n_grams", "n_shingles")
