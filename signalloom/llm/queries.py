@@ -8,9 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import jaccard_join, line_dedup, packing, quality_rules, sharding
+from signalloom.llm import (
+    jaccard_join,
+    language_id,
+    line_dedup,
+    packing,
+    quality_knn,
+    quality_rules,
+    sharding,
+)
 from signalloom.llm.tables import read, written
 
+# Rows whose labels no model learns from.
+HELD_OUT = "crc32(cast(doc_id AS string)) % 4 = 2"
+
 Query = Callable[[SparkSession, str], DataFrame]
 LLM_CATALOG: dict[str, Query] = {}
 
@@ -39,6 +50,16 @@ def op4_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op5_error_correcting_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs.where(f"NOT ({HELD_OUT})"))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score", "ambiguous"
+    )
+
+
 @query
 def op6_feistel_sharding(spark: SparkSession, sf: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
@@ -66,3 +87,14 @@ def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 def op8_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     joined = jaccard_join.join_documents(read(spark, sf, "documents"))
     return joined.withColumnRenamed("n_grams", "n_shingles")
+
+
+@query
+def op9_nearest_neighbour_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    labels = read(spark, sf, "labels").where(f"NOT ({HELD_OUT})")
+    scored = quality_knn.score(docs, quality_knn.train(docs, labels))
+    return scored.select(
+        "doc_id", F.expr(HELD_OUT).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+    )
