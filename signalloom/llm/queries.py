@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalloom.llm import (
+    decontaminate,
     jaccard_join,
     language_id,
     line_dedup,
@@ -98,3 +99,10 @@ def op9_nearest_neighbour_quality(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", F.expr(HELD_OUT).alias("held_out"), "score",
         F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
     )
+
+
+@query
+def op10_seeded_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    copies = decontaminate.contaminated(docs, read(spark, sf, "benchmark"))
+    return copies.select("doc_id", "item_id", "score", "n_seeds", "begin", "end")
