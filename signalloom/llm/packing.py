@@ -10,12 +10,14 @@ are numbered within their length and look their place up.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -26,35 +28,84 @@ CAPACITY = 4096
 END_ID = 1
 # Each length is numbered in so many parts: no length is one task's work.
 PARTS = 1024
-# Words whose ids are remembered by a worker, and the longest word kept.
-REMEMBERED, LONGEST = 400_000, 64
+# Words whose ids a worker remembers (twice as many at most), and the longest word kept.
+REMEMBERED, LONGEST = 300_000, 64
+# Text that is encoded at once.
+BLOCK = 4 << 20
+# A word that ends in ASCII letters and then punctuation.
+ENDED = re.compile(rb"(.*[A-Za-z])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
 
 
-class WordIds(dict):
-    """Words (bytes) to their ids as little-endian 32-bit integers, worked out when first met."""
+class WordIds:
+    """Words (bytes) to their ids as little-endian 32-bit integers, learned block by block.
 
-    def __init__(self, tokenizer: Tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids
-        packed = np.asarray(ids, dtype="<u4").tobytes()
-        if len(word) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = packed
-        return packed
-
-
-def encode(text: str | None, words: WordIds, end_id: int | None = END_ID) -> bytes:
-    """The ids of a text and the closing one.
-
-    The tokenizer must drop blanks and never join what stands on both sides of one; then
-    words can be encoded on their own.
+    The tokenizer must drop blanks, never join what stands on both sides of one, and part
+    letters from punctuation; words, and their punctuated ends, can then be encoded on
+    their own. Where A-Z means the same as a-z to it (``folded``), words are lower-cased.
+    Two generations of words are remembered, so memory is bounded and frequent words stay.
     """
-    packed = b"".join(map(words.__getitem__, (text or "").encode("utf-8").split()))
-    return packed if end_id is None else packed + int(end_id).to_bytes(4, "little")
+
+    def __init__(self, vocabulary: str):
+        self.vocabulary = vocabulary
+        self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.folded = self._encode([b"Aa Zz"]) == self._encode([b"aa zz"])
+        self.ids: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        texts = [w.decode("utf-8") for w in words]
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in encoded]
+
+    def split(self, text: str | None) -> list[bytes]:
+        data = (text or "").encode("utf-8")
+        # Special tokens are found before anything is lower-cased.
+        return (data.lower() if self.folded and b"<|" not in data else data).split()
+
+    def learn(self, words: set[bytes]) -> None:
+        """Know all of ``words``."""
+        if len(self.ids) > REMEMBERED:
+            self.older, self.ids = self.ids, {}
+        new = words.difference(self.ids)
+        for word in new.intersection(self.older):
+            self.ids[word] = self.older[word]
+        new = new.difference(self.ids)
+        # A word's punctuated end is encoded apart, which leaves far fewer words.
+        ends = {w: (m[1], m[2]) for w in new if b"<|" not in w and (m := ENDED.fullmatch(w))}
+        parts = new.difference(ends).union(*ends.values()).difference(self.ids)
+        stems = sorted(parts)
+        self.ids.update(zip(stems, self._encode(stems), strict=True))
+        for word, (stem, end) in ends.items():
+            self.ids[word] = self.ids[stem] + self.ids[end]
+
+    def encode(self, texts: list[str | None], end_id: int = END_ID) -> list[bytes]:
+        """The ids of each text and the closing one."""
+        split = [self.split(text) for text in texts]
+        self.learn(set().union(*split))
+        closing = int(end_id).to_bytes(4, "little")
+        out = [b"".join(map(self.ids.__getitem__, words)) + closing for words in split]
+        for word in {w for words in split if len(words) < 1000 for w in words if len(w) > LONGEST}:
+            del self.ids[word]
+        return out
+
+
+_KNOWN: list[WordIds] = []
+
+
+def word_ids(vocabulary: str) -> WordIds:
+    """The worker's words for a vocabulary; later tasks of the worker go on with them."""
+    if not _KNOWN or _KNOWN[0].vocabulary != vocabulary:
+        _KNOWN[:] = [WordIds(vocabulary)]
+    return _KNOWN[0]
+
+
+def small(batches: Iterator[pa.RecordBatch], size: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes of text (one row at least)."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff(np.cumsum(lengths) // size)) + 1
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            yield batch.slice(a, b - a)
 
 
 def token_pieces(
@@ -71,14 +122,11 @@ def token_pieces(
         vocabulary = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(Tokenizer.from_str(vocabulary.value))
-        for batch in batches:
+        words = word_ids(vocabulary.value)
+        for batch in small(batches):
             rows: list[list] = [[], [], [], [], [], [], []]
-            for doc_id, row_hash, text in zip(
-                *[batch.column(c).to_pylist() for c in ("doc_id", "row_hash")],
-                (x.as_py() for x in batch.column("text")), strict=True,
-            ):
-                ids = encode(text, words, end_id)
+            doc_ids, hashes, texts = (batch.column(c).to_pylist() for c in ("doc_id", "row_hash", "text"))
+            for doc_id, row_hash, ids in zip(doc_ids, hashes, words.encode(texts, end_id), strict=True):
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     values = (doc_id, row_hash, piece, at // 4, len(part) // 4, zlib.crc32(part))

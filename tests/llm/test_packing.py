@@ -61,12 +61,24 @@ def test_plan_is_bounded_by_the_capacity():
 
 def test_words_encode_like_whole_texts(documents, odd_rows):
     tokenizer = Tokenizer.from_file(PATH)
-    words = packing.WordIds(tokenizer)
     texts = [r["text"] for r in documents.collect()] + [r[1] or "" for r in odd_rows]
-    texts += ["it's  don't\tI'll", "á e ́x", "<|endoftext|> a<|startoftext|>b", "1234 5x6", "\x1c\x85 wide"]
-    for text in texts:
-        whole = tokenizer.encode(text, add_special_tokens=False).ids + [1]
-        assert np.frombuffer(packing.encode(text, words), "<u4").tolist() == whole
+    texts += ["it's  don't\tI'll rock'n'roll.", "á e ́x", "<|endoftext|> a<|startoftext|>b", "1234 5x6", "\x1c\x85 wide"]
+    texts += ["<|ENDOFTEXT|> A,b.c... x!'s d'.e 'f' (g) h-i--", "ÉTÉ, ŒUVRE. İstanbul. ΣΑΣ. a…, “b”.", "a\u0301. K\u212a. ﬁ."]
+    words = packing.WordIds(tokenizer.to_str())
+    words.learn({b"x"})
+    for block in (texts, texts[::-1]):
+        for text, got in zip(block, words.encode(block), strict=True):
+            whole = tokenizer.encode(text, add_special_tokens=False).ids + [1]
+            assert np.frombuffer(got, "<u4").tolist() == whole
+    assert max(map(len, words.ids)) <= packing.LONGEST
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 10)
+    words = packing.WordIds(Tokenizer.from_file(PATH).to_str())
+    for i in range(30):
+        words.encode([f"common word{chr(97 + i % 26)} other{chr(97 + i // 2)}."])
+    assert len(words.ids) + len(words.older) < 40 and b"common" in words.ids
 
 
 def check_packed(rows, docs, capacity=4096):
