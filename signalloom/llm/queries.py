@@ -12,8 +12,10 @@ from signalloom.llm import (
     decontaminate,
     jaccard_join,
     language_id,
+    license_rules,
     line_dedup,
     packing,
+    pseudonyms,
     quality_knn,
     quality_rules,
     sharding,
@@ -32,6 +34,15 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_feistel_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs).select(
+        "doc_id", "text", F.size("found").alias("n_values"),
+        F.expr("array_join(array_sort(array_distinct(found.kind)), ',')").alias("kinds"),
+    )
+
+
 @query
 def op2_risk_controlled_rules(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents").select("doc_id", "lang", "text")
@@ -43,6 +54,17 @@ def op2_risk_controlled_rules(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op3_sentence_rule_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    return license_rules.recognise(docs).select(
+        "doc_id",
+        F.array_join("licenses", ",").alias("licenses"),
+        F.array_join("sentence_ids.id", ",").alias("sentence_ids"),
+        F.size("sentence_ids").alias("n_known"),
+    )
+
+
 @query
 def op4_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents").select("doc_id", "text")
