@@ -174,7 +174,7 @@ def recognise(
             regexp_replace(lower(coalesce(text, '')), {_literal(_MARKS)}, ' '), {_literal(_END)}, -1),
         (s, i) -> CASE WHEN length(s) < {min(map(len, table))} THEN array() ELSE
             transform(array_distinct(concat(array(s), split(s, '\\n'))),
-                p -> named_struct('at', i, 'id', {look_up.format('p')})) END)),
+                p -> named_struct('at', i, 'id', {look_up.format('p')})) END))),
         f -> f.id IS NOT NULL)"""
     steps = ", ".join(
         f"named_struct('name', {_literal(name)}, 'pattern', {_literal(rule_pattern(ids))})"

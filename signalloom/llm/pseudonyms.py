@@ -62,10 +62,9 @@ _DIGITS = "regexp_replace({m}, '[^0-9]', '')"
 
 def _luhn(digits: str) -> str:
     """SQL of the Luhn sum of a digit string, the last digit being the check digit."""
+    digit = f"cast(substr({digits}, length({digits}) + 1 - i, 1) AS int)"
     return f"""aggregate(sequence(1, length({digits})), 0, (s, i) -> s +
-        CASE WHEN i % 2 = 1 THEN cast(substr({digits}, length({digits}) + 1 - i, 1) AS int)
-        ELSE (cast(substr({digits}, length({digits}) + 1 - i, 1) AS int) * 2 - 1) % 9 + 1
-            - CASE WHEN substr({digits}, length({digits}) + 1 - i, 1) = '0' THEN 9 ELSE 0 END END)"""
+        CASE WHEN i % 2 = 1 THEN {digit} ELSE cast({digit} * 2 div 10 AS int) + {digit} * 2 % 10 END)"""
 
 
 def _mod97(text: str) -> str:
