@@ -1,20 +1,68 @@
-"""Documents through the text operators, stage by stage."""
+"""Documents through the text operators, stage by stage, to packed training sequences.
+
+Each stage takes what its predecessor kept, as a written table. All but the last return
+the columns of ``documents``; the last one returns the pieces of the packed sequences.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from signalloom.llm import line_dedup
+from signalloom.llm import decontaminate, jaccard_join, language_id, line_dedup, packing
 from signalloom.llm.tables import read, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+# A language this unsure is no better than a guess.
+LEAST_SCORE = 0.5
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; without a letter, or undecided, they go."""
+    model = language_id.train(docs.select("doc_id", "text", "lang"))
+    found = language_id.identify(docs.select(*COLUMNS), model)
+    return found.where(
+        (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    ).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(docs).select(*COLUMNS)
+    """Lines that a document with a smaller id holds too are cut out; n_chars follows."""
+    kept = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays, once."""
+    linked = jaccard_join.join_documents(docs)
+    first = linked.where("doc_id = component_id").select("doc_id").distinct()
+    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *COLUMNS[1:])
+    kept = docs.select(*COLUMNS).join(first, "doc_id", "left_semi")
+    kept = kept.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").drop("_nth")
+    return kept.unionByName(docs.where("doc_id IS NULL").select(*COLUMNS)).select(*COLUMNS)
+
+
+def benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, copied or edited, go."""
+    benchmark = read(spark, sf_dir, "benchmark")
+    return decontaminate.drop_contaminated(docs.select(*COLUMNS), benchmark).select(*COLUMNS)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences."""
+    packed = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-STAGES = [("line dedup", lines)]
+STAGES = [
+    ("language ID", languages),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", benchmark_copies),
+    ("best-fit packing", sequences),
+]
+# Trained models, alignment and a tokenizer are beyond SQL; tests check each stage.
 ORACLE_SQL = None
 
 

@@ -27,7 +27,7 @@ SIZES = (2, 3, 4)
 BUCKETS = 1 << 16
 # Labelled rows learned from, per language at most (about; see ``training_rows``).
 SAMPLE = 3000
-# Rows per language of the sample that set the scale of the scores.
+# Added to every n-gram's count; and the score below which a text is flagged.
 SMOOTHING = 0.5
 AMBIGUOUS = 0.7
 
@@ -41,7 +41,7 @@ _FOLD[65:91] = np.arange(97, 123)
 def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, bucket) of all n-grams of a block; rows begin and end with a blank.
 
-    N-grams of two blanks in a row are left out, so runs of blanks and marks count as one.
+    N-grams with two blanks in a row are left out, so runs of blanks and marks add nothing.
     """
     n = len(offsets) - 1
     place = np.arange(len(data)) + 1 + 2 * np.repeat(np.arange(n), np.diff(offsets))
@@ -87,7 +87,7 @@ def codewords(k: int, seed: int = 7) -> np.ndarray:
     rng, best, distance = np.random.default_rng(seed), None, -1
     for _ in range(200):
         code = rng.choice((-1, 1), size=(k, 2 * math.ceil(5 * math.log2(k))))
-        code = code[:, np.abs(code.sum(0)) < k]
+        code = np.unique(code[:, np.abs(code.sum(0)) < k] * code[:1, np.abs(code.sum(0)) < k], axis=1)
         agree = code @ code.T
         apart = (code.shape[1] - agree[~np.eye(k, dtype=bool)].max()) // 2
         if apart > distance:
@@ -100,7 +100,6 @@ class Model:
     languages: list[str]
     code: np.ndarray  # languages x bits
     weights: np.ndarray  # buckets x bits: how much an n-gram speaks for the bit
-    scale: float
 
     def losses(self, margins: np.ndarray) -> np.ndarray:
         """texts x languages: each bit's logistic loss, weighted by the bit's certainty."""
@@ -125,7 +124,7 @@ class Model:
         for bit in range(out.shape[1]):
             out[:, bit] = np.bincount(rows, self.weights[bit][buckets], minlength=n)
         count = np.bincount(rows, minlength=n)
-        return self.scale * out / np.sqrt(np.maximum(count, 1))[:, None]
+        return out / np.sqrt(np.maximum(count, 1))[:, None]
 
 
 def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -183,7 +182,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     weights = np.array([
         np.log(shares[column > 0].mean(0)) - np.log(shares[column < 0].mean(0)) for column in code.T
     ]).reshape(code.shape[1], BUCKETS)
-    return Model(languages, code, weights.astype(np.float32), 1.0)
+    return Model(languages, code, weights.astype(np.float32))
 
 
 def identify(docs: DataFrame, model: Model, ambiguous: float = AMBIGUOUS) -> DataFrame:
