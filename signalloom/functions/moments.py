@@ -58,7 +58,7 @@ def feature_stages(detrended: bool, shape: bool = False) -> list[dict[str, str]]
     if detrended:
         # Differences do not depend on the line: it only shifts their mean.
         left = f"(_raw - {SLOPE} * sj / n)"
-        second = {"Variance": _flattened(left, "s2 / n"), "Mean": "0D"}
+        second = {"Variance": _flattened(left, "s2 / n"), "Mean": "0D * s1"}
     else:
         second = {"Variance": "_raw", "Mean": "x0 + s1 / n"}
     third = {

@@ -118,18 +118,28 @@ def pane_sums(samples: DataFrame, params: JobParams, bins: Bins | None) -> DataF
         "j",
         "value",
         "_pane",
-        # Sums are taken relative to one value of the block to keep squares small.
-        F.first(F.expr("if(isnan(value), NULL, value)"), ignorenulls=True)
-        .over(in_order)
-        .alias("_level"),
+        F.lag("_pane", 1).over(in_order).alias("_before"),
         F.when(F.lead("j", 1).over(in_order) == F.col("j") + 1, F.lead("value", 1).over(in_order))
         .alias("_x1"),
         F.when(F.lead("j", 2).over(in_order) == F.col("j") + 2, F.lead("value", 2).over(in_order))
         .alias("_x2"),
     )
+    # Sums are taken relative to the pane's first sample, which keeps squares small
+    # however far the signal drifts; the same order serves both windows.
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begins = "_before IS NULL OR _before <> _pane"
+    rows = rows.selectExpr(
+        "*",
+        f"if({begins}, j, NULL) AS _begin",
+        f"if(({begins}) AND NOT isnan(value), value, NULL) AS _begun",
+    ).withColumns({
+        "_begin": F.last("_begin", ignorenulls=True).over(so_far),
+        "_level": F.last("_begun", ignorenulls=True).over(so_far),
+    })
     rows = rows.selectExpr(
         *channel,
         "j",
+        "coalesce(j - _begin, 0L) AS _k",
         "coalesce(_level, 0D) AS _level",
         "value - coalesce(_level, 0D) AS _d",
         "_x1 - value AS _dx",
@@ -142,7 +152,7 @@ def pane_sums(samples: DataFrame, params: JobParams, bins: Bins | None) -> DataF
         "n": "count(_d)",
         "s1": "sum(_d)",
         "s2": "sum(_d * _d)",
-        "sj": "sum(j * _d)",
+        "sj": "sum(_k * _d)",
         "dx1": "sum(_dx)",
         "dx2": "sum(_dx * _dx)",
         "ddx1": "sum(_ddx)",
@@ -159,6 +169,26 @@ def pane_sums(samples: DataFrame, params: JobParams, bins: Bins | None) -> DataF
     )
 
 
+def _moved_waves(waves: list[str], bins: Bins | None) -> list[str]:
+    """A pane's transforms after its level was raised by ``_up``.
+
+    The transform of a constant over consecutive samples is a ratio of sines, turned to
+    the middle of the pane.
+    """
+    out = []
+    for name in waves:
+        k = bins.ks[0] - 1 + int(name[2:])
+        turn = math.pi * k / bins.n
+        if k % bins.n == 0:
+            moved = "n" if name[:2] == "re" else "0D"
+        else:
+            wave = "cos" if name[:2] == "re" else "sin"
+            middle = f"{math.pi / bins.n!r}D * pmod((2 * j0 + n - 1) * {k}L, {2 * bins.n}L)"
+            moved = f"sin({turn!r}D * n) / {math.sin(turn)!r}D * {wave}({middle})"
+        out.append(f"{name} + _up * {moved} AS {name}")
+    return out
+
+
 def sliding_stats(
     samples: DataFrame,
     recordings: DataFrame,
@@ -179,13 +209,22 @@ def sliding_stats(
         .selectExpr("*", f"j0 - {_start('i', params)} AS _at")
     )
     epoch = [*BLOCK, "Electrode", "i"]
+    # An epoch begins with a pane, whose level is the epoch's first sample: panes are
+    # moved to that level, so what is squared never exceeds the epoch's own range.
+    in_epoch = Window.partitionBy(*epoch).orderBy("j0")
+    placed = placed.withColumn("_x0", F.first("x0").over(in_epoch)).selectExpr(
+        *[c for c in placed.columns if c not in ("x0", *waves)],
+        "_x0 AS x0",
+        "x0 - _x0 AS _up",
+        *_moved_waves(waves, bins),
+    )
     terms = {
         "x0": "max(x0)",
         "n": "sum(n)",
-        "s1": "sum(s1)",
-        "s2": "sum(s2)",
-        # From the recording's start to the middle of the epoch, pane by pane.
-        "sj": f"sum(sj - (j0 - _at + {(n - 1) / 2}D) * s1)",
+        "s1": "sum(s1 + n * _up)",
+        "s2": "sum(s2 + _up * (2 * s1 + n * _up))",
+        # From the pane's start to the middle of the epoch.
+        "sj": f"sum(sj + _up * n * (n - 1) / 2D + (_at - {(n - 1) / 2}D) * (s1 + n * _up))",
         "dx1": f"sum(if(_at < {n - 1}, dx1, NULL))",
         "dx2": f"sum(if(_at < {n - 1}, dx2, NULL))",
         "ddx1": f"sum(if(_at < {n - 2}, ddx1, NULL))",

@@ -6,7 +6,7 @@ import signals as sg
 from pyspark.sql import functions as F
 
 from signalloom.functions import spectral
-from signalloom.operators import epoching, quality
+from signalloom.operators import epoching, quality, sliding
 from signalloom.operators.channel_stats import channel_stats
 from signalloom.params import EXTENDED_BANDS, Band, JobParams
 from signalloom.plans import features as ft
@@ -137,6 +137,44 @@ def test_gaps_cost_only_the_epochs_that_touch_them(spark):
     } - want.keys()
 
 
+DRIFTS = {
+    ("ramp", "A"): lambda rng, n: 5.0 * np.arange(n) + 0.01 * rng.normal(size=n),
+    ("fall", "A"): lambda rng, n: 1e6 - 3.0 * np.arange(n) + 0.01 * rng.normal(size=n),
+    ("offset", "A"): lambda rng, n: 1e7 + rng.normal(size=n),
+    ("walk", "A"): lambda rng, n: np.cumsum(rng.normal(size=n) * 20),
+    ("growth", "A"): lambda rng, n: np.exp(np.arange(n) / n * 12) + rng.normal(size=n),
+}
+
+
+@pytest.mark.parametrize("detrend", [True, False])
+@pytest.mark.parametrize("bins_wanted", [True, False])
+def test_drifting_signals_agree_on_both_routes(spark, monkeypatch, detrend, bins_wanted):
+    """Panes, slices and numpy give the same values however far a signal drifts."""
+    params = PARAMS.replace(detrend=detrend, block_samples=1500)
+    n = 5000
+    recordings = {k: make(np.random.default_rng(9), n) for k, make in DRIFTS.items()}
+    samples = sg.samples_df(spark, recordings)
+    bins = spectral.welch_bins(params) if bins_wanted else None
+    found = {}
+    for route in (True, False):
+        monkeypatch.setattr(sliding, "pays_off", lambda p, b, route=route: route)
+        stats = ft.recording_stats(samples, describe_recordings(samples, params), params, bins=bins)
+        found[route] = {(r.SubjectID, r.EpochID): r for r in stats.collect()}
+    starts = sg.starts(n, params)
+    assert found[True].keys() == found[False].keys()
+    assert len(found[True]) == len(DRIFTS) * len(starts)
+    for (subject, channel), x in recordings.items():
+        for i, start in enumerate(starts):
+            part = x[start : start + params.n_times]
+            want = sg.features(sg.line_removed(part - part[0]) if detrend else part)
+            a, b = (found[route][subject, f"ep-{i}"] for route in (True, False))
+            for name in ft.ELECTRODE_FEATURES:
+                assert a[name] == pytest.approx(b[name], rel=1e-6, abs=1e-9), (subject, i, name)
+                assert a[name] == pytest.approx(want[name], rel=1e-4, abs=1e-7), (subject, i, name)
+            if bins_wanted:
+                assert a.psd == pytest.approx(b.psd, rel=1e-5, abs=1e-9)
+
+
 def test_missing_value_rejects_and_nan_propagates(spark):
     x = list(recording(130, 6))
     with_null = dict(enumerate(x)) | {60: None}
@@ -147,6 +185,8 @@ def test_missing_value_rejects_and_nan_propagates(spark):
     assert {r.SubjectID for r in long.select("SubjectID").distinct().collect()} == {"nan"}
     stds = long.where("FeatureName = 'Std'").collect()
     assert stds and all(np.isnan(r.FeatureValue) for r in stds)
+    means = long.where("FeatureName = 'Mean'").collect()
+    assert means and all(np.isnan(r.FeatureValue) for r in means)
 
 
 def test_flat_and_ramp_signals_have_no_hjorth(spark):
