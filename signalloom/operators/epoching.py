@@ -162,11 +162,26 @@ def collect_blocks(samples: DataFrame, params: JobParams) -> DataFrame:
             # Taken out here, once per block, and not again for every epoch.
             "buf.value AS run",
             "buf[0].j AS j0",
-            "element_at(buf, -1).j AS j1",
+            f"{_STRETCHES} AS stretches",
         )
     )
 
 
+# Where a stretch of consecutive samples begins, as places in the block: one look at each
+# sample, once per block. Then the stretches' first indices and lengths.
+_BREAKS = """filter(sequence(0, size(buf) - 1),
+    p -> p = 0 OR get(buf, p).j - get(buf, p - 1).j > 1)"""
+_STRETCHES = f"""if(element_at(buf, -1).j - buf[0].j + 1 = size(buf),
+    array(named_struct('j', buf[0].j, 'n', cast(size(buf) AS bigint))),
+    flatten(transform(array({_BREAKS}), breaks -> transform(breaks, (p, q) -> named_struct(
+        'j', get(buf, p).j, 'n', cast(coalesce(get(breaks, q + 1), size(buf)) - p AS bigint))))))"""
+
+
+def _place(j: str) -> str:
+    """SQL of how many of the block's samples lie before index ``j``."""
+    return f"aggregate(stretches, 0L, (s, x) -> s + greatest(0L, least({j} - x.j, x.n)))"
+
+
 def slice_epochs(
     samples: DataFrame,
     recordings: DataFrame,
@@ -183,7 +198,7 @@ def slice_epochs(
     n = params.n_times
     blocks = collect_blocks(samples, params)
     keys = ["SubjectID", "EpochBlock"]
-    carried = [*keys, "Electrode", "buf", "run", "j0", "j1"]
+    carried = [*keys, "Electrode", "run", "j0", "stretches"]
     if kept is None:
         placed = blocks.join(block_grid(recordings, params), keys).selectExpr(
             *carried, "explode(sequence(first, last)) AS i"
@@ -196,12 +211,15 @@ def slice_epochs(
         placed = blocks.join(block_epochs(kept, params), keys).selectExpr(
             *carried, "inline(epochs)"
         )
-    # Without gaps a sample's place follows from its index; otherwise look it up.
+    # Without gaps a sample's place follows from its index; otherwise from the stretches
+    # before it, of which there are as many as gaps in the block.
     by_place = f"slice(run, cast(start - j0 + 1 AS int), {n})"
-    by_index = f"filter(buf, s -> s.j >= start AND s.j < start + {n}).value"
-    whole = f"size(buf) = j1 - j0 + 1 AND start >= j0 AND start + {n - 1} <= j1"
+    until = _place(f"start + {n}")
+    by_stretch = f"""slice(run, cast({_place('start')} + 1 AS int),
+        cast({until} - {_place('start')} AS int))"""
+    whole = f"size(stretches) = 1 AND start >= j0 AND start + {n} <= j0 + size(run)"
     return placed.selectExpr(
-        *keys, "EpochID", "Electrode", f"if({whole}, {by_place}, {by_index}) AS signal"
+        *keys, "EpochID", "Electrode", f"if({whole}, {by_place}, {by_stretch}) AS signal"
     )
 
 

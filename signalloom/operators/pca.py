@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -46,6 +47,13 @@ class FittedPca:
     k: int
     columns: tuple[str, ...]
 
+    @property
+    def signs(self) -> list[float]:
+        """What turns each component so that its largest loading is positive."""
+        loadings = self.model.pc.toArray()
+        largest = np.abs(loadings).argmax(axis=0)
+        return [1.0 if v >= 0 else -1.0 for v in loadings[largest, range(loadings.shape[1])]]
+
     @property
     def explained(self) -> list[float]:
         return [float(v) for v in self.model.explainedVariance]
@@ -80,7 +88,8 @@ def fit_pca_model(
 def apply_pca_model(df: DataFrame, fitted: FittedPca, handle_invalid: str = "error") -> DataFrame:
     """Project (without centring) and keep ids, integer label and ``k`` components."""
     projected = fitted.model.transform(_assemble(df, fitted.columns, "_features", handle_invalid))
-    kept = F.slice(vector_to_array("_pca"), 1, fitted.k)
+    signs = F.array(*[F.lit(v) for v in fitted.signs[: fitted.k]])
+    kept = F.zip_with(F.slice(vector_to_array("_pca"), 1, fitted.k), signs, lambda x, y: x * y)
     return projected.select(
         "SubjectID",
         "EpochID",
@@ -93,17 +102,16 @@ def min_max_normalize_post_pca_by_subject(
     df: DataFrame, k: int, feature_col: str = "features", id_col: str = "SubjectID"
 ) -> DataFrame:
     """Scale every component to [0, 1] within each subject; ``k`` is the fitted number."""
-    parts = df.withColumn("_a", vector_to_array(feature_col))
-    stats = parts.groupBy(id_col).agg(
-        *[F.min(F.get("_a", F.lit(i))).alias(f"_lo{i}") for i in range(k)],
-        *[F.max(F.get("_a", F.lit(i))).alias(f"_hi{i}") for i in range(k)],
+    parts = df.withColumn("_a", F.slice(vector_to_array(feature_col), 1, k))
+    # Long form for the statistics: one short plan, however many components there are.
+    ranges = (
+        parts.select(id_col, F.posexplode("_a").alias("_p", "_x"))
+        .groupBy(id_col, "_p").agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
+        .groupBy(id_col)
+        .agg(F.array_sort(F.collect_list(F.struct("_p", "lo", "hi"))).alias("_ranges"))
     )
-    scaled = [
-        (F.get("_a", F.lit(i)) - F.col(f"_lo{i}")) / safe_range(F.col(f"_lo{i}"), F.col(f"_hi{i}"))
-        for i in range(k)
-    ]
+    scaled = F.zip_with("_a", "_ranges", lambda x, r: (x - r["lo"]) / safe_range(r["lo"], r["hi"]))
     out = [
-        array_to_vector(F.array(*scaled)).alias(c) if c == feature_col else F.col(c)
-        for c in df.columns
+        array_to_vector(scaled).alias(c) if c == feature_col else F.col(c) for c in df.columns
     ]
-    return parts.join(stats, id_col, "left").select(*out)
+    return parts.join(ranges, id_col, "left").select(*out)

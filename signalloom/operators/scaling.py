@@ -1,8 +1,9 @@
 """Feature-table scalers. Statistics come from the training side only where there is one.
 
 Whole-table statistics enter as a scalar subquery: one row by construction,
-evaluated inside the plan, nothing collected by the driver. Per-subject and
-per-key statistics are ordinary joins without hints, so Spark broadcasts them
+evaluated inside the plan, nothing collected by the driver. So do statistics per
+column name and per channel and band: a map, whose number of keys is checked.
+Per-subject statistics are ordinary joins without hints, so Spark broadcasts them
 only when they are measured to be small and splits skewed keys otherwise.
 Deviations are sample ones.
 """
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 
 IDS = ("SubjectID", "EpochID", "label")
 
+# Column names, and pairs of channel and band: the most that statistics are kept for.
+MAX_STATISTICS = 100_000
+
 
 def quoted(name: str) -> Column:
     """Column reference for names holding dots or dashes, as pivoted ones may."""
@@ -125,11 +129,33 @@ def fill_cells(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def normalize_melted(train_long: DataFrame, long: DataFrame) -> DataFrame:
     """Z-score long rows with the training statistics of their column name."""
-    stats = train_long.groupBy("pivot").agg(
-        F.avg("value").alias("mean_val"), F.stddev_samp("value").alias("std_val")
+    scaled = _by_key(long, train_long, F.col("pivot"), F.col("value"))
+    return scaled.withColumn("norm_value", F.col("_scaled")).drop("_scaled")
+
+
+def _by_key(df: DataFrame, train: DataFrame, key: Column, value: Column) -> DataFrame:
+    """``df`` with ``_scaled``, the z-score by the training statistics of the row's key.
+
+    Rows whose key the training side lacks vanish. No row of ``df`` is shuffled.
+    """
+    per_key = train.where(key.isNotNull()).groupBy(key.alias("_key")).agg(
+        F.struct(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std")).alias("_of")
+    )
+    found = per_key.agg(F.collect_list(F.struct("_key", "_of")).alias("_all")).select(
+        F.when(F.size("_all") <= MAX_STATISTICS, F.map_from_entries("_all")).otherwise(
+            F.raise_error(F.lit("too many columns, or channels and bands, to scale")).cast(
+                f"map<{per_key.schema['_key'].dataType.simpleString()},"
+                f"{per_key.schema['_of'].dataType.simpleString()}>"
+            )
+        ).alias("_stats")
     )
-    return long.join(stats, "pivot").withColumn(
-        "norm_value", (F.col("value") - F.col("mean_val")) / safe_deviation(F.col("std_val"))
+    scaled = (value - F.col("_own.mean")) / safe_deviation(F.col("_own.std"))
+    return (
+        df.withColumn("_stats", found.scalar())
+        .withColumn("_own", F.try_element_at("_stats", key))
+        .where("_own IS NOT NULL")
+        .withColumn("_scaled", scaled)
+        .drop("_stats", "_own")
     )
 
 
@@ -165,13 +191,12 @@ def normalize_power(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataF
     Keys the training side lacks vanish from the test side. ``Power`` is taken in
     single precision.
     """
-    stats = train.groupBy("Electrode", "WaveBand").agg(
-        F.avg(_as_float("Power")).alias("_mean"), F.stddev_samp(_as_float("Power")).alias("_std")
+    key = F.when(
+        F.col("Electrode").isNotNull() & F.col("WaveBand").isNotNull(), F.struct("Electrode", "WaveBand")
     )
 
     def scale(df: DataFrame) -> DataFrame:
-        power = (_as_float("Power") - F.col("_mean")) / safe_deviation(F.col("_std"))
-        joined = df.join(stats, ["Electrode", "WaveBand"])
-        return _replace(joined, {"Power": power}, drop=["_mean", "_std"])
+        scaled = _by_key(df, train, key, _as_float("Power"))
+        return _replace(scaled, {"Power": F.col("_scaled")}, drop=["_scaled"])
 
     return scale(train), scale(test)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signalloom.functions import spectral
@@ -26,8 +27,8 @@ CATALOG: dict[str, Query] = {}
 # Decimal places kept for results: fine for shares and ratios, coarser for what is
 # measured in prices.
 FINE, COARSE = 6, 3
-# Added before rounding where results can lie exactly between two rounded values.
-NUDGE = 3e-7
+# Residuals of prices from a line over 33 samples are whole multiples of 1/8976 cent.
+RESIDUAL_UNITS = 897_600
 
 
 def query(fn: Query) -> Query:
@@ -127,7 +128,7 @@ def epoch_detrend(spark, sf):
         "EpochID",
         "Electrode",
         F.col("_k").cast("long").alias("k"),
-        r(F.col("_x") + NUDGE, COARSE).alias("detrended"),
+        F.round(F.col("_x") * RESIDUAL_UNITS).cast("long").alias("detrended"),
     )
 
 
@@ -135,7 +136,7 @@ def epoch_detrend(spark, sf):
 def epoch_detrend_long(spark, sf):
     long = epoching.detrend_long(epoching.epoch_samples(*_line(spark, sf), ds.LINE_PARAMS))
     return long.select(
-        "SubjectID", "EpochID", "Electrode", "k", r(F.col("detrended") + NUDGE, COARSE).alias("detrended")
+        "SubjectID", "EpochID", "Electrode", "k", F.round(F.col("detrended") * RESIDUAL_UNITS).cast("long").alias("detrended")
     )
 
 
@@ -314,6 +315,12 @@ def spectral_summary(spark, sf):
     return rounded(ft.spectral_summary(stats), figures)
 
 
+@query
+def band_entropy(spark, sf):
+    stats, bins = _line_spectra(spark, sf)
+    return rounded(ft.band_entropy(stats, bins, ds.LINE_PARAMS), {"SpectralEntropy": FINE})
+
+
 @query
 def spectral_summary_vectors(spark, sf):
     bins = spectral.welch_bins(ds.VECTOR_PARAMS)
@@ -367,15 +374,16 @@ def shape_stats(spark, sf):
 
 @query
 def epoch_level_features(spark, sf):
-    return rounded(ft.epoch_level_features(_line_stats(spark, sf)), {"FeatureValue": 2})
+    return _round_by_feature(ft.epoch_level_features(_line_stats(spark, sf)))
 
 
 # --- feature tables ----------------------------------------------------------------
 
 
 def _round_by_feature(long: DataFrame) -> DataFrame:
-    value = F.when(
-        F.col("FeatureName").isin(*PRICE), F.round("FeatureValue", COARSE)
+    name = F.col("FeatureName")
+    value = F.when(name.isin(*PRICE), F.round("FeatureValue", COARSE)).when(
+        name == "Variance", F.round("FeatureValue", 0)
     ).otherwise(F.round("FeatureValue", FINE))
     return long.withColumn("FeatureValue", value + F.lit(0.0))
 
@@ -391,6 +399,17 @@ def features_long_dense(spark, sf):
     return _round_by_feature(ft.features_long(*_line(spark, sf), ds.DENSE_PARAMS))
 
 
+@query
+def features_long_drift(spark, sf):
+    """Prices added up along each recording, so the signal drifts far from where it began."""
+    samples, recordings = _line(spark, sf)
+    channel = Window.partitionBy("SubjectID", "Electrode").orderBy("j")
+    cents = F.round(F.col("value") * 100).cast("long")
+    summed = samples.withColumn("value", F.sum(cents).over(channel) / 100)
+    params = ds.DENSE_PARAMS.replace(n_fft=16)
+    return _round_by_feature(ft.features_long(summed, recordings, params))
+
+
 @query
 def features_long_dense_rejected(spark, sf):
     return _round_by_feature(
@@ -424,6 +443,7 @@ def features_subject(spark, sf):
     known = ds.subjects(spark, sf)
     samples, recordings = _line(spark, sf)
     wanted = recordings.join(known, "SubjectID", "left_semi")
+    samples = samples.join(known, "SubjectID", "left_semi")
     return _round_by_feature(ft.features_long(samples, wanted, ds.LINE_PARAMS))
 
 
@@ -468,8 +488,9 @@ def signal_quality(spark, sf):
 
 @query
 def labelled_power(spark, sf):
-    long = ft.features_long(*_line(spark, sf), ds.LINE_PARAMS)
-    return rounded(ft.labelled_power(long, ds.subjects(spark, sf)), {"Power": FINE})
+    stats, bins = _line_spectra(spark, sf)
+    power = ft.power_rows(stats, bins, ds.LINE_PARAMS)
+    return rounded(ft.labelled_power(power, ds.subjects(spark, sf)), {"Power": FINE})
 
 
 @query
@@ -557,23 +578,24 @@ def power_zscore(spark, sf):
 
 @query
 def pivot_for_pca(spark, sf):
-    wide, cols = pca.prepare_features_for_pca(ds.power_rows(spark, sf).drop("is_test"))
-    return wide.select(*scaling.IDS, *[r(F.col(c) + NUDGE, 4).alias(c) for c in cols])
+    keys = [f"{channel}_{band}" for channel in "ANR" for band in "FO"]
+    return pca.prepare_features_for_pca(ds.power_rows(spark, sf).drop("is_test"), keys)[0]
 
 
 # --- principal components ----------------------------------------------------------
 
 
 def _fitted(spark, sf):
-    train, test, cols = ds.wide_split(spark, sf, width=64)
-    return pca.fit_pca_model(train, cols[:-1]), train.unionByName(test)
+    train, test, cols = ds.halves_split(spark, sf)
+    return pca.fit_pca_model(train, cols), train.unionByName(test)
 
 
 @query
 def pca_k(spark, sf):
     fitted, _ = _fitted(spark, sf)
     shares = [(i + 1, v, i < fitted.k) for i, v in enumerate(fitted.explained)]
-    return spark.createDataFrame(shares, "component long, explained double, kept boolean")
+    found = spark.createDataFrame(shares, "component long, explained double, kept boolean")
+    return rounded(found, {"explained": FINE})
 
 
 def _components(df: DataFrame) -> DataFrame:
@@ -586,7 +608,7 @@ def _components(df: DataFrame) -> DataFrame:
 @query
 def pca_apply(spark, sf):
     fitted, rows = _fitted(spark, sf)
-    return rounded(_components(pca.apply_pca_model(rows, fitted)), {"score": FINE})
+    return rounded(_components(pca.apply_pca_model(rows, fitted)), {"score": 5})
 
 
 @query
@@ -595,7 +617,18 @@ def pca_minmax(spark, sf):
     scaled = pca.min_max_normalize_post_pca_by_subject(
         pca.apply_pca_model(rows, fitted), fitted.k
     )
-    return rounded(_components(scaled), {"score": FINE})
+    return rounded(_components(scaled), {"score": 5})
+
+
+@query
+def pca_all_columns(spark, sf):
+    """All 64 columns and components: a row's squared scores add up to its squared values."""
+    train, test, cols = ds.wide_split(spark, sf)
+    fitted = pca.fit_pca_model(train, cols[:-1], variance_target=0.0)
+    full = dataclasses.replace(fitted, k=len(cols) - 1)
+    scores = pca.apply_pca_model(train.unionByName(test), full)
+    total = spectral.array_total(F.transform(vector_to_array("features"), lambda x: x * x))
+    return scores.select("SubjectID", "EpochID", "label", r(total, 4).alias("squares"))
 
 
 # --- user functions ----------------------------------------------------------------

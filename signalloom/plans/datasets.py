@@ -15,7 +15,6 @@ LINE_PARAMS_EXTENDED = LINE_PARAMS.replace(bands=EXTENDED_BANDS)
 DENSE_PARAMS = LINE_PARAMS.replace(step_size=0.05)
 VECTOR_PARAMS = JobParams(sfreq=64.0, window_length=63 / 64, n_fft=64, detrend=False)
 EVENT_PARAMS = JobParams(sfreq=1.0, window_length=86_400.0, step_size=28_800.0)
-EVENT_SECONDS = 31 * 86_400
 VECTOR_LENGTH = 64
 CHANNELS = ["AF", "AO", "NF", "NO", "RF", "RO"]
 
@@ -103,12 +102,9 @@ def event_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        table(spark, sf_dir, "events")
-        .select(F.col("user_id").cast("string").alias("SubjectID"))
-        .distinct()
-        .withColumn("n_samples", F.lit(EVENT_SECONDS + 1).cast("long"))
-    )
+    """One sample a second, up to the end of the subject's last mark."""
+    end = F.ceil(F.max(F.col("onset") + F.col("duration"))).cast("long") + 1
+    return event_annotations(spark, sf_dir).groupBy("SubjectID").agg(end.alias("n_samples"))
 
 
 def participants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +122,7 @@ def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wide_split(
-    spark: SparkSession, sf_dir: str, width: int = 8
+    spark: SparkSession, sf_dir: str, width: int = VECTOR_LENGTH
 ) -> tuple[DataFrame, DataFrame, list[str]]:
     """Wide features in training and test rows, with one constant column."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -174,3 +170,19 @@ def power_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def power_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = power_rows(spark, sf_dir)
     return rows.where(~F.col("is_test")).drop("is_test"), rows.where("is_test").drop("is_test")
+
+
+def halves_split(
+    spark: SparkSession, sf_dir: str
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Two columns, the sums over both halves of each vector, in training and test rows."""
+    train, test, cols = wide_split(spark, sf_dir)
+    half = VECTOR_LENGTH // 2
+
+    def halves(df: DataFrame) -> DataFrame:
+        return df.selectExpr(
+            "SubjectID", "EpochID", "label",
+            " + ".join(cols[:half]) + " AS h0", " + ".join(cols[half : 2 * half]) + " AS h1",
+        )
+
+    return halves(train), halves(test), ["h0", "h1"]

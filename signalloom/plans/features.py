@@ -219,17 +219,32 @@ def with_hjorth_index(stats: DataFrame) -> DataFrame:
     return stats.selectExpr("*", f"{moments.HJORTH_INDEX} AS HjorthIndex")
 
 
-def labelled_power(long: DataFrame, subjects: DataFrame) -> DataFrame:
+def power_rows(stats: DataFrame, bins: Bins, params: JobParams) -> DataFrame:
+    """Relative power per band as long rows, without the other features."""
+    rows = ", ".join(
+        f"named_struct('WaveBand', '{b.name}', 'Power', `Power_{b.name}`)" for b in params.bands
+    )
+    return with_band_power(stats, bins, params).selectExpr(
+        *EPOCH_KEYS, "Electrode", f"inline(array({rows}))"
+    )
+
+
+def labelled_power(power: DataFrame, subjects: DataFrame) -> DataFrame:
     """Power rows of known subjects with their class label: the scalers' and PCA's input."""
-    return (
-        long.where(F.col("FeatureName") == "Power")
-        .join(subjects, "SubjectID")
-        .select(
-            "SubjectID",
-            "EpochID",
-            group_label(F.col("Group")).alias("label"),
-            "Electrode",
-            "WaveBand",
-            F.col("FeatureValue").alias("Power"),
-        )
+    return power.join(subjects, "SubjectID").select(
+        "SubjectID", "EpochID", group_label(F.col("Group")).alias("label"), "Electrode", "WaveBand", "Power"
     )
+
+
+def band_entropy(stats: DataFrame, bins: Bins, params: JobParams) -> DataFrame:
+    """Spectral entropy inside each band, over the shares of the band's own bins.
+
+    Null for a band without bins or without power.
+    """
+    cells = []
+    for b in params.bands:
+        at = bins.within(b)
+        part = F.slice("psd", at[0] + 1, len(at)) if at else F.array().cast("array<double>")
+        entropy = F.when(F.size(part) > 0, spectral.spectral_entropy(part))
+        cells.append(F.struct(F.lit(b.name).alias("WaveBand"), entropy.alias("SpectralEntropy")))
+    return stats.select(*EPOCH_KEYS, "Electrode", F.inline(F.array(*cells)))

@@ -154,7 +154,7 @@ ORACLE["partitioned_roundtrip"] = _with(
 ORACLE["epoch_grid"] = _with([MIN], "SELECT SubjectID, i, start FROM grid")
 ORACLE["epoch_samples"] = ORACLE["epoch_slices"] = _with([MIN, LONG], "SELECT * FROM ep")
 ORACLE["epoch_detrend"] = ORACLE["epoch_detrend_long"] = _with(
-    [MIN, LONG, DETRENDED], f"SELECT {KEYS}, k, {r('x + 3e-7', 3)} AS detrended FROM vec"
+    [MIN, LONG, DETRENDED], f"SELECT {KEYS}, k, CAST(round(x * 897600) AS BIGINT) AS detrended FROM vec"
 )
 
 EVENTS = """
@@ -166,7 +166,9 @@ notes AS (
   FROM events),
 days AS (
   SELECT SubjectID, i, i * 28800 AS start
-  FROM (SELECT DISTINCT SubjectID FROM notes) CROSS JOIN (SELECT unnest(range(0, 90)) AS i)),
+  FROM (SELECT SubjectID, unnest(range(0, CAST(greatest(ceil(
+          (ceil(max(onset + duration)) - 86400) / 28800::DOUBLE), 0) AS BIGINT))) AS i
+        FROM notes GROUP BY SubjectID)),
 kept AS (
   SELECT * FROM days d WHERE NOT EXISTS (
     SELECT 1 FROM notes a WHERE a.SubjectID = d.SubjectID AND a.description = 'BAD_boundary'
@@ -242,6 +244,13 @@ ORACLE["band_power_absolute"] = _with(
 SUMMARY = f"""SELECT {KEYS}, {r("avg(q)")} AS TotalPower, {r("sum(q * q)")} AS TotalEnergy,
   {r("-sum(q * log2(q + 1e-12))")} AS SpectralEntropy FROM share GROUP BY ALL"""
 ORACLE["spectral_summary"] = _with(LINE_PSD, SUMMARY)
+ORACLE["band_entropy"] = _with(
+    [*LINE_PSD, BANDS],
+    f"""SELECT {KEYS}, WaveBand, {r("-sum(q * log2(q + 1e-12))")} AS SpectralEntropy
+    FROM (SELECT *, p / sum(p) OVER (PARTITION BY {KEYS}, WaveBand) AS q
+      FROM (SELECT {KEYS}, freq, p FROM psd) JOIN bands ON freq >= fmin AND freq < fmax)
+    GROUP BY ALL""",
+)
 VECTOR_SPECTRUM = _spectrum(64, 64, 1, 0.5, 30)
 ORACLE["spectral_summary_vectors"] = _with([VECTORS, VECTOR_SPECTRUM], SUMMARY)
 
@@ -268,7 +277,7 @@ ORACLE["shape_stats"] = _with(
     FROM (SELECT *, avg(x) OVER (PARTITION BY SubjectID, EpochID, Electrode) AS mu FROM vec)
     GROUP BY {KEYS}""",
 )
-LEVEL = ["Mean", "Std", "Variance", "RMS", "HjorthMobility"]
+LEVEL = {"Mean": 3, "Std": 3, "Variance": 0, "RMS": 3, "HjorthMobility": 6}
 ORACLE["epoch_level_features"] = _with(
     [
         *LINE_STATS,
@@ -277,9 +286,9 @@ ORACLE["epoch_level_features"] = _with(
     ],
     "\nUNION ALL ".join(
         f"""SELECT SubjectID, EpochID, CAST(NULL AS VARCHAR) AS Electrode,
-        CAST(NULL AS VARCHAR) AS WaveBand, '{c}' AS FeatureName, {r(c, 2)} AS FeatureValue,
+        CAST(NULL AS VARCHAR) AS WaveBand, '{c}' AS FeatureName, {r(c, digits)} AS FeatureValue,
         'epoch' AS table_type FROM means"""
-        for c in LEVEL
+        for c, digits in LEVEL.items()
     ),
 )
 
@@ -328,6 +337,18 @@ ORACLE["features_long_dense"] = _with([DENSE, *LINE_FEATURES[1:]], LONG_ROWS)
 ORACLE["features_long_dense_rejected"] = _with(
     [DENSE, LINE_NOTES, DETRENDED, MOMENTS, LINE_SPECTRUM, BANDS, POWER], LONG_ROWS
 )
+SUMMED = """
+summed AS (
+  SELECT SubjectID, Electrode, j, sum(CAST(round(value * 100) AS BIGINT)) OVER (
+    PARTITION BY SubjectID, Electrode ORDER BY j) / 100::DOUBLE AS value FROM samples)"""
+ORACLE["features_long_drift"] = _with(
+    [
+        DENSE, SUMMED, LONG.replace("JOIN samples", "JOIN summed"), DETRENDED, MOMENTS,
+        _spectrum(16, 16, 2, 0.5, 30), BANDS, POWER,
+    ],
+    # No bin lies in the lowest band: its power is null.
+    LONG_ROWS.replace("FROM power", f"FROM stats CROSS JOIN bands LEFT JOIN power USING ({KEYS}, WaveBand)"),
+)
 ORACLE["features_long_vectors"] = _with(
     [VECTORS, MOMENTS, VECTOR_SPECTRUM, BANDS, POWER],
     _long_rows("band", dict.fromkeys(ELECTRODE, 6)),
@@ -396,12 +417,12 @@ ORACLE["table_shape"] = _with(
 
 # --- scaling -----------------------------------------------------------------------
 
-COLS = [f"e{i}" for i in range(8)] + ["c0"]
+COLS = [f"e{i}" for i in range(64)] + ["c0"]
 WIDE = f"""
 wide AS (
   SELECT 'sub-' || lpad(CAST(label AS VARCHAR), 3, '0') AS SubjectID, 'ep-' || vec_id AS EpochID,
          label, CASE WHEN vec_id % 5 = 0 THEN 'test' ELSE 'train' END AS part,
-         {", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(8))},
+         {", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(64))},
          CAST(1 AS DOUBLE) AS c0
   FROM embeddings)"""
 
@@ -486,14 +507,54 @@ ORACLE["pivot_for_pca"] = _with(
     [POWER_ROWS],
     "SELECT SubjectID, EpochID, label, "
     + ", ".join(
-        r(
-            f"coalesce(max(CASE WHEN Electrode = '{e}' AND WaveBand = '{b}' THEN Power END), 0)"
-            " + 3e-7",
-            4,
-        )
-        + f" AS {e}_{b}"
+        f"coalesce(max(CASE WHEN Electrode = '{e}' AND WaveBand = '{b}' THEN Power END), 0)"
+        f" AS {e}_{b}"
         for e in "ANR"
         for b in "FO"
     )
     + " FROM rows GROUP BY ALL",
 )
+
+HALVES = """
+halves AS (
+  SELECT 'sub-' || lpad(CAST(label AS VARCHAR), 3, '0') AS SubjectID, 'ep-' || vec_id AS EpochID,
+         CAST(label AS INTEGER) AS label, vec_id % 5 = 0 AS is_test,
+         list_sum(CAST(embedding[1:32] AS DOUBLE[])) AS h0,
+         list_sum(CAST(embedding[33:64] AS DOUBLE[])) AS h1
+  FROM embeddings),
+cov AS (
+  SELECT var_samp(h0) AS a, var_samp(h1) AS b, covar_samp(h0, h1) AS c FROM halves WHERE NOT is_test),
+eigen AS (
+  SELECT *, (a + b) / 2 + sqrt(((a - b) / 2) ** 2 + c * c) AS l1,
+         (a + b) / 2 - sqrt(((a - b) / 2) ** 2 + c * c) AS l2 FROM cov),
+axis AS (
+  SELECT *, c / sqrt(c * c + (l1 - a) ** 2) AS u, (l1 - a) / sqrt(c * c + (l1 - a) ** 2) AS v FROM eigen),
+components AS (
+  SELECT 0 AS component, l1 / (l1 + l2) AS explained, true AS kept,
+         u * CASE WHEN abs(u) >= abs(v) THEN sign(u) ELSE sign(v) END AS x,
+         v * CASE WHEN abs(u) >= abs(v) THEN sign(u) ELSE sign(v) END AS y FROM axis
+  UNION ALL
+  SELECT 1, l2 / (l1 + l2), l1 / (l1 + l2) < 0.95,
+         -v * CASE WHEN abs(v) >= abs(u) THEN sign(-v) ELSE sign(u) END,
+         u * CASE WHEN abs(v) >= abs(u) THEN sign(-v) ELSE sign(u) END FROM axis),
+scores AS (
+  SELECT SubjectID, EpochID, label, component, h0 * x + h1 * y AS score
+  FROM halves CROSS JOIN components WHERE kept)"""
+ORACLE["pca_k"] = _with(
+    [HALVES], f"SELECT component + 1 AS component, {r('explained')} AS explained, kept FROM components"
+)
+ORACLE["pca_apply"] = _with(
+    [HALVES], f"SELECT SubjectID, EpochID, label, component, {r('score', 5)} AS score FROM scores"
+)
+ORACLE["pca_minmax"] = _with(
+    [HALVES],
+    f"""SELECT SubjectID, EpochID, label, component, {r("(score - lo) / CASE WHEN hi <> lo THEN hi - lo ELSE 1 END", 5)}
+      AS score
+    FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM scores
+      WINDOW w AS (PARTITION BY SubjectID, component))""",
+)
+ORACLE["pca_all_columns"] = f"""
+SELECT 'sub-' || lpad(CAST(label AS VARCHAR), 3, '0') AS SubjectID, 'ep-' || vec_id AS EpochID,
+  CAST(label AS INTEGER) AS label,
+  {r("list_sum([x * x for x in CAST(embedding AS DOUBLE[])])", 4)} AS squares
+FROM embeddings"""
