@@ -108,6 +108,14 @@ def welch_bins(
     return bins
 
 
+def has_bins(params: JobParams, n_times: int) -> bool:
+    """Whether a spectrum of ``n_times`` samples has a bin in the range of the bands."""
+    n = min(params.n_fft or DEFAULT_N_FFT, n_times)
+    return n > params.n_overlap and any(
+        params.fmin <= k * params.sfreq / n <= params.fmax for k in range(n // 2 + 1)
+    )
+
+
 def wave_table(spark: SparkSession, bins: Bins) -> DataFrame:
     """``(_chunk, _jj, c0 …, s0 …)``: sized by the parameters alone, checked in ``welch_bins``."""
     a0, a1 = TAPERS[bins.taper]

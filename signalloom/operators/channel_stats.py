@@ -10,6 +10,7 @@ nothing is shuffled at all.
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -25,13 +26,18 @@ def channel_stats(
     bins: Bins | None = None,
     detrended: bool = False,
     shape: bool = False,
+    varying: bool = False,
 ) -> DataFrame:
     """Features per (keys, Electrode), plus the absolute spectrum ``psd`` if ``bins`` are given.
 
     ``detrended`` gives the features of the signal minus its least-squares line
     without computing that signal. Shape features need the real samples, so
-    apply ``epoching.detrend`` first if both are wanted.
+    apply ``epoching.detrend`` first if both are wanted. ``varying`` takes as many
+    spectral segments as fit into each signal (one at least must) instead of
+    ``bins.segments``; that is for signals that aren't to be detrended here.
     """
+    if varying and detrended:
+        raise ValueError("detrending here needs signals of one length")
     if shape and detrended:
         raise ValueError("shape features need a signal that is already detrended")
     keys = [*keys, "Electrode"]
@@ -40,7 +46,7 @@ def channel_stats(
     if bins is None:
         sums = rows.groupBy(*keys).agg(*_sums(terms))
     else:
-        sums = _spectral_sums(rows, keys, bins, terms, detrended)
+        sums = _spectral_sums(rows, keys, bins, terms, detrended, varying)
     stages = moments.feature_stages(detrended, shape)
     for stage in stages:
         sums = sums.selectExpr("*", *[f"{sql} AS {name}" for name, sql in stage.items()])
@@ -55,13 +61,17 @@ def _sums(terms: dict[str, str], when: str | None = None) -> list:
     ]
 
 
-def _split_segments(rows: DataFrame, bins: Bins) -> tuple[DataFrame, str | None]:
+def _split_segments(
+    rows: DataFrame, bins: Bins, varying: bool = False
+) -> tuple[DataFrame, str | None]:
     """Add the segment ``_seg`` of each sample and its place ``_jj`` there (-1 outside all).
 
     Overlapping segments repeat a sample; the second result is then the condition
     that holds for exactly one of the copies.
     """
     n, hop, last = bins.n, bins.hop, bins.segments - 1
+    if varying:
+        last = f"((size(signal) - {n}) div {hop})"
     latest = f"least(_j div {hop}, {last})"
     if hop >= n:
         rows = rows.selectExpr("*", f"{latest} AS _seg")
@@ -78,8 +88,11 @@ def _split_segments(rows: DataFrame, bins: Bins) -> tuple[DataFrame, str | None]
     ), f"_seg = {latest}"
 
 
-def _spectral_sums(rows, keys, bins, terms, detrended):
-    rows, own = _split_segments(rows, bins)
+def _spectral_sums(rows, keys, bins, terms, detrended, varying):
+    rows, own = _split_segments(rows, bins, varying)
+    if varying:
+        # Densities are averaged over each signal's own segments in the end.
+        bins = dataclasses.replace(bins, segments=1)
     n_chunks = len(bins.chunks)
     width = len(bins.chunks[0])
     waves = spectral.wave_table(rows.sparkSession, bins)
@@ -132,6 +145,8 @@ def _spectral_sums(rows, keys, bins, terms, detrended):
         power, crossed = "_pow", "_cross"
 
     psd = spectral.detrended_density(bins, power, crossed if detrended else None)
+    if varying:
+        psd = f"transform({psd}, d -> d / ((n - {bins.n}) div {bins.hop} + 1))"
     return sums.selectExpr("*", f"{moments.SLOPE} AS _m").selectExpr(
         *keys, *terms, f"{psd} AS psd"
     )

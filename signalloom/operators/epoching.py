@@ -292,6 +292,18 @@ def trim_packed(packed: DataFrame) -> DataFrame:
     ).withColumn("EEG", F.transform("EEG", lambda c: F.slice(c, F.lit(1), F.col("_n")))).drop("_n")
 
 
+def trim_epochs(epochs: DataFrame, keys=("SubjectID", "EpochID")) -> DataFrame:
+    """Cut the channels of an epoch, one row each, to its shortest one that has samples.
+
+    A window holds the channels of one epoch.
+    """
+    channels = Window.partitionBy(*keys)
+    length = F.when(F.size("signal") > 0, F.size("signal"))
+    return epochs.withColumn("_n", F.min(length).over(channels)).withColumn(
+        "signal", F.when(F.col("_n").isNotNull(), F.slice("signal", F.lit(1), F.col("_n"))).otherwise(F.col("signal"))
+    ).drop("_n")
+
+
 def trim_recordings(samples: DataFrame, recordings: DataFrame) -> DataFrame:
     """Keep only samples that every channel of the subject has."""
     return (
@@ -301,11 +313,6 @@ def trim_recordings(samples: DataFrame, recordings: DataFrame) -> DataFrame:
     )
 
 
-def shortest_channels(channel_lengths: DataFrame) -> DataFrame:
-    """``(SubjectID, Electrode, n)`` to the usable length per subject."""
-    return channel_lengths.groupBy("SubjectID").agg(F.min("n").alias("n_samples"))
-
-
 def recording_metadata(
     channel_lengths: DataFrame, kept: DataFrame, params: JobParams
 ) -> DataFrame:

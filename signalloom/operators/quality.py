@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from signalloom.functions import spectral
+from signalloom.operators import epoching
+from signalloom.params import JobParams
+
 
 def signal_quality(epochs: DataFrame, keys: Sequence[str] = ("SubjectID", "EpochID")) -> DataFrame:
     """Per channel of an epoch: sample count, missing and NaN samples, range, mean, deviation."""
@@ -55,6 +59,38 @@ def rejected_epochs(
     )
 
 
+def rejected_signals(epochs: DataFrame, params: JobParams) -> DataFrame:
+    """Channels of ready-made epochs that yield no features, with the reason."""
+    segment = params.n_fft or spectral.DEFAULT_N_FFT
+    short = [n for n in range(1, segment) if not spectral.has_bins(params, n)]
+    n = F.size("signal")
+    reason = (
+        F.when(F.coalesce(n, F.lit(0)) <= 0, F.lit("no sample"))
+        .when(F.exists("signal", lambda x: x.isNull()), F.lit("missing sample"))
+        .when(n <= max(short, default=0), F.lit("too short"))
+    )
+    return (
+        epoching.trim_epochs(epochs)
+        .select("SubjectID", "EpochID", "Electrode", reason.alias("reason"))
+        .where("reason IS NOT NULL")
+    )
+
+
+def spectral_quality(stats: DataFrame, keys: Sequence[str] = ("SubjectID", "EpochID")) -> DataFrame:
+    """Per channel of an epoch with a spectrum: bins, their range, total and the peak's place."""
+    psd = F.col("psd")
+    return stats.select(
+        *keys,
+        "Electrode",
+        F.size(psd).cast("long").alias("n_bins"),
+        F.size(F.filter(psd, lambda p: F.isnan(p) | p.isNull())).cast("long").alias("n_undefined"),
+        F.array_min(psd).alias("min_psd"),
+        F.array_max(psd).alias("max_psd"),
+        spectral.array_total(psd).alias("total_psd"),
+        F.array_position(psd, F.array_max(psd)).alias("peak_bin"),
+    )
+
+
 def rejected_subjects(recordings: DataFrame, kept: DataFrame) -> DataFrame:
     """Recordings from which no epoch was kept."""
     return recordings.join(kept.select("SubjectID").distinct(), "SubjectID", "left_anti").select(

@@ -438,6 +438,45 @@ def features_long_vectors(spark, sf):
     return rounded(long, {"FeatureValue": FINE})
 
 
+@query
+def features_long_uneven(spark, sf):
+    """Epochs of many lengths, some below a segment, their channels cut to the shortest."""
+    long = ft.epochs_features_long(ds.uneven_epochs(spark, sf), ds.UNEVEN_PARAMS)
+    return rounded(long, {"FeatureValue": FINE})
+
+
+@query
+def features_long_gaps(spark, sf):
+    """Samples with holes: two in every 60 are missing, and what touches them drops out."""
+    samples, recordings = _line(spark, sf)
+    holed = samples.where("j % 60 NOT BETWEEN 40 AND 41")
+    return _round_by_feature(ft.features_long(holed, recordings, ds.LINE_PARAMS))
+
+
+@query
+def epoch_trim_packed(spark, sf):
+    packed = epoching.trim_packed(epoching.pack(ds.uneven_epochs(spark, sf)))
+    return epoching.unpack(packed).select(
+        "SubjectID", "EpochID", "Electrode", F.size("signal").cast("long").alias("n_times"),
+        r(spectral.array_total(F.col("signal"))).alias("total"),
+    )
+
+
+@query
+def rejected_subjects(spark, sf):
+    """Suppliers whose shortest channel holds no epoch of one and a half seconds."""
+    params = ds.LINE_PARAMS.replace(window_length=1.5)
+    recordings = ds.line_recordings(spark, sf)
+    return quality.rejected_subjects(recordings, ft.kept_epochs(recordings, params))
+
+
+@query
+def spectral_quality(spark, sf):
+    stats, _ = _line_spectra(spark, sf)
+    report = quality.spectral_quality(stats)
+    return rounded(report, dict.fromkeys(["min_psd", "max_psd", "total_psd"], 0))
+
+
 @query
 def features_subject(spark, sf):
     known = ds.subjects(spark, sf)

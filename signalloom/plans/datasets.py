@@ -37,6 +37,19 @@ def vector_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+UNEVEN_PARAMS = VECTOR_PARAMS.replace(n_fft=32)
+
+
+def uneven_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ready-made epochs with a whole channel and one of 30 to 64 samples, by the epoch's id."""
+    whole = vector_epochs(spark, sf_dir)
+    length = F.lit(30) + F.expr("cast(substr(EpochID, 4) AS int)") % 35
+    other = whole.withColumn("Electrode", F.lit("E1")).withColumn(
+        "signal", F.slice(F.reverse("signal"), F.lit(1), length)
+    )
+    return whole.unionByName(other)
+
+
 LINE_KEYS = ["l_suppkey", "l_returnflag", "l_linestatus"]
 LINE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"]
 

@@ -136,13 +136,38 @@ def features_long(
 
 
 def epochs_features_long(
-    epochs: DataFrame, params: JobParams, n_times: int | None = None, table_type: str = "band"
+    epochs: DataFrame,
+    params: JobParams,
+    lengths: Sequence[int] | None = None,
+    table_type: str = "band",
 ) -> DataFrame:
-    """The same for ready-made epochs (one row per channel with ``signal``), taken as they are."""
-    n_times = n_times or params.n_times
-    bins = spectral.welch_bins(params, n_times)
-    stats = channel_stats(epochs, EPOCH_KEYS, bins).where(F.col("n") == n_times)
-    return assemble_long(stats, bins, params, table_type)
+    """The same for ready-made epochs (one row per channel with ``signal``), taken as they are.
+
+    Epochs may differ in length; within one, channels are cut to the shortest. Each
+    gets the spectrum of its own length: one plan for all that hold a whole segment,
+    and one for each shorter length, fewer than a segment has samples. ``lengths`` may
+    name the shorter ones; they are looked up otherwise. What yields no features is
+    listed by ``quality.rejected_signals``.
+    """
+    segment = params.n_fft or spectral.DEFAULT_N_FFT
+    trimmed = epoching.trim_epochs(epochs)
+    if lengths is None:
+        short = trimmed.select(F.size("signal").alias("n")).where(f"n > 0 AND n < {segment}")
+        lengths = sorted(r["n"] for r in short.distinct().collect())
+    parts = [(spectral.welch_bins(params, segment), f"size(signal) >= {segment}")]
+    parts += [
+        (spectral.welch_bins(params, n), f"size(signal) = {n}")
+        for n in lengths
+        if spectral.has_bins(params, n)
+    ]
+    out = None
+    for bins, where in parts:
+        chosen = trimmed.where(where).where("NOT exists(signal, x -> x IS NULL)")
+        long = assemble_long(
+            channel_stats(chosen, EPOCH_KEYS, bins, varying=True), bins, params, table_type
+        )
+        out = long if out is None else out.unionByName(long)
+    return out
 
 
 def features_wide(

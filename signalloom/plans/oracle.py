@@ -357,6 +357,73 @@ ORACLE["features_subject"] = _with(
     [*LINE_FEATURES, SUBJECTS],
     f"SELECT * FROM ({LONG_ROWS}) WHERE SubjectID IN (SELECT SubjectID FROM subjects)",
 )
+UNEVEN = """
+vec AS (
+  SELECT SubjectID, EpochID, Electrode, k, x, least(n, 32) AS n, n AS len FROM (
+    SELECT SubjectID, EpochID, c.Electrode, k,
+           CASE c.Electrode WHEN 'E0' THEN x ELSE y END AS x, n
+    FROM (
+      SELECT 'sub-' || lpad(CAST(label AS VARCHAR), 3, '0') AS SubjectID, 'ep-' || vec_id AS EpochID,
+             unnest(range(0, 64)) AS k, CAST(unnest(embedding) AS DOUBLE) AS x,
+             CAST(unnest(list_reverse(embedding)) AS DOUBLE) AS y, 30 + vec_id % 35 AS n
+      FROM embeddings)
+    CROSS JOIN (VALUES ('E0'), ('E1')) c(Electrode)
+    WHERE k < n))"""
+UNEVEN_SPECTRUM = """
+seen AS (
+  SELECT SubjectID, EpochID, Electrode, n, k // n AS seg, k % n AS jj,
+         x - avg(x) OVER (PARTITION BY SubjectID, EpochID, Electrode, k // n) AS x
+  FROM vec WHERE (k // n + 1) * n <= len),
+sizes AS (SELECT DISTINCT n FROM vec),
+taper AS (
+  SELECT n, jj, 0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * jj / n) AS w
+  FROM sizes CROSS JOIN (SELECT unnest(range(0, 32)) AS jj) WHERE jj < n),
+energy AS (SELECT n, sum(w * w) AS e FROM taper GROUP BY n),
+waves AS (
+  SELECT n, b, b * 64::DOUBLE / n AS freq, jj, w * cos(2 * pi() * b * jj / n) AS c,
+         w * sin(2 * pi() * b * jj / n) AS s
+  FROM taper CROSS JOIN (SELECT unnest(range(0, 17)) AS b)
+  WHERE 2 * b <= n AND b * 64::DOUBLE / n BETWEEN 0.5 AND 30),
+sums AS (
+  SELECT SubjectID, EpochID, Electrode, n, seg, b, freq, sum(x * c) AS re, sum(x * s) AS im
+  FROM seen JOIN waves USING (n, jj) GROUP BY ALL),
+psd AS (
+  SELECT SubjectID, EpochID, Electrode, freq,
+         avg((re * re + im * im) * CASE WHEN b = 0 OR 2 * b = n THEN 1 ELSE 2 END / (64 * e)) AS p
+  FROM sums JOIN energy USING (n) GROUP BY ALL),
+share AS (
+  SELECT *, p / sum(p) OVER (PARTITION BY SubjectID, EpochID, Electrode) AS q FROM psd)"""
+ORACLE["features_long_uneven"] = _with(
+    [UNEVEN, MOMENTS, UNEVEN_SPECTRUM, BANDS, POWER], _long_rows("band", dict.fromkeys(ELECTRODE, 6))
+)
+ORACLE["epoch_trim_packed"] = _with(
+    [UNEVEN], f"SELECT {KEYS}, count(*) AS n_times, {r('sum(x)')} AS total FROM vec GROUP BY ALL"
+)
+ORACLE["features_long_gaps"] = _with(
+    [
+        MIN,
+        LONG.replace("ep AS (", "cut AS (") + """,
+ep AS (
+  SELECT * FROM (
+    SELECT *, count(*) OVER (PARTITION BY SubjectID, EpochID, Electrode) AS n FROM (
+      SELECT s.* FROM cut s JOIN (SELECT SubjectID, 'ep-' || i AS EpochID, start FROM grid) g
+        USING (SubjectID, EpochID) WHERE (s.k + g.start) % 60 NOT BETWEEN 40 AND 41))
+  WHERE n = 33)""",
+        *LINE_FEATURES[2:],
+    ],
+    LONG_ROWS,
+)
+ORACLE["rejected_subjects"] = _with(
+    [MIN],
+    """SELECT SubjectID, 'no epochs' AS reason FROM recordings
+    WHERE (n_samples - 1) / 64::DOUBLE - 1.5 <= 0""",
+)
+ORACLE["spectral_quality"] = _with(
+    LINE_PSD,
+    f"""SELECT {KEYS}, count(*) AS n_bins, count(*) FILTER (isnan(p) OR p IS NULL) AS n_undefined,
+    {r("min(p)", 0)} AS min_psd, {r("max(p)", 0)} AS max_psd, {r("sum(p)", 0)} AS total_psd,
+    CAST(arg_max(freq, p) / 2 AS BIGINT) AS peak_bin FROM psd GROUP BY ALL""",
+)
 CHANNELS = ["AF", "AO", "NF", "NO", "RF", "RO"]
 
 
