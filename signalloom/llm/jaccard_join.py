@@ -7,14 +7,15 @@ pairs; a pair is verified once, on the whole sets.
 
 Copies make no work: equal sets are one class, represented by the smallest doc_id.
 Near copies don't make all their pairs either, as only connected components are
-asked for. First each set meets a few leaders of each of its prefix n-grams; then
-only pairs across the components found so far are left, and of these every one
-that passes the filters is verified.
+asked for. First each set meets a few leaders of each of its prefix n-grams, in one
+or more rounds; then only pairs across the components found so far are left, and of
+these every one that passes the filters is verified.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,23 +28,37 @@ from signalloom.llm.tables import written
 
 WORDS = 4
 PERCENT = 85
-# Counters of the n-gram frequency sketch. More of them tell rare n-grams better apart;
-# the order of n-grams never changes the result.
+# Counters of the frequency sketches of words and of n-grams. More of them tell rare ones
+# better apart; the order of n-grams never changes the result.
 SKETCH = 1 << 20
 CHUNK = 1 << 14
-# Cells of the suffix filter's histogram, and leaders that a set meets for an n-gram.
+# Cells of the suffix filter's histogram, where they are full, and leaders that a set
+# meets for an n-gram in each round.
 CELLS = 64
+FULL = 127
 LEADERS = 16
+ROUNDS = 3
 
 
-def grams(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the distinct word n-grams of each row, by row and hash.
+def cell(hashes: np.ndarray, size: int) -> np.ndarray:
+    return (hashes % np.uint64(size)).astype(np.int64)
+
+
+def grams(
+    data: np.ndarray, offsets: np.ndarray, n: int, word_ranks: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, commonness) of the distinct word n-grams of each row, by row and hash.
 
     A row with fewer than ``n`` words, but any, has its whole sequence as one n-gram.
+    Commonness is the sum of the words' ranks, 0 without ``word_ranks``.
     """
     w = tv.words(tv.lower(data), offsets)
     first, hashes = tv.windows(w, n)
     rows = w.row[first]
+    common = np.zeros(len(first), dtype=np.int64)
+    if word_ranks is not None:
+        total = np.concatenate([[0], np.cumsum(word_ranks[cell(w.hashes, len(word_ranks))].astype(np.int64))])
+        common = total[first + n] - total[first]
     counts = np.bincount(w.row, minlength=len(offsets) - 1)
     short = np.flatnonzero((counts > 0) & (counts < n))
     if len(short):
@@ -53,21 +68,23 @@ def grams(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np
              for b, e in zip(begins, begins + counts[short], strict=True)], dtype=np.uint64,
         )
         rows = np.concatenate([rows, short])
+        common = np.concatenate([common, np.zeros(len(short), np.int64)])
         hashes = np.concatenate([hashes, tv.mix(whole + counts[short].astype(np.uint64))])
     order = np.lexsort((hashes, rows))
-    rows, hashes = rows[order], hashes[order]
+    rows, hashes, common = rows[order], hashes[order], common[order]
     if len(rows):
         new = np.concatenate([[True], (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])])
-        rows, hashes = rows[new], hashes[new]
-    return rows, hashes
+        rows, hashes, common = rows[new], hashes[new], common[new]
+    return rows, hashes, common
 
 
-def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row of the block, ends of each row's n-grams, hashes)."""
+def _sets(
+    batch: pa.RecordBatch, n: int, word_ranks: np.ndarray | None = None
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row of the block, ends of each row's n-grams, hashes, commonness)."""
     for row, data, offsets in tv.blocks(batch.column("text")):
-        rows, hashes = grams(data, offsets, n)
-        ends = np.searchsorted(rows, np.arange(len(offsets)), "left")
-        yield row, ends, hashes
+        rows, hashes, common = grams(data, offsets, n, word_ranks)
+        yield row, np.searchsorted(rows, np.arange(len(offsets)), "left"), hashes, common
 
 
 def signatures(docs: DataFrame, n: int = WORDS) -> DataFrame:
@@ -76,7 +93,7 @@ def signatures(docs: DataFrame, n: int = WORDS) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
-            for _, ends, hashes in _sets(batch, n):
+            for _, ends, hashes, _ in _sets(batch, n):
                 parts[0].append(np.diff(ends))
                 for part, salt in ((parts[1], 1), (parts[2], 2)):
                     total = np.zeros(len(hashes) + 1, dtype=np.uint64)
@@ -90,20 +107,41 @@ def signatures(docs: DataFrame, n: int = WORDS) -> DataFrame:
     )
 
 
-def frequency_ranks(docs: DataFrame, n: int = WORDS, sketch: int = SKETCH) -> np.ndarray:
-    """How frequent the n-grams of each sketch counter are, as a rank from 0 to 255.
+@dataclass
+class Ranks:
+    """How common words and n-grams are, by sketch counter."""
+
+    words: np.ndarray  # 0 to 255, eight steps a doubling
+    grams: np.ndarray  # 0 up to what chance puts into a counter, then two steps a doubling
+
+    @classmethod
+    def of(cls, words: np.ndarray, grams: np.ndarray) -> Ranks:
+        mean = grams.mean() if len(grams) else 0
+        usual = mean + 6 * np.sqrt(mean) + 4
+        high = np.where(grams > usual, 1 + 2 * np.log2(np.maximum(grams, 1) / usual), 0)
+        return cls(
+            np.minimum(255, 8 * np.log2(1 + words)).astype(np.uint8), np.minimum(255, high).astype(np.uint8)
+        )
+
 
-    Every task counts all its documents into ``sketch`` counters and sends chunks of
-    them; these are added up by chunk. What reaches the driver has a fixed size.
+def frequency_ranks(docs: DataFrame, n: int = WORDS, sketch: int = SKETCH) -> Ranks:
+    """Counts of all words and n-grams of all documents in sketches of a fixed size.
+
+    Every task counts its documents into two arrays of ``sketch`` counters and sends
+    chunks of them; these are added up by chunk, and the sums reach the driver.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(sketch, dtype=np.int64)
+        total = np.zeros(2 * sketch, dtype=np.int64)
         for batch in batches:
-            for _, _, hashes in _sets(batch, n):
-                total += np.bincount((hashes % np.uint64(sketch)).astype(np.int64), minlength=sketch)
-        chunks = [c for c in range(0, sketch, CHUNK) if total[c : c + CHUNK].any()]
-        values = [total[c : c + CHUNK].astype("<u4" if total.max() < 1 << 32 else "<u8").tobytes() for c in chunks]
+            for _, data, offsets in tv.blocks(batch.column("text")):
+                w = tv.words(tv.lower(data), offsets)
+                total[:sketch] += np.bincount(cell(w.hashes, sketch), minlength=sketch)
+                _, hashes = tv.windows(w, n)
+                total[sketch:] += np.bincount(cell(hashes, sketch), minlength=sketch)
+        chunks = [c for c in range(0, 2 * sketch, CHUNK) if total[c : c + CHUNK].any()]
+        values = [total[c : c + CHUNK] for c in chunks]
+        values = [v.astype("<u4" if v.max() < 1 << 32 else "<u8").tobytes() for v in values]
         yield pa.RecordBatch.from_arrays(
             [pa.array(chunks, pa.int32()), pa.array(values, pa.binary())], names=["chunk", "counts"]
         )
@@ -112,7 +150,7 @@ def frequency_ranks(docs: DataFrame, n: int = WORDS, sketch: int = SKETCH) -> np
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                size = min(CHUNK, sketch - chunk)
+                size = min(CHUNK, 2 * sketch - chunk)
                 values = np.frombuffer(counts, f"<u{len(counts) // size}").astype(np.int64)
                 totals[chunk] = totals[chunk] + values if chunk in totals else values
         yield pa.RecordBatch.from_arrays(
@@ -122,11 +160,11 @@ def frequency_ranks(docs: DataFrame, n: int = WORDS, sketch: int = SKETCH) -> np
 
     kind = "chunk int, counts binary"
     counted = docs.select("text").mapInArrow(count, kind)
-    ranks = np.zeros(sketch, dtype=np.uint8)
-    for r in counted.repartition(16, "chunk").mapInArrow(add, kind).collect():
+    total = np.zeros(2 * sketch, dtype=np.int64)
+    for r in counted.repartition(16, "chunk").mapInArrow(add, kind).toLocalIterator():
         values = np.frombuffer(r["counts"], np.int64)
-        ranks[r["chunk"] : r["chunk"] + len(values)] = np.minimum(255, 4 * np.log2(1 + values))
-    return ranks
+        total[r["chunk"] : r["chunk"] + len(values)] = values
+    return Ranks.of(total[:sketch], total[sketch:])
 
 
 def need(percent: int, n: str, m: str) -> str:
@@ -134,28 +172,30 @@ def need(percent: int, n: str, m: str) -> str:
     return f"cast(ceil({percent} * ({n} + {m}) / {100 + percent}) AS bigint)"
 
 
-def prefixes(docs: DataFrame, n: int, percent: int, ranks: np.ndarray) -> DataFrame:
+def prefixes(docs: DataFrame, n: int, percent: int, ranks: Ranks) -> DataFrame:
     """(doc_id, n, prefix, cells): rare-first prefix and histogram of each non-empty set.
 
-    ``cells`` counts the members per hash cell.
+    N-grams that many documents share come last, and before them those of common words:
+    that is rare-first without a count of every n-gram. ``cells`` counts the members per
+    hash cell; FULL stands for that many or more.
     """
-    spread = docs.sparkSession.sparkContext.broadcast(ranks.tobytes())  # a fixed size
+    spread = docs.sparkSession.sparkContext.broadcast(ranks)  # of a fixed size
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = np.frombuffer(spread.value, np.uint8)
+        known = spread.value
         for batch in batches:
             rows, sizes, lists, cells = [], [], [], []
-            for row, ends, hashes in _sets(batch, n):
+            for row, ends, hashes, common in _sets(batch, n, known.words):
                 size = np.diff(ends)
                 owner = np.repeat(np.arange(len(size)), size)
-                order = np.lexsort((hashes, rank[(hashes % np.uint64(len(rank))).astype(np.int64)], owner))
+                order = np.lexsort((hashes, common, known.grams[cell(hashes, len(known.grams))], owner))
                 length = size - -(-percent * size // 100) + 1
                 kept = np.arange(len(hashes)) - ends[owner] < length[owner]
                 hist = np.bincount(
                     owner * CELLS + (hashes >> np.uint64(58)).astype(np.int64) % CELLS,
                     minlength=len(size) * CELLS,
                 )
-                hist = hist.astype(np.int32).reshape(len(size), CELLS)
+                hist = np.minimum(hist, FULL).astype(np.int8).reshape(len(size), CELLS)
                 full = np.flatnonzero(size)
                 rows += (row + full).tolist()
                 sizes += size[full].tolist()
@@ -165,13 +205,13 @@ def prefixes(docs: DataFrame, n: int, percent: int, ranks: np.ndarray) -> DataFr
                 lists += [sorted_hashes[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(sizes, pa.int64()),
-                 pa.array(lists, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int32()))],
+                 pa.array(lists, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int8()))],
                 names=["doc_id", "n", "prefix", "cells"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        cut, f"doc_id {kind}, n bigint, prefix array<bigint>, cells array<int>"
+        cut, f"doc_id {kind}, n bigint, prefix array<bigint>, cells array<tinyint>"
     )
 
 
@@ -181,7 +221,7 @@ def gram_sets(docs: DataFrame, n: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = []
-            for _, ends, hashes in _sets(batch, n):
+            for _, ends, hashes, _ in _sets(batch, n):
                 signed = hashes.view(np.int64)
                 lists += [signed[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
@@ -203,7 +243,8 @@ def _similar_bounds(percent: int) -> Column:
     return F.expr(f"""
         100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)
         AND least(x.n - x.pos, y.n - y.pos) >= {least_overlap}
-        AND aggregate(zip_with(x.cells, y.cells, (p, q) -> least(p, q)), 0, (s, v) -> s + v)
+        AND aggregate(zip_with(x.cells, y.cells, (p, q) ->
+            CASE WHEN p = {FULL} AND q = {FULL} THEN 1000000000 ELSE cast(least(p, q) AS bigint) END), 0L, (s, v) -> s + v)
             >= {least_overlap}""")
 
 
@@ -247,7 +288,8 @@ def representatives(signed: DataFrame) -> DataFrame:
 
 
 def similarity_links(
-    docs: DataFrame, reps: DataFrame, n: int = WORDS, percent: int = PERCENT, leaders: int = LEADERS
+    docs: DataFrame, reps: DataFrame, n: int = WORDS, percent: int = PERCENT,
+    leaders: int = LEADERS, rounds: int = ROUNDS,
 ) -> DataFrame:
     """(node, component) of the representatives that are linked, directly or over others."""
     ranks = frequency_ranks(docs, n)
@@ -261,14 +303,17 @@ def similarity_links(
         tokens.join(shared, "gram", "left_semi").join(cells, "id").where("n = _n").drop("_n"), "met"
     )
 
-    order = Window.partitionBy("gram").orderBy(F.xxhash64("gram", "id"), "id", "n")
-    leading = met.withColumn("nth", F.row_number().over(order)).where(f"nth <= {leaders}")
-    pairs = _pairs(
-        met.alias("x").join(leading.alias("y"), "gram").where("x.id <> y.id").where(_similar_bounds(percent))
-    )
-    pairs = written(pairs, "pairs")
-    sets = written(gram_sets(docs.join(_ids(pairs), "doc_id", "left_semi"), n), "sets")
+    def meet(rows: DataFrame, turn: int) -> DataFrame:
+        """Pairs of all rows with the leaders of their n-grams, chosen anew each turn."""
+        order = Window.partitionBy("gram").orderBy(F.xxhash64("gram", "id", F.lit(turn)), "id", "n")
+        leading = rows.withColumn("nth", F.row_number().over(order)).where(f"nth <= {leaders}")
+        joined = rows.alias("x").join(leading.alias("y"), "gram").where("x.id <> y.id")
+        if "component" in rows.columns:
+            joined = joined.where("x.component <> y.component")
+        return _pairs(joined.where(_similar_bounds(percent)))
 
+    pairs = written(meet(met, 0), "pairs")
+    sets = written(gram_sets(docs.join(_ids(pairs), "doc_id", "left_semi"), n), "sets")
     # The first leader connects most of a group; the others only matter across components.
     links = written(_verified(pairs.where("nth = 1"), sets, percent), "links")
     found = components(links)
@@ -276,26 +321,48 @@ def similarity_links(
     links = links.unionByName(more)
     found = components(links)
 
-    # Larger groups still in several components: all that is not in a group's largest one
-    # meets all of the group, but for its own component.
-    placed = _with_component(met, "id", found, "component")
+    def verified(new: DataFrame) -> DataFrame:
+        nonlocal sets
+        lacking = written(_ids(new).join(sets.select("doc_id"), "doc_id", "left_anti"), "lacking")
+        if not lacking.isEmpty():
+            sets = sets.unionByName(written(gram_sets(docs.join(lacking, "doc_id", "left_semi"), n), "sets"))
+        return written(_verified(new, sets, percent), "links")
+
+    done = pairs.select("a", "b")
+    for turn in range(1, rounds + 1):
+        # Groups too large to have met completely, and in several components still.
+        left = written(_open_groups(_with_component(met, "id", found, "component"), leaders), "open")
+        if left.isEmpty():
+            return found
+        if turn < rounds:
+            new = meet(left, turn)
+        else:
+            # What isn't in its group's largest component meets all of the group.
+            left = left.withColumn("nth", F.lit(0))
+            new = _pairs(
+                left.where("component <> major").alias("x").join(left.alias("y"), "gram").where(
+                    "x.component <> y.component AND (y.component = y.major OR x.id < y.id)"
+                ).where(_similar_bounds(percent))
+            )
+        new = written(new.join(done, ["a", "b"], "left_anti"), "pairs")
+        if new.isEmpty():
+            continue
+        done = done.unionByName(new.select("a", "b"))
+        more = verified(new)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = components(links)
+    return found
+
+
+def _open_groups(placed: DataFrame, leaders: int) -> DataFrame:
+    """Rows of n-grams with more than ``leaders + 1`` rows in several components; major is the largest."""
     parts = placed.groupBy("gram", "component").agg(F.count("*").alias("members"))
-    open_groups = parts.groupBy("gram").agg(
+    groups = parts.groupBy("gram").agg(
         F.sum("members").alias("members"), F.count("*").alias("parts"),
         F.max_by("component", F.struct("members", "component")).alias("major"),
     ).where(f"parts > 1 AND members > {leaders + 1}").select("gram", "major")
-    placed = written(placed.join(open_groups, "gram"), "placed").withColumn("nth", F.lit(0))
-    rest = placed.where("component <> major").alias("x").join(placed.alias("y"), "gram").where(
-        "x.component <> y.component AND (y.component = y.major OR x.id < y.id)"
-    ).where(_similar_bounds(percent))
-    rest = written(_pairs(rest).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    lacking = written(_ids(rest).join(sets.select("doc_id"), "doc_id", "left_anti"), "lacking")
-    if not lacking.isEmpty():
-        sets = sets.unionByName(gram_sets(docs.join(lacking, "doc_id", "left_semi"), n))
-    if rest.isEmpty():
-        return found
-    last = written(_verified(rest, sets, percent), "links")
-    return components(links.unionByName(last))
+    return placed.join(groups, "gram")
 
 
 def join_documents(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
