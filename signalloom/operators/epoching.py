@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from signalloom.operators.numbering import dense_number
 from signalloom.params import JobParams
+from signalloom.schemas import METADATA_SCHEMA, conform
 
 # Epoch indices per bucket when the epoch grid itself is spread over tasks.
 GRID_BUCKET = 4_096
@@ -88,11 +89,12 @@ def epoch_samples(samples: DataFrame, recordings: DataFrame, params: JobParams)
     """
     lo, hi = start_index_range(F.col("j"), params)
     bounds = recordings.select("SubjectID", epoch_count(F.col("n_samples"), params).alias("n"))
+    # Bounds come first: what is shuffled for them is the samples, not their copies.
     return (
-        samples.select("*", F.explode(F.sequence(lo, hi)).alias("i"))
+        samples.join(bounds, "SubjectID")
+        .select("*", F.explode(F.sequence(lo, F.least(hi, F.col("n") - 1))).alias("i"))
+        .where("i >= 0 AND i < n")
         .where(contains(F.col("i"), F.col("j"), params))
-        .join(bounds, "SubjectID")
-        .where("i < n")
         .select(
             "SubjectID",
             epoch_id(F.col("i")).alias("EpochID"),
@@ -326,7 +328,7 @@ def recording_metadata(
         "ChannelNames",
         F.lit(params.sfreq).alias("SFreq"),
         F.coalesce("NumEpochs", F.lit(0)).cast("long").alias("NumEpochs"),
-    )
+    ).transform(conform, METADATA_SCHEMA)
 
 
 def join_epochs_with_metadata(epochs: DataFrame, metadata: DataFrame) -> DataFrame:

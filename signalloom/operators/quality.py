@@ -98,6 +98,12 @@ def rejected_subjects(recordings: DataFrame, kept: DataFrame) -> DataFrame:
     )
 
 
+def duplicate_subjects(subjects: DataFrame) -> DataFrame:
+    """Subjects that occur more than once, and how often."""
+    counts = subjects.groupBy("SubjectID").agg(F.count(F.lit(1)).alias("n_rows"))
+    return counts.where("n_rows > 1")
+
+
 def require_rows(df: DataFrame, what: str) -> DataFrame:
     """Fail early if nothing is left to work on. Looks for one row only."""
     if df.isEmpty():

@@ -7,10 +7,6 @@ import json
 from collections.abc import Mapping
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
-
-from signalloom.schemas import BAND_SCHEMA
-
 
 @dataclasses.dataclass(frozen=True)
 class Band:
@@ -98,10 +94,6 @@ class JobParams:
     def replace(self, **changes) -> JobParams:
         return dataclasses.replace(self, **changes)
 
-    def bands_df(self, spark: SparkSession) -> DataFrame:
-        """The bands as a table ``(WaveBand, fmin, fmax)``; its size is set by the parameters."""
-        return spark.createDataFrame([(b.name, b.fmin, b.fmax) for b in self.bands], BAND_SCHEMA)
-
 
 # Parameter-file keys and the fields they set.
 FILE_KEYS = {
@@ -111,11 +103,19 @@ FILE_KEYS = {
     "windowLength": "window_length",
     "stepSize": "step_size",
     "sfreq": "sfreq",
+    "nFft": "n_fft",
+    "nOverlap": "n_overlap",
+    "taper": "taper",
+    "detrend": "detrend",
+    "blockSamples": "block_samples",
 }
 
 
 def params_from_mapping(raw: Mapping) -> JobParams:
     """Build parameters from the file form (``windowLength``, ``stepSize``, ``freqBands`` …)."""
+    unknown = set(raw) - set(FILE_KEYS) - {"freqBands"}
+    if unknown:
+        raise ValueError(f"unknown parameters {sorted(unknown)}")
     known = {field: raw[key] for key, field in FILE_KEYS.items() if key in raw}
     if "freqBands" in raw:
         known["bands"] = tuple(

@@ -215,16 +215,12 @@ def recording_metadata(spark, sf):
 
 @query
 def epochs_with_metadata(spark, sf):
-    epochs = ft.sliced_epochs(*_line(spark, sf), ds.LINE_PARAMS)
-    joined = epoching.join_epochs_with_metadata(epochs, _line_metadata(spark, sf))
-    return joined.select(
-        "SubjectID",
-        "EpochID",
-        "Electrode",
-        F.array_join("ChannelNames", ",").alias("ChannelNames"),
-        "SFreq",
-        F.size("signal").cast("long").alias("n_times"),
+    # What is wanted of the signals is taken first: they needn't follow the join.
+    epochs = ft.sliced_epochs(*_line(spark, sf), ds.LINE_PARAMS).select(
+        "SubjectID", "EpochID", "Electrode", F.size("signal").cast("long").alias("n_times")
     )
+    joined = epoching.join_epochs_with_metadata(epochs, _line_metadata(spark, sf))
+    return joined.withColumn("ChannelNames", F.array_join("ChannelNames", ","))
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 from signalloom.functions import moments, spectral
 from signalloom.functions.spectral import Bins
 from signalloom.operators import annotations as ann
-from signalloom.operators import epoching, sliding
+from signalloom.operators import epoching, quality, sliding
 from signalloom.operators.channel_stats import channel_stats
 from signalloom.operators.pca import distinct_keys
 from signalloom.params import JobParams
+from signalloom.schemas import FEATURE_SCHEMA, conform
 from signalloom.sources.participants import group_label
 
 # Columns that identify an epoch; sliced epochs also carry their block, which is
@@ -117,9 +119,10 @@ def assemble_long(
             _feature_row(b.name, f, f"`Power_{b.name}`" if f == "Power" else f, "band")
             for f in BAND_FEATURES
         ]
-    return with_band_power(stats, bins, params).selectExpr(
+    long = with_band_power(stats, bins, params).selectExpr(
         *EPOCH_KEYS, "Electrode", f"inline(array({', '.join(rows)}))"
     )
+    return conform(long, FEATURE_SCHEMA)
 
 
 def features_long(
@@ -135,6 +138,35 @@ def features_long(
     return assemble_long(stats, bins, params, table_type)
 
 
+@dataclasses.dataclass(frozen=True)
+class FeatureJob:
+    """What one run yields: features, what was recorded, and what was left out and why."""
+
+    features: DataFrame
+    metadata: DataFrame
+    rejected_epochs: DataFrame
+    rejected_subjects: DataFrame
+
+
+def feature_job(
+    samples: DataFrame,
+    recordings: DataFrame,
+    params: JobParams,
+    annotations: DataFrame | None = None,
+    table_type: str = "band",
+) -> FeatureJob:
+    """The whole job. Raises if no subject has an epoch, which one row's look tells."""
+    kept = quality.require_rows(kept_epochs(recordings, params, annotations), "epochs")
+    channels = samples.groupBy("SubjectID", "Electrode").agg(F.count(F.lit(1)).alias("n"))
+    epochs = sliced_epochs(samples, recordings, params, annotations)
+    return FeatureJob(
+        features_long(samples, recordings, params, annotations, table_type),
+        epoching.recording_metadata(channels, kept, params),
+        quality.rejected_epochs(epochs, kept, channels, params.n_times),
+        quality.rejected_subjects(recordings, kept),
+    )
+
+
 def epochs_features_long(
     epochs: DataFrame,
     params: JobParams,

@@ -1,5 +1,7 @@
 """Explicit schemas of the tables the engine reads and writes."""
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -52,4 +54,10 @@ FEATURE_SCHEMA = _struct(
     ("table_type", _S, True),
 )
 
-BAND_SCHEMA = _struct(("WaveBand", _S, False), ("fmin", _D, False), ("fmax", _D, False))
+
+def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The schema's columns, by name, in its order and types; a missing one is an error."""
+    missing = [f.name for f in schema if f.name not in df.columns]
+    if missing:
+        raise ValueError(f"columns {missing} are missing from {df.columns}")
+    return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalloom.params import JobParams
+from signalloom.schemas import PARTICIPANT_SCHEMA, SUBJECT_SCHEMA, conform
 
 # The study groups kept, in label order, and the folder of the public data set.
 GROUPS = ("A", "C", "F")
@@ -20,9 +21,8 @@ def participants_path(params: JobParams, dataset: str = DATASET) -> str:
 
 def select_subjects(participants: DataFrame) -> DataFrame:
     """Subjects of the known groups; other and missing groups are dropped, duplicates kept."""
-    return participants.where(F.col("Group").isin(*GROUPS)).select(
-        F.col("participant_id").alias("SubjectID"), "Group"
-    )
+    known = conform(participants, PARTICIPANT_SCHEMA).where(F.col("Group").isin(*GROUPS))
+    return conform(known.withColumnRenamed("participant_id", "SubjectID"), SUBJECT_SCHEMA)
 
 
 def read_subjects(spark: SparkSession, params: JobParams, path: str = "") -> DataFrame:

@@ -12,9 +12,17 @@ from pyspark.sql import functions as F
 
 from signalloom.operators import annotations as ann
 from signalloom.operators import epoching, numbering, pca, quality, scaling, udf
-from signalloom.params import JobParams, load_params
+from signalloom.params import Band, JobParams, load_params, params_from_mapping
 from signalloom.plans import features as ft
+from signalloom.schemas import (
+    ANNOTATION_SCHEMA,
+    FEATURE_SCHEMA,
+    RECORDING_SCHEMA,
+    SAMPLE_SCHEMA,
+    conform,
+)
 from signalloom.sources import participants, recordings
+from signalloom.sources import recordings as rec
 from signalloom.sources.scratch import scratch_path
 from signalloom.streaming.arrivals import read_arriving_epochs, write_arriving_features
 
@@ -360,3 +368,75 @@ def test_one_recording_spreads_over_blocks(spark):
     assert max(sizes.values()) <= params.block_samples
     assert sum(s == "big" for s, _ in sizes) > 50
     assert sum(sizes.values()) < 1.2 * 5040
+
+
+def test_whole_job_from_written_tables(spark, tmp_path):
+    """The readers' tables, and everything a job yields."""
+    params = JobParams(sfreq=10.0, window_length=1.0, step_size=0.5, n_fft=8, bands=(Band("all", 0.5, 5.0),))
+    rows = [("s1", "A", j, float(j % 7)) for j in range(60) if j not in (30, 31)] + [("s2", "A", j, 1.0) for j in range(5)]
+    spark.createDataFrame(rows, SAMPLE_SCHEMA).write.parquet(f"{tmp_path}/samples")
+    samples = rec.read_samples(spark, f"{tmp_path}/samples")
+    assert samples.columns == SAMPLE_SCHEMA.names
+    described = rec.describe_recordings(samples, params)
+    conform(described, RECORDING_SCHEMA).write.parquet(f"{tmp_path}/recordings")
+    recordings = rec.read_recordings(spark, f"{tmp_path}/recordings")
+    spark.createDataFrame([("s1", 0.0, 0.2, "bad start")], ANNOTATION_SCHEMA).write.parquet(f"{tmp_path}/notes")
+    notes = rec.read_annotations(spark, f"{tmp_path}/notes")
+    job = ft.feature_job(samples, recordings, params, notes)
+    assert job.features.schema.names == FEATURE_SCHEMA.names
+    got = {r.EpochID for r in job.features.select("EpochID").distinct().collect()}
+    left = {(r.SubjectID, r.EpochID): r.reason for r in job.rejected_epochs.collect()}
+    meta = job.metadata.where("SubjectID = 's1'").first()
+    assert got and set(left.values()) == {"incomplete"}
+    assert len(got) + len(left) == meta.NumEpochs
+    assert [r.SubjectID for r in job.rejected_subjects.collect()] == ["s2"]
+    with pytest.raises(ValueError):
+        ft.feature_job(samples, recordings.where("SubjectID = 's2'"), params)
+    with pytest.raises(ValueError):
+        conform(samples.drop("j"), SAMPLE_SCHEMA)
+
+
+def test_uneven_epochs_and_reasons(spark):
+    params = JobParams(sfreq=64.0, window_length=63 / 64, n_fft=64, detrend=False)
+    wave = lambda n: [float(k % 5) for k in range(n)]
+    rows = [
+        ("s", "whole", "A", wave(64)), ("s", "cut", "A", wave(100)), ("s", "cut", "B", wave(70)),
+        ("s", "short", "A", wave(20)), ("s", "tiny", "A", wave(1)), ("s", "none", "A", []),
+        ("s", "null", "A", None), ("s", "part", "A", wave(64)), ("s", "part", "B", []),
+        ("s", "hole", "A", [1.0, None, *wave(62)]),
+    ]
+    epochs = spark.createDataFrame(rows, "SubjectID string, EpochID string, Electrode string, signal array<double>")
+    got = {(r.EpochID, r.Electrode) for r in ft.epochs_features_long(epochs, params).collect()}
+    left = {(r.EpochID, r.Electrode): r.reason for r in quality.rejected_signals(epochs, params).collect()}
+    assert left == {
+        ("tiny", "A"): "too short", ("none", "A"): "no sample", ("null", "A"): "no sample",
+        ("part", "B"): "no sample", ("hole", "A"): "missing sample",
+    }
+    assert got | set(left) == {(r[1], r[2]) for r in rows} and not got & set(left)
+    one = ft.epochs_features_long(epochs.where("EpochID = 'cut' AND Electrode = 'B'"), params)
+    both = ft.epochs_features_long(epochs.where("EpochID = 'cut'"), params).where("Electrode = 'B'")
+    assert sorted(map(str, one.collect())) == sorted(map(str, both.collect()))
+
+
+def test_duplicates_and_unknown_parameters(spark):
+    subjects = spark.createDataFrame([("a",), ("b",), ("a",)], "SubjectID string")
+    assert [tuple(r) for r in quality.duplicate_subjects(subjects).collect()] == [("a", 2)]
+    with pytest.raises(ValueError):
+        params_from_mapping({"sfreq": 100.0, "window": 2})
+    assert params_from_mapping({"nFft": 64, "nOverlap": 8}).n_overlap == 8
+
+
+def test_statistics_by_key_shuffle_no_row(spark):
+    """Without size estimates to broadcast by, the long table still stays where it is."""
+    long = spark.range(100).selectExpr(
+        "cast(id AS string) AS SubjectID", "'e' AS EpochID", "1 AS label", "cast(id % 3 AS string) AS Electrode",
+        "'b' AS WaveBand", "cast(id AS double) AS Power",
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        train, test = scaling.normalize_power(long, long)
+        plan = test._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    outside = plan.split("Subqueries")[0].split("Subquery ")[0]
+    assert "Join" not in plan and "hashpartitioning(Electrode" not in outside.split("Range (0, 100")[-1]
