@@ -28,9 +28,16 @@ STEPS = 40
 WINDOW = 8
 
 # Loosest and tightest cutoff of each rule; the path goes from one to the other.
-PATH = {"symbols_per_word": (1.5, 0.12), "upper_share": (0.9, 0.25), "dup_line_share": (0.9, 0.35)}
+PATH = {
+    "symbols_per_word": (1.5, 0.12),
+    "upper_share": (0.9, 0.25),
+    "dup_line_share": (0.9, 0.35),
+    "echo_share": (0.95, 0.25),
+}
 
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
+COUNTS = [
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_echoes",
+]
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -41,6 +48,9 @@ def count_block(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     n = len(offsets) - 1
     w = tv.words(data, offsets)
     out = {"n_words": np.bincount(w.row, minlength=n)}
+    # Words that are the word before them once more.
+    echo = np.flatnonzero((w.hashes[1:] == w.hashes[:-1]) & (w.row[1:] == w.row[:-1])) + 1
+    out["n_echoes"] = np.bincount(w.row[echo], minlength=n)
     lead = (data & 0xC0) != 0x80
     out["word_chars"] = tv.per_row(lead & ~tv.IS_BLANK[data], offsets)
     out["n_symbols"] = tv.per_row(_SYMBOL[data], offsets)
@@ -103,6 +113,7 @@ RATIOS = {
     "symbols_per_word": "n_symbols / greatest(n_words, 1)",
     "upper_share": "n_upper / greatest(word_chars, 1)",
     "dup_line_share": "n_dup_lines / n_lines",
+    "echo_share": "n_echoes / greatest(n_words, 1)",
 }
 
 

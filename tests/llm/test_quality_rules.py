@@ -23,6 +23,7 @@ def brute(text):
     return (
         len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(marked),
         text.count("\n") + 1, sum("A" <= c <= "Z" for c in text),
+        sum(a == b for a, b in zip(words, words[1:], strict=False)),
     )
 
 
@@ -53,7 +54,7 @@ def test_binomial_tail_and_steps():
 
 
 def test_reject_step_follows_the_path(spark):
-    rows = [(w, 100, s, 0, 0, 10, u) for w, s, u in [(100, 0, 0), (100, 13, 0), (100, 200, 0), (100, 0, 91), (100, 0, 26), (0, 0, 0)]]
+    rows = [(w, 100, s, 0, 0, 10, u, 0) for w, s, u in [(100, 0, 0), (100, 13, 0), (100, 200, 0), (100, 0, 91), (100, 0, 26), (0, 0, 0)]]
     df = spark.createDataFrame(rows, ", ".join(f"{c} bigint" for c in qr.COUNTS))
     got = [r[0] for r in df.select(qr.reject_step()).collect()]
     assert got[0] is None and got[1] == qr.STEPS and got[2] == 1 and got[3] == 1 and got[4] == qr.STEPS
@@ -71,8 +72,8 @@ def test_guarantee_holds_per_stratum(spark):
     for i in range(1200):
         stratum = "plain" if i % 2 else "marked"
         symbols = 0 if stratum == "plain" or i % 20 else 100
-        rows.append((i, stratum, 100, 400, symbols, 0, 0, 10, 0))
-    rows += [(5000 + i, None, 100, 400, 300, 0, 0, 10, 0) for i in range(5)]
+        rows.append((i, stratum, 100, 400, symbols, 0, 0, 10, 0, 0))
+    rows += [(5000 + i, None, 100, 400, 300, 0, 0, 10, 0, 0) for i in range(5)]
     counts = spark.createDataFrame(rows, "doc_id bigint, s string, " + ", ".join(f"{c} bigint" for c in qr.COUNTS))
     labels = spark.createDataFrame([(i, 1) for i in range(1200)] + [(7, 1), (None, 1)], "doc_id bigint, quality int")
     got = {r["doc_id"]: r for r in qr.judge(counts, labels, "s").collect()}
