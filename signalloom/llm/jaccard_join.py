@@ -7,9 +7,9 @@ pairs; a pair is verified once, on the whole sets.
 
 Copies make no work: equal sets are one class, represented by the smallest doc_id.
 Near copies don't make all their pairs either, as only connected components are
-asked for. First each set meets a few leaders of each of its prefix n-grams, in one
-or more rounds; then only pairs across the components found so far are left, and of
-these every one that passes the filters is verified.
+asked for. First each set meets one leader of each of its prefix n-grams, then several,
+in groups not yet connected; then only pairs across the components found so far are
+left, and of these every one that passes the filters is verified.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ CELLS = 64
 FULL = 127
 LEADERS = 16
 ROUNDS = 3
+# Up to so many ids (16 MB) are broadcast to pick their rows; more are joined.
+BROADCAST_IDS = 2_000_000
 
 
 def cell(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -249,13 +251,14 @@ def _similar_bounds(percent: int) -> Column:
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
-    return rows.select(
-        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), "y.nth"
-    ).groupBy("a", "b").agg(F.min("nth").alias("nth"))
+    return rows.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
-def _ids(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id is among ``ids``, a written table: broadcast if counted to be small."""
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return rows.join(ids, "doc_id", "left_semi")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -274,12 +277,6 @@ def _with_component(rows: DataFrame, key: str, found: DataFrame, name: str) -> D
     return joined.withColumn(name, F.coalesce("_component", key)).drop("_node", "_component")
 
 
-def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs whose ends aren't connected yet."""
-    ends = _with_component(_with_component(pairs, "a", found, "_ca"), "b", found, "_cb")
-    return ends.where("_ca <> _cb").drop("_ca", "_cb")
-
-
 def representatives(signed: DataFrame) -> DataFrame:
     """(h1, h2, rep): the smallest doc_id of each class of equal sets."""
     return signed.where("n_grams > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(
@@ -293,8 +290,8 @@ def similarity_links(
 ) -> DataFrame:
     """(node, component) of the representatives that are linked, directly or over others."""
     ranks = frequency_ranks(docs, n)
-    ids = reps.select(F.col("rep").alias("doc_id")).distinct()
-    cut = written(prefixes(docs, n, percent, ranks).join(ids, "doc_id", "left_semi"), "prefixes")
+    ids = written(reps.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+    cut = written(_only(prefixes(docs, n, percent, ranks), ids), "prefixes")
     tokens = cut.select(F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("pos", "gram"))
     shared = tokens.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     shared = shared.where("lo < hi").select("gram")
@@ -306,62 +303,54 @@ def similarity_links(
     def meet(rows: DataFrame, turn: int) -> DataFrame:
         """Pairs of all rows with the leaders of their n-grams, chosen anew each turn."""
         order = Window.partitionBy("gram").orderBy(F.xxhash64("gram", "id", F.lit(turn)), "id", "n")
-        leading = rows.withColumn("nth", F.row_number().over(order)).where(f"nth <= {leaders}")
+        most = leaders if turn else 1
+        leading = rows.withColumn("nth", F.row_number().over(order)).where(f"nth <= {most}").drop("nth")
         joined = rows.alias("x").join(leading.alias("y"), "gram").where("x.id <> y.id")
-        if "component" in rows.columns:
+        if turn:
             joined = joined.where("x.component <> y.component")
         return _pairs(joined.where(_similar_bounds(percent)))
 
-    pairs = written(meet(met, 0), "pairs")
-    sets = written(gram_sets(docs.join(_ids(pairs), "doc_id", "left_semi"), n), "sets")
-    # The first leader connects most of a group; the others only matter across components.
-    links = written(_verified(pairs.where("nth = 1"), sets, percent), "links")
-    found = components(links)
-    more = written(_verified(_across(pairs.where("nth > 1"), found), sets, percent), "links")
-    links = links.unionByName(more)
-    found = components(links)
-
-    def verified(new: DataFrame) -> DataFrame:
-        nonlocal sets
-        lacking = written(_ids(new).join(sets.select("doc_id"), "doc_id", "left_anti"), "lacking")
-        if not lacking.isEmpty():
-            sets = sets.unionByName(written(gram_sets(docs.join(lacking, "doc_id", "left_semi"), n), "sets"))
-        return written(_verified(new, sets, percent), "links")
-
-    done = pairs.select("a", "b")
-    for turn in range(1, rounds + 1):
-        # Groups too large to have met completely, and in several components still.
-        left = written(_open_groups(_with_component(met, "id", found, "component"), leaders), "open")
-        if left.isEmpty():
-            return found
-        if turn < rounds:
-            new = meet(left, turn)
-        else:
-            # What isn't in its group's largest component meets all of the group.
-            left = left.withColumn("nth", F.lit(0))
-            new = _pairs(
-                left.where("component <> major").alias("x").join(left.alias("y"), "gram").where(
-                    "x.component <> y.component AND (y.component = y.major OR x.id < y.id)"
-                ).where(_similar_bounds(percent))
-            )
-        new = written(new.join(done, ["a", "b"], "left_anti"), "pairs")
-        if new.isEmpty():
-            continue
-        done = done.unionByName(new.select("a", "b"))
-        more = verified(new)
-        if not more.isEmpty():
-            links = links.unionByName(more)
+    def meet_all(rows: DataFrame) -> DataFrame:
+        """What isn't in its group's largest component meets all of the group but its own component."""
+        joined = rows.where("component <> major").alias("x").join(rows.alias("y"), "gram").where(
+            "x.component <> y.component AND (y.component = y.major OR x.id < y.id)"
+        )
+        return _pairs(joined.where(_similar_bounds(percent)))
+
+    sets = links = done = None
+    # One leader first, which connects most of a group; then several, and all that is left.
+    for turn in range(rounds + 1):
+        rows = met
+        if turn:
+            placed = _with_component(met, "id", found, "component")
+            # Smaller groups have met completely after the turn with several leaders.
+            rows = written(_open_groups(placed, 1 if turn == 1 else leaders + 1), "open")
+            if rows.isEmpty():
+                break
+        new = meet(rows, turn) if turn < rounds else meet_all(rows)
+        if done is not None:
+            new = new.join(done, ["a", "b"], "left_anti")
+        new = written(new, "pairs")
+        done = new if done is None else done.unionByName(new)
+        lacking = new.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        if sets is not None:
+            lacking = lacking.join(sets.select("doc_id"), "doc_id", "left_anti")
+        more = written(gram_sets(_only(docs, written(lacking, "lacking")), n), "sets")
+        sets = more if sets is None else sets.unionByName(more)
+        similar = written(_verified(new, sets, percent), "links")
+        links = similar if links is None else links.unionByName(similar)
+        if not turn or not similar.isEmpty():
             found = components(links)
     return found
 
 
-def _open_groups(placed: DataFrame, leaders: int) -> DataFrame:
-    """Rows of n-grams with more than ``leaders + 1`` rows in several components; major is the largest."""
+def _open_groups(placed: DataFrame, size: int) -> DataFrame:
+    """Rows of n-grams with more than ``size`` rows in several components; major is the largest."""
     parts = placed.groupBy("gram", "component").agg(F.count("*").alias("members"))
     groups = parts.groupBy("gram").agg(
         F.sum("members").alias("members"), F.count("*").alias("parts"),
         F.max_by("component", F.struct("members", "component")).alias("major"),
-    ).where(f"parts > 1 AND members > {leaders + 1}").select("gram", "major")
+    ).where(f"parts > 1 AND members > {size}").select("gram", "major")
     return placed.join(groups, "gram")
 
 
