@@ -35,12 +35,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays, once."""
-    linked = jaccard_join.join_documents(docs)
-    first = linked.where("doc_id = component_id").select("doc_id").distinct()
+    own = docs.select(*COLUMNS)
+    linked = written(jaccard_join.join_documents(docs), "linked")
+    first = written(linked.where("doc_id = component_id").select("doc_id").distinct(), "first")
+    kept = jaccard_join.only(own, first)
+    # Rows that share an id, if there are any, leave one; no other text is shuffled for it.
+    shared = linked.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    shared = written(shared, "shared")
     once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *COLUMNS[1:])
-    kept = docs.select(*COLUMNS).join(first, "doc_id", "left_semi")
-    kept = kept.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").drop("_nth")
-    return kept.unionByName(docs.where("doc_id IS NULL").select(*COLUMNS)).select(*COLUMNS)
+    one = jaccard_join.only(kept, shared).withColumn("_nth", F.row_number().over(once))
+    out = kept.join(shared, "doc_id", "left_anti").unionByName(one.where("_nth = 1").drop("_nth"))
+    return out.unionByName(own.where("doc_id IS NULL")).select(*COLUMNS)
 
 
 def benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

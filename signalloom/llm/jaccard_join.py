@@ -38,6 +38,8 @@ CELLS = 64
 FULL = 127
 LEADERS = 16
 ROUNDS = 3
+# Shared n-grams before each one that are kept with it.
+EARLIER = 8
 # Up to so many ids (16 MB) are broadcast to pick their rows; more are joined.
 BROADCAST_IDS = 2_000_000
 
@@ -89,6 +91,12 @@ def _sets(
         yield row, np.searchsorted(rows, np.arange(len(offsets)), "left"), hashes, common
 
 
+def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Lists of the given lengths, one after the other from ``values``."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
 def signatures(docs: DataFrame, n: int = WORDS) -> DataFrame:
     """(doc_id, n_grams, h1, h2): the size of each document's set and its 128-bit identity."""
 
@@ -130,7 +138,7 @@ def frequency_ranks(docs: DataFrame, n: int = WORDS, sketch: int = SKETCH) -> Ra
     """Counts of all words and n-grams of all documents in sketches of a fixed size.
 
     Every task counts its documents into two arrays of ``sketch`` counters and sends
-    chunks of them; these are added up by chunk, and the sums reach the driver.
+    chunks of them; these are added up by chunk, and the sums (16 MB) reach the driver.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +171,7 @@ def frequency_ranks(docs: DataFrame, n: int = WORDS, sketch: int = SKETCH) -> Ra
     kind = "chunk int, counts binary"
     counted = docs.select("text").mapInArrow(count, kind)
     total = np.zeros(2 * sketch, dtype=np.int64)
-    for r in counted.repartition(16, "chunk").mapInArrow(add, kind).toLocalIterator():
+    for r in counted.repartition(16, "chunk").mapInArrow(add, kind).collect():
         values = np.frombuffer(r["counts"], np.int64)
         total[r["chunk"] : r["chunk"] + len(values)] = values
     return Ranks.of(total[:sketch], total[sketch:])
@@ -186,7 +194,6 @@ def prefixes(docs: DataFrame, n: int, percent: int, ranks: Ranks) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = spread.value
         for batch in batches:
-            rows, sizes, lists, cells = [], [], [], []
             for row, ends, hashes, common in _sets(batch, n, known.words):
                 size = np.diff(ends)
                 owner = np.repeat(np.arange(len(size)), size)
@@ -197,19 +204,15 @@ def prefixes(docs: DataFrame, n: int, percent: int, ranks: Ranks) -> DataFrame:
                     owner * CELLS + (hashes >> np.uint64(58)).astype(np.int64) % CELLS,
                     minlength=len(size) * CELLS,
                 )
-                hist = np.minimum(hist, FULL).astype(np.int8).reshape(len(size), CELLS)
                 full = np.flatnonzero(size)
-                rows += (row + full).tolist()
-                sizes += size[full].tolist()
-                cells += [hist[i] for i in full]
-                sorted_hashes = hashes[order].view(np.int64)[kept]
-                cuts = np.concatenate([[0], np.cumsum(length[full])])
-                lists += [sorted_hashes[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(sizes, pa.int64()),
-                 pa.array(lists, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int8()))],
-                names=["doc_id", "n", "prefix", "cells"],
-            )
+                hist = np.minimum(hist, FULL).astype(np.int8).reshape(len(size), CELLS)[full]
+                prefix = hashes[order].view(np.int64)[kept]
+                # A batch per block: what is on its way stays small.
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(row + full)), pa.array(size[full]),
+                     _lists(prefix, length[full]), _lists(hist.ravel(), np.full(len(full), CELLS))],
+                    names=["doc_id", "n", "prefix", "cells"],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
@@ -222,29 +225,30 @@ def gram_sets(docs: DataFrame, n: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = []
-            for _, ends, hashes, _ in _sets(batch, n):
-                signed = hashes.view(np.int64)
-                lists += [signed[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "grams"]
-            )
+            for row, ends, hashes, _ in _sets(batch, n):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(row, len(ends) - 1), _lists(hashes.view(np.int64), np.diff(ends))],
+                    names=["doc_id", "grams"],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, grams array<bigint>")
 
 
-def _similar_bounds(percent: int) -> Column:
+def _similar_bounds(percent: int, once: bool = True) -> Column:
     """Length, positional and suffix filters for rows x and y that share an n-gram.
 
     If it is the first one they share, what is left of both bounds their overlap; if it
     isn't, the first one has let the pair through already. The histograms bound the
-    overlap whatever they share.
+    overlap whatever they share. ``once`` leaves out n-grams with an earlier shared one
+    among the few before them, so that a pair doesn't come up at every one it shares;
+    its first one never is left out.
     """
     least_overlap = need(percent, "x.n", "y.n")
+    earlier = "AND NOT arrays_overlap(x.before, y.before)" if once else ""
     return F.expr(f"""
         100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)
-        AND least(x.n - x.pos, y.n - y.pos) >= {least_overlap}
+        AND least(x.n - x.pos, y.n - y.pos) >= {least_overlap} {earlier}
         AND aggregate(zip_with(x.cells, y.cells, (p, q) ->
             CASE WHEN p = {FULL} AND q = {FULL} THEN 1000000000 ELSE cast(least(p, q) AS bigint) END), 0L, (s, v) -> s + v)
             >= {least_overlap}""")
@@ -254,7 +258,7 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
-def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows whose doc_id is among ``ids``, a written table: broadcast if counted to be small."""
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
@@ -291,14 +295,16 @@ def similarity_links(
     """(node, component) of the representatives that are linked, directly or over others."""
     ranks = frequency_ranks(docs, n)
     ids = written(reps.select(F.col("rep").alias("doc_id")).distinct(), "ids")
-    cut = written(_only(prefixes(docs, n, percent, ranks), ids), "prefixes")
+    cut = written(only(prefixes(docs, n, percent, ranks), ids), "prefixes")
     tokens = cut.select(F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("pos", "gram"))
     shared = tokens.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     shared = shared.where("lo < hi").select("gram")
     cells = cut.select(F.col("doc_id").alias("id"), F.col("n").alias("_n"), "cells").distinct()
-    met = written(
-        tokens.join(shared, "gram", "left_semi").join(cells, "id").where("n = _n").drop("_n"), "met"
-    )
+    met = tokens.join(shared, "gram", "left_semi").join(cells, "id").where("n = _n").drop("_n")
+    # Tells apart sets that share an id.
+    met = met.withColumn("_which", F.xxhash64("n", "cells"))
+    earlier = Window.partitionBy("id", "_which").orderBy("pos").rowsBetween(-EARLIER, -1)
+    met = written(met.withColumn("before", F.collect_list("gram").over(earlier)).drop("_which"), "met")
 
     def meet(rows: DataFrame, turn: int) -> DataFrame:
         """Pairs of all rows with the leaders of their n-grams, chosen anew each turn."""
@@ -308,7 +314,7 @@ def similarity_links(
         joined = rows.alias("x").join(leading.alias("y"), "gram").where("x.id <> y.id")
         if turn:
             joined = joined.where("x.component <> y.component")
-        return _pairs(joined.where(_similar_bounds(percent)))
+        return _pairs(joined.where(_similar_bounds(percent, once=turn > 0)))
 
     def meet_all(rows: DataFrame) -> DataFrame:
         """What isn't in its group's largest component meets all of the group but its own component."""
@@ -317,7 +323,7 @@ def similarity_links(
         )
         return _pairs(joined.where(_similar_bounds(percent)))
 
-    sets = links = done = None
+    sets = done = found = None
     # One leader first, which connects most of a group; then several, and all that is left.
     for turn in range(rounds + 1):
         rows = met
@@ -335,12 +341,15 @@ def similarity_links(
         lacking = new.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         if sets is not None:
             lacking = lacking.join(sets.select("doc_id"), "doc_id", "left_anti")
-        more = written(gram_sets(_only(docs, written(lacking, "lacking")), n), "sets")
+        more = written(gram_sets(only(docs, written(lacking, "lacking")), n), "sets")
         sets = more if sets is None else sets.unionByName(more)
         similar = written(_verified(new, sets, percent), "links")
-        links = similar if links is None else links.unionByName(similar)
-        if not turn or not similar.isEmpty():
-            found = components(links)
+        if found is None:
+            found = components(similar)
+        elif not similar.isEmpty():
+            # What was found is stars already: only the new links are contracted.
+            stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            found = components(stars.unionByName(similar))
     return found
 
 
