@@ -32,12 +32,11 @@ PERCENT = 85
 # better apart; the order of n-grams never changes the result.
 SKETCH = 1 << 20
 CHUNK = 1 << 14
-# Cells of the suffix filter's histogram, where they are full, and leaders that a set
-# meets for an n-gram in each round.
+# Cells of the suffix filter's histogram, where they are full, and how many leaders of
+# an n-gram a set meets in each round.
 CELLS = 64
 FULL = 127
-LEADERS = 16
-ROUNDS = 3
+LEADERS = (1, 4, 16)
 # Shared n-grams before each one that are kept with it.
 EARLIER = 8
 # Up to so many ids (16 MB) are broadcast to pick their rows; more are joined.
@@ -290,7 +289,7 @@ def representatives(signed: DataFrame) -> DataFrame:
 
 def similarity_links(
     docs: DataFrame, reps: DataFrame, n: int = WORDS, percent: int = PERCENT,
-    leaders: int = LEADERS, rounds: int = ROUNDS,
+    leaders: tuple[int, ...] = LEADERS,
 ) -> DataFrame:
     """(node, component) of the representatives that are linked, directly or over others."""
     ranks = frequency_ranks(docs, n)
@@ -309,9 +308,8 @@ def similarity_links(
     def meet(rows: DataFrame, turn: int) -> DataFrame:
         """Pairs of all rows with the leaders of their n-grams, chosen anew each turn."""
         order = Window.partitionBy("gram").orderBy(F.xxhash64("gram", "id", F.lit(turn)), "id", "n")
-        most = leaders if turn else 1
-        leading = rows.withColumn("nth", F.row_number().over(order)).where(f"nth <= {most}").drop("nth")
-        joined = rows.alias("x").join(leading.alias("y"), "gram").where("x.id <> y.id")
+        leading = rows.withColumn("nth", F.row_number().over(order)).where(f"nth <= {leaders[turn]}")
+        joined = rows.alias("x").join(leading.drop("nth").alias("y"), "gram").where("x.id <> y.id")
         if turn:
             joined = joined.where("x.component <> y.component")
         return _pairs(joined.where(_similar_bounds(percent, once=turn > 0)))
@@ -324,16 +322,16 @@ def similarity_links(
         return _pairs(joined.where(_similar_bounds(percent)))
 
     sets = done = found = None
-    # One leader first, which connects most of a group; then several, and all that is left.
-    for turn in range(rounds + 1):
+    # One leader first, which connects most of a group; then more, and all that is left.
+    for turn in range(len(leaders) + 1):
         rows = met
         if turn:
             placed = _with_component(met, "id", found, "component")
-            # Smaller groups have met completely after the turn with several leaders.
-            rows = written(_open_groups(placed, 1 if turn == 1 else leaders + 1), "open")
+            # Groups with one row more than leaders, or fewer, have met completely.
+            rows = written(_open_groups(placed, leaders[turn - 1] + 1), "open")
             if rows.isEmpty():
                 break
-        new = meet(rows, turn) if turn < rounds else meet_all(rows)
+        new = meet(rows, turn) if turn < len(leaders) else meet_all(rows)
         if done is not None:
             new = new.join(done, ["a", "b"], "left_anti")
         new = written(new, "pairs")

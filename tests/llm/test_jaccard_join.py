@@ -27,11 +27,11 @@ def families(seed, n=14):
     return list(enumerate(rows, 100))
 
 
-@pytest.mark.parametrize("leaders", [1, 2, 16])
+@pytest.mark.parametrize("leaders", [(1,), (1, 2), (1, 4, 16)])
 def test_components_equal_all_pairs(spark, leaders, monkeypatch):
-    rows = families(leaders)
+    rows = families(len(leaders))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
-    monkeypatch.setattr(jj.similarity_links, "__defaults__", (jj.WORDS, jj.PERCENT, leaders, jj.ROUNDS))
+    monkeypatch.setattr(jj.similarity_links, "__defaults__", (jj.WORDS, jj.PERCENT, leaders))
     got = {r["doc_id"]: (r["n_grams"], r["component_id"]) for r in jj.join_documents(docs).collect()}
     want = brute.jaccard_components(rows)
     assert got == {d: (len(brute.shingles(t)), want[d]) for d, t in rows}
