@@ -25,6 +25,8 @@ UNKNOWN = "und"
 # N-gram lengths in bytes, and the buckets they are hashed to.
 SIZES = (2, 3, 4)
 BUCKETS = 1 << 16
+# Bytes of text whose n-grams are in memory at once.
+BLOCK = 1 << 18
 # Labelled rows learned from, per language at most (about; see ``training_rows``).
 SAMPLE = 3000
 # Added to every n-gram's count; and the score below which a text is flagged.
@@ -154,7 +156,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = np.asarray(batch.column("lang").to_pylist(), dtype=object)
-            for first, data, offsets in tv.blocks(batch.column("text")):
+            for first, data, offsets in tv.blocks(batch.column("text"), BLOCK):
                 rows, buckets = ngrams(data, offsets)
                 of = langs[first : first + len(offsets) - 1]
                 for lang in set(of):
@@ -204,7 +206,7 @@ def identify(docs: DataFrame, model: Model, ambiguous: float = AMBIGUOUS) -> Dat
             lettered = lettered.to_numpy(zero_copy_only=False) & bool(known.languages)
             best = np.full(batch.num_rows, len(known.languages))
             score = np.zeros(batch.num_rows)
-            for first, data, offsets in tv.blocks(text) if known.languages else ():
+            for first, data, offsets in tv.blocks(text, BLOCK) if known.languages else ():
                 span = slice(first, first + len(offsets) - 1)
                 best[span], score[span] = known.decode(known.margins(data, offsets))
             best[~lettered], score[~lettered] = len(known.languages), 0.0

@@ -29,9 +29,9 @@ END_ID = 1
 # Each length is numbered in so many parts: no length is one task's work.
 PARTS = 1024
 # Words whose ids a worker remembers (twice as many at most), and the longest word kept.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 150_000, 64
 # Text that is encoded at once.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 # A word that ends in ASCII letters and then punctuation.
 ENDED = re.compile(rb"(.*[A-Za-z])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
 
