@@ -1,7 +1,8 @@
 """Personal values replaced by pseudonyms of the same format.
 
-Numbers are looked for by format and validated (check digits, ranges, calendar). A valid
-one is written as digits in a mixed radix, run through a keyed Feistel network over
+Numbers are looked for by format and validated (check digits, ranges, calendar), from every
+place where one may begin. If a match isn't valid, as it has run into the number behind it,
+its shorter readings are tried, and the scan goes on inside it. A valid one is written as digits in a mixed radix, run through a keyed Feistel network over
 these digits, and rendered in its own format again, with its check digits made anew.
 That is a permutation of the format's values: equal values get equal pseudonyms in all
 documents, different ones different pseudonyms, and who has the key can invert it. All
@@ -29,15 +30,37 @@ FORMATS = {
     "secret": r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])",
     "card": r"(?<![\d.,-])\d(?:[ -]?\d){12,18}(?!\d|[.,-]\d)",
 }
+# Characters looked at from where a number may begin; no format but the email's is as long.
+WINDOW = 80
+# Shapes that are tried before longer readings. Cards stand unbroken or in their usual groups.
+CARD_SHAPE = r"(?:\d{13,19}|\d{4}([ -])(?:\d{4}\1\d{4}\1\d{4}|\d{6}\1\d{4,5}))(?!\d)"
+# Phones of ten digits behind +1 or an area code, and others up to where a number of another kind begins.
+PHONE_SHAPE = r"(?:\+1[ .-]?\(?\d{3}|\([2-9]\d{2})\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+NEXT = (
+    r"(?:\d{1,3}(?:\.\d{1,3}){3}|\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4}|\d{3}-\d{2}-\d{4}"
+    r"|\d{3}([.-])\d{3}\3\d{4}|\d{4}([ -])(?:\d{4}\4\d{4}\4\d{4}|\d{6}\4\d{4,5})|\d{13,19})(?!\d)"
+)
+PHONE_BOUND = (
+    r"(?:(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}|\+\d{1,3}[ .-]\d{2,4})"
+    rf"(?:(?: (?!{NEXT})|[.-])?\d{{2,4}}){{1,4}}(?!\d)"
+)
+# Lengths of account numbers by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC",
+    33: "RU",
+}
 # The first date that is permuted, and how many days; 17 * 4297 of them.
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)
 # Social security numbers have an area from 1 to 899 without 666, a group and a serial above 0.
 AREAS, GROUPS, SERIALS = 898, 99, 9999
 
 
-def pattern(kinds: tuple[str, ...]) -> str:
-    """One pattern for all kinds, the back reference numbered as it stands in the whole."""
-    parts, groups = [], 0
+def pattern(kinds: tuple[str, ...], groups: int = 0) -> str:
+    """One pattern for all kinds, the back reference numbered as it stands behind ``groups`` others."""
+    parts = []
     for kind in kinds:
         parts.append(FORMATS[kind].replace("\\1", f"\\{groups + 1}"))
         groups += kind == "phone"
@@ -103,12 +126,55 @@ _RADIX = """CASE WHEN NOT x.own THEN 1 WHEN x.code BETWEEN 48 AND 57 THEN 10
     ELSE 1 END"""
 
 
+def readings(kind: str) -> str:
+    """SQL of the readings of a match ``m``, first in ``w``, the preferred ones first.
+
+    Where groups may belong to the number behind, the usual shape stands first, then all
+    that ends with a group, the longest first.
+    """
+    if kind not in ("phone", "iban", "card"):
+        return "array(m)"
+    cuts = {"phone": "[ .-]", "iban": " ", "card": "[ -]"}[kind]
+    shorter = f"""transform(filter(sequence(length(m), 1, -1), i -> i = length(m) OR
+        substr(m, i + 1, 1) RLIKE '^{cuts}$'), i -> substr(m, 1, i))"""
+    if kind == "phone":
+        usual = ", ".join(f"regexp_extract(w, {_literal('^' + p)}, 0)" for p in (PHONE_SHAPE, PHONE_BOUND))
+        return f"concat(array({usual}), {shorter})"
+    if kind == "iban":
+        sizes = " ".join(
+            f"WHEN substr(m, 1, 2) IN ({', '.join(map(_literal, names.split()))}) THEN {size}"
+            for size, names in IBAN_LENGTHS.items()
+        )
+        return f"""concat(filter({shorter}, r -> length(replace(r, ' ', '')) = CASE {sizes} END), {shorter})"""
+    # A card in its usual shape is no part of a longer one.
+    inside = rf"(?<!\d)(?=({CARD_SHAPE}))".replace("\\1", "\\2")
+    shaped = f"regexp_extract_all(r, {_literal(inside)}, 1)"
+    return f"""concat(array(regexp_extract(w, {_literal('^' + CARD_SHAPE)}, 0)),
+        filter({shorter}, r -> NOT exists({shaped}, x -> {_luhn(_DIGITS.format(m='x'))} % 10 = 0)))"""
+
+
 def coded(kinds: tuple[str, ...]) -> str:
-    """SQL of a match ``m`` as (m, kind); kind is null if it isn't valid."""
-    cases = " ".join(
-        f"WHEN m RLIKE {_literal(f'^(?:{FORMATS[k]})$')} AND {_VALID[k]} THEN '{k}'" for k in kinds
-    )
-    return f"named_struct('m', m, 'kind', CASE {cases} END)"
+    """SQL of the first valid value in ``t``, one character and what follows it, as (m, kind), or null."""
+    cases = []
+    for k in kinds:
+        greedy = f"substr(regexp_extract(t, {_literal(f'(?s)^.(?:{FORMATS[k]})')}, 0), 2)"
+        valid = f"m RLIKE {_literal(f'^(?:{FORMATS[k]})$')} AND {_VALID[k]}"
+        read = f"flatten(transform(filter(array({greedy}), m -> m <> ''), m -> {readings(k)}))"
+        read = f"flatten(transform(array(substr(t, 2)), w -> {read}))" if "(w," in read else read
+        cases.append(f"get(transform(filter({read}, m -> {valid}), m -> named_struct('m', m, 'kind', '{k}')), 0)")
+    return f"coalesce({', '.join(cases)})"
+
+
+# SQL of the values that stay, from left to right, each with the text behind it: what begins
+# inside one before it goes. Pieces begin where a value may; ``c`` is the value, if any.
+_KEPT = """aggregate(arrays_zip(slice(_pieces, 2, size(_pieces)), _coded), named_struct('skip', 0, 'out',
+        cast(array() AS array<struct<m: string, kind: string, tail: string>>)),
+    (s, x) -> CASE WHEN s.skip > 0 THEN named_struct('skip', greatest(s.skip - length(x.`0`), 0), 'out',
+            array_append(s.out, named_struct('m', '', 'kind', cast(NULL AS string), 'tail', substr(x.`0`, s.skip + 1))))
+        ELSE named_struct('skip', greatest(coalesce(length(x._coded.m), 0) - length(x.`0`), 0), 'out',
+            array_append(s.out, named_struct('m', coalesce(x._coded.m, ''), 'kind', x._coded.kind,
+                'tail', substr(x.`0`, coalesce(length(x._coded.m), 0) + 1)))) END,
+    s -> s.out)"""
 
 
 def digits() -> str:
@@ -178,24 +244,27 @@ def pseudonymise(
     select what is to be published.
     """
     docs = docs.drop("found")
-    rx = _literal(pattern(kinds))
-    # Every format holds a digit or an @.
-    some = docs.withColumn(
-        "_matches",
-        F.expr(f"CASE WHEN text RLIKE '[0-9@]' THEN regexp_extract_all(text, {rx}, 0) ELSE array() END"),
-    )
+    starts = "(?=" + pattern(kinds) + ")"
+    numbers = tuple(k for k in kinds if k != "email")
+    ahead = [FORMATS["email"]] * ("email" in kinds) + [f"(?={pattern(numbers, 1)})(?s:.{{1,{WINDOW}}})"] * bool(numbers)
+    windows = f"(?=({'|'.join(ahead)}))"
+    # Every format holds a digit or an @. The blank before the text makes the first piece its own.
+    some = docs.withColumn("_some", F.expr("coalesce(text RLIKE '[0-9@]', false)"))
     steps = [
-        ("_coded", f"transform(_matches, m -> {coded(kinds)})"),
-        ("_digits", f"transform(_coded, c -> {digits()})"),
+        ("_pieces", f"CASE WHEN _some THEN split(concat(' ', text), {_literal(starts)}, -1) ELSE array() END"),
+        ("_windows", f"CASE WHEN size(_pieces) > 1 THEN regexp_extract_all(text, {_literal(windows)}, 1) ELSE array() END"),
+        ("_coded", f"""transform(transform(_windows, (w, i) -> concat(right(_pieces[i], 1), w)),
+            t -> {coded(kinds)})"""),
+        ("_kept", _KEPT),
+        ("_digits", f"transform(_kept, c -> {digits()})"),
         ("_permuted", f"transform(_digits, d -> {feistel(key, rounds)})"),
         ("_named", f"""transform(_permuted, c -> named_struct('kind', c.kind, 'value', c.m,
-            'pseudonym', CASE WHEN c.kind IS NULL THEN c.m ELSE {rendered()} END))"""),
+            'pseudonym', CASE WHEN c.kind IS NULL THEN '' ELSE {rendered()} END))"""),
     ]
     for name, sql in steps:
         some = some.withColumn(name, F.expr(sql))
-    replaced = f"""CASE WHEN size(_matches) = 0 THEN text ELSE
-        array_join(flatten(transform(arrays_zip(split(text, {rx}, -1), _named),
-            z -> array(z.`0`, coalesce(z._named.pseudonym, '')))), '') END"""
+    replaced = """CASE WHEN size(_kept) = 0 THEN text ELSE concat(substr(_pieces[0], 2),
+        array_join(zip_with(_named, _kept, (n, k) -> concat(n.pseudonym, k.tail)), '')) END"""
     return some.select(
         *[F.col(f"`{c}`") if c != "text" else F.expr(replaced).alias("text") for c in docs.columns],
         F.expr("filter(_named, n -> n.kind IS NOT NULL)").alias("found"),

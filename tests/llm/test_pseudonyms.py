@@ -114,3 +114,45 @@ def test_query_replaces_every_planted_value(spark):
         if not values:
             assert r["text"] == texts[r["doc_id"]]
     assert n > 50
+
+
+BESIDE = {
+    "+1 (826) 555-4081 190.137.223.204": ["+1 (826) 555-4081", "190.137.223.204"],
+    "4111111111111111 12": ["4111111111111111"],
+    "12 4111111111111111": ["4111111111111111"],
+    "4111 1111 1111 1111 123": ["4111 1111 1111 1111"],
+    "12 4111 1111 1111 1111 12": ["4111 1111 1111 1111"],
+    "3782 822463 10005 20": ["3782 822463 10005"],
+    "4111111111111111 5500-0000-0000-0004": ["4111111111111111", "5500-0000-0000-0004"],
+    "BE68 5390 0754 7034 2024": ["BE68 5390 0754 7034"],
+    "DE89370400440532013000 USA 7": ["DE89370400440532013000"],
+    "AB11 BE68 5390 0754 7034": ["BE68 5390 0754 7034"],
+    "(212) 555-1234 20": ["(212) 555-1234"],
+    "20 (212) 555-1234 4111 1111 1111 1111": ["(212) 555-1234", "4111 1111 1111 1111"],
+    "+49 30 1234 5678 4111 1111 1111 1111": ["+49 30 1234 5678", "4111 1111 1111 1111"],
+    "+44 20 7946 0958 212-555-0199 1984-02-29": ["+44 20 7946 0958", "212-555-0199", "1984-02-29"],
+    "+44 20 7946 0958 97.51.17.173 123-45-6789": ["+44 20 7946 0958", "97.51.17.173", "123-45-6789"],
+    "a_4111111111111111@x.org 4111111111111111": ["a_4111111111111111@x.org", "4111111111111111"],
+}
+
+
+def test_values_side_by_side(spark):
+    rows = run(spark, [f"{before}{t}{after}" for t in BESIDE for before, after in (("", ""), ("é, ", ". End"))])
+    for i, (t, values) in enumerate(BESIDE.items()):
+        for row, (before, after) in zip(rows[2 * i : 2 * i + 2], (("", ""), ("é, ", ". End")), strict=True):
+            assert [f["value"] for f in row["found"]] == values, t
+            want = t
+            for f in row["found"]:
+                want = want.replace(f["value"], f["pseudonym"], 1)
+            assert row["text"] == before + want + after
+
+
+def test_small_numbers_do_not_break_links(spark):
+    """A value has one pseudonym, whatever numbers stand before and behind it."""
+    values = ["4111111111111111", "4111 1111 1111 1111", "(212) 555-1234", "+1 (826) 555-4081", "BE68 5390 0754 7034"]
+    around = ["{}", *[f"{n} {{}}" for n in (1, 12, 123, 1234)], *[f"{{}} {n}" for n in (1, 12, 13, 20, 123, 1234)]]
+    rows = run(spark, [a.format(v) for v in values for a in around])
+    for i, value in enumerate(values):
+        found = [r["found"] for r in rows[i * len(around) : (i + 1) * len(around)]]
+        assert all([f["value"] for f in fs] == [value] for fs in found), value
+        assert len({fs[0]["pseudonym"] for fs in found}) == 1
