@@ -16,6 +16,8 @@ from signalloom.llm.tables import read, written
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 # A language this unsure is no better than a guess.
 LEAST_SCORE = 0.5
+# Near copies have 80 % of their five-word n-grams in common (the op8 query: four words, 85 %).
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays, once."""
     own = docs.select(*COLUMNS)
-    linked = written(jaccard_join.join_documents(docs), "linked")
+    linked = written(jaccard_join.join_documents(docs, NEAR_WORDS, NEAR_PERCENT), "linked")
     first = written(linked.where("doc_id = component_id").select("doc_id").distinct(), "first")
     kept = jaccard_join.only(own, first)
     # Rows that share an id, if there are any, leave one; no other text is shuffled for it.

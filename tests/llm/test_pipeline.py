@@ -51,3 +51,21 @@ def test_odd_documents(odd, none, spark):
         docs.count()
 
 
+
+
+def test_near_copies_of_five_words_and_80_percent_go(spark):
+    words = [f"w{i}" for i in range(200)]
+    added = words + [f"new{i}" for i in range(44)]  # 5-word Jaccard 196 of 240, 4-word 197 of 241: 0.82
+    scattered = [f"x{i}" if i % 46 == 20 else w for i, w in enumerate(words)]  # 4 edits: 176 of 216, 0.81
+    far = words + [f"far{i}" for i in range(60)]  # 196 of 256: 0.77
+    texts = [" ".join(w) for w in (words, added, scattered, far)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    got = cp.near_copies(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), SF)
+    linked = brute.jaccard_components([r[:2] for r in rows], 5, 80)
+    assert {r["doc_id"] for r in got.collect()} == set(linked.values()) == {0, 3}
+
+
+def test_near_copy_stage_equals_brute_force_at_five_words(spark, documents):
+    docs = documents.select(*cp.COLUMNS)
+    linked = brute.jaccard_components([(r["doc_id"], r["text"]) for r in docs.collect()], 5, 80)
+    assert {r["doc_id"] for r in cp.near_copies(spark, docs, SF).collect()} == set(linked.values())
