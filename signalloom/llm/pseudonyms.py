@@ -24,7 +24,7 @@ FORMATS = {
     r"|\d{2}(?:-\d{2}-\d{4}|/\d{2}/\d{4}|\.\d{2}\.\d{4}))(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)"
-    r"|(?<![\d+])\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?!\d)|(?<![\d.-])\d{3}([.-])\d{3}\1\d{4}(?![\d-])",
+    r"|(?<![\d+])(?!\+0\.\d+(?![ .-]?\d))\+\d(?:[ .-]?\d){6,14}(?!\d)|(?<![\d.-])\d{3}([.-])\d{3}\1\d{4}(?![\d-])",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])",
@@ -40,10 +40,12 @@ NEXT = (
     r"(?:\d{1,3}(?:\.\d{1,3}){3}|\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4}|\d{3}-\d{2}-\d{4}"
     r"|\d{3}([.-])\d{3}\3\d{4}|\d{4}([ -])(?:\d{4}\4\d{4}\4\d{4}|\d{6}\4\d{4,5})|\d{13,19})(?!\d)"
 )
-PHONE_BOUND = (
-    r"(?:(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}|\+\d{1,3}[ .-]\d{2,4})"
-    rf"(?:(?: (?!{NEXT})|[.-])?\d{{2,4}}){{1,4}}(?!\d)"
+PHONE_BOUNDS = (
+    rf"(?:\+\d{{1,3}}[ .-]?)?\(\d{{2,4}}\)[ .-]?\d{{2,4}}(?:(?: (?!{NEXT})|[.-])?\d{{2,4}}){{1,4}}(?!\d)",
+    rf"\+\d(?:(?: (?!{NEXT})|[.-])?\d){{6,14}}(?!\d)",
 )
+# Country codes as phones without separators begin, which stay; others have three digits.
+COUNTRIES = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 # Lengths of account numbers by country.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
@@ -112,8 +114,9 @@ _VALID = {
 }
 
 # Where the permuted characters of a format lie, from and to; those outside stay.
-_FROM = """CASE c.kind WHEN 'iban' THEN 5
-    WHEN 'phone' THEN CASE WHEN c.m LIKE '+%' THEN length(regexp_extract(c.m, '^[+][0-9]+', 0)) + 1 ELSE 1 END
+_FROM = f"""CASE c.kind WHEN 'iban' THEN 5
+    WHEN 'phone' THEN CASE WHEN c.m LIKE '+%' THEN
+        length(regexp_extract(c.m, '^[+](?:[0-9]{{1,3}}(?![0-9])|{COUNTRIES}|[0-9]{{3}})', 0)) + 1 ELSE 1 END
     ELSE 1 END"""
 _TO = """CASE c.kind WHEN 'card' THEN length(c.m) - 1
     WHEN 'email' THEN length(c.m) - length(regexp_extract(c.m, '[^.]+$', 0)) ELSE length(c.m) END"""
@@ -138,7 +141,7 @@ def readings(kind: str) -> str:
     shorter = f"""transform(filter(sequence(length(m), 1, -1), i -> i = length(m) OR
         substr(m, i + 1, 1) RLIKE '^{cuts}$'), i -> substr(m, 1, i))"""
     if kind == "phone":
-        usual = ", ".join(f"regexp_extract(w, {_literal('^' + p)}, 0)" for p in (PHONE_SHAPE, PHONE_BOUND))
+        usual = ", ".join(f"regexp_extract(w, {_literal('^' + p)}, 0)" for p in (PHONE_SHAPE, *PHONE_BOUNDS))
         return f"concat(array({usual}), {shorter})"
     if kind == "iban":
         sizes = " ".join(

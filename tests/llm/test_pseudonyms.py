@@ -156,3 +156,15 @@ def test_small_numbers_do_not_break_links(spark):
         found = [r["found"] for r in rows[i * len(around) : (i + 1) * len(around)]]
         assert all([f["value"] for f in fs] == [value] for fs in found), value
         assert len({fs[0]["pseudonym"] for fs in found}) == 1
+
+
+def test_international_phones_of_any_grouping(spark):
+    shapes = {"+493012345678": "+49", "+49 30 1234567": "+49", "+4930 1234567": "+49", "+35312345678": "+353",
+              "+1-2125550199": "+1", "+44 7 911 123 456": "+44"}
+    rows = run(spark, [f"call {v} or 4111111111111111" for v in shapes])
+    for (value, code), row in zip(shapes.items(), rows, strict=True):
+        assert [f["value"] for f in row["found"]] == [value, "4111111111111111"]
+        new = row["found"][0]["pseudonym"]
+        assert shape(new) == shape(value) and new.startswith(code) and new != value
+    others = ["+0.12345678", "+123456", "+1234567890123456"]
+    assert [r["text"] for r in run(spark, others)] == others
