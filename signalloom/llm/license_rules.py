@@ -13,7 +13,33 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Sentences of public licences and of notices that name them.
+# The FSF's notices: what they grant under, and the clause with the version that decides.
+_TERMS = "you can redistribute it and/or modify it under the terms of the GNU {} License"
+_FSF = " as published by the Free Software Foundation"
+_LATER = "either version {} of the License, or (at your option) any later version"
+_FAMILIES = {"GPL": "General Public", "LGPL": "Lesser General Public", "AGPL": "Affero General Public"}
+_VERSIONS = {"GPL": ("2", "3"), "LGPL": ("2.1", "3"), "AGPL": ("3",)}
+
+
+def _grants() -> dict[str, list[str]]:
+    """Clauses of the notices: the terms, the version, or both in one."""
+    out = {f"{family}_TERMS": [_TERMS.format(name) + _FSF] for family, name in _FAMILIES.items()}
+    for v in ("2", "2.1", "3"):
+        out[f"VERSION_{v}_LATER"] = [_LATER.format(v)]
+        out[f"VERSION_{v}_ONLY"] = [f"version {v} of the License"]
+    for family, name in _FAMILIES.items():
+        for v in _VERSIONS[family]:
+            terms = _TERMS.format(name)
+            out[f"{family}_{v}_LATER"] = [f"{terms}{_FSF}, {_LATER.format(v)}"]
+            out[f"{family}_{v}_ONLY"] = [
+                f"{terms}{_FSF}, version {v} of the License", f"{terms}{_FSF}, version {v}",
+                f"{terms} version {v}{_FSF}", f"{terms}, version {v},{_FSF}",
+            ]
+    return out
+
+
+# Clauses of public licences and of notices that name them, each up to a mark
+# before a blank. A tag's colon ends none.
 SENTENCES = {
     "MIT_GRANT": [
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
@@ -54,7 +80,8 @@ SENTENCES = {
     ],
     "APACHE2_COMPLY": ["You may not use this file except in compliance with the License."],
     "APACHE2_COPY": [
-        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "You may obtain a copy of the License at", "You may obtain a copy of the License at http:",
+        "You may obtain a copy of the License at https:",
     ],
     "APACHE2_AS_IS": [
         "Unless required by applicable law or agreed to in writing, software distributed under the License is "
@@ -78,14 +105,17 @@ SENTENCES = {
         "Licensed under the GNU General Public License, version 2.",
         "SPDX-License-Identifier: GPL-2.0-only",
     ],
-    "GPL3_GRANT": [
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-        "option) any later version.",
-    ],
+    "GPL2_LATER_REF": ["SPDX-License-Identifier: GPL-2.0-or-later"],
+    "GPL3_LATER_REF": ["SPDX-License-Identifier: GPL-3.0-or-later"],
+    "AGPL3_LATER_REF": ["SPDX-License-Identifier: AGPL-3.0-or-later"],
+    "FREE_PROGRAM": ["This program is free software", "This library is free software"],
+    **_grants(),
     "GPL_NO_WARRANTY": [
-        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
-        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+        f"This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"
+        for what in ("program", "library")
+    ],
+    "GPL_NO_IMPLIED": [
+        "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     ],
     "CC0_REF": ["This work is dedicated to the public domain.", "SPDX-License-Identifier: CC0-1.0"],
     "CCBY4_REF": [
@@ -103,13 +133,31 @@ SENTENCES = {
     "ALL_RIGHTS": ["All rights reserved."],
 }
 
+_DISCLAIMED = ["GPL_NO_WARRANTY?", "GPL_NO_IMPLIED?"]
+
+
+def _grant_rules() -> list[tuple[str, list[str]]]:
+    """The notices, with terms and version in one clause or two; "-or-later" if they say so."""
+    rules = []
+    for family, versions in _VERSIONS.items():
+        for v in versions:
+            for kind, suffix in (("LATER", "-or-later"), ("ONLY", "-only")):
+                name = f"{family}-{v if '.' in v else v + '.0'}{suffix}"
+                for ids in ([f"{family}_{v}_{kind}"], [f"{family}_TERMS", f"VERSION_{v}_{kind}"]):
+                    rules.append((name, ["FREE_PROGRAM?", *ids, *_DISCLAIMED]))
+    return rules
+
+
 # Rules in order: a licence and the identifiers it consists of, "?" marking optional ones.
 RULES = [
     ("MIT", ["ALL_RIGHTS?", "MIT_GRANT", "MIT_NOTICE", "MIT_AS_IS?"]),
     ("BSD-3-Clause", ["ALL_RIGHTS?", "BSD_GRANT", "BSD_SOURCE", "BSD_BINARY", "BSD_NAME"]),
     ("BSD-2-Clause", ["ALL_RIGHTS?", "BSD_GRANT", "BSD_SOURCE", "BSD_BINARY"]),
     ("Apache-2.0", ["APACHE2_REF", "APACHE2_COMPLY?", "APACHE2_COPY?", "APACHE2_AS_IS?"]),
-    ("GPL-3.0-or-later", ["GPL3_GRANT", "GPL_NO_WARRANTY?"]),
+    *_grant_rules(),
+    ("GPL-3.0-or-later", ["GPL3_LATER_REF"]),
+    ("GPL-2.0-or-later", ["GPL2_LATER_REF"]),
+    ("AGPL-3.0-or-later", ["AGPL3_LATER_REF"]),
     ("GPL-3.0", ["GPL3_REF"]),
     ("GPL-2.0", ["GPL2_REF"]),
     ("MIT", ["MIT_REF"]),
@@ -125,23 +173,27 @@ UNKNOWN, NONE = "unknown", "none"
 GAP = 3
 
 _MARKS = r"[^\p{L}\p{N}.!?;:\n]+"
-_END = r"[.!?;:]+(?=\s|$)|\n\s*\n"
+_TAG = r"(?<!spdx license identifier)"
+_END = rf"{_TAG}[.!?;:]+(?=\s|$)|\n\s*\n"
 
 
-def normal(sentence: str) -> str:
-    """A known sentence as texts are normalised: lower case, only words and inner dots."""
-    words = re.sub(r"[^a-z0-9.!?;:\n]+", " ", sentence.lower())
-    words = re.sub(r"[.!?;:]+(?=\s|$)", " ", words)
-    return " ".join(words.split())
+def clauses(sentence: str) -> list[str]:
+    """A known sentence's clauses, normalised as those of texts are: lower case, words and inner marks."""
+    text = re.sub(r"[^a-z0-9.!?;:\n]+", " ", sentence.lower())
+    parts = [" ".join(part.split()) for part in re.split(_END, text)]
+    return [part for part in parts if part]
 
 
 def known_sentences(sentences: dict[str, list[str]] = SENTENCES) -> dict[str, str]:
-    """Normalised sentence to identifier. A sentence of several clauses is known by its first one."""
-    out = {}
+    """Normalised clause to identifier. Each clause needs its own one, so that rules can ask for all."""
+    out: dict[str, str] = {}
     for name, texts in sentences.items():
         for text in texts:
-            first = re.split(r"[.!?;:]+(?=\s|$)", text.lower())[0]
-            out.setdefault(normal(first), name)
+            parts = clauses(text)
+            if len(parts) != 1:
+                raise ValueError(f"{name} has {len(parts)} clauses, give each its own identifier: {text!r}")
+            if out.setdefault(parts[0], name) != name:
+                raise ValueError(f"{name} and {out[parts[0]]} share a clause: {text!r}")
     return out
 
 

@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from signalloom.llm import license_rules as lr
 from signalloom.llm import queries
 
@@ -94,3 +96,46 @@ def test_odd_documents(odd, none, odd_rows):
     assert got.count() == len(odd_rows)
     assert {tuple(r["licenses"]) for r in got.collect()} == {("none",)}
     assert lr.recognise(none).count() == 0
+
+
+NOTICE = """This program is free software{} you can redistribute it and/or modify
+it under the terms of the GNU {} License as published by
+the Free Software Foundation{} {}{}
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+LATER = "either version {} of the License, or\n(at your option) any later version."
+
+
+def test_the_clause_with_the_version_decides(spark):
+    later = {v: LATER.format(v) for v in ("2", "2.1", "3")}
+    texts = [
+        (NOTICE.format(";", "General Public", ";", later["2"], ""), ["GPL-2.0-or-later"]),
+        (NOTICE.format(":", "General Public", ",", later["2"], ""), ["GPL-2.0-or-later"]),
+        (NOTICE.format(":", "General Public", ",", later["3"], ""), ["GPL-3.0-or-later"]),
+        (NOTICE.format(";", "General Public", ";", later["3"], ""), ["GPL-3.0-or-later"]),
+        (NOTICE.format(":", "Affero General Public", ",", later["3"], ""), ["AGPL-3.0-or-later"]),
+        (NOTICE.format(":", "Lesser General Public", ";", later["2.1"], ""), ["LGPL-2.1-or-later"]),
+        (NOTICE.format(";", "General Public", ";", "version 2 of the License.", ""), ["GPL-2.0-only"]),
+        (NOTICE.format(";", "General Public", ",", "version 3.", ""), ["GPL-3.0-only"]),
+        ("This program is free software. It comes with a manual.", ["unknown"]),
+        (NOTICE.format(";", "Other Public", ";", "either version 9.", ""), ["unknown"]),
+    ]
+    texts += [(f"// SPDX-License-Identifier: {t}\nint main", [n]) for t, n in (
+        ("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("BSD-3-Clause", "BSD"), ("GPL-2.0-only", "GPL-2.0"),
+        ("GPL-2.0-or-later", "GPL-2.0-or-later"), ("AGPL-3.0-or-later", "AGPL-3.0-or-later"), ("Zlib", "none"))]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id int, text string")
+    got = {r["doc_id"]: r["licenses"] for r in lr.recognise(df).collect()}
+    assert got == {i: names for i, (_, names) in enumerate(texts)}
+    assert len(lr.recognise(df).where("doc_id = 0").first()["sentence_ids"]) == 5
+
+
+def test_every_clause_is_known_by_itself():
+    known = lr.known_sentences()
+    assert set(known.values()) == set(lr.SENTENCES)
+    assert {i.rstrip("?") for _, ids in lr.RULES for i in ids} <= set(known.values())
+    with pytest.raises(ValueError, match="2 clauses"):
+        lr.known_sentences({"X": ["It is free: take it."]})
