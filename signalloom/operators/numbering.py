@@ -1,24 +1,27 @@
 """Prefix sums and dense numbering inside groups that may be too big for one task.
 
 A plain ``row_number() OVER (PARTITION BY key ORDER BY …)`` sends every row of a
-key to one task. ``dense_number`` cuts the order axis into buckets instead: rows
-are numbered within ``(key, bucket)`` and shifted by the row counts of the
-earlier buckets, so only one summary row per ``(key, bucket)`` is ever ordered
-per key. ``number_rows`` does that for the keys that need it.
+key to one task. Here the order axis is cut into buckets instead: rows are numbered
+within ``(key, bucket)`` and shifted by the totals of the earlier buckets, so only
+one summary row per ``(key, bucket)`` is ever ordered per key. ``dense_number`` takes
+the buckets as given. ``number_rows`` and ``running`` find them: a sample of rows, of a
+fixed expected size, gives the split points, so a key gets as many buckets as its
+share of all rows asks for, along its whole order, and a small key gets none.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key is dominant if it holds more than one in DOMINANT_SHARE rows (and more than
-# DOMINANT_ROWS). Fewer than DOMINANT_SHARE keys can be that big, whatever the
-# table's size: the list of them is always small.
-DOMINANT_SHARE = 50_000
-DOMINANT_ROWS = 1_000_000
+# Split points looked for in a table: a bucket holds about one in so many of its rows.
+# Twice as many are never found in practice (the sample is binomial), which bounds what
+# is broadcast: a few hundred KB.
+SPLITS = 2048
+# A key's split points are searched in two steps, in blocks of this many.
+BLOCK = 45
 
 
 def bucket_offsets(
@@ -41,53 +44,106 @@ def dense_number(
 ) -> DataFrame:
     """Number the rows of each key 0, 1, 2 … along ``order``.
 
-    ``bucket`` must be a non-decreasing function of ``order``, or null for keys
-    that are to be numbered in one go; it does not change the result.
+    ``bucket`` must be a non-decreasing function of ``order``; it does not change the
+    result.
     """
     keys = list(keys)
     cut = df.withColumn("_bucket", bucket)
-    offsets = bucket_offsets(
-        cut.where("_bucket IS NOT NULL"), keys, "_bucket", F.count(F.lit(1)), "_offset"
-    )
+    offsets = bucket_offsets(cut, keys, "_bucket", F.count(F.lit(1)), "_offset")
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     return (
         cut.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, [*keys, "_bucket"], "left")
-        .withColumn(name, F.expr("coalesce(_offset, 0L) + _rn - 1"))
+        .join(offsets, [*keys, "_bucket"])
+        .withColumn(name, F.expr("_offset + _rn - 1"))
         .drop("_bucket", "_offset", "_rn")
     )
 
 
-def dominant_keys(df: DataFrame, keys: Sequence[str], rows: int = DOMINANT_ROWS) -> list:
-    """The keys that hold too many rows for one task, fewer than ``DOMINANT_SHARE`` of them.
+def split_points(
+    df: DataFrame, keys: Sequence[str], cut: Sequence[str], splits: int = SPLITS
+) -> DataFrame:
+    """(keys, _splits, _firsts): ascending split points of keys that hold sampled rows.
 
-    Runs a row count, which reads no column, and only if a key can be dominant
-    at all a second job that reads the key columns.
+    Rows are sampled by the hash of ``keys`` and ``cut``, with the chance that makes
+    ``splits`` of them expected; equal rows count once. No action runs: the row count
+    is a scalar subquery.
     """
-    total = df.count()
-    limit = max(total / DOMINANT_SHARE, rows)
-    if total <= limit:
-        return []
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return sizes.where(F.col("_rows") > limit).select(*keys).collect()
+    share = df.agg(F.lit(float(splits)) / F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
+    drawn = F.pmod(F.xxhash64(*keys, *cut), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    sampled = df.where(drawn < share).select(*keys, F.struct(*cut).alias("_at"))
+    points = sampled.groupBy(*keys).agg(F.array_sort(F.collect_set("_at")).alias("_splits"))
+    firsts = f"transform(sequence(0, (size(_splits) - 1) div {BLOCK}), b -> _splits[cast(b AS int) * {BLOCK}])"
+    return points.withColumn("_firsts", F.expr(firsts))
+
+
+def with_bucket(
+    df: DataFrame, keys: Sequence[str], cut: Sequence[str], points: DataFrame, name: str = "_bucket"
+) -> DataFrame:
+    """``df`` with the number of its key's split points at or before the row."""
+    joined = df.join(
+        F.broadcast(points.select(*[F.col(k).alias(f"_key_{k}") for k in keys], "_splits", "_firsts")),
+        F.expr(" AND ".join(f"`{k}` <=> `_key_{k}`" for k in keys)), "left",
+    )
+    at = f"struct({', '.join(f'`{c}`' for c in cut)})"
+    block = f"size(filter(_firsts, p -> p <= {at}))"
+    found = f"""CASE WHEN _splits IS NULL OR {at} < _splits[0] THEN 0 ELSE
+        ({block} - 1) * {BLOCK} + size(filter(slice(_splits, ({block} - 1) * {BLOCK} + 1, {BLOCK}), p -> p <= {at})) END"""
+    return joined.selectExpr(*[f"`{c}`" for c in df.columns], f"{found} AS `{name}`")
+
+
+def running(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    amounts: Mapping[str, tuple[str, str]],
+    cut: Sequence[str] | None = None,
+    splits: int = SPLITS,
+) -> DataFrame:
+    """``df`` with running totals of each key along ``order``, the row itself included.
+
+    ``amounts`` names (``sum`` or ``bit_xor``, SQL of the amount, not null) per new
+    column. ``cut`` are leading columns of ``order`` that tell buckets apart (all of
+    them by default): rows of one key equal in these stay in one task. Rows equal in
+    ``order`` follow each other in any order. Null keys are a key, null values come
+    first. Names starting with ``_`` are kept free by the caller.
+    """
+    keys, cut = list(keys), list(cut or order)
+    points = split_points(df, keys, cut, splits)
+    placed = with_bucket(df, keys, cut, points)
+    # Only split keys have later buckets: fewer than there are split points.
+    same = F.expr(" AND ".join(f"`{k}` <=> `_key_{k}`" for k in keys))
+    named = [F.col(k).alias(f"_key_{k}") for k in keys]
+    totals = (
+        placed.join(F.broadcast(points.select(*named)), same, "left_semi")
+        .groupBy(*keys, "_bucket")
+        .agg(*[F.expr(f"{agg}({sql})").alias(name) for name, (agg, sql) in amounts.items()])
+    )
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *named, F.col("_bucket").alias("_key_bucket"),
+        *[F.expr(f"{agg}({name})").over(before).alias(f"_before_{name}") for name, (agg, _) in amounts.items()],
+    ).where("_key_bucket > 0")
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    own = placed.select("*", *[
+        F.expr(f"{agg}({sql})").over(inside).alias(f"_own_{name}") for name, (agg, sql) in amounts.items()
+    ])
+    shifted = own.join(F.broadcast(offsets), same & F.expr("_bucket = _key_bucket"), "left")
+    plus = {"sum": "+", "bit_xor": "^"}
+    return shifted.selectExpr(*[f"`{c}`" for c in df.columns if c not in amounts], *[
+        f"_own_{name} {plus[agg]} coalesce(_before_{name}, 0L) AS `{name}`" for name, (agg, _) in amounts.items()
+    ])
 
 
 def number_rows(
     df: DataFrame,
     keys: Sequence[str],
-    bucket: str,
     order: Sequence[str],
     name: str,
-    dominant_rows: int = DOMINANT_ROWS,
+    cut: Sequence[str] | None = None,
+    splits: int = SPLITS,
 ) -> DataFrame:
-    """``dense_number`` with buckets for dominant keys only."""
-    dominant = dominant_keys(df, keys, dominant_rows)
-    if not dominant:
-        plain = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(plain).cast("long") - 1)
-    listed = df.sparkSession.createDataFrame(dominant, df.select(*keys).schema).withColumn(
-        "_dominant", F.lit(True)
-    )
-    marked = df.join(F.broadcast(listed), list(keys), "left")
-    split = F.when(F.col("_dominant"), F.col(bucket))
-    return dense_number(marked, keys, split, order, name).drop("_dominant")
+    """Number the rows of each key 0, 1, 2 … along ``order``; see ``running``."""
+    counted = running(df, keys, order, {name: ("sum", "1L")}, cut, splits)
+    return counted.withColumn(name, F.col(name) - 1)

@@ -61,7 +61,7 @@ def _electrode() -> Column:
 def line_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Continuous recordings: the prices of a supplier's lines in shipping order."""
     lines = table(spark, sf_dir, "lineitem").select(*LINE_KEYS, *LINE_ORDER, "l_extendedprice")
-    return number_rows(lines, LINE_KEYS, "l_shipdate", LINE_ORDER, "j").select(
+    return number_rows(lines, LINE_KEYS, LINE_ORDER, "j").select(
         _subject("l_suppkey").alias("SubjectID"),
         _electrode().alias("Electrode"),
         "j",

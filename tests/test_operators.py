@@ -36,24 +36,60 @@ def plan_of(df):
 # --- numbering ---------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("dominant_rows", [10, 1_000_000])
-def test_numbering_is_the_same_however_keys_are_split(spark, dominant_rows, monkeypatch):
-    monkeypatch.setattr(numbering, "DOMINANT_SHARE", 5)
+@pytest.mark.parametrize("splits", [1, 40, 100_000])
+@pytest.mark.parametrize("days", [1, 40])
+def test_numbering_is_the_same_however_keys_are_split(spark, splits, days):
     rng = np.random.default_rng(0)
-    days = rng.integers(0, 40, size=3000)
+    day = rng.integers(0, days, size=3000)
     keys = np.where(rng.random(3000) < 0.4, "hot", rng.integers(0, 50, size=3000).astype(str))
-    rows = [(str(k), int(d), int(i)) for i, (k, d) in enumerate(zip(keys, days, strict=True))]
+    rows = [(str(k), int(d), int(i)) for i, (k, d) in enumerate(zip(keys, day, strict=True))]
+    rows += [(None, None, 5000), (None, 3, 5001), (None, None, 5002)]
     df = spark.createDataFrame(rows, "k string, day int, id int")
-    assert bool(numbering.dominant_keys(df, ["k"], dominant_rows)) == (dominant_rows == 10)
-    out = numbering.number_rows(df, ["k"], "day", ["day", "id"], "n", dominant_rows)
+    out = numbering.number_rows(df, ["k"], ["day", "id"], "n", splits=splits)
     got = {(r.k, r.id): r.n for r in out.collect()}
     want = {}
-    for k in set(keys):
-        ordered = sorted((d, i) for kk, d, i in rows if kk == k)
-        want |= {(str(k), i): n for n, (_, i) in enumerate(ordered)}
+    for k in {r[0] for r in rows}:
+        ordered = sorted((-1 if d is None else d, i) for kk, d, i in rows if kk == k)
+        want |= {(k, i): n for n, (_, i) in enumerate(ordered)}
     assert got == want
 
 
+def test_one_date_of_one_key_is_split(spark):
+    df = spark.range(20_000).selectExpr("'k' AS k", "7 AS day", "id")
+    points = numbering.split_points(df, ["k"], ["day", "id"], 50)
+    sizes = numbering.with_bucket(df, ["k"], ["day", "id"], points).groupBy("_bucket").count().collect()
+    assert 25 < len(sizes) < 100 and max(r["count"] for r in sizes) < 4000
+    out = numbering.number_rows(df, ["k"], ["day", "id"], "n", splits=50)
+    assert out.where("n <> id").count() == 0
+
+
+def test_rows_that_repeat_are_numbered_once_each(spark):
+    df = spark.range(3000).selectExpr("'k' AS k", "1 AS day")
+    out = [r.n for r in numbering.number_rows(df, ["k"], ["day"], "n").collect()]
+    assert sorted(out) == list(range(3000))
+
+
+def test_plans_are_built_without_a_job(spark):
+    seen = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    numbering.number_rows(spark.range(10).selectExpr("id % 2 AS k", "id"), ["k"], ["id"], "n")
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup() == seen
+
+
+def test_running_totals(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(k), i, int(v)) for i, (k, v) in enumerate(zip(rng.integers(0, 3, 500), rng.integers(0, 99, 500), strict=True))]
+    df = spark.createDataFrame(rows, "k int, i int, v int")
+    amounts = {"total": ("sum", "v"), "mark": ("bit_xor", "xxhash64(i, v)")}
+    for splits in (1, 60):
+        out = numbering.running(df, ["k"], ["i"], amounts, splits=splits).orderBy("i").collect()
+        marks = {r.i: r.m for r in df.selectExpr("i", "xxhash64(i, v) AS m").collect()}
+        total, mark = [0] * 3, [0] * 3
+        for r in out:
+            total[r.k] += r.v
+            mark[r.k] ^= marks[r.i]
+            assert (r.total, r.mark) == (total[r.k], mark[r.k])
+
+
 # --- epochs and annotations --------------------------------------------------------
 
 
