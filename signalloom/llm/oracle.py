@@ -46,3 +46,45 @@ least AS (SELECT rep, min(other) AS component_id FROM reached GROUP BY rep)
 SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(t.component_id, s.doc_id) AS component_id
 FROM sets s LEFT JOIN classes c ON c.k = list_sort(s.s) AND len(s.s) > 0 LEFT JOIN least t USING (rep)
 """
+
+# CRC-32 of a string of ASCII digits, bit by bit.
+CRC_SQL = """xor(4294967295, list_reduce(
+    list_concat([4294967295::BIGINT], [ord(c)::BIGINT FOR c IN string_split({}, '')]),
+    lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], [k::BIGINT FOR k IN range(8)]),
+        lambda x, k: xor(x >> 1, 3988292384::BIGINT * (x & 1)))))"""
+
+LLM_ORACLE["op13_prefix_trie"] = f"""
+WITH turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+        PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i
+    FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (
+    SELECT conv_id, count(*) AS n, {CRC_SQL.format("conv_id::VARCHAR")} % 9 AS h, conv_id - conv_id % 5 AS g
+    FROM turns GROUP BY conv_id),
+convs AS (
+    SELECT c.*, least(c.h, coalesce(o.n, 0)) AS b FROM sizes c LEFT JOIN sizes o ON c.g = o.conv_id),
+rebuilt AS (
+    SELECT conv_id, b + i - h + 1 AS d, role, text FROM turns JOIN convs USING (conv_id) WHERE i >= h
+    UNION ALL
+    SELECT c.conv_id, t.i + 1, t.role, t.text FROM convs c JOIN turns t ON c.g = t.conv_id AND t.i < c.h),
+placed AS (
+    SELECT conv_id, d, strlen(text) AS bytes, md5(string_agg(md5(strlen(role) || ':' || role || text), '')
+        OVER (PARTITION BY conv_id ORDER BY d)) AS node FROM rebuilt
+    UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+members AS (
+    SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY d) AS parent,
+        d = max(d) OVER (PARTITION BY conv_id) AS ends FROM placed),
+nodes AS (
+    SELECT d, node, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+    FROM members GROUP BY d, node),
+family AS (
+    SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes k WHERE k.d = n.d + 1 AND k.parent = n.node)
+        AS n_children FROM nodes n LEFT JOIN nodes p ON p.d = n.d - 1 AND p.node = n.parent),
+totals AS (
+    SELECT m.d, m.node, count(*) FILTER (f.n_children = 0) AS n_leaves,
+        sum((f.n_convs - 1) * f.bytes)::BIGINT AS saved_tokens
+    FROM family f JOIN members m ON m.conv_id = f.conv_id AND m.d <= f.d GROUP BY m.d, m.node)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM family JOIN totals USING (d, node)
+"""

@@ -15,6 +15,7 @@ from signalloom.llm import (
     license_rules,
     line_dedup,
     packing,
+    prefix_trie,
     pseudonyms,
     quality_knn,
     quality_rules,
@@ -128,3 +129,11 @@ def op10_seeded_alignment(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents").select("doc_id", "text")
     copies = decontaminate.contaminated(docs, read(spark, sf, "benchmark"))
     return copies.select("doc_id", "item_id", "score", "n_seeds", "begin", "end")
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    trie = prefix_trie.rebuilt_trie(read(spark, sf, "conversations"))
+    return trie.select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    )
