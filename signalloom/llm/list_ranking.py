@@ -27,9 +27,10 @@ def _walk(weights: Sequence[str]):
     """A task's lists walked from their heads: exclusive prefix sums of the weights."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
             return
+        table = pa.Table.from_batches(held)
         n = table.num_rows
         ids = list(zip(*(table[c].to_pylist() for c in ID), strict=True))
         at = {key: i for i, key in enumerate(ids)}
@@ -55,13 +56,15 @@ def prefix_sums(elements: DataFrame, weights: Sequence[str], base: int = BASE) -
 
     ``elements`` holds (c, a, next_c, next_a, weights), all long; it should be a written
     table. Ids are unique; the last element of a list has a null successor. Lists end
-    (there are no rings). An empty table gives no rows.
+    (there are no rings) and are few: one task gets the last element of each. An empty
+    table gives no rows.
     """
     weights = list(weights)
     columns = [*ID, *NEXT, *weights]
     rounds: list[DataFrame] = []
     elements = elements.select(*columns)
-    while elements.count() > base:
+    # A list that is down to one element has no link left.
+    while elements.where("next_c IS NOT NULL").count() > base:
         coin = F.pmod(F.xxhash64(*ID, F.lit(len(rounds))), F.lit(2))
         x = elements.where(coin == 0).alias("x")
         y = elements.where(coin == 1).alias("y")

@@ -59,7 +59,7 @@ def some_conversations(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize("sizes", [{}, {"splits": 50, "stretch": 3, "base": 7, "id_range": 4}])
+@pytest.mark.parametrize("sizes", [{}, {"splits": 50, "stretch": 3, "base": 60, "id_range": 4}])
 def test_trie_equals_brute_force(spark, sizes):
     rows = some_conversations(1)
     df = spark.createDataFrame(rows, SCHEMA).repartition(6)
@@ -92,7 +92,7 @@ def test_very_many_equal_conversations(spark):
     assert got == {(0, 0): (None, n, 1, 2, 1, 4 * (n - 1), none), (0, 1): (0, n, 0, 1, 1, 4 * (n - 1), ends)}
 
 
-@pytest.mark.parametrize("base", [1, 40, 10_000])
+@pytest.mark.parametrize("base", [20, 10_000])
 def test_list_ranking(spark, base):
     rng = random.Random(4)
     order = rng.sample(range(1000), 300)
