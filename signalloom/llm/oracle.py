@@ -47,6 +47,38 @@ SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(t.component_id, s.doc_id) AS c
 FROM sets s LEFT JOIN classes c ON c.k = list_sort(s.s) AND len(s.s) > 0 LEFT JOIN least t USING (rep)
 """
 
+LLM_ORACLE["op12_source_divergence"] = f"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all({LOWER_SQL.format("coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+    FROM documents),
+words AS (SELECT r, lang, source, unnest(w) AS term FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS n_docs FROM words GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS total FROM counts GROUP BY lang, term HAVING sum(n_docs) >= 3),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+grid AS (
+    SELECT g.lang, g.source, k.term, k.total::HUGEINT AS total, coalesce(c.n, 0)::HUGEINT AS n
+    FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+sized AS (
+    SELECT *, count(*) OVER w AS v, sum(n) OVER w AS n_group, sum(total) OVER w AS n_lang FROM grid
+    WINDOW w AS (PARTITION BY lang, source)),
+shares AS (
+    SELECT lang, source, term, n, 1 + (1000000000 * (n + 1)) // (n_group::HUGEINT + v) AS p,
+        1 + (1000000000 * (total + 1)) // (n_lang::HUGEINT + v) AS q FROM sized),
+sums AS (
+    SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+    FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+valued AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank FROM (
+    SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM valued)
+WHERE part = 'pair' OR rank <= 200
+"""
+
 # CRC-32 of a string of ASCII digits, bit by bit.
 CRC_SQL = """xor(4294967295, list_reduce(
     list_concat([4294967295::BIGINT], [ord(c)::BIGINT FOR c IN string_split({}, '')]),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from signalloom.llm import (
     decontaminate,
+    divergence,
     jaccard_join,
     language_id,
     license_rules,
@@ -131,6 +132,11 @@ def op10_seeded_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return copies.select("doc_id", "item_id", "score", "n_seeds", "begin", "end")
 
 
+@query
+def op12_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.audit(read(spark, sf, "documents"))
+
+
 @query
 def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
     trie = prefix_trie.rebuilt_trie(read(spark, sf, "conversations"))
