@@ -11,6 +11,7 @@ share of all rows asks for, along its whole order, and a small key gets none.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,8 +21,6 @@ from pyspark.sql import functions as F
 # Twice as many are never found in practice (the sample is binomial), which bounds what
 # is broadcast: a few hundred KB.
 SPLITS = 2048
-# A key's split points are searched in two steps, in blocks of this many.
-BLOCK = 45
 
 
 def bucket_offsets(
@@ -62,7 +61,7 @@ def dense_number(
 def split_points(
     df: DataFrame, keys: Sequence[str], cut: Sequence[str], splits: int = SPLITS
 ) -> DataFrame:
-    """(keys, _splits, _firsts): ascending split points of keys that hold sampled rows.
+    """(keys, _blocks): ascending split points, in blocks, of keys that hold sampled rows.
 
     Rows are sampled by the hash of ``keys`` and ``cut``, with the chance that makes
     ``splits`` of them expected; equal rows count once. No action runs: the row count
@@ -72,23 +71,33 @@ def split_points(
     drawn = F.pmod(F.xxhash64(*keys, *cut), F.lit(1 << 53)) / F.lit(float(1 << 53))
     sampled = df.where(drawn < share).select(*keys, F.struct(*cut).alias("_at"))
     points = sampled.groupBy(*keys).agg(F.array_sort(F.collect_set("_at")).alias("_splits"))
-    firsts = f"transform(sequence(0, (size(_splits) - 1) div {BLOCK}), b -> _splits[cast(b AS int) * {BLOCK}])"
-    return points.withColumn("_firsts", F.expr(firsts))
+    size = _block_size(splits)
+    blocks = f"transform(sequence(0, (size(_splits) - 1) div {size}), b -> slice(_splits, cast(b AS int) * {size} + 1, {size}))"
+    return points.select(*keys, F.expr(blocks).alias("_blocks"))
+
+
+def _block_size(splits: int) -> int:
+    """A key's split points are searched in two steps, which carry about this many each."""
+    return max(1, math.isqrt(splits))
 
 
 def with_bucket(
-    df: DataFrame, keys: Sequence[str], cut: Sequence[str], points: DataFrame, name: str = "_bucket"
+    df: DataFrame, keys: Sequence[str], cut: Sequence[str], points: DataFrame, splits: int = SPLITS,
+    name: str = "_bucket",
 ) -> DataFrame:
     """``df`` with the number of its key's split points at or before the row."""
-    joined = df.join(
-        F.broadcast(points.select(*[F.col(k).alias(f"_key_{k}") for k in keys], "_splits", "_firsts")),
-        F.expr(" AND ".join(f"`{k}` <=> `_key_{k}`" for k in keys)), "left",
+    named = [F.col(k).alias(f"_key_{k}") for k in keys]
+    same = " AND ".join(["true", *[f"`{k}` <=> `_key_{k}`" for k in keys]])
+    own = [f"`{c}`" for c in df.columns]
+    upto = f"p -> p <= struct({', '.join(f'`{c}`' for c in cut)})"
+    firsts = points.select(*named, F.expr("transform(_blocks, b -> b[0])").alias("_firsts"))
+    placed = df.join(F.broadcast(firsts), F.expr(same), "left").selectExpr(
+        *own, f"coalesce(size(filter(_firsts, {upto})), 0) AS _in"
     )
-    at = f"struct({', '.join(f'`{c}`' for c in cut)})"
-    block = f"size(filter(_firsts, p -> p <= {at}))"
-    found = f"""CASE WHEN _splits IS NULL OR {at} < _splits[0] THEN 0 ELSE
-        ({block} - 1) * {BLOCK} + size(filter(slice(_splits, ({block} - 1) * {BLOCK} + 1, {BLOCK}), p -> p <= {at})) END"""
-    return joined.selectExpr(*[f"`{c}`" for c in df.columns], f"{found} AS `{name}`")
+    blocks = points.select(*named, F.posexplode("_blocks").alias("_nth", "_splits"))
+    placed = placed.join(F.broadcast(blocks), F.expr(f"{same} AND _in = _nth + 1"), "left")
+    found = f"if(_splits IS NULL, 0, _nth * {_block_size(splits)} + size(filter(_splits, {upto})))"
+    return placed.selectExpr(*own, f"{found} AS `{name}`")
 
 
 def running(
@@ -109,7 +118,7 @@ def running(
     """
     keys, cut = list(keys), list(cut or order)
     points = split_points(df, keys, cut, splits)
-    placed = with_bucket(df, keys, cut, points)
+    placed = with_bucket(df, keys, cut, points, splits)
     # Only split keys have later buckets: fewer than there are split points.
     same = F.expr(" AND ".join(f"`{k}` <=> `_key_{k}`" for k in keys))
     named = [F.col(k).alias(f"_key_{k}") for k in keys]

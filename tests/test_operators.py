@@ -57,7 +57,7 @@ def test_numbering_is_the_same_however_keys_are_split(spark, splits, days):
 def test_one_date_of_one_key_is_split(spark):
     df = spark.range(20_000).selectExpr("'k' AS k", "7 AS day", "id")
     points = numbering.split_points(df, ["k"], ["day", "id"], 50)
-    sizes = numbering.with_bucket(df, ["k"], ["day", "id"], points).groupBy("_bucket").count().collect()
+    sizes = numbering.with_bucket(df, ["k"], ["day", "id"], points, 50).groupBy("_bucket").count().collect()
     assert 25 < len(sizes) < 100 and max(r["count"] for r in sizes) < 4000
     out = numbering.number_rows(df, ["k"], ["day", "id"], "n", splits=50)
     assert out.where("n <> id").count() == 0
