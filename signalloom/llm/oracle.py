@@ -47,6 +47,43 @@ SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(t.component_id, s.doc_id) AS c
 FROM sets s LEFT JOIN classes c ON c.k = list_sort(s.s) AND len(s.s) > 0 LEFT JOIN least t USING (rep)
 """
 
+# The distinct terms of a text as 60-bit numbers, and a fingerprint of its sorted choice.
+TERMS_SQL = f"""[('0x' || substr(md5(w), 1, 15))::BIGINT FOR w IN list_distinct(
+    regexp_extract_all({LOWER_SQL}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))]"""
+PRINT_SQL = """substr(md5(array_to_string({0}, ',')), 1, 16) || array_to_string([
+    CASE WHEN len(s) = 0 THEN '--------' ELSE substr(md5(array_to_string(s, ',')), 1, 8) END
+    FOR s IN [list_filter({0}, lambda t: (t >> ((k * 13) % 53)) % 256 < (128 >> (k // 4))) FOR k IN range(32)]], '')"""
+CHOICE_SQL = """list_sort(CASE WHEN len(list_intersect({0}, known)) > 0 THEN list_intersect({0}, known) ELSE {0} END)"""
+LIKE_SQL = """(SELECT CASE WHEN count(*) FILTER (x <> '--------' OR y <> '--------') = 0 THEN ({0} = {1})::INT::DOUBLE
+    ELSE count(*) FILTER (x = y AND x <> '--------') / (count(*) FILTER (x <> '--------' OR y <> '--------'))::DOUBLE END
+    FROM (SELECT substr({0}, 17 + 8 * k, 8) AS x, substr({1}, 17 + 8 * k, 8) AS y FROM (SELECT unnest(range(32)) AS k)))"""
+
+LLM_ORACLE["op11_imatch_fingerprints"] = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+words AS (SELECT doc_id, text, {TERMS_SQL.format("text")} AS terms FROM docs),
+counts AS (SELECT term, count(*) AS df FROM (SELECT unnest(terms) AS term FROM words) GROUP BY term),
+lexicon AS (
+    SELECT term FROM counts, (SELECT count(*) AS n FROM docs) WHERE df >= 2 AND df * 1024 >= n AND df * 8 <= n
+    ORDER BY df DESC, term LIMIT 16384),
+known AS (SELECT list(term) AS known FROM lexicon),
+linked AS (
+    SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text,
+        coalesce(lead(terms) OVER w, first_value(terms) OVER w) AS next_terms FROM words WINDOW w AS (ORDER BY doc_id DESC)),
+edited AS (
+    SELECT *, substr(text, 1, length(text) - length(text) // 2) || substr(next_text, 1, length(text) // 2) AS edited FROM linked),
+chosen AS (
+    SELECT doc_id, length(text) AS n_chars, edited, {CHOICE_SQL.format("terms")} AS a, {CHOICE_SQL.format("next_terms")} AS b,
+        {CHOICE_SQL.format("edited_terms")} AS c
+    FROM (SELECT *, {TERMS_SQL.format("edited")} AS edited_terms FROM edited), known),
+prints AS (
+    SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, {PRINT_SQL.format("a")} AS fingerprint,
+        {PRINT_SQL.format("c")} AS edited_fingerprint, {PRINT_SQL.format("b")} AS next_fingerprint FROM chosen)
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+    {LIKE_SQL.format("fingerprint", "edited_fingerprint")} AS near_edited,
+    {LIKE_SQL.format("fingerprint", "next_fingerprint")} AS near_next
+FROM prints
+"""
+
 LLM_ORACLE["op12_source_divergence"] = f"""
 WITH docs AS (
     SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,

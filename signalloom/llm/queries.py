@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from signalloom.llm import (
     decontaminate,
     divergence,
+    imatch,
     jaccard_join,
     language_id,
     license_rules,
@@ -132,6 +133,15 @@ def op10_seeded_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return copies.select("doc_id", "item_id", "score", "n_seeds", "begin", "end")
 
 
+@query
+def op11_imatch_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    return imatch.edited_likeness(docs, imatch.lexicon(docs)).select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        "near_edited", "near_next",
+    )
+
+
 @query
 def op12_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
     return divergence.audit(read(spark, sf, "documents"))
