@@ -22,8 +22,10 @@ from signalloom.operators.numbering import split_points, with_bucket
 RARE, COMMON = 1024, 8
 # Of the band's terms, the most common ones; that bounds the lexicon (128 KB) at any size.
 LEXICON = 1 << 14
-# Sub-lexicons, four of each size, and the hexadecimal digits of their hashes.
-SUBSETS, DIGITS, WHOLE = 32, 8, 16
+# Sub-lexicons, eight of each size, the hexadecimal digits of their hashes, and those of
+# the hash of all terms, which tells texts apart; the short ones only have to tell how
+# much of two texts agrees.
+SUBSETS, DIGITS, WHOLE = 64, 4, 16
 NONE = "-" * DIGITS
 
 # Runs of ASCII characters other than letters and digits.
@@ -65,7 +67,7 @@ def with_fingerprint(
     docs = docs.drop(name)
     low, own, inside, chosen = (fresh(docs.columns, c) for c in ("low", "own", "inside", "chosen"))
     known = lexicon.agg(F.collect_list("term")).scalar()  # one row of at most ``size`` numbers
-    subset = f"filter({chosen}, t -> shiftright(t, (k * 13) % 53) % 256 < shiftright(128, k div 4))"
+    subset = f"filter({chosen}, t -> shiftright(t, (k * 13) % 53) % 256 < shiftright(128, k div {SUBSETS // 8}))"
     digest = "substr(md5(array_join(cast({} AS array<string>), ',')), 1, {})".format
     hashes = f"transform(transform(sequence(0, {SUBSETS - 1}), k -> {subset}), s -> if(size(s) = 0, '{NONE}', {digest('s', DIGITS)}))"
     columns = [F.col(f"`{c}`") for c in docs.columns]

@@ -51,12 +51,12 @@ FROM sets s LEFT JOIN classes c ON c.k = list_sort(s.s) AND len(s.s) > 0 LEFT JO
 TERMS_SQL = f"""[('0x' || substr(md5(w), 1, 15))::BIGINT FOR w IN list_distinct(
     regexp_extract_all({LOWER_SQL}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))]"""
 PRINT_SQL = """substr(md5(array_to_string({0}, ',')), 1, 16) || array_to_string([
-    CASE WHEN len(s) = 0 THEN '--------' ELSE substr(md5(array_to_string(s, ',')), 1, 8) END
-    FOR s IN [list_filter({0}, lambda t: (t >> ((k * 13) % 53)) % 256 < (128 >> (k // 4))) FOR k IN range(32)]], '')"""
+    CASE WHEN len(s) = 0 THEN '----' ELSE substr(md5(array_to_string(s, ',')), 1, 4) END
+    FOR s IN [list_filter({0}, lambda t: (t >> ((k * 13) % 53)) % 256 < (128 >> (k // 8))) FOR k IN range(64)]], '')"""
 CHOICE_SQL = """list_sort(CASE WHEN len(list_intersect({0}, known)) > 0 THEN list_intersect({0}, known) ELSE {0} END)"""
-LIKE_SQL = """(SELECT CASE WHEN count(*) FILTER (x <> '--------' OR y <> '--------') = 0 THEN ({0} = {1})::INT::DOUBLE
-    ELSE count(*) FILTER (x = y AND x <> '--------') / (count(*) FILTER (x <> '--------' OR y <> '--------'))::DOUBLE END
-    FROM (SELECT substr({0}, 17 + 8 * k, 8) AS x, substr({1}, 17 + 8 * k, 8) AS y FROM (SELECT unnest(range(32)) AS k)))"""
+LIKE_SQL = """(SELECT CASE WHEN count(*) FILTER (x <> '----' OR y <> '----') = 0 THEN ({0} = {1})::INT::DOUBLE
+    ELSE count(*) FILTER (x = y AND x <> '----') / (count(*) FILTER (x <> '----' OR y <> '----'))::DOUBLE END
+    FROM (SELECT substr({0}, 17 + 4 * k, 4) AS x, substr({1}, 17 + 4 * k, 4) AS y FROM (SELECT unnest(range(64)) AS k)))"""
 
 LLM_ORACLE["op11_imatch_fingerprints"] = f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),

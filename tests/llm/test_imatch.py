@@ -29,15 +29,15 @@ def brute_lexicon(texts, rare=1024, common=8, size=1 << 14):
 def brute_print(text, known):
     own = sorted((terms(text) & known) or terms(text))
     out = [md5(own, 16)]
-    for k in range(32):
-        part = [t for t in own if (t >> (k * 13) % 53) % 256 < 128 >> k // 4]
-        out.append(md5(part, 8) if part else "-" * 8)
+    for k in range(64):
+        part = [t for t in own if (t >> (k * 13) % 53) % 256 < 128 >> k // 8]
+        out.append(md5(part, 4) if part else "-" * 4)
     return "".join(out)
 
 
 def brute_likeness(a, b):
-    cells = [(a[i : i + 8], b[i : i + 8]) for i in range(16, 272, 8)]
-    cells = [c for c in cells if c != ("-" * 8, "-" * 8)]
+    cells = [(a[i : i + 4], b[i : i + 4]) for i in range(16, 272, 4)]
+    cells = [c for c in cells if c != ("-" * 4, "-" * 4)]
     return sum(x == y for x, y in cells) / len(cells) if cells else float(a == b)
 
 
@@ -82,10 +82,8 @@ def test_query_equals_brute_force(spark, documents):
 
 def test_edits_lower_the_likeness_and_unrelated_texts_have_none(spark):
     rows = queries.op11_imatch_fingerprints(spark, "/root/testdata/sf0.01").where("n_chars > 500").collect()
-    edited = sorted(r["near_edited"] for r in rows)
-    unlike = sorted(r["near_next"] for r in rows)
-    assert edited[len(rows) // 2] > 3 * unlike[len(rows) // 2]
-    assert unlike[len(rows) // 2] < 0.1 and edited[len(rows) // 10] > unlike[len(rows) // 2]
+    assert sum(r["near_edited"] > r["near_next"] for r in rows) > 0.9 * len(rows)
+    assert sorted(r["near_next"] for r in rows)[int(0.9 * len(rows))] < 0.1
 
 
 def test_an_added_word_leaves_most_hashes(spark, documents):
