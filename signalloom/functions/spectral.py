@@ -158,6 +158,106 @@ def _wave_means(bins: Bins) -> tuple[list[float], list[float]]:
     return cos_mean, sin_mean
 
 
+@dataclasses.dataclass(frozen=True)
+class AnyLength:
+    """Welch estimates of signals of any length, with one wave table for all of them.
+
+    A signal shorter than ``segment`` is one segment of its own length. What depends on
+    the length is SQL over a column of segment lengths.
+    """
+
+    segment: int
+    overlap: int
+    sfreq: float
+    fmin: float
+    fmax: float
+    taper: str
+
+    @classmethod
+    def of(cls, params: JobParams) -> AnyLength:
+        if params.taper not in TAPERS:
+            raise ValueError(f"unknown taper {params.taper!r}; choose one of {sorted(TAPERS)}")
+        segment = params.n_fft or DEFAULT_N_FFT
+        if segment <= params.n_overlap:
+            raise ValueError("n_overlap must be smaller than the segment length")
+        return cls(segment, params.n_overlap, params.sfreq, params.fmin, params.fmax, params.taper)
+
+    def freq(self, k: str, n: str) -> str:
+        return f"({k} * {float(self.sfreq)!r}D / {n})"
+
+    def ks(self, n: str) -> str:
+        """The bins in the range of the bands, both edges included; empty if there is no segment."""
+        kept = f"{self.freq('k', n)} BETWEEN {float(self.fmin)!r}D AND {float(self.fmax)!r}D AND {n} > {self.overlap}"
+        return f"filter(sequence(0L, {n} div 2), k -> {kept})"
+
+    def n_bins(self, n: int) -> int:
+        if n <= self.overlap:
+            return 0
+        return sum(self.fmin <= k * self.sfreq / n <= self.fmax for k in range(n // 2 + 1))
+
+    @property
+    def width(self) -> int:
+        """Bins summed side by side."""
+        return max(1, min(BINS_PER_CHUNK, self.n_bins(self.segment)))
+
+    @property
+    def table_bytes(self) -> int:
+        """Size of the wave table of all lengths (its bins counted to within one)."""
+        per_sample = (min(self.fmax / self.sfreq, 0.5) - max(self.fmin, 0.0) / self.sfreq)
+        chunks = (-(-int(n * per_sample + 1) // self.width) for n in range(1, self.segment + 1))
+        return sum(n * c for n, c in enumerate(chunks, 1)) * self.width * 16
+
+    def energy(self, n: str) -> str:
+        """Sum of squares of the periodic taper."""
+        a0, a1 = TAPERS[self.taper]
+        return (
+            f"({a0 * a0!r}D * {n} - {2 * a0 * a1!r}D * if({n} = 1, 1, 0)"
+            f" + {a1 * a1!r}D * {n} * if({n} <= 2, 1D, 0.5D))"
+        )
+
+    def waves(self, lengths: DataFrame) -> DataFrame:
+        """``(_n, _chunk, _jj, c0 …, s0 …)`` for the segment lengths ``_n`` of a table.
+
+        Tapered waves less their means, which are 0 but for the cosines of bins 0 and 1.
+        Bins beyond the last one are 0.
+        """
+        a0, a1 = TAPERS[self.taper]
+        turn = f"({2 * math.pi!r}D / _n)"
+        taper = f"({a0}D - {a1}D * cos({turn} * _jj))"
+        rows = lengths.selectExpr("_n", f"{self.ks('_n')} AS _ks").where("size(_ks) > 0").selectExpr(
+            "_n", f"posexplode(transform(sequence(0, (size(_ks) - 1) div {self.width}),"
+            f" c -> slice(_ks, c * {self.width} + 1, {self.width}))) AS (_chunk, _own)"
+        ).selectExpr("*", "explode(sequence(0L, _n - 1)) AS _jj")
+        columns = []
+        for p in range(self.width):
+            k = f"get(_own, {p})"
+            # Reduce k*j modulo n first, so that the angle stays small and exact.
+            angle = f"{turn} * pmod(_jj * {k}, _n)"
+            mean = (
+                f"({a0}D * if(pmod({k}, _n) = 0, 1, 0) - {a1 / 2!r}D"
+                f" * (if(pmod({k} - 1, _n) = 0, 1, 0) + if(pmod({k} + 1, _n) = 0, 1, 0)))"
+            )
+            columns.append(f"coalesce({taper} * cos({angle}) - {mean}, 0D) AS c{p}")
+            columns.append(f"coalesce({taper} * sin({angle}), 0D) AS s{p}")
+        return rows.selectExpr("_n", "_chunk", "_jj", *columns)
+
+    def density(self, power: str, ks: str, n: str, segments: str) -> str:
+        """The one-sided ``psd`` array from power summed over segments."""
+        return (
+            f"transform(slice({power}, 1, size({ks})), (v, p) -> v * if(get({ks}, p) = 0 OR 2 * get({ks}, p) = {n}, 1, 2)"
+            f" / ({float(self.sfreq)!r}D * {self.energy(n)} * {segments}))"
+        )
+
+    def band_mean(self, band: Band) -> str:
+        """SQL over ``psd``, ``ks`` and ``segment``: mean of the band's bins, null without any."""
+        f = self.freq("get(ks, p)", "segment")
+        part = f"filter(psd, (v, p) -> {f} >= {float(band.fmin)!r}D AND {f} < {float(band.fmax)!r}D)"
+        return (
+            f"aggregate({part}, named_struct('total', 0D, 'n', 0L),"
+            " (a, v) -> named_struct('total', a.total + v, 'n', a.n + 1), a -> try_divide(a.total, a.n))"
+        )
+
+
 def ramp_products(bins: Bins) -> tuple[list[float], list[float]]:
     """Per bin: the waves' products with 0, 1, 2 …, which is what a unit slope adds."""
     cos_wave, sin_wave = bins.waves()

@@ -37,17 +37,18 @@ def vector_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-UNEVEN_PARAMS = VECTOR_PARAMS.replace(n_fft=32)
+# The default segment of 256 samples: every length is a spectrum of its own.
+UNEVEN_PARAMS = VECTOR_PARAMS.replace(n_fft=None)
 
 
 def uneven_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ready-made epochs with a whole channel and one of 30 to 64 samples, by the epoch's id."""
-    whole = vector_epochs(spark, sf_dir)
     length = F.lit(30) + F.expr("cast(substr(EpochID, 4) AS int)") % 35
-    other = whole.withColumn("Electrode", F.lit("E1")).withColumn(
-        "signal", F.slice(F.reverse("signal"), F.lit(1), length)
+    other = F.slice(F.reverse("signal"), F.lit(1), length)
+    channels = F.array(
+        F.struct(F.lit("E0").alias("Electrode"), "signal"), F.struct(F.lit("E1").alias("Electrode"), other.alias("signal"))
     )
-    return whole.unionByName(other)
+    return vector_epochs(spark, sf_dir).select("SubjectID", "EpochID", F.inline(channels))
 
 
 LINE_KEYS = ["l_suppkey", "l_returnflag", "l_linestatus"]

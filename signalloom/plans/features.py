@@ -12,7 +12,7 @@ from signalloom.functions import moments, spectral
 from signalloom.functions.spectral import Bins
 from signalloom.operators import annotations as ann
 from signalloom.operators import epoching, quality, sliding
-from signalloom.operators.channel_stats import channel_stats
+from signalloom.operators.channel_stats import any_length_stats, channel_stats
 from signalloom.operators.pca import distinct_keys
 from signalloom.params import JobParams
 from signalloom.schemas import FEATURE_SCHEMA, conform
@@ -108,6 +108,11 @@ def _feature_row(band: str | None, name: str, value: str, kind: str) -> str:
 def assemble_long(
     stats: DataFrame, bins: Bins, params: JobParams, table_type: str = "band"
 ) -> DataFrame:
+    """Long feature rows of ``stats`` with a spectrum; see ``long_rows``."""
+    return long_rows(with_band_power(stats, bins, params), params, table_type)
+
+
+def long_rows(powered: DataFrame, params: JobParams, table_type: str = "band") -> DataFrame:
     """Long feature rows, all made from one wide row: no join, union or shuffle.
 
     Band rows repeat the broadband Hjorth features. ``table_type`` is what the
@@ -119,9 +124,7 @@ def assemble_long(
             _feature_row(b.name, f, f"`Power_{b.name}`" if f == "Power" else f, "band")
             for f in BAND_FEATURES
         ]
-    long = with_band_power(stats, bins, params).selectExpr(
-        *EPOCH_KEYS, "Electrode", f"inline(array({', '.join(rows)}))"
-    )
+    long = powered.selectExpr(*EPOCH_KEYS, "Electrode", f"inline(array({', '.join(rows)}))")
     return conform(long, FEATURE_SCHEMA)
 
 
@@ -168,38 +171,22 @@ def feature_job(
 
 
 def epochs_features_long(
-    epochs: DataFrame,
-    params: JobParams,
-    lengths: Sequence[int] | None = None,
-    table_type: str = "band",
+    epochs: DataFrame, params: JobParams, table_type: str = "band"
 ) -> DataFrame:
     """The same for ready-made epochs (one row per channel with ``signal``), taken as they are.
 
     Epochs may differ in length; within one, channels are cut to the shortest. Each
-    gets the spectrum of its own length: one plan for all that hold a whole segment,
-    and one for each shorter length, fewer than a segment has samples. ``lengths`` may
-    name the shorter ones; they are looked up otherwise. What yields no features is
-    listed by ``quality.rejected_signals``.
+    gets the spectrum of its own length, all lengths in one plan that reads the epochs
+    once. What yields no features is listed by ``quality.rejected_signals``.
     """
-    segment = params.n_fft or spectral.DEFAULT_N_FFT
-    trimmed = epoching.trim_epochs(epochs)
-    if lengths is None:
-        short = trimmed.select(F.size("signal").alias("n")).where(f"n > 0 AND n < {segment}")
-        lengths = sorted(r["n"] for r in short.distinct().collect())
-    parts = [(spectral.welch_bins(params, segment), f"size(signal) >= {segment}")]
-    parts += [
-        (spectral.welch_bins(params, n), f"size(signal) = {n}")
-        for n in lengths
-        if spectral.has_bins(params, n)
-    ]
-    out = None
-    for bins, where in parts:
-        chosen = trimmed.where(where).where("NOT exists(signal, x -> x IS NULL)")
-        long = assemble_long(
-            channel_stats(chosen, EPOCH_KEYS, bins, varying=True), bins, params, table_type
-        )
-        out = long if out is None else out.unionByName(long)
-    return out
+    spectrum = spectral.AnyLength.of(params)
+    trimmed = epoching.trim_epochs(epochs).where("NOT exists(signal, x -> x IS NULL)")
+    stats = any_length_stats(trimmed, spectrum, EPOCH_KEYS)
+    total = "aggregate(psd, 0D, (a, v) -> a + v)"
+    powered = stats.selectExpr("*", f"{total} AS _total").selectExpr(
+        "*", *[f"try_divide({spectrum.band_mean(b)}, _total) AS `Power_{b.name}`" for b in params.bands]
+    )
+    return long_rows(powered, params, table_type)
 
 
 def features_wide(

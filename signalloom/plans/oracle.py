@@ -359,7 +359,7 @@ ORACLE["features_subject"] = _with(
 )
 UNEVEN = """
 vec AS (
-  SELECT SubjectID, EpochID, Electrode, k, x, least(n, 32) AS n, n AS len FROM (
+  SELECT SubjectID, EpochID, Electrode, k, x, n, n AS len FROM (
     SELECT SubjectID, EpochID, c.Electrode, k,
            CASE c.Electrode WHEN 'E0' THEN x ELSE y END AS x, n
     FROM (
@@ -377,12 +377,12 @@ seen AS (
 sizes AS (SELECT DISTINCT n FROM vec),
 taper AS (
   SELECT n, jj, 0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * jj / n) AS w
-  FROM sizes CROSS JOIN (SELECT unnest(range(0, 32)) AS jj) WHERE jj < n),
+  FROM sizes CROSS JOIN (SELECT unnest(range(0, 64)) AS jj) WHERE jj < n),
 energy AS (SELECT n, sum(w * w) AS e FROM taper GROUP BY n),
 waves AS (
   SELECT n, b, b * 64::DOUBLE / n AS freq, jj, w * cos(2 * pi() * b * jj / n) AS c,
          w * sin(2 * pi() * b * jj / n) AS s
-  FROM taper CROSS JOIN (SELECT unnest(range(0, 17)) AS b)
+  FROM taper CROSS JOIN (SELECT unnest(range(0, 33)) AS b)
   WHERE 2 * b <= n AND b * 64::DOUBLE / n BETWEEN 0.5 AND 30),
 sums AS (
   SELECT SubjectID, EpochID, Electrode, n, seg, b, freq, sum(x * c) AS re, sum(x * s) AS im

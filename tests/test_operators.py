@@ -1,6 +1,7 @@
 """Numbering, rejection, packing, scaling, components, sources and user functions."""
 
 import json
+import re
 
 import numpy as np
 import pandas as pd
@@ -10,9 +11,12 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from signalloom.functions import spectral
 from signalloom.operators import annotations as ann
 from signalloom.operators import epoching, numbering, pca, quality, scaling, udf
+from signalloom.operators.channel_stats import any_length_stats
 from signalloom.params import Band, JobParams, load_params, params_from_mapping
+from signalloom.plans import datasets as ds
 from signalloom.plans import features as ft
 from signalloom.schemas import (
     ANNOTATION_SCHEMA,
@@ -454,6 +458,45 @@ def test_uneven_epochs_and_reasons(spark):
     assert sorted(map(str, one.collect())) == sorted(map(str, both.collect()))
 
 
+@pytest.mark.parametrize("change", [{}, {"n_overlap": 3}, {"n_fft": 48, "n_overlap": 11}, {"n_fft": 7}])
+def test_spectra_of_all_lengths_match_numpy(spark, change):
+    params = JobParams(sfreq=64.0, window_length=63 / 64, detrend=False).replace(**change)
+    rng = np.random.default_rng(5)
+    signals = {("s", f"ep-{n}", "A"): rng.normal(size=n) for n in [1, 2, 3, 4, *range(5, 300, 7)]}
+    epochs = sg.epochs_df(spark, signals)
+    stats = any_length_stats(epochs, spectral.AnyLength.of(params))
+    got = {r.EpochID: r for r in stats.collect()}
+    seen = 0
+    for (_, epoch, _), x in signals.items():
+        n = min(params.n_fft or 256, len(x))
+        if not spectral.has_bins(params, len(x)):
+            assert epoch not in got
+            continue
+        freqs, psd = sg.welch(x, 64.0, n, n - params.n_overlap, params.fmin, params.fmax)
+        row = got[epoch]
+        assert [k * 64.0 / row.segment for k in row.ks] == list(freqs)
+        assert row.psd == pytest.approx(psd, rel=1e-9, abs=1e-12) and row.n == len(x)
+        assert row.Std == pytest.approx(x.std())
+        seen += 1
+    assert seen > 30
+
+
+def test_a_table_too_large_to_broadcast_is_cut_to_the_lengths_that_occur(spark, monkeypatch):
+    params = JobParams(sfreq=64.0, window_length=63 / 64, detrend=False)
+    rng = np.random.default_rng(6)
+    epochs = sg.epochs_df(spark, {("s", f"ep-{n}", "A"): rng.normal(size=n) for n in (30, 40, 300)})
+    want = {r.EpochID: r.psd for r in any_length_stats(epochs, spectral.AnyLength.of(params)).collect()}
+    monkeypatch.setattr(spectral, "MAX_WAVE_TABLE_BYTES", 10)
+    got = {r.EpochID: r.psd for r in any_length_stats(epochs, spectral.AnyLength.of(params)).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in got)
+
+
+def test_epochs_of_many_lengths_are_one_plan(spark):
+    epochs = ds.uneven_epochs(spark, "/root/testdata/sf0.001")
+    plan = ft.epochs_features_long(epochs, ds.UNEVEN_PARAMS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and len(re.findall(r"\bExchange ", plan)) == 1
+
+
 def test_duplicates_and_unknown_parameters(spark):
     subjects = spark.createDataFrame([("a",), ("b",), ("a",)], "SubjectID string")
     assert [tuple(r) for r in quality.duplicate_subjects(subjects).collect()] == [("a", 2)]
