@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from signalloom.functions import spectral
 from signalloom.operators import annotations as ann
-from signalloom.operators import epoching, pca, quality, scaling
+from signalloom.operators import complexity, epoching, pca, quality, scaling
 from signalloom.operators.channel_stats import channel_stats
 from signalloom.operators.udf import apply_epoch_features
 from signalloom.plans import datasets as ds
@@ -368,6 +368,38 @@ def shape_stats(spark, sf):
     return stats.select("SubjectID", "EpochID", "Electrode", *[r(c).alias(c) for c in cols])
 
 
+def _line_detrended(spark, sf) -> DataFrame:
+    return epoching.detrend(ft.sliced_epochs(*_line(spark, sf), ds.LINE_PARAMS)).drop("EpochBlock")
+
+
+def _dimensions(epochs: DataFrame) -> DataFrame:
+    return rounded(complexity.fractal_dimensions(epochs), {"HiguchiFD": FINE, "KatzFD": FINE})
+
+
+@query
+def fractal_dimensions(spark, sf):
+    return _dimensions(ds.vector_epochs(spark, sf))
+
+
+@query
+def fractal_dimensions_recordings(spark, sf):
+    return _dimensions(_line_detrended(spark, sf))
+
+
+def _entropies(epochs: DataFrame) -> DataFrame:
+    return rounded(complexity.entropies(epochs), {"SampleEntropy": FINE, "ApproximateEntropy": FINE})
+
+
+@query
+def entropies(spark, sf):
+    return _entropies(ds.vector_epochs(spark, sf))
+
+
+@query
+def entropies_recordings(spark, sf):
+    return _entropies(_line_detrended(spark, sf))
+
+
 @query
 def epoch_level_features(spark, sf):
     return _round_by_feature(ft.epoch_level_features(_line_stats(spark, sf)))

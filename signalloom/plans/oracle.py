@@ -277,6 +277,45 @@ ORACLE["shape_stats"] = _with(
     FROM (SELECT *, avg(x) OVER (PARTITION BY SubjectID, EpochID, Electrode) AS mu FROM vec)
     GROUP BY {KEYS}""",
 )
+DIMENSIONS = f"""
+sizes AS (SELECT {KEYS}, count(*) AS n FROM vec GROUP BY ALL),
+curves AS (
+  SELECT {KEYS}, step, a.k % step AS m, sum(abs(b.x - a.x)) AS total, count(*) AS steps
+  FROM vec a CROSS JOIN (SELECT unnest(range(1, 11)) AS step) JOIN vec b USING ({KEYS})
+  WHERE b.k = a.k + step GROUP BY ALL),
+lengths AS (
+  SELECT {KEYS}, step, sum(total * (n - 1) / (steps * step) / step) / step AS l
+  FROM curves JOIN sizes USING ({KEYS}) GROUP BY {KEYS}, step),
+higuchi AS (SELECT {KEYS}, regr_slope(ln(l), -ln(step)) AS HiguchiFD FROM lengths GROUP BY ALL),
+katz AS (
+  SELECT {KEYS}, log10(n - 1) / (log10(n - 1) + log10(far / total)) AS KatzFD FROM (
+    SELECT {KEYS}, max(abs(v.x - f.x)) AS far FROM vec v
+    JOIN (SELECT {KEYS}, x FROM vec WHERE k = 0) f USING ({KEYS}) GROUP BY ALL)
+  JOIN (SELECT {KEYS}, sum(total) AS total FROM curves WHERE step = 1 GROUP BY ALL) USING ({KEYS})
+  JOIN sizes USING ({KEYS}))"""
+FRACTAL = f"SELECT {KEYS}, {_cols(['HiguchiFD', 'KatzFD'])} FROM higuchi JOIN katz USING ({KEYS})"
+ORACLE["fractal_dimensions"] = _with([VECTORS, DIMENSIONS], FRACTAL)
+ORACLE["fractal_dimensions_recordings"] = _with([MIN, LONG, DETRENDED, DIMENSIONS], FRACTAL)
+ALIKE = f"""
+stretches AS (
+  SELECT {KEYS}, k, x AS x0, lead(x, 1) OVER w AS x1, lead(x, 2) OVER w AS x2,
+         0.2 * stddev_samp(x) OVER (PARTITION BY {KEYS}) AS r, count(*) OVER (PARTITION BY {KEYS}) AS n
+  FROM vec WINDOW w AS (PARTITION BY {KEYS} ORDER BY k)),
+alike AS (
+  SELECT {KEYS}, a.k, a.n, count(*) AS short,
+         count(*) FILTER (a.x2 IS NOT NULL AND b.x2 IS NOT NULL) AS inner_short,
+         count(*) FILTER (abs(a.x2 - b.x2) <= a.r) AS long
+  FROM stretches a JOIN stretches b USING ({KEYS})
+  WHERE abs(a.x0 - b.x0) <= a.r AND abs(a.x1 - b.x1) <= a.r GROUP BY ALL),
+entropy AS (
+  SELECT {KEYS},
+         -ln(nullif(sum(long) FILTER (k < n - 2) - (any_value(n) - 2), 0)
+             / (sum(inner_short) FILTER (k < n - 2) - (any_value(n) - 2))) AS SampleEntropy,
+         avg(ln(short / (n - 1))) - avg(ln(long / (n - 2))) FILTER (k < n - 2) AS ApproximateEntropy
+  FROM alike GROUP BY {KEYS})"""
+ENTROPIES = f"SELECT {KEYS}, {_cols(['SampleEntropy', 'ApproximateEntropy'])} FROM entropy"
+ORACLE["entropies"] = _with([VECTORS, ALIKE], ENTROPIES)
+ORACLE["entropies_recordings"] = _with([MIN, LONG, DETRENDED, ALIKE], ENTROPIES)
 LEVEL = {"Mean": 3, "Std": 3, "Variance": 0, "RMS": 3, "HjorthMobility": 6}
 ORACLE["epoch_level_features"] = _with(
     [
