@@ -17,95 +17,125 @@ from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from signalloom.llm import textvec as tv
 from signalloom.llm.tables import written
 
 CAPACITY = 4096
 END_ID = 1
 # Each length is numbered in so many parts: no length is one task's work.
 PARTS = 1024
-# Words whose ids a worker remembers (twice as many at most), and the longest word kept.
-REMEMBERED, LONGEST = 150_000, 64
-# Text that is encoded at once.
-BLOCK = 1 << 20
+# Words, and ids of words, that a task remembers (32 and 4 bytes each).
+REMEMBERED, REMEMBERED_IDS = 1 << 20, 1 << 23
+# Bytes of text whose words are looked up at once, and words that are encoded at once.
+BLOCK, TOGETHER = 1 << 22, 1000
 # A word that ends in ASCII letters and then punctuation.
 ENDED = re.compile(rb"(.*[A-Za-z])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
+IS_PUNCTUATION = np.zeros(256, dtype=bool)
+IS_PUNCTUATION[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+
+
+def spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, … for each size, one after the other."""
+    return np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
 class WordIds:
-    """Words (bytes) to their ids as little-endian 32-bit integers, learned block by block.
+    """Ids of whole texts, word by word; what it knows of words are flat arrays.
 
     The tokenizer must drop blanks, never join what stands on both sides of one, and part
     letters from punctuation; words, and their punctuated ends, can then be encoded on
     their own. Where A-Z means the same as a-z to it (``folded``), words are lower-cased.
-    Two generations of words are remembered, so memory is bounded and frequent words stay.
+    Words are known by their hash and length and the sum of their squared bytes; a block
+    in which that fails to tell words apart is encoded text by text. A task's words are
+    forgotten with it, and sooner where there are too many.
     """
 
     def __init__(self, vocabulary: str):
-        self.vocabulary = vocabulary
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.folded = self._encode([b"Aa Zz"]) == self._encode([b"aa zz"])
-        self.ids: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode("utf-8") for w in words]
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in encoded]
-
-    def split(self, text: str | None) -> list[bytes]:
-        data = (text or "").encode("utf-8")
-        # Special tokens are found before anything is lower-cased.
-        return (data.lower() if self.folded and b"<|" not in data else data).split()
-
-    def learn(self, words: set[bytes]) -> None:
-        """Know all of ``words``."""
-        if len(self.ids) > REMEMBERED:
-            self.older, self.ids = self.ids, {}
-        new = words.difference(self.ids)
-        for word in new.intersection(self.older):
-            self.ids[word] = self.older[word]
-        new = new.difference(self.ids)
+        self.folded = self._encode([b"Aa", b"Zz"])[0].tolist() == self._encode([b"aa", b"zz"])[0].tolist()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.begins, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, how many each has). Words are encoded many together, a blank apart."""
+        texts = [b" ".join(words[i : i + TOGETHER]).decode("utf-8") for i in range(0, len(words), TOGETHER)]
+        flat, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for text, encoded in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            starts = np.cumsum([0, *(len(w) + 1 for w in text.split(" "))])
+            # A token belongs to the word in which it starts.
+            at = np.array(encoded.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
+            flat.append(np.array(encoded.ids, dtype=np.uint32))
+            sizes.append(np.bincount(np.searchsorted(starts, at, "right") - 1, minlength=len(starts) - 1))
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, checks: np.ndarray) -> None:
+        text, parts = data.tobytes(), {}
+        number = parts.setdefault
+        pairs = []
         # A word's punctuated end is encoded apart, which leaves far fewer words.
-        ends = {w: (m[1], m[2]) for w in new if b"<|" not in w and (m := ENDED.fullmatch(w))}
-        parts = new.difference(ends).union(*ends.values()).difference(self.ids)
-        stems = sorted(parts)
-        self.ids.update(zip(stems, self._encode(stems), strict=True))
-        for word, (stem, end) in ends.items():
-            self.ids[word] = self.ids[stem] + self.ids[end]
-
-    def encode(self, texts: list[str | None], end_id: int = END_ID) -> list[bytes]:
-        """The ids of each text and the closing one."""
-        split = [self.split(text) for text in texts]
-        self.learn(set().union(*split))
-        closing = int(end_id).to_bytes(4, "little")
-        out = [b"".join(map(self.ids.__getitem__, words)) + closing for words in split]
-        for word in {w for words in split if len(words) < 1000 for w in words if len(w) > LONGEST}:
-            del self.ids[word]
-        return out
-
-
-_KNOWN: list[WordIds] = []
-
-
-def word_ids(vocabulary: str) -> WordIds:
-    """The worker's words for a vocabulary; later tasks of the worker go on with them."""
-    if not _KNOWN or _KNOWN[0].vocabulary != vocabulary:
-        _KNOWN[:] = [WordIds(vocabulary)]
-    return _KNOWN[0]
-
-
-def small(batches: Iterator[pa.RecordBatch], size: int = BLOCK) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``size`` bytes of text (one row at least)."""
-    for batch in batches:
-        lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
-        cuts = np.flatnonzero(np.diff(np.cumsum(lengths) // size)) + 1
-        for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-            yield batch.slice(a, b - a)
+        for a, b, closed in zip(starts.tolist(), ends.tolist(), IS_PUNCTUATION[data[ends - 1]].tolist(), strict=True):
+            word = text[a:b]
+            if closed and b"<|" not in word and (m := ENDED.fullmatch(word)):
+                pairs += (number(m[1], len(parts)), number(m[2], len(parts)))
+            else:
+                pairs += (number(word, len(parts)), -1)
+        flat, sizes = self._encode(list(parts))
+        pairs = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+        halves = np.where(pairs >= 0, sizes[pairs], 0)
+        chosen = pairs[pairs >= 0]
+        found = spread((np.cumsum(sizes) - sizes)[chosen], sizes[chosen])
+        total = halves.sum(axis=1)
+        begins = len(self.ids) + np.cumsum(total) - total
+        self.ids = np.concatenate([self.ids, flat[found]])
+        at = np.searchsorted(self.hashes, hashes)
+        for name, values in (("hashes", hashes), ("checks", checks), ("begins", begins), ("sizes", total)):
+            setattr(self, name, np.insert(getattr(self, name), at, values))
+
+    def block_ids(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, each with the closing one, and how many each row has)."""
+        if self.folded:
+            # Special tokens are found before anything is lower-cased.
+            marked = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+            plain = np.ones(len(offsets) - 1, dtype=bool)
+            plain[np.searchsorted(offsets, marked, "right") - 1] = False
+            data = np.where(np.repeat(plain, np.diff(offsets)), tv.lower(data), data)
+        w = tv.words(data, offsets)
+        squares = np.concatenate([[0], np.cumsum(data.astype(np.int64) ** 2)])
+        checks = ((w.ends - w.starts) << 40) ^ (squares[w.ends] - squares[w.starts])
+        if len(self.hashes) > REMEMBERED or len(self.ids) > REMEMBERED_IDS:
+            self._forget()
+        distinct, first, which = np.unique(w.hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, distinct)
+        there = at < len(self.hashes)
+        there[there] = self.hashes[at[there]] == distinct[there]
+        if (checks != checks[first][which]).any() or (self.checks[at[there]] != checks[first[there]]).any():
+            return self._one_by_one(data, offsets, end_id)
+        new = np.flatnonzero(~there)
+        if len(new):
+            of = first[new]
+            self._learn(data, w.starts[of], w.ends[of], distinct[new], checks[of])
+            at = np.searchsorted(self.hashes, distinct)
+        # The closing id stands behind a row's words like one more.
+        closing = np.searchsorted(w.row, np.arange(1, len(offsets)), "left")
+        begins = np.insert(self.begins[at][which], closing, len(self.ids))
+        sizes = np.insert(self.sizes[at][which], closing, 1)
+        rows = np.insert(w.row, closing, np.arange(len(offsets) - 1))
+        ids = np.append(self.ids, np.uint32(end_id))[spread(begins, sizes)]
+        return ids, np.bincount(rows, weights=sizes, minlength=len(offsets) - 1).astype(np.int64)
+
+    def _one_by_one(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        texts = [data[a:b].tobytes().decode("utf-8") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        found = [np.array([*e.ids, end_id], dtype=np.uint32) for e in encoded]
+        return np.concatenate(found), np.array([len(f) for f in found], dtype=np.int64)
 
 
 def token_pieces(
@@ -121,24 +151,36 @@ def token_pieces(
         # A vocabulary file: a few MB, whatever the documents.
         vocabulary = docs.sparkSession.sparkContext.broadcast(file.read())
 
+    kinds = {"piece": pa.int32(), "ids": pa.binary()}
+    names = ["doc_id", "row_hash", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(vocabulary.value)
-        for batch in small(batches):
-            rows: list[list] = [[], [], [], [], [], [], []]
-            doc_ids, hashes, texts = (batch.column(c).to_pylist() for c in ("doc_id", "row_hash", "text"))
-            for doc_id, row_hash, ids in zip(doc_ids, hashes, words.encode(texts, end_id), strict=True):
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    values = (doc_id, row_hash, piece, at // 4, len(part) // 4, zlib.crc32(part))
-                    for column, value in zip(rows, values + (part,), strict=True):
-                        column.append(value)
-            kinds = [batch.schema.field("doc_id").type, pa.int64(), pa.int32()]
-            kinds += [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            names = ["doc_id", "row_hash", "piece", "start", "length", "ids_crc32", "ids"]
-            n = len(names) if keep_ids else len(names) - 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(r, k) for r, k in zip(rows[:n], kinds[:n], strict=True)], names=names[:n]
-            )
+        words = WordIds(vocabulary.value)
+        for batch in batches:
+            for row, data, offsets in tv.blocks(batch.column("text"), BLOCK):
+                ids, lengths = words.block_ids(data, offsets, end_id)
+                pieces = -(-lengths // capacity)
+                owner = np.repeat(np.arange(len(lengths)), pieces)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(lengths[owner] - start, capacity)
+                begin = (np.cumsum(lengths) - lengths)[owner] + start
+                flat = memoryview(ids.astype("<u4").tobytes())
+                parts = [flat[4 * a : 4 * (a + n)] for a, n in zip(begin.tolist(), length.tolist(), strict=True)]
+                columns = {
+                    "piece": piece, "start": start, "length": length, "ids_crc32": [zlib.crc32(p) for p in parts],
+                }
+                if keep_ids:
+                    columns["ids"] = [bytes(p) for p in parts]
+                taken = pa.array(row + owner)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(c).take(taken) for c in ("doc_id", "row_hash")]
+                    + [pa.array(v, kinds.get(c, pa.int64())) for c, v in columns.items()],
+                    names=names,
+                )
+                del data, offsets, ids, flat, parts, columns
+        # What the task held goes back to the system, not only to the next task.
+        pa.default_memory_pool().release_unused()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, row_hash bigint, piece int, start bigint, length bigint, ids_crc32 bigint"

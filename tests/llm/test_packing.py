@@ -4,10 +4,12 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from signalloom.llm import packing, queries
+from signalloom.llm import textvec as tv
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -65,20 +67,31 @@ def test_words_encode_like_whole_texts(documents, odd_rows):
     texts += ["it's  don't\tI'll rock'n'roll.", "á e ́x", "<|endoftext|> a<|startoftext|>b", "1234 5x6", "\x1c\x85 wide"]
     texts += ["<|ENDOFTEXT|> A,b.c... x!'s d'.e 'f' (g) h-i--", "ÉTÉ, ŒUVRE. İstanbul. ΣΑΣ. a…, “b”.", "a\u0301. K\u212a. ﬁ."]
     words = packing.WordIds(tokenizer.to_str())
-    words.learn({b"x"})
-    for block in (texts, texts[::-1]):
-        for text, got in zip(block, words.encode(block), strict=True):
-            whole = tokenizer.encode(text, add_special_tokens=False).ids + [1]
-            assert np.frombuffer(got, "<u4").tolist() == whole
-    assert max(map(len, words.ids)) <= packing.LONGEST
+    for block in (texts, texts[::-1], ["", ""], texts[:3]):
+        data, offsets = tv.text_bytes(pa.array(block))
+        ids, counts = words.block_ids(data, offsets, 1)
+        whole = [tokenizer.encode(text, add_special_tokens=False).ids + [1] for text in block]
+        assert ids.tolist() == sum(whole, []) and counts.tolist() == list(map(len, whole))
 
 
 def test_remembered_words_are_bounded(monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 10)
-    words = packing.WordIds(Tokenizer.from_file(PATH).to_str())
+    tokenizer = Tokenizer.from_file(PATH)
+    words = packing.WordIds(tokenizer.to_str())
     for i in range(30):
-        words.encode([f"common word{chr(97 + i % 26)} other{chr(97 + i // 2)}."])
-    assert len(words.ids) + len(words.older) < 40 and b"common" in words.ids
+        text = f"common word{chr(97 + i % 26)} other{chr(97 + i // 2)}."
+        ids, _ = words.block_ids(*tv.text_bytes(pa.array([text])), 1)
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [1]
+        assert len(words.hashes) == len(words.checks) <= 10 + 3
+
+
+def test_words_that_hashes_do_not_tell_apart(monkeypatch):
+    monkeypatch.setattr(tv, "span_hashes", lambda data, starts, ends: np.ones(len(starts), np.uint64))
+    tokenizer = Tokenizer.from_file(PATH)
+    words = packing.WordIds(tokenizer.to_str())
+    for text in ("one", "one two three", "two"):
+        ids, _ = words.block_ids(*tv.text_bytes(pa.array([text, None])), 1)
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [1, 1]
 
 
 def check_packed(rows, docs, capacity=4096):
