@@ -68,7 +68,7 @@ class WordIds:
         """(ids of all words, how many each has). Words are encoded many together, a blank apart."""
         texts = [b" ".join(words[i : i + TOGETHER]).decode("utf-8") for i in range(0, len(words), TOGETHER)]
         flat, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for text, encoded in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        for text, encoded in zip(texts, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
             starts = np.cumsum([0, *(len(w) + 1 for w in text.split(" "))])
             # A token belongs to the word in which it starts.
             at = np.array(encoded.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
