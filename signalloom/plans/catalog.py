@@ -490,6 +490,36 @@ def epoch_trim_packed(spark, sf):
     )
 
 
+@query
+def job_outcomes(spark, sf):
+    """One pass for all that a job yields, counted by outcome; epochs laid out on the longest channel."""
+    outcomes = ft.job_outcomes(
+        ds.line_samples(spark, sf), ds.line_recordings(spark, sf, usable=F.max), ds.LINE_PARAMS,
+        ds.line_annotations(spark, sf),
+    )
+    return outcomes.groupBy("outcome", "FeatureName", "reason").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("SubjectID").alias("n_subjects"),
+        F.count("FeatureValue").alias("n_values"), F.coalesce(F.sum("NumEpochs"), F.lit(0)).alias("n_epochs"),
+    )
+
+
+@query
+def rejected_signals(spark, sf):
+    """Channels of ready-made epochs without features: every third has a hole, some are very short."""
+    n = F.expr("cast(substr(EpochID, 4) AS int)")
+    holed = F.transform("signal", lambda x, k: F.when((n % 3 != 0) | (k != 7), x))
+    epochs = ds.uneven_epochs(spark, sf).withColumn("signal", F.when(n % 7 == 2, F.slice("signal", F.lit(1), n % 4)).otherwise(holed))
+    return quality.rejected_signals(epochs, ds.UNEVEN_PARAMS)
+
+
+@query
+def duplicate_subjects(spark, sf):
+    """Suppliers listed twice where the list of those with known groups is appended."""
+    known = ds.subjects(spark, sf).select("SubjectID")
+    suppliers = ds.table(spark, sf, "supplier").select(F.concat(F.lit("sub-"), F.col("s_suppkey").cast("string")).alias("SubjectID"))
+    return quality.duplicate_subjects(suppliers.unionByName(known))
+
+
 @query
 def rejected_subjects(spark, sf):
     """Suppliers whose shortest channel holds no epoch of one and a half seconds."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import dataclasses
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from signalloom.functions import moments, spectral
@@ -15,8 +15,9 @@ from signalloom.operators import epoching, quality, sliding
 from signalloom.operators.channel_stats import any_length_stats, channel_stats
 from signalloom.operators.pca import distinct_keys
 from signalloom.params import JobParams
-from signalloom.schemas import FEATURE_SCHEMA, conform
+from signalloom.schemas import FEATURE_SCHEMA, METADATA_SCHEMA, OUTCOME_SCHEMA, conform
 from signalloom.sources.participants import group_label
+from signalloom.sources.scratch import scratch_path
 
 # Columns that identify an epoch; sliced epochs also carry their block, which is
 # what the data is partitioned by.
@@ -105,6 +106,16 @@ def _feature_row(band: str | None, name: str, value: str, kind: str) -> str:
     )
 
 
+def _feature_rows(params: JobParams, table_type: str) -> list[str]:
+    rows = [_feature_row(None, f, f, table_type) for f in ELECTRODE_FEATURES]
+    for b in params.bands:
+        rows += [
+            _feature_row(b.name, f, f"`Power_{b.name}`" if f == "Power" else f, "band")
+            for f in BAND_FEATURES
+        ]
+    return rows
+
+
 def assemble_long(
     stats: DataFrame, bins: Bins, params: JobParams, table_type: str = "band"
 ) -> DataFrame:
@@ -118,12 +129,7 @@ def long_rows(powered: DataFrame, params: JobParams, table_type: str = "band") -
     Band rows repeat the broadband Hjorth features. ``table_type`` is what the
     electrode-level rows are marked with; band rows are always ``band``.
     """
-    rows = [_feature_row(None, f, f, table_type) for f in ELECTRODE_FEATURES]
-    for b in params.bands:
-        rows += [
-            _feature_row(b.name, f, f"`Power_{b.name}`" if f == "Power" else f, "band")
-            for f in BAND_FEATURES
-        ]
+    rows = _feature_rows(params, table_type)
     long = powered.selectExpr(*EPOCH_KEYS, "Electrode", f"inline(array({', '.join(rows)}))")
     return conform(long, FEATURE_SCHEMA)
 
@@ -141,14 +147,64 @@ def features_long(
     return assemble_long(stats, bins, params, table_type)
 
 
+# The values of ``outcome`` of a job's rows.
+FEATURES, METADATA, REJECTED_EPOCHS, REJECTED_SUBJECTS = "features", "metadata", "rejected_epochs", "rejected_subjects"
+
+
+def job_outcomes(
+    samples: DataFrame,
+    recordings: DataFrame,
+    params: JobParams,
+    annotations: DataFrame | None = None,
+    table_type: str = "band",
+) -> DataFrame:
+    """All that a job yields as rows of one table, tagged by ``outcome`` (OUTCOME_SCHEMA).
+
+    Features, metadata, channel-epochs without features and subjects without epochs, the
+    last two with their reason. Samples are shuffled once: every channel is expected in
+    each kept epoch of its subject, and what was computed joins that list, a row per
+    channel-epoch. A channel-epoch without enough samples is ``incomplete``, also where
+    strongly overlapping windows go through panes and a sample is only null.
+    """
+    bins = spectral.welch_bins(params)
+    kept = kept_epochs(recordings, params, annotations)
+    grid = None if annotations is None else kept
+    if sliding.pays_off(params, bins):
+        stats = sliding.sliding_stats(samples, recordings, params, bins, grid)
+        stats = stats.withColumn("_size", F.lit(None).cast("int"))
+    else:
+        # The number of samples, null ones too, goes along as a key.
+        epochs = epoching.slice_epochs(samples, recordings, params, grid).withColumn("_size", F.size("signal"))
+        stats = channel_stats(epochs, (*SLICED_KEYS, "_size"), bins, detrended=params.detrend)
+    channels = samples.groupBy("SubjectID", "Electrode").agg(F.count(F.lit(1)).alias("n"))
+    names = channels.groupBy("SubjectID").agg(F.array_sort(F.collect_set("Electrode")).alias("_names"))
+    expected = kept.join(names, "SubjectID").select("SubjectID", "EpochID", F.explode("_names").alias("Electrode"))
+    found = expected.join(with_band_power(stats, bins, params), [*EPOCH_KEYS, "Electrode"], "left")
+    found = found.selectExpr("*", f"""CASE WHEN n = {params.n_times} THEN NULL
+        WHEN _size = {params.n_times} THEN 'missing sample' ELSE 'incomplete' END AS reason""")
+    rejected = _feature_row(None, "", "NULL", "").replace("''", "cast(NULL AS string)")
+    rows = f"inline(if(reason IS NULL, array({', '.join(_feature_rows(params, table_type))}), array({rejected})))"
+    tagged = found.selectExpr(*EPOCH_KEYS, "Electrode", "reason", rows).selectExpr(
+        f"if(reason IS NULL, '{FEATURES}', '{REJECTED_EPOCHS}') AS outcome", "*"
+    )
+    described = epoching.recording_metadata(channels, kept, params).select(F.lit(METADATA).alias("outcome"), "*")
+    without = quality.rejected_subjects(recordings, kept).select(F.lit(REJECTED_SUBJECTS).alias("outcome"), "*")
+    all_rows = tagged.unionByName(described, True).unionByName(without, True)
+    return conform(all_rows, OUTCOME_SCHEMA)
+
+
 @dataclasses.dataclass(frozen=True)
 class FeatureJob:
-    """What one run yields: features, what was recorded, and what was left out and why."""
+    """What one run yielded: features, what was recorded, and what was left out and why.
+
+    ``counts`` holds the rows of each outcome as they were written.
+    """
 
     features: DataFrame
     metadata: DataFrame
     rejected_epochs: DataFrame
     rejected_subjects: DataFrame
+    counts: dict[str, int]
 
 
 def feature_job(
@@ -157,16 +213,36 @@ def feature_job(
     params: JobParams,
     annotations: DataFrame | None = None,
     table_type: str = "band",
+    path: str | None = None,
 ) -> FeatureJob:
-    """The whole job. Raises if no subject has an epoch, which one row's look tells."""
-    kept = quality.require_rows(kept_epochs(recordings, params, annotations), "epochs")
-    channels = samples.groupBy("SubjectID", "Electrode").agg(F.count(F.lit(1)).alias("n"))
-    epochs = sliced_epochs(samples, recordings, params, annotations)
+    """Run the whole job once: one table, partitioned by outcome, and its parts to read.
+
+    It is written to ``path`` (a new folder in the shared one by default). Raises if no
+    subject has an epoch.
+    """
+    spark = samples.sparkSession
+    path = path or scratch_path(spark, "features")
+    tags = (FEATURES, METADATA, REJECTED_EPOCHS, REJECTED_SUBJECTS)
+    seen = Observation("outcomes")
+    outcomes = job_outcomes(samples, recordings, params, annotations, table_type).observe(
+        seen, *[F.count_if(F.col("outcome") == tag).alias(tag) for tag in tags]
+    )
+    outcomes.write.partitionBy("outcome").parquet(path)
+    counts = {tag: seen.get[tag] for tag in tags}
+    if not counts[FEATURES] + counts[REJECTED_EPOCHS]:
+        raise ValueError("no valid epochs found for any subject")
+    # The columns as written, with the partition's.
+    written = spark.read.schema(OUTCOME_SCHEMA).parquet(path)
+
+    def part(tag: str, *columns: str) -> DataFrame:
+        return written.where(F.col("outcome") == tag).select(*columns)
+
     return FeatureJob(
-        features_long(samples, recordings, params, annotations, table_type),
-        epoching.recording_metadata(channels, kept, params),
-        quality.rejected_epochs(epochs, kept, channels, params.n_times),
-        quality.rejected_subjects(recordings, kept),
+        part(FEATURES, *FEATURE_SCHEMA.names),
+        part(METADATA, *METADATA_SCHEMA.names),
+        part(REJECTED_EPOCHS, *EPOCH_KEYS, "Electrode", "reason"),
+        part(REJECTED_SUBJECTS, "SubjectID", "reason"),
+        counts,
     )
 
 

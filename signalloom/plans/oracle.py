@@ -452,6 +452,30 @@ ep AS (
     ],
     LONG_ROWS,
 )
+_COUNTS = "count(*) AS n_rows, count(DISTINCT SubjectID) AS n_subjects"
+ORACLE["job_outcomes"] = _with(
+    [
+        LINES.format(usable="max", step=0.3), LINE_NOTES, f"""
+expected AS (SELECT g.SubjectID, g.EpochID, c.Electrode FROM numbered g JOIN channels c USING (SubjectID)),
+sizes AS (SELECT {KEYS}, count(*) AS n FROM ep GROUP BY ALL),
+state AS (SELECT {KEYS}, coalesce(n, 0) = 33 AS whole FROM expected LEFT JOIN sizes USING ({KEYS})),
+names(FeatureName, times) AS (
+  VALUES ('Mean', 1), ('Std', 1), ('RMS', 1), ('HjorthMobility', 5), ('HjorthComplexity', 5), ('Power', 4))""",
+    ],
+    f"""SELECT 'features' AS outcome, FeatureName, NULL AS reason, {_COUNTS}, count(*) AS n_values, 0 AS n_epochs
+    FROM state, names, range(times) WHERE whole GROUP BY FeatureName
+    UNION ALL SELECT 'rejected_epochs', NULL, 'incomplete', {_COUNTS}, 0, 0 FROM state WHERE NOT whole HAVING count(*) > 0
+    UNION ALL SELECT 'metadata', NULL, NULL, count(*), count(*), 0, (SELECT count(*) FROM numbered)
+    FROM (SELECT DISTINCT SubjectID FROM channels)
+    UNION ALL SELECT 'rejected_subjects', NULL, 'no epochs', {_COUNTS}, 0, 0 FROM recordings
+    WHERE SubjectID NOT IN (SELECT SubjectID FROM numbered) HAVING count(*) > 0""",
+)
+ORACLE["rejected_signals"] = """
+SELECT 'sub-' || lpad(CAST(label AS VARCHAR), 3, '0') AS SubjectID, 'ep-' || vec_id AS EpochID, Electrode,
+  CASE WHEN vec_id % 7 <> 2 THEN 'missing sample' WHEN vec_id % 4 = 0 THEN 'no sample' ELSE 'too short' END AS reason
+FROM embeddings CROSS JOIN (VALUES ('E0'), ('E1')) c(Electrode)
+WHERE vec_id % 7 = 2 AND vec_id % 4 < 3 OR vec_id % 7 <> 2 AND vec_id % 3 = 0"""
+ORACLE["duplicate_subjects"] = _with([SUBJECTS], "SELECT SubjectID, 2 AS n_rows FROM subjects")
 ORACLE["rejected_subjects"] = _with(
     [MIN],
     """SELECT SubjectID, 'no epochs' AS reason FROM recordings

@@ -54,6 +54,22 @@ FEATURE_SCHEMA = _struct(
     ("table_type", _S, True),
 )
 
+# All that a job yields, told apart by ``outcome``; columns an outcome lacks are null.
+OUTCOME_SCHEMA = _struct(
+    ("outcome", _S, False),
+    ("SubjectID", _S, False),
+    ("EpochID", _S, True),
+    ("Electrode", _S, True),
+    ("WaveBand", _S, True),
+    ("FeatureName", _S, True),
+    ("FeatureValue", _D, True),
+    ("table_type", _S, True),
+    ("reason", _S, True),
+    ("ChannelNames", T.ArrayType(_S), True),
+    ("SFreq", _D, True),
+    ("NumEpochs", _L, True),
+)
+
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """The schema's columns, by name, in its order and types; a missing one is an error."""

@@ -436,6 +436,28 @@ def test_whole_job_from_written_tables(spark, tmp_path):
         conform(samples.drop("j"), SAMPLE_SCHEMA)
 
 
+@pytest.mark.parametrize("step", [0.5, 0.1])
+def test_a_job_shuffles_its_samples_once(spark, step):
+    params = JobParams(sfreq=10.0, window_length=1.0, step_size=step, n_fft=8, bands=(Band("all", 0.5, 5.0),))
+    rng = np.random.default_rng(2)
+    signals = {("s1", "A"): rng.normal(size=90), ("s1", "B"): {j: v for j, v in enumerate(rng.normal(size=90)) if not 30 <= j < 60}}
+    samples = sg.samples_df(spark, signals | {("s1", "C"): [None if j == 40 else float(j % 7) for j in range(90)]})
+    described = rec.describe_recordings(samples, params)
+    outcomes = ft.job_outcomes(samples, described, params)
+    exchanged = [line for line in plan_of(outcomes).splitlines() if re.search(r"Exchange hashpartitioning\(.*EpochBlock", line)]
+    assert len(exchanged) == 1
+    job = ft.feature_job(samples, described, params)
+    left = {(r.EpochID, r.Electrode): r.reason for r in job.rejected_epochs.collect()}
+    whole = {(r.EpochID, r.Electrode) for r in job.features.select("EpochID", "Electrode").distinct().collect()}
+    kept = job.metadata.first().NumEpochs
+    assert len(left) + len(whole) == 3 * kept and not whole & set(left)
+    want = {"incomplete", "missing sample"} if step == 0.5 else {"incomplete"}
+    assert {r for r in left.values()} == want
+    assert job.counts == {"features": len(whole) * 8, "metadata": 1, "rejected_epochs": len(left), "rejected_subjects": 0}
+    plain = ft.features_long(samples, described, params)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, job.features.collect()))
+
+
 def test_uneven_epochs_and_reasons(spark):
     params = JobParams(sfreq=64.0, window_length=63 / 64, n_fft=64, detrend=False)
     wave = lambda n: [float(k % 5) for k in range(n)]
