@@ -3,7 +3,7 @@
 The lexicon holds the terms of a chosen band of inverse document frequency: neither so
 common that all documents have them nor so rare that only few do. A document's terms
 within it, distinct and sorted, are hashed once as a whole and once per sub-lexicon.
-Sub-lexicons are random; the eight sizes from a half to a 256th of the lexicon make
+Sub-lexicons are random; their sizes from a 16th to a 1,024th of the lexicon make
 sure that some hold few terms of a document, however long it is, so edited copies
 keep a part of the hashes. Everything is an SQL expression on the text.
 """
@@ -20,12 +20,14 @@ from signalloom.operators.numbering import split_points, with_bucket
 
 # The band: terms in at least two documents and one in RARE of them, at most one in COMMON.
 RARE, COMMON = 1024, 8
-# Of the band's terms, the most common ones; that bounds the lexicon (128 KB) at any size.
-LEXICON = 1 << 14
-# Sub-lexicons, eight of each size, the hexadecimal digits of their hashes, and those of
-# the hash of all terms, which tells texts apart; the short ones only have to tell how
-# much of two texts agrees.
-SUBSETS, DIGITS, WHOLE = 64, 4, 16
+# Of the band's terms, the most common ones; that bounds the lexicon (64 KB) at any size.
+LEXICON = 1 << 13
+# Sub-lexicons: sixteen random families of four sizes, each smaller one within the larger.
+FAMILIES, LEVELS = 16, 4
+# Hexadecimal digits of their hashes, and of the hash of all terms, which tells texts
+# apart; the short ones only have to tell how much of two texts agrees.
+DIGITS, WHOLE = 4, 16
+SUBSETS = FAMILIES * LEVELS
 NONE = "-" * DIGITS
 
 # Runs of ASCII characters other than letters and digits.
@@ -67,9 +69,12 @@ def with_fingerprint(
     docs = docs.drop(name)
     low, own, inside, chosen = (fresh(docs.columns, c) for c in ("low", "own", "inside", "chosen"))
     known = lexicon.agg(F.collect_list("term")).scalar()  # one row of at most ``size`` numbers
-    subset = f"filter({chosen}, t -> shiftright(t, (k * 13) % 53) % 256 < shiftright(128, k div {SUBSETS // 8}))"
     digest = "substr(md5(array_join(cast({} AS array<string>), ',')), 1, {})".format
-    hashes = f"transform(transform(sequence(0, {SUBSETS - 1}), k -> {subset}), s -> if(size(s) = 0, '{NONE}', {digest('s', DIGITS)}))"
+    # A window of a term's bits below 64, then 16, 4 and 1 of 1,024: a quarter of the terms before.
+    smaller = "filter(element_at(a, -1), t -> shiftright(t, f * 3) % 1024 < shiftright(64, 2 * l))"
+    nested = f"slice(aggregate(sequence(0, {LEVELS - 1}), array({chosen}), (a, l) -> array_append(a, {smaller})), 2, {LEVELS})"
+    hashes = f"""transform(flatten(transform(sequence(0, {FAMILIES - 1}), f -> {nested})),
+        s -> if(size(s) = 0, '{NONE}', {digest('s', DIGITS)}))"""
     columns = [F.col(f"`{c}`") for c in docs.columns]
     docs = docs.withColumn(low, ascii_lower(F.coalesce(F.col(text), F.lit(""))))
     docs = docs.select(*columns, F.expr(TERMS.replace("split(low", f"split({low}")).alias(own))

@@ -52,7 +52,7 @@ TERMS_SQL = f"""[('0x' || substr(md5(w), 1, 15))::BIGINT FOR w IN list_distinct(
     regexp_extract_all({LOWER_SQL}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))]"""
 PRINT_SQL = """substr(md5(array_to_string({0}, ',')), 1, 16) || array_to_string([
     CASE WHEN len(s) = 0 THEN '----' ELSE substr(md5(array_to_string(s, ',')), 1, 4) END
-    FOR s IN [list_filter({0}, lambda t: (t >> ((k * 13) % 53)) % 256 < (128 >> (k // 8))) FOR k IN range(64)]], '')"""
+    FOR s IN [list_filter({0}, lambda t: (t >> (k // 4 * 3)) % 1024 < (64 >> (k % 4 * 2))) FOR k IN range(64)]], '')"""
 CHOICE_SQL = """list_sort(CASE WHEN len(list_intersect({0}, known)) > 0 THEN list_intersect({0}, known) ELSE {0} END)"""
 LIKE_SQL = """(SELECT CASE WHEN count(*) FILTER (x <> '----' OR y <> '----') = 0 THEN ({0} = {1})::INT::DOUBLE
     ELSE count(*) FILTER (x = y AND x <> '----') / (count(*) FILTER (x <> '----' OR y <> '----'))::DOUBLE END
@@ -64,7 +64,7 @@ words AS (SELECT doc_id, text, {TERMS_SQL.format("text")} AS terms FROM docs),
 counts AS (SELECT term, count(*) AS df FROM (SELECT unnest(terms) AS term FROM words) GROUP BY term),
 lexicon AS (
     SELECT term FROM counts, (SELECT count(*) AS n FROM docs) WHERE df >= 2 AND df * 1024 >= n AND df * 8 <= n
-    ORDER BY df DESC, term LIMIT 16384),
+    ORDER BY df DESC, term LIMIT 8192),
 known AS (SELECT list(term) AS known FROM lexicon),
 linked AS (
     SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text,

@@ -19,7 +19,7 @@ def terms(text):
     return {int(hashlib.md5(w.encode()).hexdigest()[:15], 16) for w in PART.findall((text or "").translate(FOLD))}
 
 
-def brute_lexicon(texts, rare=1024, common=8, size=1 << 14):
+def brute_lexicon(texts, rare=1024, common=8, size=1 << 13):
     counts = Counter(t for text in texts for t in terms(text))
     n = len(texts)
     band = [(-df, t) for t, df in counts.items() if df >= 2 and df * rare >= n and df * common <= n]
@@ -30,7 +30,7 @@ def brute_print(text, known):
     own = sorted((terms(text) & known) or terms(text))
     out = [md5(own, 16)]
     for k in range(64):
-        part = [t for t in own if (t >> (k * 13) % 53) % 256 < 128 >> k // 8]
+        part = [t for t in own if (t >> k // 4 * 3) % 1024 < 64 >> k % 4 * 2]
         out.append(md5(part, 4) if part else "-" * 4)
     return "".join(out)
 
