@@ -29,9 +29,9 @@ END_ID = 1
 # Each length is numbered in so many parts: no length is one task's work.
 PARTS = 1024
 # Words, and ids of words, that a task remembers (32 and 4 bytes each).
-REMEMBERED, REMEMBERED_IDS = 1 << 20, 1 << 23
+REMEMBERED, REMEMBERED_IDS = 1 << 19, 1 << 22
 # Bytes of text whose words are looked up at once, and words that are encoded at once.
-BLOCK, TOGETHER = 1 << 22, 1000
+BLOCK, TOGETHER = 1 << 20, 1000
 # A word that ends in ASCII letters and then punctuation.
 ENDED = re.compile(rb"(.*[A-Za-z])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
 IS_PUNCTUATION = np.zeros(256, dtype=bool)
@@ -66,9 +66,11 @@ class WordIds:
 
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, how many each has). Words are encoded many together, a blank apart."""
-        texts = [b" ".join(words[i : i + TOGETHER]).decode("utf-8") for i in range(0, len(words), TOGETHER)]
         flat, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for text, encoded in zip(texts, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        for i in range(0, len(words), TOGETHER):
+            text = b" ".join(words[i : i + TOGETHER]).decode("utf-8")
+            # What comes back holds far more than ids: one at a time.
+            encoded = self.tokenizer.encode(text, add_special_tokens=False)
             starts = np.cumsum([0, *(len(w) + 1 for w in text.split(" "))])
             # A token belongs to the word in which it starts.
             at = np.array(encoded.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
