@@ -10,7 +10,7 @@ Deviations are sample ones.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,9 +41,26 @@ def _replace(df: DataFrame, new: dict[str, Column], drop: Sequence[str] = ()) ->
     )
 
 
-def _with_stats(df: DataFrame, train: DataFrame, fields: dict[str, Column]) -> DataFrame:
-    stats = train.agg(F.struct(*[v.alias(k) for k, v in fields.items()]).alias("stats"))
-    return df.withColumn("_stats", stats.scalar())
+def _stats_by_position(df: DataFrame, values: Column, stats: dict[str, Callable], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, _stats): for each place of the array ``values`` a struct of its statistics.
+
+    Cells are aggregated by place before anything is shuffled, so the plan is the same
+    for any number of columns.
+    """
+    cells = df.select(*[quoted(k) for k in keys], F.posexplode(values).alias("_at", "_x"))
+    by_place = cells.groupBy(*keys, "_at").agg(F.struct(*[f("_x").alias(n) for n, f in stats.items()]).alias("_of"))
+    gathered = by_place.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_at", "_of"))).alias("_all"))
+    return gathered.select(*[quoted(k) for k in keys], F.col("_all._of").alias("_stats"))
+
+
+def _scale_by_position(
+    df: DataFrame, cols: Sequence[str], values: Column, formula: Callable[[Column, Column], Column]
+) -> DataFrame:
+    """``cols`` replaced by ``formula(value, its statistics)``; ``df`` has ``_stats``."""
+    scaled = df.withColumn("_scaled", F.zip_with(values, "_stats", formula))
+    return _replace(
+        scaled, {c: F.get("_scaled", F.lit(p)) for p, c in enumerate(cols)}, drop=["_stats", "_scaled"]
+    )
 
 
 def min_max_normalize(
@@ -58,22 +75,20 @@ def min_max_normalize(
     Test values outside the training range are not clamped; a constant column
     becomes ``target_min``; a column without any training value is an error.
     """
-    fields = {}
-    for p, c in enumerate(cols):
-        fields[f"lo{p}"] = F.min(quoted(c)).cast("double")
-        fields[f"hi{p}"] = F.max(quoted(c)).cast("double")
-
-    def scale(df: DataFrame) -> DataFrame:
-        new = {}
-        for p, c in enumerate(cols):
-            lo, hi = F.col(f"_stats.lo{p}"), F.col(f"_stats.hi{p}")
-            known = F.when(lo.isNotNull(), lo).otherwise(
-                F.raise_error(F.lit(f"column {c} has no training value")).cast("double")
-            )
-            new[c] = (quoted(c) - known) / safe_range(lo, hi) * (target_max - target_min) + target_min
-        return _replace(_with_stats(df, train, fields), new, drop=["_stats"])
-
-    return scale(train), scale(test)
+    values = F.array(*[quoted(c).cast("double") for c in cols])
+    stats = _stats_by_position(train, values, {"lo": F.min, "hi": F.max})
+
+    def formula(x: Column, s: Column) -> Column:
+        # Without training rows there are no statistics at all.
+        lo = F.when(s["lo"].isNotNull(), s["lo"]).otherwise(
+            F.raise_error(F.lit("a column has no training value")).cast("double")
+        )
+        return (x - lo) / safe_range(s["lo"], s["hi"]) * (target_max - target_min) + target_min
+
+    train, test = (
+        _scale_by_position(df.withColumn("_stats", stats.scalar()), cols, values, formula) for df in (train, test)
+    )
+    return train, test
 
 
 def _as_float(c: str) -> Column:
@@ -88,22 +103,15 @@ def normalize_by_column(
     Values are taken in single precision. Output: ids, label and the columns.
     One row per input row; ``melt``/``unmelt`` give the long-form equivalent.
     """
-    fields = {}
-    for p, c in enumerate(cols):
-        fields[f"mean{p}"] = F.avg(_as_float(c))
-        fields[f"std{p}"] = F.stddev_samp(_as_float(c))
+    values = F.array(*[_as_float(c) for c in cols])
+    stats = _stats_by_position(train, values, {"mean": F.avg, "std": F.stddev_samp})
+
+    def formula(x: Column, s: Column) -> Column:
+        return F.coalesce((x - s["mean"]) / safe_deviation(s["std"]), F.lit(0.0))
 
     def scale(df: DataFrame) -> DataFrame:
-        new = {
-            c: F.coalesce(
-                (_as_float(c) - F.col(f"_stats.mean{p}"))
-                / safe_deviation(F.col(f"_stats.std{p}")),
-                F.lit(0.0),
-            )
-            for p, c in enumerate(cols)
-        }
-        scaled = _with_stats(df.select(*IDS, *[quoted(c) for c in cols]), train, fields)
-        return _replace(scaled, new, drop=["_stats"])
+        own = df.select(*IDS, *[quoted(c) for c in cols]).withColumn("_stats", stats.scalar())
+        return _scale_by_position(own, cols, values, formula)
 
     return scale(train), scale(test)
 
@@ -159,30 +167,26 @@ def _by_key(df: DataFrame, train: DataFrame, key: Column, value: Column) -> Data
     )
 
 
-def _join_subject_stats(df: DataFrame, key: str, aggregates: list[Column]) -> DataFrame:
+def _per_subject(
+    df: DataFrame, cols: Sequence[str], stats: dict[str, Callable], formula: Callable[[Column, Column], Column]
+) -> DataFrame:
     # A left join, not a window: rows without a subject keep null statistics, and a
     # subject that fills a third of the table is reduced before it is shuffled.
-    return df.join(df.groupBy(key).agg(*aggregates), key, "left")
+    values = F.array(*[quoted(c).cast("double") for c in cols])
+    joined = df.join(_stats_by_position(df, values, stats, ["SubjectID"]), "SubjectID", "left")
+    return _scale_by_position(joined, cols, values, formula).select(*[quoted(c) for c in df.columns])
 
 
 def normalize_by_column_per_subject_wide(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    aggregates, new, temporary = [], {}, []
-    for p, c in enumerate(cols):
-        mean, std = f"_mean{p}", f"_std{p}"
-        aggregates += [F.avg(quoted(c)).alias(mean), F.stddev_samp(quoted(c)).alias(std)]
-        new[c] = (quoted(c) - F.col(mean)) / safe_deviation(F.col(std))
-        temporary += [mean, std]
-    return _replace(_join_subject_stats(df, "SubjectID", aggregates), new, drop=temporary)
+    return _per_subject(
+        df, cols, {"mean": F.avg, "std": F.stddev_samp}, lambda x, s: (x - s["mean"]) / safe_deviation(s["std"])
+    )
 
 
 def min_max_by_column_per_subject_wide(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    aggregates, new, temporary = [], {}, []
-    for p, c in enumerate(cols):
-        lo, hi = f"_lo{p}", f"_hi{p}"
-        aggregates += [F.min(quoted(c)).alias(lo), F.max(quoted(c)).alias(hi)]
-        new[c] = (quoted(c) - F.col(lo)) / safe_range(F.col(lo), F.col(hi))
-        temporary += [lo, hi]
-    return _replace(_join_subject_stats(df, "SubjectID", aggregates), new, drop=temporary)
+    return _per_subject(
+        df, cols, {"lo": F.min, "hi": F.max}, lambda x, s: (x - s["lo"]) / safe_range(s["lo"], s["hi"])
+    )
 
 
 def normalize_power(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:

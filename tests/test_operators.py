@@ -444,7 +444,7 @@ def test_a_job_shuffles_its_samples_once(spark, step):
     samples = sg.samples_df(spark, signals | {("s1", "C"): [None if j == 40 else float(j % 7) for j in range(90)]})
     described = rec.describe_recordings(samples, params)
     outcomes = ft.job_outcomes(samples, described, params)
-    exchanged = [line for line in plan_of(outcomes).splitlines() if re.search(r"Exchange hashpartitioning\(.*EpochBlock", line)]
+    exchanged = [line for line in plan_of(outcomes).splitlines() if re.search(r"EpochBlock.*REPARTITION_BY_COL", line)]
     assert len(exchanged) == 1
     job = ft.feature_job(samples, described, params)
     left = {(r.EpochID, r.Electrode): r.reason for r in job.rejected_epochs.collect()}
