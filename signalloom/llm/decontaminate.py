@@ -16,12 +16,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from signalloom.llm import textvec as tv
 from signalloom.llm.tables import written
 
 SEED_WORDS = 3
-# Seeds of an item that must meet in one place before it is aligned there.
+# Seeds of an item that must meet in one place before it is aligned there; an item with
+# fewer places for seeds needs all of them.
 LEAST_SEEDS = 2
 # A seed so many times as frequent as its item's median one is no seed.
 COMMON = 8
@@ -116,10 +119,15 @@ def rare_seeds(items: Items, frequency: np.ndarray) -> Items:
     occur in its copies are rare by this measure, unlike common phrases.
     """
     of = frequency[np.searchsorted(items.distinct(), items.hashes)]
-    kept = np.zeros(len(of), dtype=bool)
-    for item in np.unique(items.item):
-        mine = np.flatnonzero(items.item == item)
-        kept[mine] = of[mine] <= COMMON * max(1, np.sort(of[mine])[len(mine) // 2])
+    # Item by item in one order: the middle one of each is its median.
+    order = np.lexsort((of, items.item))
+    owner = items.item[order]
+    begins = np.searchsorted(owner, np.arange(len(items.ids)))
+    counts = np.bincount(items.item, minlength=len(items.ids))
+    median = np.zeros(len(items.ids), dtype=np.int64)
+    some = counts > 0
+    median[some] = of[order][(begins + counts // 2)[some]]
+    kept = of <= COMMON * np.maximum(1, median)[items.item]
     return Items(items.ids, items.words, items.hashes[kept], items.item[kept], items.place[kept])
 
 
@@ -168,9 +176,8 @@ def places(items: Items, w: tv.Words, n: int = SEED_WORDS) -> Iterator[tuple[int
     new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > length[item[1:]])
     cuts = np.append(np.flatnonzero(new), len(at))
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        seeds = len(np.unique(place[a:b]))
-        if seeds >= LEAST_SEEDS:
-            size = int(length[item[a]])
+        seeds, size = len(np.unique(place[a:b])), int(length[item[a]])
+        if seeds >= min(LEAST_SEEDS, size - n + 1):
             # Room for the whole item on both sides, and for words put in.
             before = int((at[a:b] - place[a:b]).min()) - size // 2
             after = int((at[a:b] + size - place[a:b]).max()) + size // 2
@@ -200,12 +207,12 @@ def find_copies(
     for k in range(slices):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
         known = read_items(part.orderBy("item_id", "text").collect(), n)
-        hits = _find(own, rare_seeds(known, seed_frequencies(docs, known, n)), n, schema)
+        hits = _find(own, rare_seeds(known, seed_frequencies(docs, known, n)), n, schema, benchmark.schema["item_id"].dataType)
         found = hits if found is None else found.unionByName(hits)
     return found
 
 
-def _find(own: DataFrame, items: Items, n: int, schema: str) -> DataFrame:
+def _find(own: DataFrame, items: Items, n: int, schema: str, item_kind: DataType) -> DataFrame:
     shared = own.sparkSession.sparkContext.broadcast(items)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,9 +242,7 @@ def _find(own: DataFrame, items: Items, n: int, schema: str) -> DataFrame:
                 columns, names=["doc_id", "row_hash", "item_id", "score", "n_seeds", "begin", "end"]
             )
 
-    items_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[
-        schema.split("item_id ")[1].split(",")[0]
-    ]
+    items_type = to_arrow_type(item_kind)
     return own.mapInArrow(find, schema)
 
 

@@ -101,3 +101,25 @@ def test_query_finds_whole_copies(spark):
     whole = {(d, i) for d, t in docs.items() for i, b in items.items() if b in t}
     assert whole and whole <= set(got)
     assert all(got[x] == 1.0 for x in whole)
+
+
+def test_items_of_three_words_and_other_ids(spark):
+    docs = spark.createDataFrame([(1, "so alpha beta gamma it is"), (2, "alpha beta"), (3, "beta gamma alpha")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, "Alpha, beta gamma!"), (8, "beta gamma")], "item_id smallint, text string")
+    got = dc.contaminated(docs, items).collect()
+    assert [(r["doc_id"], r["item_id"], r["score"], r["n_seeds"]) for r in got] == [(1, 7, 1.0, 1)]
+
+
+def test_rare_seeds_of_very_many_items():
+    rng = np.random.default_rng(1)
+    n, each = 100_000, 12
+    hashes = np.sort(rng.integers(0, 1 << 62, n * each).astype(np.uint64))
+    item = rng.permutation(np.repeat(np.arange(n), each))
+    items = dc.Items(np.arange(n), [], hashes, item, np.zeros(n * each, np.int64))
+    frequency = rng.integers(0, 40, len(items.distinct()))
+    kept = dc.rare_seeds(items, frequency)
+    of = frequency[np.searchsorted(items.distinct(), hashes)]
+    for i in (0, 1, 999, n - 1):
+        mine = of[item == i]
+        want = mine <= dc.COMMON * max(1, np.sort(mine)[len(mine) // 2])
+        assert (kept.item == i).sum() == want.sum()

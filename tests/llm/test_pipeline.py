@@ -20,7 +20,7 @@ def test_stages_one_by_one(spark, documents, tmp_path):
         if name == "language ID":
             assert all(tuple(r) == tuple(before[r["doc_id"]]) for r in after)
             gone = [r for d, r in before.items() if d not in {x["doc_id"] for x in after}]
-            assert len(gone) <= 0.02 * len(before) and all(len(r["text"] or "") < 50 for r in gone)
+            assert not any(ch.isalpha() for r in gone for ch in r["text"] or "")
         elif name == "line dedup":
             want = {d: t for d, _, _, t in brute.dedup_lines([(d, r["text"]) for d, r in before.items()])}
             assert {r["doc_id"]: r["text"] for r in after} == want
