@@ -14,19 +14,15 @@ from signalloom.llm import decontaminate, jaccard_join, language_id, line_dedup,
 from signalloom.llm.tables import read, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-# A language this unsure is no better than a guess.
-LEAST_SCORE = 0.5
 # Near copies have 80 % of their five-word n-grams in common (the op8 query: four words, 85 %).
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; without a letter, or undecided, they go."""
+    """Documents that the operator finds a language for; those without a letter go."""
     model = language_id.train(docs.select("doc_id", "text", "lang"))
     found = language_id.identify(docs.select(*COLUMNS), model)
-    return found.where(
-        (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
-    ).select(*COLUMNS)
+    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
