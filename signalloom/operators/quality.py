@@ -104,6 +104,34 @@ def duplicate_subjects(subjects: DataFrame) -> DataFrame:
     return counts.where("n_rows > 1")
 
 
+def compare_tables(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], value: str, tolerance: float = 1e-9
+) -> DataFrame:
+    """(keys, left, right, class): two tables' values side by side, one row per key of either.
+
+    Classes: ``equal`` (within ``tolerance`` of the larger magnitude, or both null, or both
+    NaN), ``different``, ``null`` or ``nan`` (on one side only), ``only left`` and
+    ``only right``. Null keys match each other. Keys should be unique on each side; rows
+    that repeat one are matched with all of the other side's.
+    """
+    sides = [
+        df.select(*[F.col(k).alias(f"_{k}_{i}") for k in keys], F.col(value).cast("double").alias(f"_v{i}"), F.lit(True).alias(f"_in{i}"))
+        for i, df in enumerate((left, right))
+    ]
+    same = F.expr(" AND ".join(f"`_{k}_0` <=> `_{k}_1`" for k in keys))
+    a, b = F.col("_v0"), F.col("_v1")
+    kind = (
+        F.when(F.col("_in1").isNull(), "only left").when(F.col("_in0").isNull(), "only right")
+        .when(a.isNull() & b.isNull(), "equal").when(a.isNull() | b.isNull(), "null")
+        .when(F.isnan(a) & F.isnan(b), "equal").when(F.isnan(a) | F.isnan(b), "nan")
+        .when(a == b, "equal")
+        .when(F.abs(a - b) <= tolerance * F.greatest(F.abs(a), F.abs(b)), "equal").otherwise("different")
+    )
+    return sides[0].join(sides[1], same, "full_outer").select(
+        *[F.coalesce(f"_{k}_0", f"_{k}_1").alias(k) for k in keys], a.alias("left"), b.alias("right"), kind.alias("class")
+    )
+
+
 def require_rows(df: DataFrame, what: str) -> DataFrame:
     """Fail early if nothing is left to work on. Looks for one row only."""
     if df.isEmpty():

@@ -75,6 +75,21 @@ def participants_by_group(spark, sf):
     return ds.subjects(spark, sf)
 
 
+@query
+def recordings_tree(spark, sf):
+    """Recordings written as a tree of files, read back by subject; every tenth asked for lies nowhere."""
+    root = scratch_path(spark, "tree")
+    samples = ds.line_samples(spark, sf)
+    rec.write_by_subject(samples, root, spread=["Electrode"])
+    asked = ds.line_recordings(spark, sf).selectExpr(
+        "if(cast(substr(SubjectID, 5) AS int) % 10 = 3, concat(SubjectID, 'x'), SubjectID) AS SubjectID"
+    )
+    found = rec.scan_tree(spark, root)
+    counts = found.groupBy("SubjectID").agg(F.count(F.lit(1)).alias("n_rows"), r(F.sum("value"), 2).alias("total"))
+    located = counts.join(asked, "SubjectID").withColumn("reason", F.lit(None).cast("string"))
+    return located.unionByName(rec.missing_recordings(found, asked), True)
+
+
 @query
 def subject_discovery(spark, sf):
     lines = ds.table(spark, sf, "lineitem").select(
@@ -490,6 +505,19 @@ def epoch_trim_packed(spark, sf):
     )
 
 
+@query
+def routes_compared(spark, sf):
+    """Features of strongly overlapping epochs by panes and by slices, compared value by value."""
+    bins = spectral.welch_bins(ds.DENSE_PARAMS)
+    by_panes, by_slices = (
+        ft.assemble_long(ft.recording_stats(*_line(spark, sf), ds.DENSE_PARAMS, bins=bins, panes=p), bins, ds.DENSE_PARAMS)
+        for p in (True, False)
+    )
+    keys = ["SubjectID", "EpochID", "Electrode", "WaveBand", "FeatureName"]
+    compared = quality.compare_tables(by_panes, by_slices, keys, "FeatureValue", 1e-6)
+    return compared.groupBy("FeatureName", "WaveBand", "class").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @query
 def job_outcomes(spark, sf):
     """One pass for all that a job yields, counted by outcome; epochs laid out on the longest channel."""

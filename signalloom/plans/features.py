@@ -58,13 +58,15 @@ def recording_stats(
     params: JobParams,
     annotations: DataFrame | None = None,
     bins: Bins | None = None,
+    panes: bool | None = None,
 ) -> DataFrame:
     """Complete channel-epochs of recordings with their features and, given bins, spectrum.
 
     Strongly overlapping epochs go through panes, others are sliced; same result.
+    ``panes`` asks for one of the two routes.
     """
     kept = None if annotations is None else kept_epochs(recordings, params, annotations)
-    if sliding.pays_off(params, bins):
+    if sliding.pays_off(params, bins) if panes is None else panes:
         return sliding.sliding_stats(samples, recordings, params, bins, kept)
     epochs = epoching.slice_epochs(samples, recordings, params, kept)
     stats = channel_stats(epochs, SLICED_KEYS, bins, detrended=params.detrend)

@@ -149,6 +149,14 @@ ORACLE["partitioned_roundtrip"] = _with(
     FROM ep WHERE SubjectID IN (SELECT SubjectID FROM subjects) GROUP BY ALL""",
 )
 
+ORACLE["recordings_tree"] = _with(
+    [MIN],
+    f"""SELECT SubjectID || CASE WHEN lost THEN 'x' ELSE '' END AS SubjectID, CASE WHEN NOT lost THEN n END AS n_rows,
+    CASE WHEN NOT lost THEN {r("total", 2)} END AS total, CASE WHEN lost THEN 'no file' END AS reason
+    FROM (SELECT SubjectID, CAST(substr(SubjectID, 5) AS INT) % 10 = 3 AS lost, count(*) AS n, sum(value) AS total
+      FROM samples GROUP BY ALL)""",
+)
+
 # --- epoching ----------------------------------------------------------------------
 
 ORACLE["epoch_grid"] = _with([MIN], "SELECT SubjectID, i, start FROM grid")
@@ -373,6 +381,10 @@ ORACLE["features_long_rejected"] = _with(
 )
 DENSE = LINES.format(usable="min", step=0.05)
 ORACLE["features_long_dense"] = _with([DENSE, *LINE_FEATURES[1:]], LONG_ROWS)
+ORACLE["routes_compared"] = _with(
+    [DENSE, *LINE_FEATURES[1:]],
+    f"""SELECT FeatureName, WaveBand, 'equal' AS class, count(*) AS n_rows FROM ({LONG_ROWS}) GROUP BY ALL""",
+)
 ORACLE["features_long_dense_rejected"] = _with(
     [DENSE, LINE_NOTES, DETRENDED, MOMENTS, LINE_SPECTRUM, BANDS, POWER], LONG_ROWS
 )

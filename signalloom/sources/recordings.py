@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from signalloom.params import JobParams
 from signalloom.schemas import ANNOTATION_SCHEMA, RECORDING_SCHEMA, SAMPLE_SCHEMA
@@ -27,6 +28,24 @@ def subject_from_path(path: Column) -> Column:
     return F.regexp_extract(path, r"sub-([^/_]+)", 1)
 
 
+def scan_tree(spark: SparkSession, root: str, files: str = "*.parquet") -> DataFrame:
+    """Samples of all recordings below ``root``, the subject (``sub-<id>``) taken from the path.
+
+    Folders may be nested in any way; the part of the path that begins with ``sub-`` names
+    the subject, and files need only hold Electrode, j and value.
+    """
+    columns = [f for f in SAMPLE_SCHEMA if f.name != "SubjectID"]
+    read = spark.read.schema(T.StructType(columns)).option("recursiveFileLookup", True).option("pathGlobFilter", files)
+    subject = F.concat(F.lit("sub-"), subject_from_path(F.col("_metadata.file_path")))
+    return read.parquet(root).select(subject.alias("SubjectID"), *[f.name for f in columns])
+
+
+def missing_recordings(found: DataFrame, asked: DataFrame) -> DataFrame:
+    """Subjects asked for of which nothing was found, with the reason."""
+    known = found.select("SubjectID").distinct()
+    return asked.select("SubjectID").distinct().join(known, "SubjectID", "left_anti").withColumn("reason", F.lit("no file"))
+
+
 def strip_prefix(subject: Column) -> Column:
     return F.regexp_replace(subject, "sub-", "")
 
