@@ -68,9 +68,11 @@ SENTENCES = {
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
         "following disclaimer in the documentation and/or other materials provided with the distribution.",
     ],
+    # What comes before, the holder's name, is a slot: see SLOTS.
     "BSD_NAME": [
-        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
-        "promote products derived from this software without specific prior written permission.",
+        f"nor the names of {whose} contributors may be used to endorse or "
+        "promote products derived from this software without specific prior written permission."
+        for whose in ("its", "their")
     ],
     "APACHE2_REF": [
         "Licensed under the Apache License, Version 2.0.",
@@ -130,6 +132,32 @@ SENTENCES = {
         "Licensed under CC BY-NC 4.0.", "This work is licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ],
+    "MPL2_REF": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v",
+        "This work is licensed under the Mozilla Public License, version 2.0.",
+    ],
+    "ISC_GRANT": [
+        f"Permission to use, copy, modify, {both} distribute this software for any purpose with or without fee is "
+        "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+        for both in ("and/or", "and")
+    ],
+    "UNLICENSE_GRANT": ["This is free and unencumbered software released into the public domain."],
+    "ZLIB_GRANT": [
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, "
+        "and to alter it and redistribute it freely, subject to the following restrictions:",
+    ],
+    "BSL_GRANT": [
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software "
+        "and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, "
+        "distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to "
+        "permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    ],
+    "EPL2_REF": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+        "License 2.0 which is available at https:",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+        "License 2.0 which is available at",
+    ],
     "ALL_RIGHTS": ["All rights reserved."],
 }
 
@@ -166,13 +194,28 @@ RULES = [
     ("CC-BY-SA-4.0", ["CCBYSA4_REF"]),
     ("CC-BY-4.0", ["CCBY4_REF"]),
     ("CC0-1.0", ["CC0_REF"]),
+    ("MPL-2.0", ["MPL2_REF"]),
+    ("ISC", ["ALL_RIGHTS?", "ISC_GRANT"]),
+    ("Unlicense", ["UNLICENSE_GRANT"]),
+    ("Zlib", ["ALL_RIGHTS?", "ZLIB_GRANT"]),
+    ("BSL-1.0", ["BSL_GRANT"]),
+    ("EPL-2.0", ["EPL2_REF"]),
     ("proprietary", ["ALL_RIGHTS"]),
 ]
 UNKNOWN, NONE = "unknown", "none"
 # Sentences without a licence that may stand between two of a rule.
 GAP = 3
 
+# In front of a clause: a list number or letter, and the name that stands in its slot.
+SLOTS = (
+    r"^(?:(?:[0-9]{1,2}[.:;]?|[a-z]|[ivx]{1,4}) +(?=[a-z]{3,} ))?"
+    r"(?:neither the name of .* (?=nor the names of ))?"
+)
+# A tag's licence expression, and what joins the names in it.
+SPDX_TAG, SPDX_JOINS = r"(?i)SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+() :-]+)", r"[()]| +(?i:AND|OR|WITH) +"
+
 _MARKS = r"[^\p{L}\p{N}.!?;:\n]+"
+_SPDX = "spdx license identifier: "
 _TAG = r"(?<!spdx license identifier)"
 _END = rf"{_TAG}[.!?;:]+(?=\s|$)|\n\s*\n"
 
@@ -216,7 +259,9 @@ def recognise(
     lines; within one, single lines are looked up too, so a notice on its own line is
     found after unfinished prose. ``licenses`` lists each rule that matched once, in rule
     order; identifiers that no rule uses give 'unknown', and without any there is only
-    'none'. Null and empty text has none. Columns of these names are replaced.
+    'none'. A tag whose expression isn't among the sentences adds each licence and exception
+    it names, as written. A clause may begin with a list number, and hold a name where
+    SLOTS has one. Null and empty text has none. Columns of these names are replaced.
     """
     docs = docs.drop("sentence_ids", "licenses")
     table = known_sentences(sentences)
@@ -226,7 +271,7 @@ def recognise(
             regexp_replace(lower(coalesce(text, '')), {_literal(_MARKS)}, ' '), {_literal(_END)}, -1),
         (s, i) -> CASE WHEN length(s) < {min(map(len, table))} THEN array() ELSE
             transform(array_distinct(concat(array(s), split(s, '\\n'))),
-                p -> named_struct('at', i, 'id', {look_up.format('p')})) END))),
+                p -> named_struct('at', i, 'id', {look_up.format(f"regexp_replace(trim(p), {_literal(SLOTS)}, '')")})) END))),
         f -> f.id IS NOT NULL)"""
     steps = ", ".join(
         f"named_struct('name', {_literal(name)}, 'pattern', {_literal(rule_pattern(ids))})"
@@ -239,7 +284,14 @@ def recognise(
         (s, r) -> CASE WHEN s.rest RLIKE r.pattern THEN named_struct(
             'rest', regexp_replace(s.rest, r.pattern, '='), 'names', array_append(s.names, r.name)) ELSE s END,
         s -> array_distinct(CASE WHEN s.rest LIKE '%|%' THEN array_append(s.names, '{UNKNOWN}') ELSE s.names END))"""
-    return docs.withColumn("sentence_ids", F.expr(found)).withColumn(
-        "licenses",
-        F.expr(f"CASE WHEN size(sentence_ids) = 0 THEN array('{NONE}') ELSE {matched} END"),
-    )
+    # Tags that no known sentence stands for say their names themselves.
+    tags = ", ".join(_literal(k.removeprefix(_SPDX)) for k in table if k.startswith(_SPDX))
+    plain = "trim(regexp_replace(regexp_replace(lower(e), '[^a-z0-9.]+', ' '), '[.]+$', ''))"
+    named = f"""filter(flatten(transform(
+            filter(regexp_extract_all(coalesce(text, ''), {_literal(SPDX_TAG)}, 1), e -> NOT array_contains(array({tags}), {plain})),
+        e -> transform(split(e, {_literal(SPDX_JOINS)}), n -> regexp_replace(trim(n), '[.:]+$', '')))),
+        n -> n RLIKE '^[A-Za-z][A-Za-z0-9.+:-]+$')"""
+    return docs.withColumn("sentence_ids", F.expr(found)).withColumn("licenses", F.expr(f"""CASE
+        WHEN text RLIKE {_literal(SPDX_TAG)} AND size({named}) > 0 THEN array_union(
+            CASE WHEN size(sentence_ids) = 0 THEN array() ELSE {matched} END, {named})
+        WHEN size(sentence_ids) = 0 THEN array('{NONE}') ELSE {matched} END"""))

@@ -12,7 +12,13 @@ def brute(text):
     text = re.sub(r"[^\w.!?;:\n]+|_+", " ", (text or "").lower())
     for at, sentence in enumerate(re.split(r"[.!?;:]+(?=\s|$)|\n\s*\n", text)):
         for part in dict.fromkeys([sentence, *sentence.split("\n")]):
-            name = known.get(" ".join(part.split()))
+            words = part.split()
+            if len(words) > 2 and re.fullmatch(r"[0-9]{1,2}[.:;]?|[a-z]|[ivx]{1,4}", words[0]) and re.fullmatch("[a-z]{3,}", words[1]):
+                words = words[1:]
+            clause = " ".join(words)
+            if clause.startswith("neither the name of ") and " nor the names of " in clause:
+                clause = clause[clause.rindex(" nor the names of ") + 1 :]
+            name = known.get(clause)
             if name and (at, name) not in found:
                 found.append((at, name))
     rest, names = [], []
@@ -57,7 +63,8 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
 IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
 FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
 """
-BSD = " ".join(lr.SENTENCES[k][0] for k in ("BSD_GRANT", "BSD_SOURCE", "BSD_BINARY", "BSD_NAME"))
+BSD = " ".join(lr.SENTENCES[k][0] for k in ("BSD_GRANT", "BSD_SOURCE", "BSD_BINARY"))
+BSD += " Neither the name of the copyright holder " + lr.SENTENCES["BSD_NAME"][0]
 FAR = "Released under the MIT License. " + "Word. " * 9 + "All rights reserved."
 
 
@@ -126,7 +133,7 @@ def test_the_clause_with_the_version_decides(spark):
     ]
     texts += [(f"// SPDX-License-Identifier: {t}\nint main", [n]) for t, n in (
         ("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("BSD-3-Clause", "BSD"), ("GPL-2.0-only", "GPL-2.0"),
-        ("GPL-2.0-or-later", "GPL-2.0-or-later"), ("AGPL-3.0-or-later", "AGPL-3.0-or-later"), ("Zlib", "none"))]
+        ("GPL-2.0-or-later", "GPL-2.0-or-later"), ("AGPL-3.0-or-later", "AGPL-3.0-or-later"), ("Zlib", "Zlib"))]
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id int, text string")
     got = {r["doc_id"]: r["licenses"] for r in lr.recognise(df).collect()}
     assert got == {i: names for i, (_, names) in enumerate(texts)}
@@ -139,3 +146,34 @@ def test_every_clause_is_known_by_itself():
     assert {i.rstrip("?") for _, ids in lr.RULES for i in ids} <= set(known.values())
     with pytest.raises(ValueError, match="2 clauses"):
         lr.known_sentences({"X": ["It is free: take it."]})
+
+
+BSD_NUMBERED = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met:\n\n{0} Redistributions of source code must retain the above copyright notice, this list "
+    "of conditions and the following disclaimer.\n\n{1} Redistributions in binary form must reproduce the above copyright "
+    "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with "
+    "the distribution.\n\n{2} Neither the name of {3} nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission.\n"
+)
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    (BSD_NUMBERED.format("1.", "2.", "3.", "Example Inc."), ["BSD-3-Clause"]),
+    (BSD_NUMBERED.format("1)", "2)", "3)", "the University of Somewhere"), ["BSD-3-Clause"]),
+    (BSD_NUMBERED.format("(a)", "(b)", "(c)", "Example, Ltd."), ["BSD-3-Clause"]),
+    (BSD_NUMBERED.format("*", "*", "*", "the copyright holder"), ["BSD-3-Clause"]),
+    ("# SPDX-License-Identifier: BSD-2-Clause", ["BSD-2-Clause"]),
+    ("/* SPDX-License-Identifier: LGPL-2.1-or-later */\nint x;", ["LGPL-2.1-or-later"]),
+    ("SPDX-License-Identifier: Apache-2.0 OR MIT\n", ["Apache-2.0", "MIT"]),
+    ("SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0 AND ISC)", ["GPL-2.0-only", "Classpath-exception-2.0", "ISC"]),
+    ("SPDX-License-Identifier: MIT", ["MIT"]),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy", ["MPL-2.0"]),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+     "granted, provided that the above copyright notice and this permission notice appear in all copies.", ["ISC"]),
+    ("This is free and unencumbered software released into the public domain.\n", ["Unlicense"]),
+    ("SPDX-License-Identifier:", ["none"]),
+])
+def test_names_numbers_and_tags(spark, text, want):
+    df = spark.createDataFrame([(text,)], "text string")
+    assert lr.recognise(df).first()["licenses"] == want
