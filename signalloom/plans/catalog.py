@@ -75,6 +75,23 @@ def participants_by_group(spark, sf):
     return ds.subjects(spark, sf)
 
 
+@query
+def bucketed_roundtrip(spark, sf):
+    """Epochs through a bucketed table; what is grouped by subject and block isn't shuffled again."""
+    epochs = ft.sliced_epochs(*_line(spark, sf), ds.LINE_PARAMS)
+    path = scratch_path(spark, "bucketed")
+    table = path.rpartition("/")[2].replace("-", "_")
+    back = rec.write_bucketed(epochs, table, path)
+    by_block = back.groupBy("SubjectID", "EpochBlock").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("EpochID").alias("n_epochs"),
+        F.sum(spectral.array_total(F.col("signal"))).alias("total"),
+    )
+    known = ds.subjects(spark, sf)
+    return by_block.join(known, "SubjectID", "left_semi").groupBy("SubjectID").agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("n_epochs").alias("n_epochs"), r(F.sum("total"), 2).alias("total")
+    )
+
+
 @query
 def recordings_tree(spark, sf):
     """Recordings written as a tree of files, read back by subject; every tenth asked for lies nowhere."""

@@ -142,7 +142,7 @@ ORACLE["participants_by_group"] = _with([SUBJECTS], 'SELECT SubjectID, "Group" F
 ORACLE["subject_discovery"] = (
     "SELECT DISTINCT replace('sub-' || l_suppkey, 'sub-', '') AS subject FROM lineitem"
 )
-ORACLE["partitioned_roundtrip"] = _with(
+ORACLE["partitioned_roundtrip"] = ORACLE["bucketed_roundtrip"] = _with(
     [MIN, LONG, SUBJECTS],
     f"""SELECT SubjectID, count(DISTINCT (EpochID, Electrode)) AS n_rows,
     count(DISTINCT EpochID) AS n_epochs, {r("sum(value)", 2)} AS total

@@ -97,5 +97,16 @@ def read_by_subject(spark: SparkSession, path: str, subjects: Sequence[str] = ()
     return df.where(F.col("SubjectID").isin(*subjects)) if subjects else df
 
 
-def only_subjects(df: DataFrame, subjects: Sequence[str]) -> DataFrame:
-    return df.where(F.col("SubjectID").isin(*subjects))
+def write_bucketed(
+    df: DataFrame, table: str, path: str, buckets: int = 64, by: Sequence[str] = ("SubjectID", "EpochBlock")
+) -> DataFrame:
+    """Parquet in a fixed number of files, bucketed and sorted by ``by``, as a table of the catalog.
+
+    Rows are dealt as the buckets are, so each is one file, however many subjects there
+    are, and one subject's blocks lie in many. Grouping or joining the result by these
+    columns needs no exchange. Conditions on them are pushed to the files, which are
+    sorted, so only row groups that hold the values are read.
+    """
+    dealt = df.repartition(buckets, *by)
+    dealt.write.bucketBy(buckets, *by).sortBy(*by).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)

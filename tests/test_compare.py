@@ -1,4 +1,4 @@
-"""Comparison of two tables, and trees of recordings."""
+"""Comparison of two tables, trees of recordings, bucketed tables."""
 
 import math
 
@@ -28,3 +28,16 @@ def test_tree_of_recordings(spark, tmp_path):
     assert {r["SubjectID"]: r["count"] for r in found.groupBy("SubjectID").count().collect()} == {"sub-01": 5, "sub-02": 5}
     asked = spark.createDataFrame([("sub-01",), ("sub-03",), ("sub-03",)], "SubjectID string")
     assert [tuple(r) for r in rec.missing_recordings(found, asked).collect()] == [("sub-03", "no file")]
+
+
+def test_bucketed_tables_are_grouped_without_exchange(spark, tmp_path):
+    df = spark.range(3000).selectExpr("concat('sub-', id % 50) AS SubjectID", "id % 7 AS EpochBlock", "id AS value")
+    back = rec.write_bucketed(df, "bucketed_test", f"{tmp_path}/bucketed", 16)
+    grouped = back.groupBy("SubjectID", "EpochBlock").agg({"value": "sum"})
+    plan = grouped._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and grouped.count() == 350
+    assert len(list((tmp_path / "bucketed").glob("*.parquet"))) <= 16
+    one = back.where("SubjectID = 'sub-3' AND EpochBlock = 3")
+    assert "EqualTo(SubjectID,sub-3)" in one._jdf.queryExecution().executedPlan().toString()
+    assert one.count() == df.where("SubjectID = 'sub-3' AND EpochBlock = 3").count() > 0
+    spark.sql("DROP TABLE bucketed_test")
