@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from signalloom.llm import divergence as dv
@@ -75,8 +76,20 @@ def test_large_counts_stay_exact(spark):
     assert kept.first()[0] == 1 + 10**9 * 9_000_000_000_001 // 9_000_000_000_010
 
 
-def test_counters_are_sent_on(spark, monkeypatch):
+def test_counters_are_sent_on(monkeypatch):
     rows = some_documents(2, 50)
-    monkeypatch.setattr(dv, "HELD", 3)
-    df = spark.createDataFrame(rows, SCHEMA)
-    assert result(dv.audit(df)) == brute(rows)
+    columns = [pa.array([r[i] or "" for r in rows]) for i in range(3)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["lang", "source", "text"])
+
+    def totals(held):
+        monkeypatch.setattr(dv, "HELD", held)
+        parts = list(dv._counted(iter([batch.slice(i, 10) for i in range(0, 50, 10)])))
+        sums = Counter()
+        for part in parts:
+            for lang, source, term, n, docs in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                sums[lang, source, term, "n"] += n
+                sums[lang, source, term, "docs"] += docs
+        return len(parts), sums
+
+    (many, a), (few, b) = totals(3), totals(10**6)
+    assert many > few and a == b
