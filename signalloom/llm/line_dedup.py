@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalloom.llm.tables import BLANKS, ascii_lower, wide_hash, written
+from signalloom.llm.tables import BLANKS, ascii_lower, free_prefix, wide_hash, written
 
 SALTS = 256
 MIN_LENGTH = 10
@@ -98,20 +98,21 @@ def dedup_lines(
     All rows and columns stay. Null text becomes empty (one line, none dropped).
     Columns of ``docs`` called n_lines or n_dropped are replaced.
     """
+    p = free_prefix(docs.columns)
     bitmaps = line_bitmaps(docs, min_length, salts).select(
-        F.col("doc_id").alias("_doc"), F.col("row_hash").alias("_row"),
-        F.col("n_dropped").alias("_dropped"), F.col("keep_runs").alias("_runs"),
+        F.col("doc_id").alias(f"{p}doc"), F.col("row_hash").alias(f"{p}row"),
+        F.col("n_dropped").alias(f"{p}dropped"), F.col("keep_runs").alias(f"{p}runs"),
     )
-    own = docs.drop("n_lines", "n_dropped").withColumn("_own", row_hash())
+    own = docs.drop("n_lines", "n_dropped").withColumn(f"{p}own", row_hash())
     joined = own.join(
-        bitmaps, F.expr("doc_id <=> _doc AND _own = _row"), "left"
+        bitmaps, F.expr(f"doc_id <=> {p}doc AND {p}own = {p}row"), "left"
     )
-    kept = f"""CASE WHEN _runs IS NULL THEN coalesce(text, '') ELSE
-        array_join(flatten(transform(_runs, r -> slice({LINES}, r.start + 1, r.length))), '\n') END"""
+    kept = f"""CASE WHEN {p}runs IS NULL THEN coalesce(text, '') ELSE
+        array_join(flatten(transform({p}runs, r -> slice({LINES}, r.start + 1, r.length))), '\n') END"""
     n_lines = "length(coalesce(text, '')) - length(replace(coalesce(text, ''), '\n', '')) + 1"
     return joined.select(
         *[F.col(f"`{c}`") if c != "text" else F.expr(kept).alias("text")
           for c in docs.columns if c not in ("n_lines", "n_dropped")],
         F.expr(n_lines).cast("long").alias("n_lines"),
-        F.coalesce("_dropped", F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(f"{p}dropped", F.lit(0)).cast("long").alias("n_dropped"),
     )

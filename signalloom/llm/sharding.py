@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from signalloom.llm.tables import free_prefix
+
 # Hash ranges that are numbered on their own: a bounded list, whatever the rows.
 RANGES = 4096
 ROUNDS = 8
@@ -23,35 +25,38 @@ ROUNDS = 8
 WALK = 64
 
 
-def number_rows(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
-    """``docs`` with ``row_number`` (from 0, no gaps) and ``n_rows``.
+def number_rows(
+    docs: DataFrame, ranges: int = RANGES, number: str = "row_number", total: str = "n_rows"
+) -> DataFrame:
+    """``docs`` with ``row_number`` (from 0, no gaps) and ``n_rows``, or as they are to be called.
 
     The order is that of (hash of doc_id, doc_id, the other columns): it does not
     depend on files or partitions. Rows equal in all columns are interchangeable.
     A column of these names in ``docs`` is replaced.
     """
-    docs = docs.drop("row_number", "n_rows", "_range", "_before")
-    keyed = docs.withColumn("_range", F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).cast("int"))
-    whole = Window.orderBy("_range")
+    docs = docs.drop(number, total)
+    p = free_prefix(docs.columns)
+    keyed = docs.withColumn(f"{p}range", F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).cast("int"))
+    whole = Window.orderBy(f"{p}range")
     # At most ``ranges`` rows, which bounds both the single window and the broadcast.
-    offsets = keyed.groupBy("_range").agg(F.count("*").alias("_rows"))
+    offsets = keyed.groupBy(f"{p}range").agg(F.count("*").alias(f"{p}rows"))
     offsets = offsets.select(
-        F.col("_range"),
-        (F.sum("_rows").over(whole.rowsBetween(Window.unboundedPreceding, -1))).alias("_before"),
-        F.sum("_rows").over(
+        F.col(f"{p}range"),
+        (F.sum(f"{p}rows").over(whole.rowsBetween(Window.unboundedPreceding, -1))).alias(f"{p}before"),
+        F.sum(f"{p}rows").over(
             whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        ).alias("n_rows"),
+        ).alias(f"{p}total"),
     )
-    inside = Window.partitionBy("_range").orderBy(
-        F.xxhash64("doc_id"), "doc_id", *[c for c in docs.columns if c != "doc_id"]
+    inside = Window.partitionBy(f"{p}range").orderBy(
+        F.xxhash64("doc_id"), "doc_id", *[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]
     )
     return (
-        keyed.withColumn("_in", F.row_number().over(inside) - 1)
-        .join(F.broadcast(offsets), "_range")
+        keyed.withColumn(f"{p}in", F.row_number().over(inside) - 1)
+        .join(F.broadcast(offsets), f"{p}range")
         .select(
-            *docs.columns,
-            (F.coalesce("_before", F.lit(0)) + F.col("_in")).cast("long").alias("row_number"),
-            "n_rows",
+            *[F.col(f"`{c}`") for c in docs.columns],
+            (F.coalesce(f"{p}before", F.lit(0)) + F.col(f"{p}in")).cast("long").alias(number),
+            F.col(f"{p}total").alias(total),
         )
     )
 
@@ -91,10 +96,11 @@ def assign_shards(
     row at most. Null ids take part like others; an empty table stays empty.
     """
     docs = docs.drop("shard", "slot")
-    numbered = number_rows(docs, ranges)
-    placed = numbered.withColumn("_place", permuted("row_number", "n_rows", key))
+    p = free_prefix(docs.columns)
+    numbered = number_rows(docs, ranges, f"{p}number", f"{p}n")
+    placed = numbered.withColumn(f"{p}place", permuted(f"{p}number", f"{p}n", key))
     return placed.select(
-        *[c for c in docs.columns if c not in ("row_number", "n_rows")],
-        (F.col("_place") % shards).cast("int").alias("shard"),
-        F.floor(F.col("_place") / shards).cast("long").alias("slot"),
+        *[F.col(f"`{c}`") for c in docs.columns],
+        (F.col(f"{p}place") % shards).cast("int").alias("shard"),
+        F.floor(F.col(f"{p}place") / shards).cast("long").alias("slot"),
     )

@@ -27,6 +27,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_prefix(columns: list[str]) -> str:
+    """Underscores that none of ``columns`` begins with: names after it clash with none."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, every other character kept."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(

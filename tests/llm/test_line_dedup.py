@@ -21,8 +21,10 @@ def test_query_equals_brute_force(spark, documents):
 @pytest.mark.parametrize("salts", [1, 3, 256])
 def test_odd_documents(odd, odd_rows, salts):
     clash = odd.withColumn("n_lines", odd.doc_id).withColumn("first", odd.doc_id).withColumn("pos", odd.doc_id)
+    clash = clash.selectExpr("*", "1 AS _doc", "2 AS _own", "3 AS __runs")
     got = ld.dedup_lines(clash, salts=salts)
-    assert got.columns == [*odd.columns, "first", "pos", "n_lines", "n_dropped"]
+    assert got.columns == [*odd.columns, "first", "pos", "_doc", "_own", "__runs", "n_lines", "n_dropped"]
+    assert {(r["_doc"], r["_own"], r["__runs"]) for r in got.collect()} == {(1, 2, 3)}
     got = [(r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got.collect()]
     assert plain(got) == plain(brute.dedup_lines([r[:2] for r in odd_rows]))
 

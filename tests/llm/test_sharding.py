@@ -52,8 +52,10 @@ def test_row_numbers_have_no_gaps(spark):
 
 
 def test_odd_documents(odd, none, odd_rows):
-    rows = sharding.assign_shards(odd.withColumn("slot", odd.doc_id).withColumn("row_number", odd.doc_id))
-    assert rows.columns == [*odd.columns, "shard", "slot"]
+    clash = odd.selectExpr("*", "doc_id AS row_number", "1 AS n_rows", "2 AS _range", "3 AS __in", "4 AS `a.b`")
+    rows = sharding.assign_shards(clash.withColumn("slot", odd.doc_id))
+    assert rows.columns == [*clash.columns, "shard", "slot"]
+    assert {(r["n_rows"], r["_range"], r["__in"], r["a.b"]) for r in rows.collect()} == {(1, 2, 3, 4)}
     check(rows.collect())
     assert rows.count() == len(odd_rows)
     assert sharding.assign_shards(none).count() == 0
