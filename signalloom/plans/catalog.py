@@ -773,6 +773,36 @@ def pca_all_columns(spark, sf):
     return scores.select("SubjectID", "EpochID", "label", r(total, 4).alias("squares"))
 
 
+def _all_components(spark, sf):
+    train, test, cols = ds.wide_split(spark, sf)
+    fitted = pca.fit_pca_model(train, cols[:-1])
+    return dataclasses.replace(fitted, k=len(cols) - 1), train, test
+
+
+@query
+def pca_component_variance(spark, sf):
+    """The 64 components' variances add up to the columns' ones, fall, and are the shares the fit states."""
+    full, train, _ = _all_components(spark, sf)
+    variances = _components(pca.apply_pca_model(train, full)).groupBy("component").agg(F.var_samp("score").alias("v"))
+    shares = spark.createDataFrame(list(enumerate(full.explained)), "component int, share double")
+    total = F.sum("v").over(Window.partitionBy())  # a row per component
+    falls = F.coalesce(F.lag("v").over(Window.orderBy("component")) >= F.col("v"), F.lit(True))
+    return variances.join(shares, "component").select("v", falls.alias("falls"), (F.abs(F.col("v") / total - F.col("share")) < 1e-6).alias("stated")).agg(
+        F.count(F.lit(1)).alias("n_components"), r(F.sum("v"), 4).alias("variance"),
+        F.bool_and("falls").alias("in_order"), F.bool_and("stated").alias("as_stated"),
+    )
+
+
+@query
+def pca_minmax_all_columns(spark, sf):
+    """All 64 components scaled within each subject: each runs from 0 to 1 there."""
+    full, train, test = _all_components(spark, sf)
+    scaled = pca.min_max_normalize_post_pca_by_subject(pca.apply_pca_model(train.unionByName(test), full), full.k)
+    return _components(scaled).groupBy("SubjectID", "component").agg(
+        F.count(F.lit(1)).alias("n_rows"), r(F.min("score")).alias("lo"), r(F.max("score")).alias("hi")
+    )
+
+
 # --- user functions ----------------------------------------------------------------
 
 

@@ -700,3 +700,12 @@ SELECT 'sub-' || lpad(CAST(label AS VARCHAR), 3, '0') AS SubjectID, 'ep-' || vec
   CAST(label AS INTEGER) AS label,
   {r("list_sum([x * x for x in CAST(embedding AS DOUBLE[])])", 4)} AS squares
 FROM embeddings"""
+ORACLE["pca_component_variance"] = f"""
+SELECT 64 AS n_components, {r("sum(v)", 4)} AS variance, true AS in_order, true AS as_stated FROM (
+  SELECT k, var_samp(x) AS v FROM (
+    SELECT unnest(range(64)) AS k, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE vec_id % 5 <> 0)
+  GROUP BY k)"""
+ORACLE["pca_minmax_all_columns"] = """
+SELECT 'sub-' || lpad(CAST(label AS VARCHAR), 3, '0') AS SubjectID, CAST(k AS INTEGER) AS component,
+  count(*) AS n_rows, 0::DOUBLE AS lo, 1::DOUBLE AS hi
+FROM embeddings CROSS JOIN (SELECT unnest(range(64)) AS k) GROUP BY ALL"""
