@@ -9,6 +9,8 @@ stage. Blocks bound the group size and split a dominant recording.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,10 @@ from signalloom.operators.numbering import dense_number
 from signalloom.params import JobParams
 from signalloom.schemas import METADATA_SCHEMA, conform
 
+# Samples that one task handles in memory, about; what a strongly overlapping job makes of
+# one takes some KB there.
+TASK_SAMPLES = 32_768
+
 # Epoch indices per bucket when the epoch grid itself is spread over tasks.
 GRID_BUCKET = 4_096
 
@@ -149,11 +155,30 @@ def block_epochs(kept: DataFrame, params: JobParams) -> DataFrame:
     )
 
 
+def deal_blocks(samples: DataFrame, params: JobParams) -> DataFrame:
+    """Samples by the block(s) that need them; the one shuffle of the samples.
+
+    The samples are counted first: beyond a few tasks' worth there are as many tasks as
+    hold about ``TASK_SAMPLES`` each, so a task's memory doesn't grow with the input.
+    """
+    rows = assign_blocks(samples.select("SubjectID", "Electrode", "j", "value"), params)
+    return deal(rows, tasks_for(samples.count()), "SubjectID", "EpochBlock")
+
+
+def tasks_for(n: int, size: int = TASK_SAMPLES) -> int | None:
+    """Tasks of about ``size`` rows each for ``n`` rows; None where one holds them all."""
+    return math.ceil(n / size) if n > size else None
+
+
+def deal(rows: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """``rows`` by ``keys`` to so many tasks; how many is left to Spark for None."""
+    return rows.repartition(*keys) if tasks is None else rows.repartition(tasks, *keys)
+
+
 def collect_blocks(samples: DataFrame, params: JobParams) -> DataFrame:
     """Samples of each (block, channel) as arrays, in order; the one shuffle of the samples."""
     return (
-        assign_blocks(samples.select("SubjectID", "Electrode", "j", "value"), params)
-        .repartition("SubjectID", "EpochBlock")
+        deal_blocks(samples, params)
         .groupBy("SubjectID", "EpochBlock", "Electrode")
         .agg(F.sort_array(F.collect_list(F.struct("j", "value"))).alias("buf"))
         .selectExpr(
@@ -259,8 +284,19 @@ def detrend(epochs: DataFrame) -> DataFrame:
     return fitted.withColumn("signal", F.get(residual, F.lit(0))).drop("_line")
 
 
-def detrend_long(epoch_rows: DataFrame) -> DataFrame:
-    """The same for the long form; each window holds one channel of one epoch."""
+def long_tasks(samples: DataFrame, params: JobParams) -> int | None:
+    """Tasks for the rows of ``epoch_samples``, as many as a task's windows sort within some 50 MB."""
+    copies = max(1.0, params.n_times / params.stride)
+    return tasks_for(math.ceil(samples.count() * copies), 8 * TASK_SAMPLES)
+
+
+def detrend_long(epoch_rows: DataFrame, tasks: int | None = None) -> DataFrame:
+    """The same for the long form; each window holds one channel of one epoch.
+
+    A task sorts its rows, so there should be as many ``tasks`` as the rows ask for.
+    """
+    if tasks is not None:
+        epoch_rows = deal(epoch_rows, tasks, "SubjectID", "EpochID", "Electrode")
     w = Window.partitionBy("SubjectID", "EpochID", "Electrode")
     k = F.col("k").cast("double")
     return epoch_rows.select(

@@ -109,10 +109,7 @@ def pane_sums(samples: DataFrame, params: JobParams, bins: Bins | None) -> DataF
     """One row per pane of a channel: its first sample and the sums over its samples."""
     channel = [*BLOCK, "Electrode"]
     in_order = Window.partitionBy(*channel).orderBy("j")
-    rows = epoching.assign_blocks(
-        samples.select("SubjectID", "Electrode", "j", "value"), params
-    ).repartition(*BLOCK)
-    rows = _with_pane(rows, params, bins)
+    rows = _with_pane(epoching.deal_blocks(samples, params), params, bins)
     rows = rows.select(
         *channel,
         "j",

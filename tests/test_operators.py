@@ -1,6 +1,7 @@
 """Numbering, rejection, packing, scaling, components, sources and user functions."""
 
 import json
+import math
 import re
 
 import numpy as np
@@ -199,6 +200,27 @@ def test_samples_are_shuffled_once(spark, step):
     assert moves and not any("start#" in line or "Electrode#" in line for line in moves)
 
 
+def test_tasks_grow_with_the_samples(spark, monkeypatch):
+    params = JobParams(sfreq=64.0, window_length=0.5, step_size=0.05, n_fft=32)
+    samples = sg.samples_df(spark, {(f"s{i}", c): range(40 + i) for i in range(4) for c in "AB"})
+    table = spark.createDataFrame([(f"s{i}", 40 + i) for i in range(4)], "SubjectID string, n_samples long")
+    few = sorted(ft.features_long(samples, table, params).collect(), key=repr)
+    monkeypatch.setattr(epoching, "TASK_SAMPLES", 20)
+    monkeypatch.setattr(epoching.tasks_for, "__defaults__", (20,))
+    for step in (0.05, 0.3):
+        # 332 samples, in panes and in slices.
+        plan = plan_of(ft.features_long(samples, table, params.replace(step_size=step)))
+        assert plan.count("17), REPARTITION_BY_NUM") == 1
+    many = sorted(ft.features_long(samples, table, params).collect(), key=repr)
+    assert [r[:5] for r in many] == [r[:5] for r in few]
+    long = epoching.epoch_samples(samples, table, params)
+    tasks = epoching.long_tasks(samples, params)
+    assert tasks == -(-math.ceil(332 * 33 / 3.2) // 160)
+    dealt = epoching.detrend_long(long, tasks)
+    assert f"{tasks}), REPARTITION_BY_NUM" in plan_of(dealt)
+    assert sorted(dealt.collect()) == sorted(epoching.detrend_long(long).collect())
+
+
 # --- scaling -----------------------------------------------------------------------
 
 IDS = "SubjectID string, EpochID string, label int"
