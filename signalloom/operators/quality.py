@@ -105,20 +105,30 @@ def duplicate_subjects(subjects: DataFrame) -> DataFrame:
 
 
 def compare_tables(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], value: str, tolerance: float = 1e-9
+    left: DataFrame, right: DataFrame, keys: Sequence[str], value: str, tolerance: float = 1e-9,
+    tasks: int | None = None,
 ) -> DataFrame:
     """(keys, left, right, class): two tables' values side by side, one row per key of either.
 
     Classes: ``equal`` (within ``tolerance`` of the larger magnitude, or both null, or both
     NaN), ``different``, ``null`` or ``nan`` (on one side only), ``only left`` and
     ``only right``. Null keys match each other. Keys should be unique on each side; rows
-    that repeat one are matched with all of the other side's.
+    that repeat one are matched with all of the other side's. ``tasks`` deals both sides to
+    so many tasks, for tables too large for the session's; keys must then have the same
+    types on both sides.
     """
     sides = [
         df.select(*[F.col(k).alias(f"_{k}_{i}") for k in keys], F.col(value).cast("double").alias(f"_v{i}"), F.lit(True).alias(f"_in{i}"))
         for i, df in enumerate((left, right))
     ]
     same = F.expr(" AND ".join(f"`_{k}_0` <=> `_{k}_1`" for k in keys))
+    if tasks is not None:
+        # Nulls within structs are equal, and the join keeps to how these are dealt.
+        sides = [
+            df.withColumn(f"_key{i}", F.struct(*[F.col(f"_{k}_{i}").alias(f"k{n}") for n, k in enumerate(keys)]))
+            .repartition(tasks, f"_key{i}") for i, df in enumerate(sides)
+        ]
+        same = F.col("_key0") == F.col("_key1")
     a, b = F.col("_v0"), F.col("_v1")
     kind = (
         F.when(F.col("_in1").isNull(), "only left").when(F.col("_in0").isNull(), "only right")

@@ -18,6 +18,18 @@ def test_classes_of_compared_values(spark):
     }
 
 
+def test_compared_tables_are_dealt_to_the_tasks_asked_for(spark):
+    rows = [("a", 1, 1.0), ("b", None, 1.0), (None, None, 2.0), ("c", 3, math.nan), ("c", 3, 1.0), ("d", 4, 0.0)]
+    schema = "k string, n int, v double"
+    left, right = spark.createDataFrame(rows, schema), spark.createDataFrame(rows[:-1] + [("e", 4, 0.0)], schema)
+    plain = quality.compare_tables(left, right, ["k", "n"], "v")
+    dealt = quality.compare_tables(left, right, ["k", "n"], "v", tasks=37)
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, dealt.collect()))
+    large = [spark.range(0, 5000, 1, 2).selectExpr("id AS k", "id % 3 AS n", "0D AS v").hint("merge") for _ in "ab"]
+    plan = quality.compare_tables(*large, ["k", "n"], "v", tasks=37)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 == plan.count("37), REPARTITION_BY_NUM")
+
+
 def test_tree_of_recordings(spark, tmp_path):
     rows = [("A", j, float(j)) for j in range(5)]
     for subject, folder in (("01", "sub-01/eeg"), ("02", "deep/er/sub-02/eeg")):
