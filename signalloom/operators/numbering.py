@@ -107,6 +107,7 @@ def running(
     amounts: Mapping[str, tuple[str, str]],
     cut: Sequence[str] | None = None,
     splits: int = SPLITS,
+    tasks: int | None = None,
 ) -> DataFrame:
     """``df`` with running totals of each key along ``order``, the row itself included.
 
@@ -114,7 +115,8 @@ def running(
     column. ``cut`` are leading columns of ``order`` that tell buckets apart (all of
     them by default): rows of one key equal in these stay in one task. Rows equal in
     ``order`` follow each other in any order. Null keys are a key, null values come
-    first. Names starting with ``_`` are kept free by the caller.
+    first. Names starting with ``_`` are kept free by the caller. ``tasks`` deals the rows to
+    so many tasks, each of which sorts its own, where the session's would hold too many.
     """
     keys, cut = list(keys), list(cut or order)
     points = split_points(df, keys, cut, splits)
@@ -135,7 +137,8 @@ def running(
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    own = placed.select("*", *[
+    dealt = placed if tasks is None else placed.repartition(tasks, *keys, "_bucket")
+    own = dealt.select("*", *[
         F.expr(f"{agg}({sql})").over(inside).alias(f"_own_{name}") for name, (agg, sql) in amounts.items()
     ])
     shifted = own.join(F.broadcast(offsets), same & F.expr("_bucket = _key_bucket"), "left")
@@ -152,7 +155,8 @@ def number_rows(
     name: str,
     cut: Sequence[str] | None = None,
     splits: int = SPLITS,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Number the rows of each key 0, 1, 2 … along ``order``; see ``running``."""
-    counted = running(df, keys, order, {name: ("sum", "1L")}, cut, splits)
+    counted = running(df, keys, order, {name: ("sum", "1L")}, cut, splits, tasks)
     return counted.withColumn(name, F.col(name) - 1)

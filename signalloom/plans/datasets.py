@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,8 @@ def uneven_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LINE_KEYS = ["l_suppkey", "l_returnflag", "l_linestatus"]
+# Rows that one task sorts to number them, about 70 MB.
+SORTED_ROWS = 524_288
 LINE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"]
 
 
@@ -62,7 +66,10 @@ def _electrode() -> Column:
 def line_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Continuous recordings: the prices of a supplier's lines in shipping order."""
     lines = table(spark, sf_dir, "lineitem").select(*LINE_KEYS, *LINE_ORDER, "l_extendedprice")
-    return number_rows(lines, LINE_KEYS, LINE_ORDER, "j").select(
+    # The file's count; a table that a round of tasks can hold is left to Spark.
+    tasks = math.ceil(lines.count() / SORTED_ROWS)
+    tasks = tasks if tasks > spark.sparkContext.defaultParallelism else None
+    return number_rows(lines, LINE_KEYS, LINE_ORDER, "j", tasks=tasks).select(
         _subject("l_suppkey").alias("SubjectID"),
         _electrode().alias("Electrode"),
         "j",
