@@ -2,7 +2,7 @@
 
 import math
 
-from signalloom.operators import quality
+from signalloom.operators import numbering, quality
 from signalloom.sources import recordings as rec
 
 
@@ -78,3 +78,11 @@ def test_bucketed_tables_are_grouped_without_exchange(spark, tmp_path):
     assert "EqualTo(SubjectID,sub-3)" in one._jdf.queryExecution().executedPlan().toString()
     assert one.count() == df.where("SubjectID = 'sub-3' AND EpochBlock = 3").count() > 0
     spark.sql("DROP TABLE bucketed_test")
+
+
+def test_numbered_rows_are_dealt_to_the_tasks_asked_for(spark):
+    df = spark.range(4000).selectExpr("if(id % 3 = 0, NULL, id % 5) AS k", "(id * 7919) % 4001 AS v")
+    plain = numbering.number_rows(df, ["k"], ["v"], "n", splits=16)
+    dealt = numbering.number_rows(df, ["k"], ["v"], "n", splits=16, tasks=23)
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, dealt.collect()))
+    assert "23), REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
