@@ -7,13 +7,16 @@ pairs; a pair is verified once, on the whole sets.
 
 Copies make no work: equal sets are one class, represented by the smallest doc_id.
 Near copies don't make all their pairs either, as only connected components are
-asked for. First each set meets one leader of each of its prefix n-grams, then several,
-in groups not yet connected; then only pairs across the components found so far are
-left, and of these every one that passes the filters is verified.
+asked for. First each set meets one leader of each of its prefix n-grams, then more and
+more of them, in groups not yet connected. Once all pairs across the components found so
+far are no more work than the next leaders, every one that passes the filters is verified.
+Before each round rows go that share their n-gram with no set of a similar size in another
+component; what is left is moved without histograms and earlier n-grams until sets meet.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,11 +35,12 @@ PERCENT = 85
 # better apart; the order of n-grams never changes the result.
 SKETCH = 1 << 20
 CHUNK = 1 << 14
-# Cells of the suffix filter's histogram, where they are full, and how many leaders of
-# an n-gram a set meets in each round.
+# Cells of the suffix filter's histogram, where they are full, how many leaders of an
+# n-gram a set meets in the first rounds, and how many times more in each one after them.
 CELLS = 64
 FULL = 127
 LEADERS = (1, 4, 16)
+MORE = 4
 # Shared n-grams before each one that are kept with it.
 EARLIER = 8
 # Up to so many ids (16 MB) are broadcast to pick their rows; more are joined.
@@ -182,11 +186,12 @@ def need(percent: int, n: str, m: str) -> str:
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, ranks: Ranks) -> DataFrame:
-    """(doc_id, n, prefix, cells): rare-first prefix and histogram of each non-empty set.
+    """(doc_id, n, prefix, cells, fine): rare-first prefix and histograms of each non-empty set.
 
     N-grams that many documents share come last, and before them those of common words:
     that is rare-first without a count of every n-gram. ``cells`` counts the members per
-    hash cell; FULL stands for that many or more.
+    hash cell; FULL stands for that many or more. ``fine`` has as many cells as keep two to
+    four members each, CELLS at least: by CELLS alone long sets look alike.
     """
     spread = docs.sparkSession.sparkContext.broadcast(ranks)  # of a fixed size
 
@@ -203,19 +208,27 @@ def prefixes(docs: DataFrame, n: int, percent: int, ranks: Ranks) -> DataFrame:
                     owner * CELLS + (hashes >> np.uint64(58)).astype(np.int64) % CELLS,
                     minlength=len(size) * CELLS,
                 )
+                bits = np.maximum(CELLS.bit_length() - 1, np.frexp(size)[1] - 2)
+                first = np.concatenate([[0], np.cumsum(1 << bits)])
+                fine = np.bincount(
+                    first[owner] + (hashes >> (64 - bits[owner]).astype(np.uint64)).astype(np.int64),
+                    minlength=first[-1],
+                )
                 full = np.flatnonzero(size)
+                fine = np.minimum(fine, FULL).astype(np.int8)[np.repeat(size > 0, 1 << bits)]
                 hist = np.minimum(hist, FULL).astype(np.int8).reshape(len(size), CELLS)[full]
                 prefix = hashes[order].view(np.int64)[kept]
                 # A batch per block: what is on its way stays small.
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(pa.array(row + full)), pa.array(size[full]),
-                     _lists(prefix, length[full]), _lists(hist.ravel(), np.full(len(full), CELLS))],
-                    names=["doc_id", "n", "prefix", "cells"],
+                     _lists(prefix, length[full]), _lists(hist.ravel(), np.full(len(full), CELLS)),
+                     _lists(fine, 1 << bits[full])],
+                    names=["doc_id", "n", "prefix", "cells", "fine"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        cut, f"doc_id {kind}, n bigint, prefix array<bigint>, cells array<tinyint>"
+        cut, f"doc_id {kind}, n bigint, prefix array<bigint>, cells array<tinyint>, fine array<tinyint>"
     )
 
 
@@ -234,6 +247,12 @@ def gram_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, grams array<bigint>")
 
 
+def _overlap_bound(x: str, y: str) -> str:
+    """SQL of the most that sets with these histograms can have in common."""
+    return f"""aggregate(zip_with({x}, {y}, (p, q) -> CASE WHEN p >= {FULL} AND q >= {FULL} THEN 1000000000
+        ELSE cast(least(p, q) AS bigint) END), 0L, (s, v) -> s + v)"""
+
+
 def _similar_bounds(percent: int, once: bool = True) -> Column:
     """Length, positional and suffix filters for rows x and y that share an n-gram.
 
@@ -248,15 +267,17 @@ def _similar_bounds(percent: int, once: bool = True) -> Column:
     return F.expr(f"""
         100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)
         AND least(x.n - x.pos, y.n - y.pos) >= {least_overlap} {earlier}
-        AND aggregate(zip_with(x.cells, y.cells, (p, q) ->
-            CASE WHEN p = {FULL} AND q = {FULL} THEN 1000000000 ELSE cast(least(p, q) AS bigint) END), 0L, (s, v) -> s + v)
-            >= {least_overlap}""")
+        AND {_overlap_bound("x.cells", "y.cells")} >= {least_overlap}""")
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
+def _members(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+
 def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows whose doc_id is among ``ids``, a written table: broadcast if counted to be small."""
     if ids.count() <= BROADCAST_IDS:
@@ -264,6 +285,24 @@ def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(ids, "doc_id", "left_semi")
 
 
+def _likely(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose fine histograms leave open that their sets are similar."""
+    x = cells.select(F.col("doc_id").alias("a"), F.col("n").alias("_n"), F.col("fine").alias("_x"))
+    y = cells.select(F.col("doc_id").alias("b"), F.col("n").alias("_m"), F.col("fine").alias("_y"))
+    both = pairs.select("a", "b").join(x, "a").join(y, "b")
+    # Of two sizes of histograms, that differ by a factor of two, the larger one is folded.
+    fold = "transform(sequence(1, {1}), i -> int(element_at({0}, 2 * i - 1)) + int(element_at({0}, 2 * i)))"
+    for one, other in (("_x", "_y"), ("_y", "_x")):
+        same = f"transform({one}, v -> int(v))"
+        both = both.withColumn(f"{one}f", F.expr(
+            f"CASE WHEN size({one}) > size({other}) THEN {fold.format(one, f'size({other})')} ELSE {same} END"
+        ))
+    similar = f"""100 * least(_n, _m) >= {percent} * greatest(_n, _m)
+        AND (greatest(size(_x), size(_y)) > 2 * least(size(_x), size(_y))
+             OR {_overlap_bound("_xf", "_yf")} >= {need(percent, "_n", "_m")})"""
+    return both.where(similar).select("a", "b").distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose whole sets are similar."""
     x = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("_x"))
@@ -295,21 +334,14 @@ def similarity_links(
     ranks = frequency_ranks(docs, n)
     ids = written(reps.select(F.col("rep").alias("doc_id")).distinct(), "ids")
     cut = written(only(prefixes(docs, n, percent, ranks), ids), "prefixes")
-    tokens = cut.select(F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("pos", "gram"))
-    shared = tokens.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    shared = shared.where("lo < hi").select("gram")
     cells = cut.select(F.col("doc_id").alias("id"), F.col("n").alias("_n"), "cells").distinct()
-    met = tokens.join(shared, "gram", "left_semi").join(cells, "id").where("n = _n").drop("_n")
-    # Tells apart sets that share an id.
-    met = met.withColumn("_which", F.xxhash64("n", "cells"))
-    earlier = Window.partitionBy("id", "_which").orderBy("pos").rowsBetween(-EARLIER, -1)
-    met = written(met.withColumn("before", F.collect_list("gram").over(earlier)).drop("_which"), "met")
+    placed = cut.select(F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("pos", "gram"))
+    shared = F.count("*").over(Window.partitionBy("gram"))
+    placed = placed.withColumn("_rows", shared).where("_rows > 1").drop("_rows").withColumn("component", F.col("id"))
 
-    def meet(rows: DataFrame, turn: int) -> DataFrame:
+    def meet(rows: DataFrame, turn: int, count: int) -> DataFrame:
         """Pairs of all rows with the leaders of their n-grams, chosen anew each turn."""
-        order = Window.partitionBy("gram").orderBy(F.xxhash64("gram", "id", F.lit(turn)), "id", "n")
-        leading = rows.withColumn("nth", F.row_number().over(order)).where(f"nth <= {leaders[turn]}")
-        joined = rows.alias("x").join(leading.drop("nth").alias("y"), "gram").where("x.id <> y.id")
+        joined = rows.alias("x").join(rows.where(f"nth <= {count}").alias("y"), "gram").where("x.id <> y.id")
         if turn:
             joined = joined.where("x.component <> y.component")
         return _pairs(joined.where(_similar_bounds(percent, once=turn > 0)))
@@ -322,43 +354,77 @@ def similarity_links(
         return _pairs(joined.where(_similar_bounds(percent)))
 
     sets = done = found = None
-    # One leader first, which connects most of a group; then more, and all that is left.
-    for turn in range(len(leaders) + 1):
-        rows = met
+    turn, count, last = 0, leaders[0], False
+    while not last:
         if turn:
-            placed = _with_component(met, "id", found, "component")
             # Groups with one row more than leaders, or fewer, have met completely.
-            rows = written(_open_groups(placed, leaders[turn - 1] + 1), "open")
-            if rows.isEmpty():
+            placed = rows.where(f"members > {count + 1}").select("id", "n", "pos", "gram").distinct()
+            placed = _with_component(placed, "id", found, "component")
+        rows = written(_with_sets(_in_groups(_with_partners(placed, percent), turn), cells), "open")
+        if turn:
+            left = rows.agg(
+                F.count("*").alias("rows"), F.sum(F.expr("CASE WHEN component <> major THEN members END")).alias("pairs")
+            ).first()
+            if not left["rows"]:
                 break
-        new = meet(rows, turn) if turn < len(leaders) else meet_all(rows)
+            count = leaders[turn] if turn < len(leaders) else MORE * count
+            last = left["pairs"] <= count * left["rows"]
+        new = meet_all(rows) if last else meet(rows, turn, count)
         if done is not None:
             new = new.join(done, ["a", "b"], "left_anti")
         new = written(new, "pairs")
         done = new if done is None else done.unionByName(new)
-        lacking = new.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        likely = written(_likely(new, only(cut, written(_members(new), "met")), percent), "likely")
+        asked = lacking = written(_members(likely), "asked")
         if sets is not None:
-            lacking = lacking.join(sets.select("doc_id"), "doc_id", "left_anti")
-        more = written(gram_sets(only(docs, written(lacking, "lacking")), n), "sets")
+            lacking = written(asked.join(sets.select("doc_id"), "doc_id", "left_anti"), "lacking")
+        more = written(gram_sets(only(docs, lacking), n), "sets")
         sets = more if sets is None else sets.unionByName(more)
-        similar = written(_verified(new, sets, percent), "links")
+        similar = written(_verified(likely, only(sets, asked), percent), "links")
         if found is None:
             found = components(similar)
         elif not similar.isEmpty():
             # What was found is stars already: only the new links are contracted.
             stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
             found = components(stars.unionByName(similar))
+        turn += 1
     return found
 
 
-def _open_groups(placed: DataFrame, size: int) -> DataFrame:
-    """Rows of n-grams with more than ``size`` rows in several components; major is the largest."""
-    parts = placed.groupBy("gram", "component").agg(F.count("*").alias("members"))
-    groups = parts.groupBy("gram").agg(
-        F.sum("members").alias("members"), F.count("*").alias("parts"),
-        F.max_by("component", F.struct("members", "component")).alias("major"),
-    ).where(f"parts > 1 AND members > {size}").select("gram", "major")
-    return placed.join(groups, "gram")
+def _with_partners(placed: DataFrame, percent: int) -> DataFrame:
+    """Rows that share their n-gram with a row of a similar size in another component.
+
+    Sizes of similar sets are of the same class or of neighbouring ones; classes are a
+    little wider than that takes, for rounding.
+    """
+    width = math.log(100 / percent) + 0.001
+    near = Window.partitionBy("gram").orderBy("size").rangeBetween(-1, 1)
+    rows = placed.withColumn("size", F.floor(F.log("n") / width).cast("int"))
+    rows = rows.withColumn("_lo", F.min("component").over(near)).withColumn("_hi", F.max("component").over(near))
+    return rows.where("_lo < _hi").drop("size", "_lo", "_hi")
+
+
+def _in_groups(rows: DataFrame, turn: int) -> DataFrame:
+    """With the rows of each n-gram, its largest component, and each row's place as a leader.
+
+    A set has the same rank in all its groups, so near copies meet few different leaders.
+    """
+    group = Window.partitionBy("gram")
+    rows = rows.withColumn("members", F.count("*").over(group))
+    if turn:
+        rows = rows.withColumn("_part", F.count("*").over(Window.partitionBy("gram", "component")))
+        rows = rows.withColumn("major", F.max_by("component", F.struct("_part", "component")).over(group)).drop("_part")
+    order = group.orderBy(F.xxhash64("id", F.lit(turn)), "id", "n")
+    return rows.withColumn("nth", F.row_number().over(order))
+
+
+def _with_sets(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """With the histogram of each row's set and the n-grams of the set just before the row's."""
+    rows = rows.join(cells, "id").where("n = _n").drop("_n")
+    # Tells apart sets that share an id.
+    rows = rows.withColumn("_which", F.xxhash64("n", "cells"))
+    earlier = Window.partitionBy("id", "_which").orderBy("pos").rowsBetween(-EARLIER, -1)
+    return rows.withColumn("before", F.collect_list("gram").over(earlier)).drop("_which")
 
 
 def join_documents(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:

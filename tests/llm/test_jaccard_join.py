@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import brute
@@ -92,3 +93,55 @@ def test_components_of_links(spark, seed):
     got = {r["node"]: r["component"] for r in cc.components(spark.createDataFrame(links, "a int, b int")).collect()}
     assert got == {x: find(x) for x in root if x not in loops}
     assert cc.components(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
+@pytest.fixture
+def rows_written(monkeypatch):
+    """How many rows each table of the join has had in all, by name."""
+    sizes = {}
+
+    def count(df, name, write=jj.written):
+        out = write(df, name)
+        sizes[name] = sizes.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jj, "written", count)
+    return sizes
+
+
+def test_near_copies_with_few_links_make_few_pairs(spark, rows_written):
+    # Each text is linked with one in eight others, those that share an edit with it.
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i, j in itertools.combinations(range(30), 2):
+        words = base[:]
+        words[5 * i], words[5 * j] = f"x{i}", f"x{j}"
+        rows.append((len(rows), " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["component_id"] for r in jj.join_documents(docs).collect()} == {0}
+    assert rows_written["pairs"] < 12 * len(rows)
+
+
+def test_long_texts_that_share_a_sentence_are_not_verified(spark, rows_written):
+    rng = random.Random(5)
+    rows = []
+    for i in range(8):
+        words = [f"w{rng.randrange(200)}" for _ in range(9000)]
+        rows.append((i, " ".join([*words, *(f"own{i // 2}x{k}" for k in range(8))])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert all(r["component_id"] == r["doc_id"] for r in jj.join_documents(docs).collect())
+    assert rows_written["pairs"] > 0 and rows_written["sets"] == 0
+
+
+def test_histograms_of_two_sizes(spark):
+    rng = random.Random(8)
+    rows = []
+    for top in (70, 300, 600, 1150):
+        for _ in range(3):
+            words = [f"w{rng.randrange(4000)}" for _ in range(top)]
+            rows += [(0, " ".join(words[: rng.randrange(top * 6 // 10, top)])) for _ in range(5)]
+    rows = [(i, text) for i, (_, text) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jj.join_documents(docs).collect()}
+    assert got == brute.jaccard_components(rows)
+    assert 12 < len(set(got.values())) < len(rows)
