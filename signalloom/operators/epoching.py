@@ -155,14 +155,16 @@ def block_epochs(kept: DataFrame, params: JobParams) -> DataFrame:
     )
 
 
-def deal_blocks(samples: DataFrame, params: JobParams) -> DataFrame:
+def deal_blocks(samples: DataFrame, params: JobParams, n_samples: int | None = None) -> DataFrame:
     """Samples by the block(s) that need them; the one shuffle of the samples.
 
-    The samples are counted first: beyond a few tasks' worth there are as many tasks as
-    hold about ``TASK_SAMPLES`` each, so a task's memory doesn't grow with the input.
+    The samples are counted first, unless the caller knows ``n_samples``: beyond a few
+    tasks' worth there are as many tasks as hold about ``TASK_SAMPLES`` each, so a task's
+    memory doesn't grow with the input.
     """
     rows = assign_blocks(samples.select("SubjectID", "Electrode", "j", "value"), params)
-    return deal(rows, tasks_for(samples.count()), "SubjectID", "EpochBlock")
+    n = samples.count() if n_samples is None else n_samples
+    return deal(rows, tasks_for(n), "SubjectID", "EpochBlock")
 
 
 def tasks_for(n: int, size: int = TASK_SAMPLES) -> int | None:
@@ -175,10 +177,10 @@ def deal(rows: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
     return rows.repartition(*keys) if tasks is None else rows.repartition(tasks, *keys)
 
 
-def collect_blocks(samples: DataFrame, params: JobParams) -> DataFrame:
+def collect_blocks(samples: DataFrame, params: JobParams, n_samples: int | None = None) -> DataFrame:
     """Samples of each (block, channel) as arrays, in order; the one shuffle of the samples."""
     return (
-        deal_blocks(samples, params)
+        deal_blocks(samples, params, n_samples)
         .groupBy("SubjectID", "EpochBlock", "Electrode")
         .agg(F.sort_array(F.collect_list(F.struct("j", "value"))).alias("buf"))
         .selectExpr(
@@ -214,6 +216,7 @@ def slice_epochs(
     recordings: DataFrame,
     params: JobParams,
     kept: DataFrame | None = None,
+    n_samples: int | None = None,
 ) -> DataFrame:
     """One row per (epoch, channel) with its ``signal`` array.
 
@@ -223,7 +226,7 @@ def slice_epochs(
     come out with a shorter ``signal`` (see ``operators.quality``).
     """
     n = params.n_times
-    blocks = collect_blocks(samples, params)
+    blocks = collect_blocks(samples, params, n_samples)
     keys = ["SubjectID", "EpochBlock"]
     carried = [*keys, "Electrode", "run", "j0", "stretches"]
     if kept is None:

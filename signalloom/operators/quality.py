@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalloom.functions import spectral
@@ -106,7 +106,7 @@ def duplicate_subjects(subjects: DataFrame) -> DataFrame:
 
 def compare_tables(
     left: DataFrame, right: DataFrame, keys: Sequence[str], value: str, tolerance: float = 1e-9,
-    tasks: int | None = None,
+    tasks: int | None = None, dealt: Sequence[str] = (),
 ) -> DataFrame:
     """(keys, left, right, class): two tables' values side by side, one row per key of either.
 
@@ -115,8 +115,13 @@ def compare_tables(
     ``only right``. Null keys match each other. Keys should be unique on each side; rows
     that repeat one are matched with all of the other side's. ``tasks`` deals both sides to
     so many tasks, for tables too large for the session's; keys must then have the same
-    types on both sides.
+    types on both sides. ``dealt`` names columns, which the keys determine, that both sides
+    are already dealt by: rows are then matched where they lie and nothing is shuffled, as
+    far as Spark sees that both are dealt alike; otherwise it deals them.
     """
+    if dealt:
+        matched = _matched_in_place(left, right, keys, value, dealt)
+        return _compared(matched, {k: F.col(f"_{k}") for k in keys}, tolerance)
     sides = [
         df.select(*[F.col(k).alias(f"_{k}_{i}") for k in keys], F.col(value).cast("double").alias(f"_v{i}"), F.lit(True).alias(f"_in{i}"))
         for i, df in enumerate((left, right))
@@ -129,6 +134,37 @@ def compare_tables(
             .repartition(tasks, f"_key{i}") for i, df in enumerate(sides)
         ]
         same = F.col("_key0") == F.col("_key1")
+    matched = sides[0].join(sides[1], same, "full_outer")
+    return _compared(matched, {k: F.coalesce(f"_{k}_0", f"_{k}_1") for k in keys}, tolerance)
+
+
+def _matched_in_place(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], value: str, dealt: Sequence[str]
+) -> DataFrame:
+    """The full outer join of two tables dealt alike, as a window over the rows of both.
+
+    Their union is dealt like them, and a window may use fewer columns than its own for
+    that, where a join asks for exactly its keys. A left row meets the right ones of its
+    key; a right one stands by itself where its key has no left one.
+    """
+    by = [*keys, *[c for c in dealt if c not in keys]]
+    sides = [
+        df.select(*[F.col(c).alias(f"_{c}") for c in by], F.col(value).cast("double").alias("v"), F.lit(bool(i)).alias("is_right"))
+        for i, df in enumerate((left, right))
+    ]
+    of_key = Window.partitionBy(*[f"_{c}" for c in by])
+    rows = sides[0].union(sides[1]).select(
+        "*", F.count_if(~F.col("is_right")).over(of_key).alias("n_left"),
+        F.collect_list(F.when(F.col("is_right"), F.struct("v"))).over(of_key).alias("rights"),
+    )
+    return rows.where("NOT is_right OR n_left = 0").selectExpr(*[f"`_{k}`" for k in keys], """inline(CASE
+        WHEN is_right THEN array(named_struct('_v0', cast(NULL AS double), '_in0', cast(NULL AS boolean), '_v1', v, '_in1', true))
+        WHEN size(rights) = 0 THEN array(named_struct('_v0', v, '_in0', true, '_v1', cast(NULL AS double), '_in1', cast(NULL AS boolean)))
+        ELSE transform(rights, r -> named_struct('_v0', v, '_in0', true, '_v1', r.v, '_in1', true)) END)""")
+
+
+def _compared(matched: DataFrame, keys: Mapping[str, Column], tolerance: float) -> DataFrame:
+    """Matched rows with the class of ``_v0`` and ``_v1``; ``_in0`` and ``_in1`` are null on a side without the row."""
     a, b = F.col("_v0"), F.col("_v1")
     kind = (
         F.when(F.col("_in1").isNull(), "only left").when(F.col("_in0").isNull(), "only right")
@@ -137,9 +173,7 @@ def compare_tables(
         .when(a == b, "equal")
         .when(F.abs(a - b) <= tolerance * F.greatest(F.abs(a), F.abs(b)), "equal").otherwise("different")
     )
-    return sides[0].join(sides[1], same, "full_outer").select(
-        *[F.coalesce(f"_{k}_0", f"_{k}_1").alias(k) for k in keys], a.alias("left"), b.alias("right"), kind.alias("class")
-    )
+    return matched.select(*[c.alias(k) for k, c in keys.items()], a.alias("left"), b.alias("right"), kind.alias("class"))
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:

@@ -105,11 +105,13 @@ def _with_pane(rows: DataFrame, params: JobParams, bins: Bins | None) -> DataFra
     return known.selectExpr("*", *guesses).selectExpr(*rows.columns, f"{label} AS _pane")
 
 
-def pane_sums(samples: DataFrame, params: JobParams, bins: Bins | None) -> DataFrame:
+def pane_sums(
+    samples: DataFrame, params: JobParams, bins: Bins | None, n_samples: int | None = None
+) -> DataFrame:
     """One row per pane of a channel: its first sample and the sums over its samples."""
     channel = [*BLOCK, "Electrode"]
     in_order = Window.partitionBy(*channel).orderBy("j")
-    rows = _with_pane(epoching.deal_blocks(samples, params), params, bins)
+    rows = _with_pane(epoching.deal_blocks(samples, params, n_samples), params, bins)
     rows = rows.select(
         *channel,
         "j",
@@ -192,10 +194,11 @@ def sliding_stats(
     params: JobParams,
     bins: Bins | None = None,
     kept: DataFrame | None = None,
+    n_samples: int | None = None,
 ) -> DataFrame:
     """Features (and spectrum) of every complete channel-epoch of the recordings."""
     n, size = params.n_times, params.epochs_per_block
-    panes = pane_sums(samples, params, bins)
+    panes = pane_sums(samples, params, bins, n_samples)
     first = f"greatest({_latest(f'(j0 - {n})', params)} + 1, EpochBlock * {size})"
     last = f"least({_latest('j0', params)}, (EpochBlock + 1) * {size} - 1)"
     waves = [c for c in panes.columns if c[:2] in ("re", "im")]

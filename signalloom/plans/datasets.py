@@ -77,6 +77,11 @@ def line_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_sample_count(spark: SparkSession, sf_dir: str) -> int:
+    """The number of ``line_samples``, one per line: the file's count, without numbering them."""
+    return table(spark, sf_dir, "lineitem").count()
+
+
 def line_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = table(spark, sf_dir, "lineitem").groupBy(*LINE_KEYS).agg(F.count(F.lit(1)).alias("n"))
     return counts.select(

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from signalloom.functions import moments, spectral
 from signalloom.functions.spectral import Bins
@@ -59,16 +60,18 @@ def recording_stats(
     annotations: DataFrame | None = None,
     bins: Bins | None = None,
     panes: bool | None = None,
+    n_samples: int | None = None,
 ) -> DataFrame:
     """Complete channel-epochs of recordings with their features and, given bins, spectrum.
 
     Strongly overlapping epochs go through panes, others are sliced; same result.
-    ``panes`` asks for one of the two routes.
+    ``panes`` asks for one of the two routes. Rows lie by ``(SubjectID, EpochBlock)``, alike
+    on both routes. ``n_samples``, where it is known, saves counting the samples.
     """
     kept = None if annotations is None else kept_epochs(recordings, params, annotations)
     if sliding.pays_off(params, bins) if panes is None else panes:
-        return sliding.sliding_stats(samples, recordings, params, bins, kept)
-    epochs = epoching.slice_epochs(samples, recordings, params, kept)
+        return sliding.sliding_stats(samples, recordings, params, bins, kept, n_samples)
+    epochs = epoching.slice_epochs(samples, recordings, params, kept, n_samples)
     stats = channel_stats(epochs, SLICED_KEYS, bins, detrended=params.detrend)
     return stats.where(F.col("n") == params.n_times)
 
@@ -119,21 +122,24 @@ def _feature_rows(params: JobParams, table_type: str) -> list[str]:
 
 
 def assemble_long(
-    stats: DataFrame, bins: Bins, params: JobParams, table_type: str = "band"
+    stats: DataFrame, bins: Bins, params: JobParams, table_type: str = "band", carried: Sequence[str] = ()
 ) -> DataFrame:
     """Long feature rows of ``stats`` with a spectrum; see ``long_rows``."""
-    return long_rows(with_band_power(stats, bins, params), params, table_type)
+    return long_rows(with_band_power(stats, bins, params), params, table_type, carried)
 
 
-def long_rows(powered: DataFrame, params: JobParams, table_type: str = "band") -> DataFrame:
+def long_rows(
+    powered: DataFrame, params: JobParams, table_type: str = "band", carried: Sequence[str] = ()
+) -> DataFrame:
     """Long feature rows, all made from one wide row: no join, union or shuffle.
 
     Band rows repeat the broadband Hjorth features. ``table_type`` is what the
-    electrode-level rows are marked with; band rows are always ``band``.
+    electrode-level rows are marked with; band rows are always ``band``. Columns to be
+    ``carried`` along come last.
     """
     rows = _feature_rows(params, table_type)
-    long = powered.selectExpr(*EPOCH_KEYS, "Electrode", f"inline(array({', '.join(rows)}))")
-    return conform(long, FEATURE_SCHEMA)
+    long = powered.selectExpr(*EPOCH_KEYS, "Electrode", *carried, f"inline(array({', '.join(rows)}))")
+    return conform(long, T.StructType([*FEATURE_SCHEMA, *[long.schema[c] for c in carried]]))
 
 
 def features_long(

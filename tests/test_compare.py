@@ -2,7 +2,11 @@
 
 import math
 
-from signalloom.operators import numbering, quality
+from pyspark.sql import functions as F
+
+from signalloom.operators import epoching, numbering, quality
+from signalloom.plans import datasets as ds
+from signalloom.plans.catalog import CATALOG
 from signalloom.sources import recordings as rec
 
 
@@ -30,6 +34,55 @@ def test_compared_tables_are_dealt_to_the_tasks_asked_for(spark):
     assert plan.count("Exchange hashpartitioning") == 2 == plan.count("37), REPARTITION_BY_NUM")
 
 
+def test_tables_dealt_alike_are_compared_where_they_lie(spark):
+    schema = "k string, b int, n int, v double"
+    rows = [("a", 1, 1, 1.0), ("b", 2, None, 1.0), (None, 3, None, 2.0), ("c", 4, 3, math.nan), ("c", 4, 3, 1.0), ("d", 5, 4, 0.0)]
+    rows += [(f"x{i}", i % 7, i, float(i)) for i in range(300)]
+    other = [*rows[:-40], ("c", 4, 3, None), ("e", 5, 4, 0.0), ("e", 5, 4, 1.0), (None, None, 1, None), (None, 3, None, 2.5)]
+    left, right = spark.createDataFrame(rows, schema), spark.createDataFrame(other, schema)
+    plain = quality.compare_tables(left, right, ["k", "n"], "v")
+    assert {r["class"] for r in plain.collect()} == {"equal", "different", "null", "nan", "only left", "only right"}
+    for deal in (lambda df: df.repartition(9, "k", "b"), lambda df: df.repartition("k", "b"), lambda df: df):
+        dealt = quality.compare_tables(deal(left), deal(right), ["k", "n"], "v", dealt=["k", "b"])
+        assert dealt.columns == plain.columns
+        assert sorted(map(repr, plain.collect())) == sorted(map(repr, dealt.collect()))
+    by_nine = [df.repartition(9, "k", "b") for df in (left, right)]
+    plan = quality.compare_tables(*by_nine, ["k", "n"], "v", dealt=["k", "b"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 == plan.count("9), REPARTITION_BY_NUM")
+
+
+def test_compared_routes_move_samples_only(spark, tmp_path, monkeypatch):
+    lines = spark.range(400).selectExpr(
+        "id % 4 AS l_suppkey", "if(id % 8 < 4, 'A', 'N') AS l_returnflag", "'F' AS l_linestatus",
+        "date_add(DATE'2020-01-01', cast(id div 8 AS int)) AS l_shipdate", "id AS l_orderkey", "1 AS l_linenumber",
+        "id AS l_partkey", "900D + (id * 7919) % 1000 AS l_extendedprice",
+    )
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(epoching.tasks_for, "__defaults__", (60,))
+    counted, count = [], type(lines).count
+    monkeypatch.setattr(type(lines), "count", lambda df: counted.append(df.columns) or count(df))
+    compared = CATALOG["routes_compared"](spark, str(tmp_path))
+    # Numbered samples are not counted: that would number them once more for each count.
+    assert counted and not any("j" in columns for columns in counted)
+    plan = compared._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 == plan.count("7), REPARTITION_BY_NUM")
+    # Of the features, only the counts of each class move.
+    moves = [line for line in plan.splitlines() if "Exchange" in line]
+    assert not any("EpochID" in line or "_key" in line for line in moves)
+    assert sum("FeatureName" in line for line in moves) == 1 == sum("class#" in line for line in moves)
+    # Six epochs in each of eight channels.
+    assert [tuple(r) for r in compared.select("class", "n_rows").collect()] == [("equal", 48)] * 17
+
+
+def test_lines_are_counted_as_samples(spark, tmp_path):
+    lines = spark.range(90).select(
+        *[F.when(F.col("id") % 5 != 0, F.col("id") % 3).alias(c) for c in ds.LINE_KEYS],
+        *[F.when(F.col("id") % 7 != 0, F.col("id") % 4).alias(c) for c in ds.LINE_ORDER], F.lit(None).cast("double").alias("l_extendedprice"),
+    )
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert ds.line_sample_count(spark, str(tmp_path)) == 90 == ds.line_samples(spark, str(tmp_path)).count()
+
+
 def test_tree_of_recordings(spark, tmp_path):
     rows = [("A", j, float(j)) for j in range(5)]
     for subject, folder in (("01", "sub-01/eeg"), ("02", "deep/er/sub-02/eeg")):
